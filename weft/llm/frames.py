@@ -1,34 +1,16 @@
-"""Spark helpers shared by the operators: cut lineage, row keys, table access."""
+"""Helpers shared by the operators: row keys and table access."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null identifier inside the operators; smaller than any other.
-NULL_ID = -(2**63)
-
+from weft.plans.lineage import cut, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="weft-checkpoints-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        base = spark.sparkContext.getCheckpointDir()
-    return base.rstrip("/")
+__all__ = ["NULL_ID", "cut", "row_id", "shared_folder", "table", "text_key"]
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: survives lost executors, ends the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/weft/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Stands for a null identifier inside the operators; smaller than any other.
+NULL_ID = -(2**63)
 
 
 def row_id(name: str) -> Column:

@@ -62,7 +62,8 @@ def duplicate_spans(docs: DataFrame, window: int = 200, id_col: str = "doc_id",
     rows = keyed(docs, id_col, text_col)
     runs = parse(rows, "byte", window, max(1, int(window * ANCHOR_SHARE)))
     triggers = runs.groupBy("m").agg(F.count(F.lit(1)).alias("seen"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("seen > 1")
-    found = cut(runs.join(triggers.select("m", (F.col("c0") == F.col("c1")).alias("alike")), "m"))
+    triggers = cut(triggers.select("m", (F.col("c0") == F.col("c1")).alias("alike")))  # a bare exchange on both sides lets a hot trigger be split
+    found = cut(runs.join(triggers, "m"))
     mixed = found.where("not alike")
     phrases = mixed.groupBy("m", "c").agg(F.count(F.lit(1)).alias("seen"), F.min(F.struct("did", "dh", "a", "n")).alias("at"))
     wanted = cut(phrases.select("at.did", "at.dh", F.struct("at.a", "at.n", "m", "c", "seen").alias("phrase")))
