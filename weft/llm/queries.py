@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weft.llm.bpe import op6_bpe
+from weft.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from weft.llm.fingerprint import op10_fingerprint
+from weft.llm.jaccard_join import op5_jaccard_join
+from weft.llm.mixing import OP9_SQL, op9_mixing
+from weft.llm.substring_dedup import op2_substring_dedup
 from weft.llm.suffix_dedup import op1_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup,)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_exact_dedup, op5_jaccard_join, op6_bpe, op9_mixing, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_exact_dedup": OP3_SQL, "op9_mixing": OP9_SQL}
