@@ -8,8 +8,9 @@ ranges, and every step works on fragments of sets:
   not be an empty one. Only sets that have a fragment in common meet; n-grams
   that are merely frequent bring nothing together.
 * Within such a bucket a parity sketch bounds the difference of two sets from
-  below. Of the pairs that the bound admits a bucket proposes a spanning forest
-  over the components known so far, not all pairs.
+  below. Of the pairs that the bound admits a bucket first proposes a spanning
+  forest. Later rounds propose the few admitted pairs that are left between
+  components, or again a forest where they are more than MOST_PER_NODE a node.
 * Proposed pairs are counted exactly: overlaps fragment by fragment, summed per
   pair. Links join components; refuted pairs are not proposed again. Rounds end
   when no bucket has an untried pair left that could join two components, so
@@ -34,6 +35,7 @@ from weft.operators.components import connected_components
 
 SPARE = 2  # fragments beyond D + 1: so many may be empty on both sides
 COUNT_FRAGMENTS = 16  # of the exact count
+MOST_PER_NODE = 16  # pairs a bucket proposes at once; the others wait for later rounds
 _GROWTH = 1.5  # of the size classes
 
 
@@ -175,8 +177,8 @@ def _buckets(keys: DataFrame) -> DataFrame:
     return sorted_keys.mapInArrow(lambda it: by_trigger(it, "key", group), "bucket long, node long").distinct()
 
 
-def _propose(buckets: DataFrame, state: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): a spanning forest of each bucket over its components, of pairs that the sketches admit."""
+def _propose(buckets: DataFrame, state: DataFrame, num: int, den: int, first: bool) -> DataFrame:
+    """(a, b): pairs of each bucket that the sketches admit and that would join two components."""
 
     def forest(t: pa.Table) -> pa.Table | None:
         bucket, node, comp, n = (t.column(c).to_numpy() for c in ("bucket", "node", "comp", "n"))
@@ -186,7 +188,9 @@ def _propose(buckets: DataFrame, state: DataFrame, num: int, den: int) -> DataFr
         for i, j in zip(edge.tolist(), edge[1:].tolist(), strict=False):
             if (comp[i:j] != comp[i]).any():
                 bad = [set(x) if x else None for x in refuted.slice(i, j - i).to_pylist()]
-                out.extend(bucket_forest(node[i:j], comp[i:j], n[i:j], sketch.slice(i, j - i).to_pylist(), bad, num, den))
+                given = (node[i:j], comp[i:j], n[i:j], fold(sketch.slice(i, j - i).to_pylist()), bad, num, den)
+                pairs = None if first else bucket_pairs(*given)
+                out.extend(bucket_forest(*given) if pairs is None else pairs)
         return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"]) if out else None
 
     rows = buckets.join(state, "node").select("bucket", "node", "comp", "n", "sketch", "refuted")
@@ -194,7 +198,8 @@ def _propose(buckets: DataFrame, state: DataFrame, num: int, den: int) -> DataFr
     return rows.mapInArrow(lambda it: by_trigger(it, "bucket", forest), "a long, b long").distinct()
 
 
-def bucket_forest(node, comp, n, sketches, refuted, num: int, den: int) -> list[tuple[int, int]]:
+def fold(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of one width, the smallest, as rows of 64-bit words."""
     width = min(map(len, sketches))
     folded = []
     for s in sketches:
@@ -202,7 +207,23 @@ def bucket_forest(node, comp, n, sketches, refuted, num: int, den: int) -> list[
         while len(x) > width:
             x = x[: len(x) // 2] ^ x[len(x) // 2 :]
         folded.append(x)
-    bits = np.stack(folded).view(np.uint64)
+    return np.stack(folded).view(np.uint64)
+
+
+def bucket_pairs(node, comp, n, bits, refuted, num: int, den: int) -> list[tuple[int, int]] | None:
+    """All admitted untried pairs between components; None if they are more than MOST_PER_NODE a node."""
+    out: list[tuple[int, int]] = []
+    for x in range(len(node) - 1):
+        far = np.bitwise_count(bits[x + 1 :] ^ bits[x]).sum(1, dtype=np.int64)
+        hit = x + 1 + np.flatnonzero((far <= most_difference(n[x + 1 :] + n[x], num, den)) & (comp[x + 1 :] != comp[x]))
+        out.extend((min(a, b), max(a, b)) for a, b in ((int(node[x]), int(node[y])) for y in hit) if not (refuted[x] and b in refuted[x]))
+        if len(out) > MOST_PER_NODE * len(node):
+            return None
+    return out
+
+
+def bucket_forest(node, comp, n, bits, refuted, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the admitted untried pairs over the components."""
     reached = np.zeros(len(node), bool)
     out = []
     for strict in (True, False):  # likely links first, then all that the bound admits
@@ -282,7 +303,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     tried = None
     while True:
         state = cut(known.join(comps, "node").join(refuted, "node", "left"))
-        pairs = cut(_propose(buckets, state, num, den))
+        pairs = cut(_propose(buckets, state, num, den, tried is None))
         if pairs.isEmpty():
             break
         result = cut(_verify(pairs, rows, described, n, num, den))
