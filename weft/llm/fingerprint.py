@@ -66,7 +66,8 @@ def normalised(text: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """Normalised, case-folded, white space folded to one blank and trimmed; null counts as empty."""
-    return F.trim(F.regexp_replace(F.lower(F.upper(normalised(F.coalesce(text, F.lit(""))))), SPACE, " "))
+    folded = F.lower(F.upper(F.replace(normalised(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss"))))  # upper() leaves ß alone
+    return F.trim(F.regexp_replace(folded, SPACE, " "))
 
 
 def _lanes(form: str, power: str) -> str:
