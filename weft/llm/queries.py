@@ -9,14 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from weft.llm.bpe import op6_bpe
 from weft.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from weft.llm.fingerprint import op10_fingerprint
+from weft.llm.html_text import op4_html_text
 from weft.llm.jaccard_join import op5_jaccard_join
+from weft.llm.langid import op7_langid
+from weft.llm.licences import op8_licences
 from weft.llm.mixing import OP9_SQL, op9_mixing
 from weft.llm.substring_dedup import op2_substring_dedup
 from weft.llm.suffix_dedup import op1_suffix_dedup
 
+_QUERIES = (op1_suffix_dedup, op2_substring_dedup, op3_exact_dedup, op4_html_text, op5_jaccard_join, op6_bpe, op7_langid, op8_licences, op9_mixing, op10_fingerprint)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_exact_dedup, op5_jaccard_join, op6_bpe, op9_mixing, op10_fingerprint)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
