@@ -63,16 +63,25 @@ def basic_centralities(graph: Graph, giant: bool = False) -> DataFrame:
     return degree_centrality(graph).join(closeness(graph), "node").join(betweenness(graph), "node")
 
 
-def eigenvector(graph: Graph, rounds: int = 2000, tolerance: float = 1e-6, cut_every: int = 10) -> DataFrame:
+def _with_loops(adj: DataFrame, graph: Graph) -> DataFrame:
+    return adj.unionByName(graph.nodes.select("node", F.col("node").alias("nbr"), F.lit(1.0).alias("weight")))
+
+
+def _step(adj: DataFrame, x: DataFrame) -> DataFrame:
+    """One product; x stands once in the plan, so that several products make one plan of linear size."""
+    return adj.join(x.withColumnRenamed("node", "nbr"), "nbr").groupBy("node").agg(F.sum(F.col("weight") * F.col("x")).alias("x"))
+
+
+def eigenvector(graph: Graph, rounds: int = 2000, tolerance: float = 1e-6, cut_every: int = 4) -> DataFrame:
     """Power iteration of A + I on weights, Euclidean norm 1; stops when the change is below n * tolerance."""
     n = graph.nodes.count()
-    adj = cut(graph.adj)
+    adj = cut(_with_loops(graph.adj, graph))
     x = cut(graph.nodes.select("node", F.lit(1.0 / max(n, 1)).alias("x")))
     for _ in range(max(1, rounds // cut_every)):
         old = x
         for _ in range(cut_every):
-            pulled = adj.join(x.withColumnRenamed("node", "nbr"), "nbr").groupBy("node").agg(F.sum(F.col("weight") * F.col("x")).alias("p"))
-            x = x.join(pulled, "node", "left").select("node", (F.col("x") + F.coalesce("p", F.lit(0.0))).alias("x"))
+            x = _step(adj, x)
+        x = cut(x)
         norm = F.broadcast(x.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")))
         x = cut(x.crossJoin(norm).select("node", (F.col("x") / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)).alias("x")))
         moved = x.join(old.withColumnRenamed("x", "y"), "node").agg(F.sum(F.abs(F.col("x") - F.col("y")))).first()[0]
@@ -81,15 +90,16 @@ def eigenvector(graph: Graph, rounds: int = 2000, tolerance: float = 1e-6, cut_e
     return x.withColumnRenamed("x", "eigenvector")
 
 
-def largest_eigenvalue(graph: Graph, weighted: bool = False, rounds: int = 200, cut_every: int = 10) -> float:
+def largest_eigenvalue(graph: Graph, weighted: bool = False, rounds: int = 200, cut_every: int = 4) -> float:
     """Of the adjacency matrix, by power iteration of A + I."""
-    adj = cut(graph.adj.select("node", "nbr", F.col("weight") if weighted else F.lit(1.0).alias("weight")))
+    adj = cut(_with_loops(graph.adj.select("node", "nbr", F.col("weight") if weighted else F.lit(1.0).alias("weight")), graph))
     x = cut(graph.nodes.select("node", F.lit(1.0).alias("x")))
     value = 0.0
     for _ in range(max(1, rounds // cut_every)):
-        for _ in range(cut_every):
-            pulled = adj.join(x.withColumnRenamed("node", "nbr"), "nbr").groupBy("node").agg(F.sum(F.col("weight") * F.col("x")).alias("p"))
-            prior, x = x, x.join(pulled, "node", "left").select("node", (F.col("x") + F.coalesce("p", F.lit(0.0))).alias("x"))
+        for _ in range(cut_every - 1):
+            x = _step(adj, x)
+        prior = cut(x)
+        x = cut(_step(adj, prior))
         sums = x.join(prior.withColumnRenamed("x", "y"), "node").agg(F.sum(F.col("x") * F.col("y")), F.sum(F.col("y") * F.col("y")), F.sum(F.col("x") * F.col("x"))).first()
         new = sums[0] / sums[1] - 1 if sums[1] else 0.0
         x = cut(x.select("node", (F.col("x") / (sums[2] ** 0.5 or 1.0)).alias("x")))
@@ -99,7 +109,7 @@ def largest_eigenvalue(graph: Graph, weighted: bool = False, rounds: int = 200,
     return value
 
 
-def katz(graph: Graph, beta: float = 1.0, rounds: int = 5000, tolerance: float = 1e-8, cut_every: int = 10, alpha: float | None = None) -> DataFrame:
+def katz(graph: Graph, beta: float = 1.0, rounds: int = 5000, tolerance: float = 1e-8, cut_every: int = 4, alpha: float | None = None) -> DataFrame:
     """x = alpha A x + beta on weights, alpha = min(.005, .9 / largest eigenvalue), scaled to norm 1."""
     alpha = min(0.005, 0.9 / max(largest_eigenvalue(graph, weighted=True), 1e-12)) if alpha is None else alpha
     adj, n = cut(graph.adj), graph.nodes.count()
@@ -160,6 +170,16 @@ def spectral(graph: Graph, method: str, most_nodes: int = 3_000) -> DataFrame:
     return one_group(rows, kernel, f"node {kind}, `{method}` double")
 
 
+def community_degree(graph: Graph, membership: DataFrame, alpha: float = 0.2) -> DataFrame:
+    """scores(node, ccdc) of the nodes with a community: relational, without any paths."""
+    m = membership.select("cid", "node").distinct()
+    per = m.groupBy("cid").agg(F.count(F.lit(1)).alias("nk")).crossJoin(_single(graph))
+    rows = m.join(graph.adj, "node").join(m.select("cid", F.col("node").alias("nbr"), F.lit(1).alias("inside")), ["cid", "nbr"], "left")
+    rows = rows.groupBy("cid", "node").agg(F.count("inside").alias("din"), F.count(F.lit(1)).alias("degree")).join(per, "cid")
+    span = F.col("nk") + alpha * (F.col("n") - F.col("nk")) - 1
+    return rows.groupBy("node").agg(F.avg(F.when(span > 0, (F.col("din") + alpha * (F.col("degree") - F.col("din"))) / span)).alias("ccdc"))
+
+
 def community_centralities(graph: Graph, membership: DataFrame, alpha: float = 0.2, domain: str = "graph", aggregate: str = "mean") -> DataFrame:
     """scores(node, ccdc, cccc, ccbc): centralities that weigh what lies outside a node's communities by alpha.
 
