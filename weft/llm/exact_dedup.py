@@ -18,13 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import kernels as K
+from weft.llm.filters import may_match
 from weft.llm.frames import NULL_ID, cut, row_id, table
 
 #: Entries of a memtable and runs of a level; bound a store's unsorted part and its number of runs.
 MEMTABLE_ROWS = 65_536
 LEVEL_RUNS = 4
-#: Most 64-bit words of the filter that is broadcast to find the rows to verify (8 MB).
-FILTER_WORDS = 1 << 20
 _FILTER_BITS = 16  # bits of a run's filter per entry
 
 
@@ -121,7 +120,7 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id",
     flushed = rows.select("digest", "did", F.lit(1).cast("long").alias("n")).mapInArrow(store, schema)
     index = cut(flushed.repartition("digest").mapInArrow(store, schema).withColumnsRenamed({"did": "keep", "n": "size"}))
     named = rows.select("did", "sha", "digest").join(index, "digest")
-    alike = _maybe_hit(rows.select("digest", "sha", "did", "text"), index.where("size > 1").select("digest"))
+    alike = may_match(rows.select("digest", "sha", "did", "text"), index.where("size > 1").select("digest"), "digest")
     buckets = alike.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high"))
     strangers = cut(buckets.where("low != high").select("digest"))
     if not strangers.isEmpty():  # digests that stand for several texts: group these rows by their bytes
@@ -135,24 +134,6 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id",
     )
 
 
-def _maybe_hit(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """The rows whose digest may be in hits, by a filter of at most FILTER_WORDS words; no hit is missed."""
-    words = 1 << max(10, min(FILTER_WORDS, hits.count() // 4).bit_length() - 1)
-    place = F.pmod(F.xxhash64("digest"), F.lit(words * 64))
-    marked = hits.select(place.alias("p")).groupBy(F.expr("p div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).toArrow()
-    bits = np.zeros(words, np.int64)
-    bits[np.asarray(marked.column("word"))] = np.asarray(marked.column("bits"))
-    shared = rows.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.asarray(batch.column(0)).astype(np.uint64)
-            hit = (shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit.astype(bool))) for c in batch.columns[1:]], names=batch.schema.names[1:])
-
-    return rows.select(place.alias("p"), *rows.columns).mapInArrow(sift, rows.schema)
-
-
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """op3: groups of byte-equal documents; the largest doc_id stays."""
     return exact_dedup(table(spark, sf_dir, "documents"), "largest")

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import kernels as K
+from weft.llm.filters import may_match
 from weft.llm.frames import NULL_ID, cut, table
 from weft.llm.phrases import by_trigger, keyed
 from weft.operators.components import connected_components
@@ -269,7 +270,8 @@ def _verify(pairs: DataFrame, rows: DataFrame, described: DataFrame, n: int, num
                     out.extend((int(node), f, s[cuts[f] : cuts[f + 1]].view(np.int64)) for f in range(COUNT_FRAGMENTS) if cuts[f] < cuts[f + 1])
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["node", "f", "grams"])
 
-    fetched = rows.join(holders.select("did").distinct(), "did", "left_semi").select("text").mapInArrow(pieces, "node long, f int, grams array<long>")
+    wanted = holders.select("did").distinct()
+    fetched = may_match(rows.select("did", "text"), wanted, "did").join(wanted, "did", "left_semi").select("text").mapInArrow(pieces, "node long, f int, grams array<long>")
     fetched = cut(fetched.join(holders.select("node"), "node", "left_semi").dropDuplicates(["node", "f"]))
     left = pairs.join(fetched.withColumnsRenamed({"node": "a", "grams": "x"}), "a")
     both = left.join(fetched.withColumnsRenamed({"node": "b", "grams": "y"}), ["b", "f"])
