@@ -5,6 +5,7 @@ import pytest
 from weft.graph import Graph
 from weft.operators import cover, metrics
 from weft.plans import registry, runner
+from weft.plans.lineage import cut
 from weft.sources.ingest import default_graph
 
 KEYS = [d.key for d in registry.detectors()]
@@ -14,8 +15,7 @@ KEYS = [d.key for d in registry.detectors()]
 def toy(spark):
     edges = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("d", "e"), ("d", "f"), ("e", "f")]
     g = Graph.from_edges(spark.createDataFrame([(*e, 1.0) for e in edges], "src string, dst string, weight double"))
-    g.edges = g.edges.cache()
-    return g
+    return Graph(cut(g.nodes), cut(g.edges))
 
 
 def groups(membership):
@@ -40,7 +40,7 @@ def test_detector_runs(toy, key):
     small = {"SLPA": {"t": 10}, "NOCD_GNN": {"epochs": 20, "k": 2}, "LPANNI": {"rounds": 3}}.get(key, {})
     found = groups(registry.detect(toy, key, **small).membership)
     assert all(set(s) <= set("abcdef") for s in found)
-    if key not in ("WALKSCAN", "DPCLUS"):
+    if key not in ("WALKSCAN",):
         assert found
 
 

@@ -4,6 +4,7 @@ import pytest
 
 from weft.graph import Graph
 from weft.operators import boundary, centrality, cover, metrics, rank
+from weft.plans.lineage import cut
 from weft.sources import ingest
 
 T1 = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("d", "e"), ("d", "f"), ("e", "f")]
@@ -15,7 +16,8 @@ def graph(spark, edges):
 
 @pytest.fixture(scope="module")
 def t1(spark):
-    return graph(spark, T1)
+    made = graph(spark, T1)
+    return Graph(cut(made.nodes), cut(made.edges))
 
 
 def members(spark, *groups, kind="string"):
