@@ -27,7 +27,7 @@ TABLE_BITS = 16
 WIDTHS = (1, 2, 3, 4)
 SWITCH_PENALTY = 6.0
 _TRAIN_TASKS = 8
-_WORDS_AT_ONCE = 6_000_000
+_BYTES_AT_ONCE = 3 << 20  # of text; a longer document stands alone
 #: First code points of script ranges, in order, and the script from there on (0: none).
 SCRIPTS = ((0x41, 1), (0x250, 0), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x780, 0), (0x900, 7), (0x980, 8), (0xA00, 0), (0xE00, 9), (0xE80, 0), (0x10A0, 10), (0x1100, 11), (0x1200, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 12), (0x3100, 0), (0x3400, 13), (0xA000, 0), (0xAC00, 11), (0xD7B0, 0), (0xF900, 13), (0xFB00, 0))
 N_SCRIPTS = 1 + max(s for _, s in SCRIPTS)
@@ -130,16 +130,17 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model |
         for batch in batches:
             data, offsets = K.text_buffer(batch.column(0))
             names = np.array(batch.column(1).to_pylist(), object)
-            for name in set(names):
-                own = np.flatnonzero(names == name)
-                part = b" ".join(data[offsets[i] : offsets[i + 1]].tobytes() for i in own)
-                code, _, marked, at = _distinct_words(np.frombuffer(part, np.uint8), np.array([0, len(part)]))
-                script, letter = _scripts(marked, at)
-                times = np.bincount(code, minlength=len(at) - 1) * letter
-                total, scripts = found.setdefault(name, [np.zeros(1 << TABLE_BITS, np.int64), np.zeros(N_SCRIPTS, np.int64)])
-                for owner, cells in _grams(marked, at):
-                    total += np.bincount(cells, times[owner], 1 << TABLE_BITS).astype(np.int64)
-                scripts += np.bincount(script, times, N_SCRIPTS).astype(np.int64)
+            for i, j, chunk, offs in K.document_chunks(data, offsets, _BYTES_AT_ONCE):
+                for name in set(names[i:j]):
+                    own = np.flatnonzero(names[i:j] == name)
+                    part = b" ".join(chunk[offs[k] : offs[k + 1]].tobytes() for k in own)
+                    code, _, marked, at = _distinct_words(np.frombuffer(part, np.uint8), np.array([0, len(part)]))
+                    script, letter = _scripts(marked, at)
+                    times = np.bincount(code, minlength=len(at) - 1) * letter
+                    total, scripts = found.setdefault(name, [np.zeros(1 << TABLE_BITS, np.int64), np.zeros(N_SCRIPTS, np.int64)])
+                    for owner, cells in _grams(marked, at):
+                        total += np.bincount(cells, times[owner], 1 << TABLE_BITS).astype(np.int64)
+                    scripts += np.bincount(script, times, N_SCRIPTS).astype(np.int64)
         for name, (total, scripts) in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([total.astype(np.int32).tobytes()]), pa.array([scripts.tobytes()])], names=["lang", "cells", "scripts"])
 
@@ -201,7 +202,7 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = SWITCH_PENAL
         model = shared.value
         for batch in batches:
             data, offsets = K.text_buffer(batch.column(len(columns)))
-            for i, j, part, offs in K.document_chunks(data, offsets, 5 * _WORDS_AT_ONCE):
+            for i, j, part, offs in K.document_chunks(data, offsets, _BYTES_AT_ONCE):
                 own = batch.slice(i, j - i).columns[: len(columns)]
                 if model is None:
                     out = [pa.array(["und"] * (j - i)), pa.array(np.zeros(j - i)), pa.array([[]] * (j - i), pa.list_(span))]
