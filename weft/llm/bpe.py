@@ -2,31 +2,39 @@
 
 Spark splits each text before every run of white space that follows another
 character; byte-level BPE never merges across such a place, whatever stands on
-either side. Each distinct word of a batch is encoded once, and ids are joined
-back by position through the word's number in the table. Decoding looks every
-id up in the id-to-piece table and concatenates the bytes.
-
-The table lives in the task that holds the words: a corpus-wide table would
-have to move every (task, word) pair twice (see README), and encoding a word
-again in another task costs less than that.
+either side. The texts are written once as blocks of about a million words: the
+block's distinct words, and the place of every word among them. The distinct
+words of all blocks are dealt into buckets by their hash, each bucket encodes a
+word the first time it meets it, and the ids go back to the block and the place
+that they came from, where they are joined by position. Decoding looks every id
+up in the id-to-piece table and concatenates the bytes.
+
+No row holds more than a block, and no bucket more words at once than
+_WORDS_HELD, whatever words are frequent: a word comes once a block.
 """
 
 from __future__ import annotations
 
 import functools
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.frames import table
+from weft.llm.frames import cut, table
 
 #: Before ASCII white space that follows a character which no definition counts as white space.
 BOUNDARY = r"(?<=[^\s\x1C-\x1F\x85\p{Z}\p{Cf}])(?=[\x20\x09-\x0D])"
 _WORDS_AT_ONCE = 1 << 20
+_WORDS_A_BUCKET = 1 << 18  # of all blocks together, while there are fewer than _MOST_BUCKETS
+_MOST_BUCKETS = 1 << 15
+_WORDS_HELD = 1 << 20  # a bucket of more distinct words forgets and encodes again
+_PIECES = "block long, kind int, codes binary, sizes binary, data binary, dids array<long>, counts array<int>"
 
 
 @functools.lru_cache(maxsize=2)
@@ -61,37 +69,141 @@ def _word_lists(column: pa.Array, limit: int = _WORDS_AT_ONCE) -> Iterator[pa.Ar
         i = j
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_tokens and ids (array), as the whole text's encoding without added special tokens.
+def _press(values: np.ndarray | bytes) -> bytes:
+    """Length and zstd frame of bytes, or of 32-bit integers with their low bytes first, then the next, and so on."""
+    raw = values if isinstance(values, bytes) else np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
 
-    Null and empty texts have no ids; repeated rows and null ids are kept as
-    they are; other columns of docs are ignored; an empty table gives no rows.
-    """
-    words = F.split(F.coalesce(F.col(text_col), F.lit("")), BOUNDARY, -1)
-    rows = docs.select(F.col(id_col).cast("long").alias("did"), words.alias("words"))
+
+def _loosen(z: bytes) -> bytes:
+    size = int.from_bytes(z[:8], "little")
+    return pa.decompress(z[8:], size, "zstd", asbytes=True) if size else b""
+
+
+def _integers(z: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_loosen(z), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def _words(sizes: bytes, data: bytes) -> list[bytes]:
+    raw, ends = _loosen(data), np.cumsum(_integers(sizes), dtype=np.int64).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """One row per block: its documents, the code of every word in order, and its distinct words by code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(tokenizer_path)
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
             at = 0
             for lists in _word_lists(batch.column(1)):
                 offsets = np.asarray(lists.offsets).astype(np.int64)
                 coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-                known = [e.ids for e in tokenizer.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)]
-                size = np.fromiter(map(len, known), np.int64, len(known))
-                flat = np.fromiter(chain.from_iterable(known), np.int32, int(size.sum()))
-                start = np.concatenate([[0], np.cumsum(size)])
-                code = np.asarray(coded.indices)
-                n = size[code]
-                ends = np.concatenate([[0], np.cumsum(n)])
-                ids = flat[np.repeat(start[code] - ends[:-1], n) + np.arange(ends[-1])]
-                bounds = ends[offsets - offsets[0]]
+                words = coded.dictionary.cast(pa.large_binary())
+                ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
+                data = words.buffers()[2]
+                whole = pa.array([0, len(lists)], pa.int32())
+                dids = pa.ListArray.from_arrays(whole, batch.column(0).slice(at, len(lists)))
+                counts = pa.ListArray.from_arrays(whole, pa.array(np.diff(offsets).astype(np.int32)))
+                own = data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes() if data is not None and ends[-1] > ends[0] else b""
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(lists)), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))], names=["did", "n_tokens", "ids"]
+                    [pa.array([block]), dids, counts, *(pa.array([_press(x)], pa.binary()) for x in (np.asarray(coded.indices), np.diff(ends), own)), pa.array([len(words)], pa.int64())],
+                    names=["block", "dids", "counts", "codes", "sizes", "data", "n"],
                 )
+                block += 1
                 at += len(lists)
 
-    return rows.mapInArrow(run, "did long, n_tokens long, ids array<int>").withColumnRenamed("did", id_col)
+    return cut(rows.mapInArrow(run, "block long, dids array<long>, counts array<int>, codes binary, sizes binary, data binary, n long"))
+
+
+def _dealt(blocks: DataFrame, buckets: int) -> DataFrame:
+    """The distinct words of each block, one row per bucket of their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words = _words(row["sizes"], row["data"])
+                bucket = np.fromiter(map(crc32, words), np.int64, len(words)) % buckets
+                order = np.argsort(bucket, kind="stable")
+                edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets)).tolist()
+                out = []
+                for a, b in zip(edges, edges[1:], strict=False):
+                    own = [words[i] for i in order[a:b].tolist()]
+                    out.append((int(bucket[order[a]]), _press(order[a:b]), _press(np.fromiter(map(len, own), np.int64, b - a)), _press(b"".join(own))))
+                types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([columns[0], pa.array([row["block"]] * len(out), pa.int64()), *columns[1:]], names=["bucket", "block", "codes", "sizes", "data"])
+
+    return blocks.select("block", "sizes", "data").mapInArrow(run, "bucket int, block long, codes binary, sizes binary, data binary")
+
+
+def _coded(dealt: DataFrame, buckets: int, tokenizer_path: str) -> DataFrame:
+    """The ids of the words of each row, every distinct word of a bucket encoded once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _tokenizer(tokenizer_path)
+        known: dict[bytes, bytes] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                words = _words(row["sizes"], row["data"])
+                new = [w for w in words if w not in known]
+                if len(known) + len(new) > _WORDS_HELD:
+                    known.clear()
+                    new = words
+                made = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+                known.update((w, array("i", e.ids).tobytes()) for w, e in zip(new, made, strict=True))
+                ids = [known[w] for w in words]
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                packed = [row["codes"], _press(sizes), _press(np.frombuffer(b"".join(ids), np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), *(pa.array([x], pa.binary()) for x in packed)], names=["block", "codes", "sizes", "data"])
+
+    return dealt.repartition(buckets, "bucket").select("block", "codes", "sizes", "data").mapInArrow(run, "block long, codes binary, sizes binary, data binary")
+
+
+def _assembled(row: dict, tables: list[dict]) -> pa.RecordBatch:
+    """The documents of a block, with the ids of their words in place."""
+    codes = [_integers(t["codes"]) for t in tables]
+    sizes = [_integers(t["sizes"]).astype(np.int64) for t in tables]
+    flat = np.concatenate([np.zeros(0, np.int32), *(_integers(t["data"]) for t in tables)])
+    where, each = np.concatenate(codes), np.concatenate(sizes)
+    size, start = np.zeros(len(where), np.int64), np.zeros(len(where), np.int64)
+    size[where] = each
+    start[where] = np.cumsum(each) - each
+    code = _integers(row["codes"])
+    n = size[code]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    ids = flat[np.repeat(start[code] - ends[:-1], n) + np.arange(ends[-1])]
+    bounds = ends[np.concatenate([[0], np.cumsum(row["counts"])]).astype(np.int64)]
+    lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(row["dids"], pa.int64()), pa.array(np.diff(bounds)), lists], names=["did", "n_tokens", "ids"])
+
+
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, n_tokens and ids (array), as the whole text's encoding without added special tokens.
+
+    Null and empty texts have no ids; repeated rows and null ids are kept as
+    they are; other columns of docs are ignored; an empty table gives no rows.
+    """
+    words = F.split(F.coalesce(F.col(text_col), F.lit("")), BOUNDARY, -1)
+    blocks = _blocks(docs.select(F.col(id_col).cast("long").alias("did"), words.alias("words")))
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    buckets = min(_MOST_BUCKETS, 1 + total // _WORDS_A_BUCKET)
+    coded = _coded(_dealt(blocks, buckets), buckets, tokenizer_path).withColumns({"kind": F.lit(0), "dids": F.lit(None).cast("array<long>"), "counts": F.lit(None).cast("array<int>")})
+    placed = blocks.select("block", "codes", "dids", "counts").withColumns({"kind": F.lit(1), "sizes": F.lit(None).cast("binary"), "data": F.lit(None).cast("binary")})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: list[dict] = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["kind"] == 0:
+                    tables.append(row)
+                else:  # the block's last row
+                    yield _assembled(row, tables)
+                    tables = []
+
+    both = coded.unionByName(placed).repartition("block").sortWithinPartitions("block", "kind")
+    return both.mapInArrow(run, "did long, n_tokens long, ids array<int>").withColumnRenamed("did", id_col)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFrame:
