@@ -2,7 +2,7 @@
 
 Spark splits each text before every run of white space that follows another
 character; byte-level BPE never merges across such a place, whatever stands on
-either side. The texts are written once as blocks of about a million words: the
+either side. The texts are written once as blocks of about four million words: the
 block's distinct words, and the place of every word among them. The distinct
 words of all blocks are dealt into buckets by their hash, each bucket encodes a
 word the first time it meets it, and the ids go back to the block and the place
@@ -31,10 +31,10 @@ from weft.llm.frames import cut, table
 #: Before ASCII white space that follows a character which no definition counts as white space.
 BOUNDARY = r"(?<=[^\s\x1C-\x1F\x85\p{Z}\p{Cf}])(?=[\x20\x09-\x0D])"
 _WORDS_AT_ONCE = 1 << 20
+_BLOCK_WORDS = 1 << 22  # the larger the block, the fewer words come in several
 _WORDS_A_BUCKET = 1 << 18  # of all blocks together, while there are fewer than _MOST_BUCKETS
 _MOST_BUCKETS = 1 << 15
 _WORDS_HELD = 1 << 20  # a bucket of more distinct words forgets and encodes again
-_PIECES = "block long, kind int, codes binary, sizes binary, data binary, dids array<long>, counts array<int>"
 
 
 @functools.lru_cache(maxsize=2)
@@ -72,7 +72,7 @@ def _word_lists(column: pa.Array, limit: int = _WORDS_AT_ONCE) -> Iterator[pa.Ar
 def _press(values: np.ndarray | bytes) -> bytes:
     """Length and zstd frame of bytes, or of 32-bit integers with their low bytes first, then the next, and so on."""
     raw = values if isinstance(values, bytes) else np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
-    return len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+    return len(raw).to_bytes(8, "little") + (pa.Codec("zstd", 5).compress(raw, asbytes=True) if raw else b"")
 
 
 def _loosen(z: bytes) -> bytes:
@@ -96,7 +96,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             at = 0
-            for lists in _word_lists(batch.column(1)):
+            for lists in _word_lists(batch.column(1), _BLOCK_WORDS):
                 offsets = np.asarray(lists.offsets).astype(np.int64)
                 coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
                 words = coded.dictionary.cast(pa.large_binary())
@@ -129,7 +129,7 @@ def _dealt(blocks: DataFrame, buckets: int) -> DataFrame:
                 out = []
                 for a, b in zip(edges, edges[1:], strict=False):
                     own = [words[i] for i in order[a:b].tolist()]
-                    out.append((int(bucket[order[a]]), _press(order[a:b]), _press(np.fromiter(map(len, own), np.int64, b - a)), _press(b"".join(own))))
+                    out.append((int(bucket[order[a]]), _press(np.diff(order[a:b], prepend=0)), _press(np.fromiter(map(len, own), np.int64, b - a)), _press(b"".join(own))))
                 types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
                 columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([columns[0], pa.array([row["block"]] * len(out), pa.int64()), *columns[1:]], names=["bucket", "block", "codes", "sizes", "data"])
@@ -162,7 +162,7 @@ def _coded(dealt: DataFrame, buckets: int, tokenizer_path: str) -> DataFrame:
 
 def _assembled(row: dict, tables: list[dict]) -> pa.RecordBatch:
     """The documents of a block, with the ids of their words in place."""
-    codes = [_integers(t["codes"]) for t in tables]
+    codes = [np.cumsum(_integers(t["codes"]), dtype=np.int64) for t in tables]  # kept as steps
     sizes = [_integers(t["sizes"]).astype(np.int64) for t in tables]
     flat = np.concatenate([np.zeros(0, np.int32), *(_integers(t["data"]) for t in tables)])
     where, each = np.concatenate(codes), np.concatenate(sizes)
