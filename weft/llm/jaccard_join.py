@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import kernels as K
-from weft.llm.filters import may_match
+from weft.llm.filters import FILTER_WORDS, may_match
 from weft.llm.frames import NULL_ID, cut, table
 from weft.llm.phrases import by_trigger, keyed
 from weft.operators.components import connected_components
@@ -37,6 +37,7 @@ from weft.operators.components import connected_components
 SPARE = 2  # fragments beyond D + 1: so many may be empty on both sides
 COUNT_FRAGMENTS = 16  # of the exact count
 MOST_PER_NODE = 16  # pairs a bucket proposes at once; the others wait for later rounds
+MOST_SIFTED = 16 * FILTER_WORDS  # documents for which the filter alone suffices: a quarter of the others pass it at most
 _GROWTH = 1.5  # of the size classes
 
 
@@ -271,7 +272,10 @@ def _verify(pairs: DataFrame, rows: DataFrame, described: DataFrame, n: int, num
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["node", "f", "grams"])
 
     wanted = holders.select("did").distinct()
-    fetched = may_match(rows.select("did", "text"), wanted, "did").join(wanted, "did", "left_semi").select("text").mapInArrow(pieces, "node long, f int, grams array<long>")
+    texts = may_match(rows.select("did", "text"), wanted, "did")
+    if wanted.count() > MOST_SIFTED:  # the filter lets too many pass: texts move once to be joined
+        texts = texts.join(wanted, "did", "left_semi")
+    fetched = texts.select("text").mapInArrow(pieces, "node long, f int, grams array<long>")  # the join on node drops what the filter let pass
     fetched = cut(fetched.join(holders.select("node"), "node", "left_semi").dropDuplicates(["node", "f"]))
     left = pairs.join(fetched.withColumnsRenamed({"node": "a", "grams": "x"}), "a")
     both = left.join(fetched.withColumnsRenamed({"node": "b", "grams": "y"}), ["b", "f"])
