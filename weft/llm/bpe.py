@@ -2,11 +2,14 @@
 
 Spark splits each text before every run of white space that follows another
 character; byte-level BPE never merges across such a place, whatever stands on
-either side. The texts are written once as blocks of about four million words: the
-block's distinct words, and the place of every word among them. The distinct
+either side. A block is about a million words of some documents: its distinct
+words, and the place of every word among them. The distinct
 words of all blocks are dealt into buckets by their hash, each bucket encodes a
 word the first time it meets it, and the ids go back to the block and the place
-that they came from, where they are joined by position. Decoding looks every id
+that they came from, where they are joined by position. Texts are cut into blocks
+twice, for the words and for their places, which moves less than to store them;
+a block's key covers its words, so that input that differs between the two reads
+ends in an error and not in other ids. Decoding looks every id
 up in the id-to-piece table and concatenates the bytes.
 
 No row holds more than a block, and no bucket more words at once than
@@ -18,22 +21,19 @@ from __future__ import annotations
 import functools
 from array import array
 from collections.abc import Iterator
+from hashlib import blake2b
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.frames import cut, table
+from weft.llm.frames import table
 
 #: Before ASCII white space that follows a character which no definition counts as white space.
 BOUNDARY = r"(?<=[^\s\x1C-\x1F\x85\p{Z}\p{Cf}])(?=[\x20\x09-\x0D])"
 _WORDS_AT_ONCE = 1 << 20
-_BLOCK_WORDS = 1 << 22  # the larger the block, the fewer words come in several
-_WORDS_A_BUCKET = 1 << 18  # of all blocks together, while there are fewer than _MOST_BUCKETS
-_MOST_BUCKETS = 1 << 15
 _WORDS_HELD = 1 << 20  # a bucket of more distinct words forgets and encodes again
 
 
@@ -93,10 +93,9 @@ def _blocks(rows: DataFrame) -> DataFrame:
     """One row per block: its documents, the code of every word in order, and its distinct words by code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
         for batch in batches:
             at = 0
-            for lists in _word_lists(batch.column(1), _BLOCK_WORDS):
+            for lists in _word_lists(batch.column(1)):
                 offsets = np.asarray(lists.offsets).astype(np.int64)
                 coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
                 words = coded.dictionary.cast(pa.large_binary())
@@ -106,14 +105,14 @@ def _blocks(rows: DataFrame) -> DataFrame:
                 dids = pa.ListArray.from_arrays(whole, batch.column(0).slice(at, len(lists)))
                 counts = pa.ListArray.from_arrays(whole, pa.array(np.diff(offsets).astype(np.int32)))
                 own = data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes() if data is not None and ends[-1] > ends[0] else b""
+                key = blake2b(f"{batch.column(2)[at]} {crc32(own)}".encode(), digest_size=8).digest()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), dids, counts, *(pa.array([_press(x)], pa.binary()) for x in (np.asarray(coded.indices), np.diff(ends), own)), pa.array([len(words)], pa.int64())],
-                    names=["block", "dids", "counts", "codes", "sizes", "data", "n"],
+                    [pa.array([int.from_bytes(key, "little", signed=True)]), dids, counts, *(pa.array([_press(x)], pa.binary()) for x in (np.asarray(coded.indices), np.diff(ends), own))],
+                    names=["block", "dids", "counts", "codes", "sizes", "data"],
                 )
-                block += 1
                 at += len(lists)
 
-    return cut(rows.mapInArrow(run, "block long, dids array<long>, counts array<int>, codes binary, sizes binary, data binary, n long"))
+    return rows.mapInArrow(run, "block long, dids array<long>, counts array<int>, codes binary, sizes binary, data binary")
 
 
 def _dealt(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -165,11 +164,13 @@ def _assembled(row: dict, tables: list[dict]) -> pa.RecordBatch:
     codes = [np.cumsum(_integers(t["codes"]), dtype=np.int64) for t in tables]  # kept as steps
     sizes = [_integers(t["sizes"]).astype(np.int64) for t in tables]
     flat = np.concatenate([np.zeros(0, np.int32), *(_integers(t["data"]) for t in tables)])
-    where, each = np.concatenate(codes), np.concatenate(sizes)
+    where, each = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (codes, sizes))
     size, start = np.zeros(len(where), np.int64), np.zeros(len(where), np.int64)
     size[where] = each
     start[where] = np.cumsum(each) - each
     code = _integers(row["codes"])
+    if len(where) != int(code.max(initial=-1)) + 1:
+        raise ValueError("the documents differ between two reads; write them as a table first")
     n = size[code]
     ends = np.concatenate([[0], np.cumsum(n)])
     ids = flat[np.repeat(start[code] - ends[:-1], n) + np.arange(ends[-1])]
@@ -185,9 +186,8 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     they are; other columns of docs are ignored; an empty table gives no rows.
     """
     words = F.split(F.coalesce(F.col(text_col), F.lit("")), BOUNDARY, -1)
-    blocks = _blocks(docs.select(F.col(id_col).cast("long").alias("did"), words.alias("words")))
-    total = blocks.agg(F.sum("n")).first()[0] or 0
-    buckets = min(_MOST_BUCKETS, 1 + total // _WORDS_A_BUCKET)
+    blocks = _blocks(docs.select(F.col(id_col).cast("long").alias("did"), words.alias("words"), F.monotonically_increasing_id().alias("row")))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     coded = _coded(_dealt(blocks, buckets), buckets, tokenizer_path).withColumns({"kind": F.lit(0), "dids": F.lit(None).cast("array<long>"), "counts": F.lit(None).cast("array<int>")})
     placed = blocks.select("block", "codes", "dids", "counts").withColumns({"kind": F.lit(1), "sizes": F.lit(None).cast("binary"), "data": F.lit(None).cast("binary")})
 
