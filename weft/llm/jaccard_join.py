@@ -12,9 +12,9 @@ ranges, and every step works on fragments of sets:
   forest. Later rounds propose the few admitted pairs that are left between
   components, or again a forest where they are more than MOST_PER_NODE a node.
 * Proposed pairs are counted exactly: overlaps fragment by fragment, summed per
-  pair. Links join components; refuted pairs are not proposed again. Rounds end
-  when no bucket has an untried pair left that could join two components, so
-  the components are those of all links.
+  pair. Links join components; refuted pairs are not proposed again. Later rounds only
+  see buckets that may have untried pairs left. Rounds end when none could join
+  two components, so the components are those of all links.
 
 Sets that are equal are one node throughout, however many documents have them.
 """
@@ -36,6 +36,7 @@ from weft.operators.components import connected_components
 
 SPARE = 2  # fragments beyond D + 1: so many may be empty on both sides
 COUNT_FRAGMENTS = 16  # of the exact count
+SKETCH_BITS = 2  # least bits of a parity sketch per element; more only sharpen the bound
 MOST_PER_NODE = 16  # pairs a bucket proposes at once; the others wait for later rounds
 MOST_SIFTED = 16 * FILTER_WORDS  # documents for which the filter alone suffices: a quarter of the others pass it at most
 _GROWTH = 1.5  # of the size classes
@@ -87,8 +88,8 @@ def _totals(sets: list[np.ndarray], salt: int) -> np.ndarray:
 
 
 def parity_sketch(s: np.ndarray) -> bytes:
-    """A bit for each of at least 4 |s| classes of elements: whether s holds an odd number of the class."""
-    bits = 1 << max(6, int(4 * len(s) - 1).bit_length())
+    """A bit for each of at least SKETCH_BITS |s| classes of elements: whether s holds an odd number of the class."""
+    bits = 1 << max(6, int(SKETCH_BITS * len(s) - 1).bit_length())
     odd = np.bincount((K.mix(s, K._MIX_C) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -179,8 +180,15 @@ def _buckets(keys: DataFrame) -> DataFrame:
     return sorted_keys.mapInArrow(lambda it: by_trigger(it, "key", group), "bucket long, node long").distinct()
 
 
-def _propose(buckets: DataFrame, state: DataFrame, num: int, den: int, first: bool) -> DataFrame:
-    """(a, b): pairs of each bucket that the sketches admit and that would join two components."""
+def _propose(buckets: DataFrame, known: DataFrame, state: DataFrame, num: int, den: int, first: bool) -> DataFrame:
+    """(a, b): pairs of each bucket that the sketches admit and that would join two components; (null, bucket): buckets to see again.
+
+    A bucket is done when all pairs that it admits are tried or proposed. The
+    sketches only travel to buckets that hold two components: at first all do.
+    """
+    if not first:
+        of = buckets.join(state.select("node", "comp"), "node").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        buckets = cut(buckets.join(of.where("lo <> hi").select("bucket"), "bucket", "left_semi"))
 
     def forest(t: pa.Table) -> pa.Table | None:
         bucket, node, comp, n = (t.column(c).to_numpy() for c in ("bucket", "node", "comp", "n"))
@@ -192,10 +200,14 @@ def _propose(buckets: DataFrame, state: DataFrame, num: int, den: int, first: bo
                 bad = [set(x) if x else None for x in refuted.slice(i, j - i).to_pylist()]
                 given = (node[i:j], comp[i:j], n[i:j], fold(sketch.slice(i, j - i).to_pylist()), bad, num, den)
                 pairs = None if first else bucket_pairs(*given)
-                out.extend(bucket_forest(*given) if pairs is None else pairs)
+                if pairs is None:
+                    pairs = bucket_forest(*given)
+                    if pairs and j - i > 2:
+                        out.append((None, int(bucket[i])))
+                out.extend(pairs)
         return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"]) if out else None
 
-    rows = buckets.join(state, "node").select("bucket", "node", "comp", "n", "sketch", "refuted")
+    rows = buckets.join(state, "node").join(known, "node").select("bucket", "node", "comp", "n", "sketch", "refuted")
     rows = rows.repartition("bucket").sortWithinPartitions("bucket", "n", "node")
     return rows.mapInArrow(lambda it: by_trigger(it, "bucket", forest), "a long, b long").distinct()
 
@@ -308,13 +320,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     refuted = known.select("node", F.expr("cast(null as array<long>)").alias("refuted")).limit(0)
     tried = None
     while True:
-        state = cut(known.join(comps, "node").join(refuted, "node", "left"))
-        pairs = cut(_propose(buckets, state, num, den, tried is None))
+        state = cut(comps.join(refuted, "node", "left"))
+        proposed = cut(_propose(buckets, known, state, num, den, tried is None))
+        pairs = proposed.where("a is not null")
         if pairs.isEmpty():
             break
         result = cut(_verify(pairs, rows, described, n, num, den))
         tried = cut(result) if tried is None else cut(tried.unionByName(result))
         links = tried.where("linked")
+        again = proposed.where("a is null").select(F.col("b").alias("bucket"))
+        buckets = cut(buckets.join(again, "bucket", "left_semi"))
         joined = connected_components(links, "a", "b").withColumnsRenamed({"component": "comp"})
         comps = cut(known.select("node").join(joined, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
         no = tried.where("not linked")
