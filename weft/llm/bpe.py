@@ -19,6 +19,7 @@ _WORDS_HELD, whatever words are frequent: a word comes once a block.
 from __future__ import annotations
 
 import functools
+import os
 from array import array
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -34,11 +35,13 @@ from weft.llm.frames import table
 #: Before ASCII white space that follows a character which no definition counts as white space.
 BOUNDARY = r"(?<=[^\s\x1C-\x1F\x85\p{Z}\p{Cf}])(?=[\x20\x09-\x0D])"
 _WORDS_AT_ONCE = 1 << 20
+_WORDS_ENCODED = 1 << 12  # at once: an encoding takes far more room than its ids
 _WORDS_HELD = 1 << 20  # a bucket of more distinct words forgets and encodes again
 
 
 @functools.lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads of its own would each keep memory
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
@@ -89,51 +92,58 @@ def _words(sizes: bytes, data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per block: its documents, the code of every word in order, and its distinct words by code."""
+    for batch in batches:
+        at = 0
+        for lists in _word_lists(batch.column(1)):
+            offsets = np.asarray(lists.offsets).astype(np.int64)
+            coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+            words = coded.dictionary.cast(pa.large_binary())
+            ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
+            data = words.buffers()[2]
+            whole = pa.array([0, len(lists)], pa.int32())
+            dids = pa.ListArray.from_arrays(whole, batch.column(0).slice(at, len(lists)))
+            counts = pa.ListArray.from_arrays(whole, pa.array(np.diff(offsets).astype(np.int32)))
+            own = data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes() if data is not None and ends[-1] > ends[0] else b""
+            key = blake2b(f"{batch.column(2)[at]} {crc32(own)}".encode(), digest_size=8).digest()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int.from_bytes(key, "little", signed=True)]), dids, counts, *(pa.array([_press(x)], pa.binary()) for x in (np.asarray(coded.indices), np.diff(ends), own))],
+                names=["block", "dids", "counts", "codes", "sizes", "data"],
+            )
+            at += len(lists)
+
+
+def _deal(blocks: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each block, one row per bucket of their hash."""
+    for batch in blocks:
+        for row in batch.select(["block", "sizes", "data"]).to_pylist():
+            words = _words(row["sizes"], row["data"])
+            bucket = np.fromiter(map(crc32, words), np.int64, len(words)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets)).tolist()
+            out = []
+            for a, b in zip(edges, edges[1:], strict=False):
+                own = [words[i] for i in order[a:b].tolist()]
+                out.append((int(bucket[order[a]]), _press(np.diff(order[a:b], prepend=0)), _press(np.fromiter(map(len, own), np.int64, b - a)), _press(b"".join(own))))
+            types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([columns[0], pa.array([row["block"]] * len(out), pa.int64()), *columns[1:]], names=["bucket", "block", "codes", "sizes", "data"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for lists in _word_lists(batch.column(1)):
-                offsets = np.asarray(lists.offsets).astype(np.int64)
-                coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-                words = coded.dictionary.cast(pa.large_binary())
-                ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
-                data = words.buffers()[2]
-                whole = pa.array([0, len(lists)], pa.int32())
-                dids = pa.ListArray.from_arrays(whole, batch.column(0).slice(at, len(lists)))
-                counts = pa.ListArray.from_arrays(whole, pa.array(np.diff(offsets).astype(np.int32)))
-                own = data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes() if data is not None and ends[-1] > ends[0] else b""
-                key = blake2b(f"{batch.column(2)[at]} {crc32(own)}".encode(), digest_size=8).digest()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int.from_bytes(key, "little", signed=True)]), dids, counts, *(pa.array([_press(x)], pa.binary()) for x in (np.asarray(coded.indices), np.diff(ends), own))],
-                    names=["block", "dids", "counts", "codes", "sizes", "data"],
-                )
-                at += len(lists)
 
-    return rows.mapInArrow(run, "block long, dids array<long>, counts array<int>, codes binary, sizes binary, data binary")
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """Blocks cut and dealt in one worker a task."""
+    return rows.mapInArrow(lambda it: _deal(_cut_blocks(it), buckets), "bucket int, block long, codes binary, sizes binary, data binary")
 
 
-def _dealt(blocks: DataFrame, buckets: int) -> DataFrame:
-    """The distinct words of each block, one row per bucket of their hash."""
+def _placed(rows: DataFrame) -> DataFrame:
+    """The documents of each block and the places of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                words = _words(row["sizes"], row["data"])
-                bucket = np.fromiter(map(crc32, words), np.int64, len(words)) % buckets
-                order = np.argsort(bucket, kind="stable")
-                edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets)).tolist()
-                out = []
-                for a, b in zip(edges, edges[1:], strict=False):
-                    own = [words[i] for i in order[a:b].tolist()]
-                    out.append((int(bucket[order[a]]), _press(np.diff(order[a:b], prepend=0)), _press(np.fromiter(map(len, own), np.int64, b - a)), _press(b"".join(own))))
-                types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-                columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([columns[0], pa.array([row["block"]] * len(out), pa.int64()), *columns[1:]], names=["bucket", "block", "codes", "sizes", "data"])
+        for block in _cut_blocks(batches):
+            yield block.select(["block", "codes", "dids", "counts"])
 
-    return blocks.select("block", "sizes", "data").mapInArrow(run, "bucket int, block long, codes binary, sizes binary, data binary")
+    return rows.mapInArrow(run, "block long, codes binary, dids array<long>, counts array<int>")
 
 
 def _coded(dealt: DataFrame, buckets: int, tokenizer_path: str) -> DataFrame:
@@ -149,8 +159,10 @@ def _coded(dealt: DataFrame, buckets: int, tokenizer_path: str) -> DataFrame:
                 if len(known) + len(new) > _WORDS_HELD:
                     known.clear()
                     new = words
-                made = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-                known.update((w, array("i", e.ids).tobytes()) for w, e in zip(new, made, strict=True))
+                for k in range(0, len(new), _WORDS_ENCODED):
+                    part = new[k : k + _WORDS_ENCODED]
+                    made = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+                    known.update((w, array("i", e.ids).tobytes()) for w, e in zip(part, made, strict=True))
                 ids = [known[w] for w in words]
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
                 packed = [row["codes"], _press(sizes), _press(np.frombuffer(b"".join(ids), np.int32))]
@@ -186,10 +198,10 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     they are; other columns of docs are ignored; an empty table gives no rows.
     """
     words = F.split(F.coalesce(F.col(text_col), F.lit("")), BOUNDARY, -1)
-    blocks = _blocks(docs.select(F.col(id_col).cast("long").alias("did"), words.alias("words"), F.monotonically_increasing_id().alias("row")))
+    rows = docs.select(F.col(id_col).cast("long").alias("did"), words.alias("words"), F.monotonically_increasing_id().alias("row"))
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    coded = _coded(_dealt(blocks, buckets), buckets, tokenizer_path).withColumns({"kind": F.lit(0), "dids": F.lit(None).cast("array<long>"), "counts": F.lit(None).cast("array<int>")})
-    placed = blocks.select("block", "codes", "dids", "counts").withColumns({"kind": F.lit(1), "sizes": F.lit(None).cast("binary"), "data": F.lit(None).cast("binary")})
+    coded = _coded(_dealt(rows, buckets), buckets, tokenizer_path).withColumns({"kind": F.lit(0), "dids": F.lit(None).cast("array<long>"), "counts": F.lit(None).cast("array<int>")})
+    placed = _placed(rows).withColumns({"kind": F.lit(1), "sizes": F.lit(None).cast("binary"), "data": F.lit(None).cast("binary")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: list[dict] = []
