@@ -35,6 +35,7 @@ from weft.llm.frames import table
 #: Before ASCII white space that follows a character which no definition counts as white space.
 BOUNDARY = r"(?<=[^\s\x1C-\x1F\x85\p{Z}\p{Cf}])(?=[\x20\x09-\x0D])"
 _WORDS_AT_ONCE = 1 << 20
+_WORDS_PLACED = 1 << 17  # put into documents, or decoded, at once
 _WORDS_ENCODED = 1 << 12  # at once: an encoding takes far more room than its ids
 _WORDS_HELD = 1 << 20  # a bucket of more distinct words forgets and encodes again
 
@@ -112,6 +113,7 @@ def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["block", "dids", "counts", "codes", "sizes", "data"],
             )
             at += len(lists)
+        pa.default_memory_pool().release_unused()
 
 
 def _deal(blocks: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -171,24 +173,32 @@ def _coded(dealt: DataFrame, buckets: int, tokenizer_path: str) -> DataFrame:
     return dealt.repartition(buckets, "bucket").select("block", "codes", "sizes", "data").mapInArrow(run, "block long, codes binary, sizes binary, data binary")
 
 
-def _assembled(row: dict, tables: list[dict]) -> pa.RecordBatch:
-    """The documents of a block, with the ids of their words in place."""
-    codes = [np.cumsum(_integers(t["codes"]), dtype=np.int64) for t in tables]  # kept as steps
-    sizes = [_integers(t["sizes"]).astype(np.int64) for t in tables]
+def _assembled(row: dict, tables: list[dict]) -> Iterator[pa.RecordBatch]:
+    """The documents of a block, with the ids of their words in place, some documents at a time."""
+    codes = [np.cumsum(_integers(t["codes"]), dtype=np.int32) for t in tables]  # kept as steps
+    sizes = [_integers(t["sizes"]) for t in tables]
     flat = np.concatenate([np.zeros(0, np.int32), *(_integers(t["data"]) for t in tables)])
-    where, each = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (codes, sizes))
-    size, start = np.zeros(len(where), np.int64), np.zeros(len(where), np.int64)
+    tables.clear()
+    where, each = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (codes, sizes))
+    size, start = np.zeros(len(where), np.int32), np.zeros(len(where), np.int64)
     size[where] = each
-    start[where] = np.cumsum(each) - each
+    start[where] = np.cumsum(each, dtype=np.int64) - each
     code = _integers(row["codes"])
     if len(where) != int(code.max(initial=-1)) + 1:
         raise ValueError("the documents differ between two reads; write them as a table first")
-    n = size[code]
-    ends = np.concatenate([[0], np.cumsum(n)])
-    ids = flat[np.repeat(start[code] - ends[:-1], n) + np.arange(ends[-1])]
-    bounds = ends[np.concatenate([[0], np.cumsum(row["counts"])]).astype(np.int64)]
-    lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(row["dids"], pa.int64()), pa.array(np.diff(bounds)), lists], names=["did", "n_tokens", "ids"])
+    dids = pa.array(row["dids"], pa.int64())
+    first = np.concatenate([[0], np.cumsum(row["counts"], dtype=np.int64)])
+    i = 0
+    while i < len(dids):
+        j = max(i + 1, int(np.searchsorted(first, first[i] + _WORDS_PLACED, "right")) - 1)
+        part = code[first[i] : first[j]]
+        n = size[part]
+        ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        ids = flat[np.repeat(start[part] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[first[i : j + 1] - first[i]]
+        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+        yield pa.RecordBatch.from_arrays([dids.slice(i, j - i), pa.array(np.diff(bounds)), lists], names=["did", "n_tokens", "ids"])
+        i = j
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,8 +221,8 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                 if row["kind"] == 0:
                     tables.append(row)
                 else:  # the block's last row
-                    yield _assembled(row, tables)
-                    tables = []
+                    yield from _assembled(row, tables)
+                    pa.default_memory_pool().release_unused()
 
     both = coded.unionByName(placed).repartition("block").sortWithinPartitions("block", "kind")
     return both.mapInArrow(run, "did long, n_tokens long, ids array<int>").withColumnRenamed("did", id_col)
@@ -228,7 +238,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> Dat
         table = pieces(tokenizer_path)
         for batch in batches:
             at = 0
-            for lists in _word_lists(batch.column(where)):
+            for lists in _word_lists(batch.column(where), _WORDS_PLACED):
                 offsets = np.asarray(lists.offsets).astype(np.int64)
                 found = table.take(lists.values.slice(offsets[0], offsets[-1] - offsets[0]))
                 ends = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1, found.offset * 8)[offsets - offsets[0]]
@@ -238,6 +248,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> Dat
                 part = batch.slice(at, len(lists))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*names, "text"])
                 at += len(lists)
+            pa.default_memory_pool().release_unused()
 
     return encoded.select(*names).mapInArrow(run, schema)
 
