@@ -235,3 +235,14 @@ def test_empty_tables(spark):
         langid.identify(docs, langid.fit(docs)), licences.scan(docs), mixing.mix(docs), fingerprint.fingerprints(docs), html_text.main_text(pages),
     ):
         assert out.collect() == []
+
+
+def _texts(spark, pages, parts=3):
+    return {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(parts)).collect()}
+
+
+def test_html_text_keeps_undecided_blocks_beside_marked_ones(spark):
+    notice = "<div>Subscribe to all the news of this fine house today</div><div>Short foot</div>"
+    body = ["ships that sail by night", "mountains and all their snow", "rivers as they run to the sea"]
+    pages = [(i, "http://h.org/x", f"<h1 class='article-title'>T{i}</h1><div><p>The whole body is about {t}.</p></div>{notice}") for i, t in enumerate(body)]
+    assert _texts(spark, pages) == {i: f"T{i} The whole body is about {t}." for i, t in enumerate(body)}

@@ -2,17 +2,20 @@
 
 Each page is cut into blocks. Blocks of an article or main element are text by
 markup; navigation, forms, adverts, notices and comments are boilerplate by
-markup; the rest is undecided. The token streams of all blocks outside articles
-are concatenated per host, and suffix arrays over them, one per trigger of the
-host's prefix-free parse, find the long substrings that several pages repeat.
-A page without an article keeps the unique runs of its undecided blocks.
-Articles are exempt: a page that copies another's article still has that text.
+markup; the rest is undecided. The token streams of all blocks of all pages are
+concatenated per host, and suffix arrays over them, one per trigger of the
+host's prefix-free parse, find the long substrings that half of the host's
+pages repeat. Undecided blocks keep what is not repeated. Blocks that are text
+by markup go only as a whole, and only if the host has five pages or more.
+Copies of a page count as one page, and a page of repeats alone keeps its text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +28,13 @@ from weft.llm.frames import NULL_ID, cut, row_id, table, text_key
 from weft.llm.phrases import by_trigger
 
 #: Bytes of a repeated substring at least, and of its trigger's slice.
-REPEAT_BYTES = 24
+REPEAT_BYTES = 48
 _ANCHOR_BYTES = 8
+#: Pages of a host that repeat a substring: one of so many, two pages at least; and so many before a block of marked text goes.
+HOST_SHARE = 2
+MARKED_PAGES = 3
+_SIEVE_BITS = 26
+_LOW = (1 << 40) - 1  # of a trigger, where triggers are only counted
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role|aria-label|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -121,69 +129,185 @@ def _kind(name: str, attributes: str, outer: str) -> str:
     return outer
 
 
+_KINDS = ("boilerplate", "undecided", "text")
+_PAGE = "did long, dh long, url string, hh long, mh long, kinds binary, z binary, size int"
+
+
 def _blocks(rows: DataFrame) -> DataFrame:
+    """The pages with their blocks as lines (zstd), the kinds of the lines and a hash of all lines but boilerplate."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
         for batch in batches:
-            texts, streams, undecided = [], [], []
+            streams, kinds, main = [], [], []
             for page in batch.column("html").to_pylist():
                 found = blocks(page or "")
-                text = [t for k, t in found if k == "text"]
-                texts.append(" ".join(text) if text else None)
-                streams.append("\n".join(t for k, t in found if k != "text"))
-                undecided.append(None if text else [k == "undecided" for k, t in found])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(texts, pa.string()), pa.array(streams, pa.string()), pa.array(undecided, pa.list_(pa.bool_()))], names=["did", "dh", "url", "host", "text", "stream", "undecided"])
+                streams.append("\n".join(t for _, t in found).encode("utf-8", "replace"))
+                kinds.append(bytes(_KINDS.index(k) for k, _ in found))
+                kept = "\n".join(t for k, t in found if k != "boilerplate").encode("utf-8", "replace")
+                main.append(int.from_bytes(hashlib.blake2b(kept, digest_size=8).digest(), "little", signed=True))
+            z = [codec.compress(x, asbytes=True) if x else b"" for x in streams]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:4], pa.array(main, pa.int64()), pa.array(kinds, pa.binary()), pa.array(z, pa.binary()), pa.array([len(x) for x in streams], pa.int32())],
+                names=["did", "dh", "url", "hh", "mh", "kinds", "z", "size"],
+            )
+
+    return rows.mapInArrow(run, _PAGE)
+
+
+def _streams(batch: pa.RecordBatch) -> list[bytes]:
+    return [pa.decompress(z, size, "zstd", asbytes=True) if size else b"" for z, size in zip(batch.column("z").to_pylist(), batch.column("size").to_pylist(), strict=True)]
+
+
+def _lines(stream: bytes, kinds: bytes, window: int, own: bytes) -> Iterator[tuple[int, int, bytes, int]]:
+    """(kind, start, line, place in the appendix or -1) of each block; see _laid_out."""
+    at, end = 0, len(stream)
+    for kind, line in zip(kinds, stream.split(b"\n") if kinds else [], strict=True):
+        short = kind == 1 and len(line) < window
+        yield kind, at, line, end + len(own) if short else -1
+        at += len(line) + 1
+        if short:
+            end += len(own) + window
+
+
+def _laid_out(stream: bytes, kinds: bytes, window: int, own: bytes) -> bytes:
+    """The stream and, as an appendix, its short undecided blocks filled up to a window each, set apart by what no other page has."""
+    short = [line for _, _, line, place in _lines(stream, kinds, window, own) if place >= 0]
+    return b"".join([stream, *(own + b"\0" + line + b"\0" * (window - 1 - len(line)) for line in short)])
+
+
+def _own(did: int, dh: int) -> bytes:
+    return b"\1%x %x\1" % (did & (1 << 64) - 1, dh & (1 << 64) - 1)
+
+
+def _parsed(batch: pa.RecordBatch, window: int) -> Iterator[tuple]:
+    """Of each chunk of pages: rows of the batch, triggers mixed with the host, and what K.anchored_runs and the chunk hold."""
+    keys = zip(_streams(batch), batch.column("kinds").to_pylist(), batch.column("did").to_pylist(), batch.column("dh").to_pylist(), strict=True)
+    laid = pa.array([_laid_out(x, kinds, window, _own(did, dh)) for x, kinds, did, dh in keys], pa.large_binary())
+    host = K.mix(np.asarray(batch.column("hh")).view(np.uint64))
+    data, offsets = K.text_buffer(laid)
+    for i, _, part, offs in K.document_chunks(data, offsets):
+        doc, a, n, m, c, whole = K.anchored_runs(K.byte_values(part), offs, window, _ANCHOR_BYTES)
+        if len(doc):
+            yield i + doc, a, n, K.mix(m.view(np.uint64) + host[i + doc]).view(np.int64), c, whole, offs[doc] + a, part
+
+
+def _first(doc: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which values are the first of their kind in their document."""
+    order = np.lexsort((x, doc))
+    new = np.ones(len(x), bool)
+    new[1:] = (x[order][1:] != x[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    out = np.zeros(len(x), bool)
+    out[order] = new
+    return out
 
-    return rows.mapInArrow(run, "did long, dh long, url string, host string, text string, stream string, undecided array<boolean>")
 
+def hot_triggers(pages: DataFrame, hosts: DataFrame, window: int) -> DataFrame:
+    """(hh, low, least) of the triggers, by _LOW bits, that may stand on as many pages of their host as a repeat needs, which is least.
 
-def repeated_on_host(streams: DataFrame, window: int = REPEAT_BYTES) -> DataFrame:
-    """(did, dh, spans) of `window`-byte strings that the streams of another page of the host hold too."""
+    Copies are told from one another only by whether all pages of a trigger are
+    copies, so some triggers here are too few; none is missing.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hh, mh = np.asarray(batch.column("hh")), np.asarray(batch.column("mh"))
+            for doc, _, _, m, *_ in _parsed(batch, window):
+                one = _first(doc, m)
+                doc = doc[one]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (m[one] & _LOW, hh[doc], mh[doc])], names=["low", "hh", "mh"])
+
+    found = pages.mapInArrow(count, "low long, hh long, mh long").groupBy("hh", "low")
+    counts = found.agg(F.count(F.lit(1)).alias("n"), F.min("mh").alias("a"), F.max("mh").alias("b")).where("n > 1 and a <> b").select("hh", "low", "n")
+    return counts.join(hosts, "hh").where("n >= least").select("hh", "low", "least")
+
+
+def _sieve(keys: DataFrame) -> np.ndarray:
+    """Bits of the values of a column of hashes: of fixed size, whatever their number; lets some others through."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None
+        for batch in batches:
+            if batch.num_rows:
+                bits = np.zeros(1 << _SIEVE_BITS, bool) if bits is None else bits
+                bits[np.asarray(batch.column(0)) & (1 << _SIEVE_BITS) - 1] = True
+        if bits is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["bits"])
+
+    out = np.zeros(1 << _SIEVE_BITS >> 3, np.uint8)
+    for r in keys.coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():
+        out |= np.frombuffer(zlib.decompress(r.bits), np.uint8)
+    return out
+
+
+def _passes(sieve: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    low = keys & (1 << _SIEVE_BITS) - 1
+    return (sieve[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def repeated_on_host(pages: DataFrame, window: int = REPEAT_BYTES) -> DataFrame:
+    """(did, dh, hh, spans, least) of the strings of `window` bytes or more that stand on `least` pages of the host.
+
+    Copies, that is pages of a host whose blocks but boilerplate are all the same, count as one page.
+    """
+    copies = cut(pages.groupBy("hh", "mh").agg(F.count(F.lit(1)).alias("copies")))
+    hosts = copies.groupBy("hh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hh", F.greatest(F.lit(2), F.ceil(F.col("n") / HOST_SHARE)).cast("int").alias("least"))
+    hot = cut(hot_triggers(pages, hosts, window))
+    shared = pages.sparkSession.sparkContext.broadcast(_sieve(hot.select("low")))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve = shared.value
         for batch in batches:
-            did, dh, host = (np.asarray(batch.column(i)) for i in range(3))
-            data, offsets = K.text_buffer(batch.column(3))
-            for i, _, part, offs in K.document_chunks(data, offsets):
-                doc, a, n, m, c, _ = K.anchored_runs(K.byte_values(part), offs, window, _ANCHOR_BYTES)
-                m = K.mix(m.view(np.uint64) + K.mix(host[i + doc].view(np.uint64))).view(np.int64)
+            did, dh, hh, mh = (np.asarray(batch.column(x)) for x in ("did", "dh", "hh", "mh"))
+            for doc, a, n, m, c, whole, begin, part in _parsed(batch, window):
+                on = _passes(sieve, m)
+                if not on.any():
+                    continue
+                doc, a, n, m, c, begin = (x[on] for x in (doc, a, n, m, c, begin))
+                ends = np.cumsum(n)
+                new = _first(np.repeat(doc, n), whole[np.repeat(begin - (ends - n), n) + np.arange(ends[-1])])
+                seen = [None if x.all() else x.astype(np.uint8).tobytes() for x in np.split(new, ends[:-1])]  # a window counts once a page
                 raw = part.tobytes()
-                begin = offs[doc] + a
                 body = [raw[x : x + y + window - 1] for x, y in zip(begin.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[i + doc], dh[i + doc], a.astype(np.int32), n.astype(np.int32), m, c)] + [pa.array(body, pa.binary())], names=["did", "dh", "a", "n", "m", "c", "body"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x) for x in (did[doc], dh[doc], hh[doc], mh[doc], a.astype(np.int32), m, m & _LOW, c)), pa.array(seen, pa.binary()), pa.array(body, pa.binary())],
+                    names=["did", "dh", "hh", "mh", "a", "m", "low", "c", "seen", "body"],
+                )
 
-    runs = cut(streams.select("did", "dh", F.xxhash64("host").alias("host"), "stream").mapInArrow(parse, "did long, dh long, a int, n int, m long, c long, body binary"))
-    phrases = runs.groupBy("m", "c").agg(F.min("did").alias("lo"), F.max("did").alias("hi"), F.min("body").alias("body"))
+    runs = pages.mapInArrow(parse, "did long, dh long, hh long, mh long, a int, m long, low long, c long, seen binary, body binary").join(hot, ["hh", "low"])
+    runs = cut(runs.join(copies.where("copies > 1"), ["hh", "mh"], "left").withColumn("pages", 1 / F.coalesce("copies", F.lit(1))).drop("mh", "low", "copies"))
+    phrases = runs.groupBy("m", "c", "seen").agg(F.sum("pages").alias("pages"), F.min("least").alias("least"), F.min("body").alias("body"))
 
     def mark(t: pa.Table) -> pa.Table:
-        m, c, lo, hi = (t.column(x).to_numpy() for x in ("m", "c", "lo", "hi"))
-        body = t.column("body").to_pylist()
-        out: list[tuple] = []
+        m, c, pages, least = (t.column(x).to_numpy() for x in ("m", "c", "pages", "least"))
+        body, seen = (t.column(x).to_pylist() for x in ("body", "seen"))
+        out: dict[tuple[int, int], tuple] = {}
         edge = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1], [True]])).tolist()
         for i, j in zip(edge, edge[1:], strict=False):
-            if lo[i:j].min() == hi[i:j].max():
-                continue
-            for k, flags in zip(range(i, j), suffixes_on_pages(body[i:j], lo[i:j], hi[i:j], window), strict=True):
+            weights = [pages[k] * (np.frombuffer(seen[k], np.uint8) if seen[k] else np.ones(len(body[k]) - window + 1)) for k in range(i, j)]
+            for k, flags in zip(range(i, j), suffixes_on_pages(body[i:j], weights, int(least[i]), window), strict=True):
                 s, e = K.runs_of(flags)
                 if len(s):
-                    out.append((int(m[k]), int(c[k]), s.tolist(), (e + window - 1).tolist()))
+                    out[int(m[k]), int(c[k])] = (s.tolist(), (e + window - 1).tolist())
+        rows = [(*key, *x) for key, x in out.items()]
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        return pa.table([pa.array([x[f] for x in out], kind) for f, kind in enumerate(kinds)], names=["m", "c", "s", "e"])
+        return pa.table([pa.array([x[f] for x in rows], kind) for f, kind in enumerate(kinds)], names=["m", "c", "s", "e"])
 
     marks = cut(phrases.repartition("m").sortWithinPartitions("m").mapInArrow(lambda it: by_trigger(it, "m", mark), "m long, c long, s array<int>, e array<int>"))
-    spans = runs.select("did", "dh", "a", "m", "c").join(marks, ["m", "c"]).select("did", "dh", F.expr("transform(arrays_zip(s, e), x -> struct(x.s + a as start, x.e + a as end))").alias("spans"))
-    return spans.groupBy("did", "dh").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = runs.select("did", "dh", "hh", "least", "a", "m", "c").join(marks, ["m", "c"])
+    spans = spans.select("did", "dh", "hh", "least", F.expr("transform(arrays_zip(s, e), x -> struct(x.s + a as start, x.e + a as end))").alias("spans"))
+    return spans.groupBy("did", "dh", "hh").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.min("least").alias("least"))
 
 
-def suffixes_on_pages(phrases: list[bytes], lo: np.ndarray, hi: np.ndarray, window: int) -> list[np.ndarray]:
-    """Suffix array of a trigger's phrases, cut at window bytes: which suffixes stand on two pages at least."""
+def suffixes_on_pages(phrases: list[bytes], weights: list[np.ndarray], least: int, window: int) -> list[np.ndarray]:
+    """Suffix array of a trigger's phrases, cut at window bytes: which suffixes stand on `least` pages; weights are pages by suffix."""
     sizes = np.array([len(p) - window + 1 for p in phrases])
     suffixes = [p[j : j + window] for p, n in zip(phrases, sizes, strict=True) for j in range(n)]
     order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
     ranked = [suffixes[i] for i in order]
     first = np.fromiter((True, *(x != y for x, y in zip(ranked[1:], ranked, strict=False))), bool, len(ranked))
     order = np.array(order)
-    edge = np.flatnonzero(first)
-    shared = np.minimum.reduceat(np.repeat(lo, sizes)[order], edge) != np.maximum.reduceat(np.repeat(hi, sizes)[order], edge)
+    shared = np.add.reduceat(np.concatenate(weights)[order], np.flatnonzero(first)) > least - 0.5
     mark = np.zeros(len(order), bool)
     mark[order] = shared[np.cumsum(first) - 1]
     return np.split(mark, np.cumsum(sizes)[:-1])
@@ -197,33 +321,53 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Other columns are ignored; an empty table gives no rows.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[^/]*//([^/?#]*)", 1))
-    rows = pages.select(row_id(id_col).alias("did"), text_key(html_col).alias("dh"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
+    rows = pages.select(row_id(id_col).alias("did"), text_key(html_col).alias("dh"), F.col(url_col).alias("url"), F.xxhash64(host).alias("hh"), F.col(html_col).alias("html"))
     found = cut(_blocks(rows))
-    open_hosts = cut(found.where("text is null").select("host").distinct())  # hosts with pages that markup does not decide
-    spans = repeated_on_host(found.where("stream <> ''").join(open_hosts, "host", "left_semi"), window)
-    undecided = found.where("text is null").join(spans, ["did", "dh"], "left").select("did", "url", "stream", "undecided", "spans")
+    spans = cut(repeated_on_host(found, window))
 
-    def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shared = pages.sparkSession.sparkContext.broadcast(_sieve(spans.select("dh")))
+
+    def some(spanned: bool, columns: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(_passes(shared.value, np.asarray(batch.column("dh"))) == spanned)).select(columns)
+
+        return run
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for stream, flags, spans in zip(*(batch.column(c).to_pylist() for c in ("stream", "undecided", "spans")), strict=True):
-                raw = (stream or "").encode()
-                gone = np.zeros(len(raw), bool)
-                for s in spans or []:
-                    gone[s["start"] : s["end"]] = True
-                kept, at = [], 0
-                for flag, line in zip(flags or [], raw.split(b"\n") if raw else [], strict=False):
-                    if flag and (text := unique_words(line, gone[at : at + len(line)])):
-                        kept.append(text)
-                    at += len(line) + 1
-                texts.append(" ".join(kept))
-            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("url"), pa.array(texts, pa.string())], names=["did", "url", "text"])
-
-    decided = found.where("text is not null").select("did", "url", "text")
-    out = decided.unionByName(undecided.mapInArrow(unique, "did long, url string, text string"))
+            columns = (batch.column(x).to_pylist() for x in ("did", "dh", "kinds", "spans", "least"))
+            out = [text_of(stream, kinds, [(s["start"], s["end"]) for s in spans or []], least or 0, window, _own(did, dh)) for stream, did, dh, kinds, spans, least in zip(_streams(batch), *columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("url"), pa.array(out, pa.string())], names=["did", "url", "text"])
+
+    # only pages that may have spans are dealt for the join
+    with_spans, without = (found.mapInArrow(some(x, found.columns), _PAGE) for x in (True, False))
+    both = with_spans.join(spans, ["did", "dh", "hh"], "left").select(*found.columns, "spans", "least")
+    none = without.withColumns({"spans": F.lit(None).cast(spans.schema["spans"].dataType), "least": F.lit(None).cast("int")})
+    out = both.unionByName(none).mapInArrow(texts, "did long, url string, text string")
     return out.select(F.nullif("did", F.lit(NULL_ID)).alias(id_col), F.col("url").alias(url_col), "text")
 
 
+def text_of(stream: bytes, kinds: bytes, spans: list[tuple[int, int]], least: int, window: int, own: bytes) -> str:
+    """The main text of a page from its blocks and repeated spans."""
+    every, kept = [], []
+    lines = list(_lines(stream, kinds, window, own))
+    gone = np.zeros(max([len(stream), *(place + window for *_, place in lines)]), bool)
+    for start, end in spans:
+        gone[start:end] = True
+    for kind, at, line, place in lines:
+        if not kind:
+            continue
+        every.append(line.decode())
+        over = gone[at : at + len(line)]
+        if kind == 1:
+            if text := "" if place >= 0 and gone[place : place + window].all() else unique_words(line, over):
+                kept.append(text)
+        elif least < MARKED_PAGES or len(line) < window or not over.all():
+            kept.append(line.decode())
+    return " ".join(kept or every)
+
+
 def unique_words(line: bytes, gone: np.ndarray) -> str:
     """The words of a block that no repeated substring covers wholly."""
     out, at = [], 0
