@@ -246,3 +246,21 @@ def test_html_text_keeps_undecided_blocks_beside_marked_ones(spark):
     body = ["ships that sail by night", "mountains and all their snow", "rivers as they run to the sea"]
     pages = [(i, "http://h.org/x", f"<h1 class='article-title'>T{i}</h1><div><p>The whole body is about {t}.</p></div>{notice}") for i, t in enumerate(body)]
     assert _texts(spark, pages) == {i: f"T{i} The whole body is about {t}." for i, t in enumerate(body)}
+
+
+def _prose(seed, *sizes):
+    r = random.Random(seed)
+    return [" ".join("".join(r.choices("abcdefghij", k=5)) for _ in range(n)) for n in sizes]
+
+
+def test_html_text_repeats_need_half_of_the_host(spark):
+    quote, menu, *prose = _prose(5, 12, 12, *[60] * 12)
+    page = lambda i: f"<div>{menu}</div><p>{prose[i]}</p><div>{prose[i][:89]} {quote if i < 4 else ''}</div>"
+    pages = [(i, "http://h.org/x", page(i)) for i in range(12)]
+    pages += [(100 + i, "http://h.org/y", page(0)) for i in range(30)]  # copies count as one page
+    pages += [(200 + i, "http://two.org/", f"<p>{prose[1]}</p>") for i in range(2)]  # a page whose whole text is copied
+    got = _texts(spark, pages)
+    for i in range(12):
+        assert got[i] == f"{prose[i]} {prose[i][:89]} {quote if i < 4 else ''}".strip()
+    assert {got[100 + i] for i in range(30)} == {got[0]}
+    assert got[200] == got[201] == prose[1]
