@@ -264,3 +264,12 @@ def test_html_text_repeats_need_half_of_the_host(spark):
         assert got[i] == f"{prose[i]} {prose[i][:89]} {quote if i < 4 else ''}".strip()
     assert {got[100 + i] for i in range(30)} == {got[0]}
     assert got[200] == got[201] == prose[1]
+
+
+def test_html_text_drops_repeated_blocks_of_marked_text(spark):
+    quote, box, *prose = _prose(6, 12, 15, *[60] * 12)
+    pages = [(i, "http://h.org/x", f"<article><p>{prose[i]}</p>{f'<p>{quote}</p>' if i < 4 else ''}<section>{box}</section></article>") for i in range(12)]
+    pages += [(100 + i, None, f"<article><p>{prose[i]}</p><section>{box}</section></article>") for i in range(3)]  # too few pages to overrule the markup
+    got = _texts(spark, pages)
+    assert all(got[i] == " ".join([prose[i], quote] if i < 4 else [prose[i]]) for i in range(12))
+    assert all(got[100 + i] == f"{prose[i]} {box}" for i in range(3))
