@@ -136,3 +136,27 @@ def test_edges_are_canonical(spark):
     rows = [("b", "a", 1.0), ("a", "b", 3.0), ("c", "c", 1.0), (None, "a", 1.0), ("a", "c", None)]
     g = Graph.from_edges(spark.createDataFrame(rows, "src string, dst string, weight double"))
     assert [tuple(r) for r in g.edges.collect()] == [("a", "b", 3.0)]
+
+
+def test_all_distances(spark, monkeypatch):
+    import random
+
+    from weft import catalog
+
+    r = random.Random(4)
+    edges = {(i, i + 1) for i in range(60, 75)} | {(80, 81)} | {tuple(sorted(r.sample(range(40, 60), 2))) for _ in range(30)}
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = set()
+    for source in near:
+        seen, front = {source: 0}, [source]
+        while front:
+            front = [seen.setdefault(w, seen[v] + 1) and w for v in front for w in near[v] if w not in seen]
+        want |= {(source, node, d) for node, d in seen.items()}
+    assert max(d for *_, d in want) > 4 and max(near) > 40
+    g = graph(spark, sorted(edges))
+    monkeypatch.setattr(catalog, "part_graph", lambda *_: g)
+    got = [(x.source, x.node, x.d) for x in catalog.queries()["bfs_distances_all"](spark, "").collect()]
+    assert len(got) == len(want) and set(got) == want

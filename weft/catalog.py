@@ -273,6 +273,13 @@ def _bfs(g, spark, d):
     return distances(g, g.nodes.where("node <= 40")).where("d <= 4")
 
 
+@_on_graph("bfs_distances_all")
+def _bfs_all(g, spark, d):
+    from weft.operators.paths import distances
+
+    return distances(g)
+
+
 @_on_graph("components", " SELECT node, min(c) AS component FROM comp GROUP BY node", _REC)
 def _components(g, spark, d):
     return g.components()
