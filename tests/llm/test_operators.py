@@ -273,3 +273,11 @@ def test_html_text_drops_repeated_blocks_of_marked_text(spark):
     got = _texts(spark, pages)
     assert all(got[i] == " ".join([prose[i], quote] if i < 4 else [prose[i]]) for i in range(12))
     assert all(got[100 + i] == f"{prose[i]} {box}" for i in range(3))
+
+
+def test_langid_sample_keeps_rare_languages(spark):
+    rows = [(i, f"t{i}", "aa") for i in range(3000)] + [(None, f"n{i}", "bb") for i in range(1000)] + [(i, f"t{i}", "cc") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = collections.Counter(x.lang for x in langid.bounded(docs, F.col("doc_id"), 403).collect())
+    assert got["cc"] == 3 and 150 < got["aa"] < 250 and 150 < got["bb"] < 250
+    assert langid.bounded(docs, F.col("doc_id"), 4003).count() == 4003

@@ -6,7 +6,8 @@ languages. Viterbi over the words of a document, with a penalty for switching,
 labels spans; the document's language is the one that labels most words.
 
 The table is fitted on labelled rows: all of them up to TRAIN_ROWS, beyond that
-a sample of about so many by a hash of the identifier.
+about so many: all rows of the rarer languages, and of each other language the
+same number, by a hash of the identifier and the text.
 """
 
 from __future__ import annotations
@@ -156,10 +157,20 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model |
     return Model(names, np.stack([sums[x][0] for x in names]), np.stack([sums[x][1] for x in names]))
 
 
-def bounded(labelled: DataFrame, key: Column, most: int = TRAIN_ROWS) -> DataFrame:
-    """All rows, or about `most` of them chosen by a hash of key."""
-    n = labelled.count()
-    return labelled if n <= most else labelled.where(F.pmod(F.xxhash64(F.lit("train"), key), F.lit(1 << 20)) < int(most / n * (1 << 20)))
+def bounded(labelled: DataFrame, key: Column, most: int = TRAIN_ROWS, text: str = "text", lang: str = "lang") -> DataFrame:
+    """All rows, or about `most`: languages below an equal share whole, of the others so many by a hash of key and text."""
+    counts = {r[lang]: r["count"] for r in labelled.groupBy(lang).count().collect()}
+    if sum(counts.values()) <= most:
+        return labelled
+    left, share = most, 1
+    for i, n in enumerate(sorted(counts.values())):
+        share = max(1, left // (len(counts) - i))
+        if n > share:
+            break
+        left -= n
+    chance = [x for name, n in counts.items() if n > share for x in (F.lit(name), F.lit(share / n))]
+    draw = F.pmod(F.xxhash64(F.lit("train"), key, F.col(text)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return labelled.where(F.coalesce(F.create_map(*chance)[F.col(lang)], F.lit(1.0)) > draw) if chance else labelled
 
 
 def identify(docs: DataFrame, model: Model | None, penalty: float = SWITCH_PENALTY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,6 +226,11 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = SWITCH_PENAL
     return rows.select(*columns, "_lower").mapInArrow(run, schema.lstrip(", "))
 
 
+def has_letter(text: str = "text") -> Column:
+    """Whether identify() finds a letter in the text."""
+    return F.coalesce(F.col(text).rlike(r"[\p{L}\p{Nl}\p{No}]"), F.lit(False))
+
+
 def held_out(key: str = "doc_id") -> Column:
     """Rows kept from training: crc32 of the identifier as text has remainder 1 by 3; a null identifier has none."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
