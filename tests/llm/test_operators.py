@@ -275,6 +275,23 @@ def test_html_text_drops_repeated_blocks_of_marked_text(spark):
     assert all(got[100 + i] == f"{prose[i]} {box}" for i in range(3))
 
 
+def _stems(r, lang, n):
+    stems = {"aa": "th er on ing the ed".split(), "bb": "ch ung sch ei der ß".split(), "cc": "пр ов ст".split()}
+    return " ".join("".join(r.choices(stems[lang], k=r.randint(1, 3))) for _ in range(n))
+
+
+def test_pipeline_keeps_mixed_and_unlabelled_documents(spark):
+    import corpus_pipeline
+
+    r = random.Random(3)
+    rows = [(i, _stems(r, lang, 30), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 20)]
+    rows += [(900, None, None), (901, "12 !! 34", None), (902, " ".join(_stems(r, *x) for x in (("aa", 40), ("cc", 35), ("bb", 25))), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = set(range(60)) | {902}
+    assert {x.doc_id for x in corpus_pipeline.language_id(spark, docs, "").collect()} == want
+    assert {x.doc_id for x in corpus_pipeline.language_id(spark, docs.withColumn("lang", F.lit(None).cast("string")), "").collect()} == want
+
+
 def test_langid_sample_keeps_rare_languages(spark):
     rows = [(i, f"t{i}", "aa") for i in range(3000)] + [(None, f"n{i}", "bb") for i in range(1000)] + [(i, f"t{i}", "cc") for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
