@@ -72,3 +72,39 @@ def test_runner(toy, tmp_path):
     assert rows["EGONET"].n_communities_raw == 6
     runner.export(toy, runs, members, f"file://{tmp_path}", "my set")
     assert (tmp_path / "my_set" / "summary").exists()
+
+
+def test_kernels_are_whole():
+    import random
+
+    import numpy as np
+
+    from weft.plans import kernels
+
+    r = random.Random(2)
+    adj = {v: {} for v in range(40)}
+    for _ in range(260):
+        a, b = r.sample(range(40), 2)
+        if a // 10 == b // 10 or r.random() < 0.1:
+            adj[a][b] = adj[b][a] = 1.0
+    few, many = (kernels.graph_network(adj, 4, "onehot", neg_ratio=x) for x in (0.1, 10.0))
+    assert few == many  # no sample of non-edges
+    present = {(a, b) for a in range(30) for b in range(30) if (a + b) % 8}
+    a, b = kernels.non_edges(30, present, 200, np.random.default_rng(1))
+    assert len(a) == 200 and all(x != y and (x, y) not in present for x, y in zip(a.tolist(), b.tolist(), strict=True))
+    hub = {}
+
+    def link(x, y):
+        hub.setdefault(x, {})[y] = hub.setdefault(y, {})[x] = 1.0
+
+    bounds = [0, 20, *range(32, 105, 12), 164]  # the seed's clique, seven beside it, and one that holds those
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        for x in range(a, b):
+            for y in range(a, x):
+                link(x, y)
+    for a in bounds[1:-2]:
+        link(0, a)
+        for j in range(1, 11):
+            link(a + j, bounds[-2] + j)
+    found = kernels.local_communities(hub, 0)
+    assert len(found) > 5 and all(any(u in c for c in found) for u in hub[0])
