@@ -25,7 +25,8 @@ def rows():
     r = random.Random(7)
     vocabulary = ["".join(r.choices("abcdefgéßø", k=r.randint(1, 7))) for _ in range(400)]
     make = lambda n: " ".join(r.choices(vocabulary, k=n))
-    passage, out = make(70), [None, "", " ", "a", "A", "aaaa " * 120, "a" * 900, "ab" * 400, "été", "été", make(3000)]
+    a, b = thue_morse(1024), thue_morse(1024, "ba")  # equal for any polynomial modulo a power of two
+    passage, out = make(70), [f"{a} x y z", f"{b} x y z", " ".join([a, *"bcdefghijklmnopqrstuvw"]), " ".join([b, *"bcdefghijklmnopqrstuvw"]), "w" * 300 + " tail", None, "", " ", "a", "A", "aaaa " * 120, "a" * 900, "ab" * 400, "été", "été", make(3000)]
     for _ in range(60):
         out.append(make(r.randint(1, 160)))
     for _ in range(25):
@@ -34,7 +35,7 @@ def rows():
     for k in range(40):  # near copies, each further from the first than the one before
         base[r.randrange(len(base))] = make(1)
         out.append(" ".join(base))
-    out += r.sample(out, 20) + [out[12]] * 30
+    out += r.sample(out, 20) + [out[17]] * 30
     return [(i, t, None, None if i % 7 == 0 else f"s{i % 4 if i % 3 else 0}", 1, 2, "x") for i, t in enumerate(out)] + [(5, out[5], None, "s1", 1, 2, "x"), (None, "a", None, None, 1, 2, "x")]
 
 
@@ -43,7 +44,12 @@ def docs(spark, rows):
     return spark.createDataFrame(rows, SCHEMA).repartition(5).cache()
 
 
-def test_suffix_dedup(docs, rows):
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("hot", [2, 512])
+def test_suffix_dedup(docs, rows, hot):
     window, count = 60, collections.Counter()
     for _, t, *_ in rows:
         b = (t or "").encode()
@@ -56,11 +62,12 @@ def test_suffix_dedup(docs, rows):
             if count[b[i : i + window]] > 1:
                 gone[i : i + window] = b"\1" * window
         want.append((d, len(b), bytes(x for x, g in zip(b, gone) if not g), len(bytes(gone).replace(b"\0", b" ").split())))
-    got = [(r.doc_id, r.n_bytes, bytes(r.kept), len(r.spans)) for r in suffix_dedup.suffix_dedup(docs, window).collect()]
+    got = [(r.doc_id, r.n_bytes, bytes(r.kept), len(r.spans)) for r in suffix_dedup.suffix_dedup(docs, window, hot=hot).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-def test_substring_dedup(docs, rows):
+@pytest.mark.parametrize("hot", [2, 512])
+def test_substring_dedup(docs, rows, hot):
     window, least = 20, {}
     for d, t, *_ in rows:
         w = words(t)
@@ -75,7 +82,7 @@ def test_substring_dedup(docs, rows):
             if least[tuple(w[i : i + window])] < (-1 if d is None else d):
                 gone[i : i + window] = [True] * window
         want.append((d, len(w), " ".join(x for x, g in zip(w, gone) if not g)))
-    got = [(r.doc_id, r.n_words, r.kept) for r in substring_dedup.substring_dedup(docs, window).collect()]
+    got = [(r.doc_id, r.n_words, r.kept) for r in substring_dedup.substring_dedup(docs, window, hot=hot).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
@@ -92,7 +99,8 @@ def test_exact_dedup(docs, rows, keep, digest_bytes):
 
 
 @pytest.mark.parametrize(("n", "num", "den"), [(4, 85, 100), (5, 4, 5), (2, 1, 2)])
-def test_jaccard_components(docs, rows, n, num, den):
+@pytest.mark.parametrize("node_bits", [5, 64])
+def test_jaccard_components(docs, rows, n, num, den, node_bits):
     sets = []
     for d, t, *_ in rows:
         w = words((t or "").translate(LOWER))
@@ -113,7 +121,7 @@ def test_jaccard_components(docs, rows, n, num, den):
     for i, (d, _) in enumerate(sets):
         least[find(i)] = min(least[find(i)], d)
     want = [(d, len(s), least[find(i)]) for i, (d, s) in enumerate(sets)]
-    got = [(-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in jaccard_join.jaccard_components(docs, n, num, den).collect()]
+    got = [(-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in jaccard_join.jaccard_components(docs, n, num, den, node_bits=node_bits).collect()]
     assert sorted(got) == sorted(want)
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.frames import table
+from weft.llm.frames import mapped, table
 
 #: Before ASCII white space that follows a character which no definition counts as white space.
 BOUNDARY = r"(?<=[^\s\x1C-\x1F\x85\p{Z}\p{Cf}])(?=[\x20\x09-\x0D])"
@@ -135,7 +135,7 @@ def _deal(blocks: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordB
 
 def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
     """Blocks cut and dealt in one worker a task."""
-    return rows.mapInArrow(lambda it: _deal(_cut_blocks(it), buckets), "bucket int, block long, codes binary, sizes binary, data binary")
+    return rows.transform(mapped, lambda it: _deal(_cut_blocks(it), buckets), "bucket int, block long, codes binary, sizes binary, data binary")
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def _placed(rows: DataFrame) -> DataFrame:
         for block in _cut_blocks(batches):
             yield block.select(["block", "codes", "dids", "counts"])
 
-    return rows.mapInArrow(run, "block long, codes binary, dids array<long>, counts array<int>")
+    return rows.transform(mapped, run, "block long, codes binary, dids array<long>, counts array<int>")
 
 
 def _coded(dealt: DataFrame, buckets: int, tokenizer_path: str) -> DataFrame:
@@ -170,7 +170,7 @@ def _coded(dealt: DataFrame, buckets: int, tokenizer_path: str) -> DataFrame:
                 packed = [row["codes"], _press(sizes), _press(np.frombuffer(b"".join(ids), np.int32))]
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), *(pa.array([x], pa.binary()) for x in packed)], names=["block", "codes", "sizes", "data"])
 
-    return dealt.repartition(buckets, "bucket").select("block", "codes", "sizes", "data").mapInArrow(run, "block long, codes binary, sizes binary, data binary")
+    return dealt.repartition(buckets, "bucket").select("block", "codes", "sizes", "data").transform(mapped, run, "block long, codes binary, sizes binary, data binary")
 
 
 def _assembled(row: dict, tables: list[dict]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +225,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                     pa.default_memory_pool().release_unused()
 
     both = coded.unionByName(placed).repartition("block").sortWithinPartitions("block", "kind")
-    return both.mapInArrow(run, "did long, n_tokens long, ids array<int>").withColumnRenamed("did", id_col)
+    return both.transform(mapped, run, "did long, n_tokens long, ids array<int>").withColumnRenamed("did", id_col)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFrame:
@@ -250,7 +250,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> Dat
                 at += len(lists)
             pa.default_memory_pool().release_unused()
 
-    return encoded.select(*names).mapInArrow(run, schema)
+    return encoded.select(*names).transform(mapped, run, schema)
 
 
 def default_tokenizer() -> str:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from weft.llm import kernels as K
 from weft.llm.filters import may_match
-from weft.llm.frames import NULL_ID, cut, row_id, table
+from weft.llm.frames import NULL_ID, cut, mapped, row_id, table
 
 #: Entries of a memtable and runs of a level; bound a store's unsorted part and its number of runs.
 MEMTABLE_ROWS = 65_536
@@ -117,8 +117,8 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(run.ids), pa.array(run.counts)], names=["digest", "did", "n"])
 
     schema = "digest binary, did long, n long"
-    flushed = rows.select("digest", "did", F.lit(1).cast("long").alias("n")).mapInArrow(store, schema)
-    index = cut(flushed.repartition("digest").mapInArrow(store, schema).withColumnsRenamed({"did": "keep", "n": "size"}))
+    flushed = rows.select("digest", "did", F.lit(1).cast("long").alias("n")).transform(mapped, store, schema)
+    index = cut(flushed.repartition("digest").transform(mapped, store, schema).withColumnsRenamed({"did": "keep", "n": "size"}))
     named = rows.select("did", "sha", "digest").join(index, "digest")
     alike = may_match(rows.select("digest", "sha", "did", "text"), index.where("size > 1").select("digest"), "digest")
     buckets = alike.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.frames import mapped
+
 #: Most 64-bit words of a filter (8 MB).
 FILTER_WORDS = 1 << 20
 
@@ -33,4 +35,4 @@ def may_match(rows: DataFrame, hits: DataFrame, on: str) -> DataFrame:
             hit = (shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit.astype(bool))) for c in batch.columns[1:]], names=batch.schema.names[1:])
 
-    return rows.select(place.alias("p"), *rows.columns).mapInArrow(sift, rows.schema)
+    return rows.select(place.alias("p"), *rows.columns).transform(mapped, sift, rows.schema)

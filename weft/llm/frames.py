@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.plans.lineage import cut, shared_folder
 
-__all__ = ["NULL_ID", "cut", "row_id", "shared_folder", "table", "text_key"]
+__all__ = ["NULL_ID", "cut", "mapped", "row_id", "shared_folder", "table", "text_key"]
 
 #: Stands for a null identifier inside the operators; smaller than any other.
 NULL_ID = -(2**63)
@@ -24,3 +27,8 @@ def text_key(name: str) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(work, schema)."""
+    return df.mapInArrow(work, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import kernels as K
-from weft.llm.frames import NULL_ID, cut, row_id, table, text_key
+from weft.llm.frames import NULL_ID, cut, mapped, row_id, table, text_key
 from weft.llm.phrases import by_trigger
 
 #: Bytes of a repeated substring at least, and of its trigger's slice.
@@ -152,7 +152,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
                 names=["did", "dh", "url", "hh", "mh", "kinds", "z", "size"],
             )
 
-    return rows.mapInArrow(run, _PAGE)
+    return rows.transform(mapped, run, _PAGE)
 
 
 def _streams(batch: pa.RecordBatch) -> list[bytes]:
@@ -187,7 +187,7 @@ def _parsed(batch: pa.RecordBatch, window: int) -> Iterator[tuple]:
     host = K.mix(np.asarray(batch.column("hh")).view(np.uint64))
     data, offsets = K.text_buffer(laid)
     for i, _, part, offs in K.document_chunks(data, offsets):
-        doc, a, n, m, c, whole = K.anchored_runs(K.byte_values(part), offs, window, _ANCHOR_BYTES)
+        doc, a, n, m, c, whole = K.anchored_runs(K.byte_grams(part), offs, window, _ANCHOR_BYTES, K.BYTE_REACH)
         if len(doc):
             yield i + doc, a, n, K.mix(m.view(np.uint64) + host[i + doc]).view(np.int64), c, whole, offs[doc] + a, part
 
@@ -217,7 +217,7 @@ def hot_triggers(pages: DataFrame, hosts: DataFrame, window: int) -> DataFrame:
                 doc = doc[one]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (m[one] & _LOW, hh[doc], mh[doc])], names=["low", "hh", "mh"])
 
-    found = pages.mapInArrow(count, "low long, hh long, mh long").groupBy("hh", "low")
+    found = pages.transform(mapped, count, "low long, hh long, mh long").groupBy("hh", "low")
     counts = found.agg(F.count(F.lit(1)).alias("n"), F.min("mh").alias("a"), F.max("mh").alias("b")).where("n > 1 and a <> b").select("hh", "low", "n")
     return counts.join(hosts, "hh").where("n >= least").select("hh", "low", "least")
 
@@ -235,7 +235,7 @@ def _sieve(keys: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["bits"])
 
     out = np.zeros(1 << _SIEVE_BITS >> 3, np.uint8)
-    for r in keys.coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():
+    for r in keys.coalesce(8).transform(mapped, mark, "bits binary").toLocalIterator():
         out |= np.frombuffer(zlib.decompress(r.bits), np.uint8)
     return out
 
@@ -274,7 +274,7 @@ def repeated_on_host(pages: DataFrame, window: int = REPEAT_BYTES) -> DataFrame:
                     names=["did", "dh", "hh", "mh", "a", "m", "low", "c", "seen", "body"],
                 )
 
-    runs = pages.mapInArrow(parse, "did long, dh long, hh long, mh long, a int, m long, low long, c long, seen binary, body binary").join(hot, ["hh", "low"])
+    runs = pages.transform(mapped, parse, "did long, dh long, hh long, mh long, a int, m long, low long, c long, seen binary, body binary").join(hot, ["hh", "low"])
     runs = cut(runs.join(copies.where("copies > 1"), ["hh", "mh"], "left").withColumn("pages", 1 / F.coalesce("copies", F.lit(1))).drop("mh", "low", "copies"))
     phrases = runs.groupBy("m", "c", "seen").agg(F.sum("pages").alias("pages"), F.min("least").alias("least"), F.min("body").alias("body"))
 
@@ -293,7 +293,7 @@ def repeated_on_host(pages: DataFrame, window: int = REPEAT_BYTES) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
         return pa.table([pa.array([x[f] for x in rows], kind) for f, kind in enumerate(kinds)], names=["m", "c", "s", "e"])
 
-    marks = cut(phrases.repartition("m").sortWithinPartitions("m").mapInArrow(lambda it: by_trigger(it, "m", mark), "m long, c long, s array<int>, e array<int>"))
+    marks = cut(phrases.repartition("m").sortWithinPartitions("m").transform(mapped, lambda it: by_trigger(it, "m", mark), "m long, c long, s array<int>, e array<int>"))
     spans = runs.select("did", "dh", "hh", "least", "a", "m", "c").join(marks, ["m", "c"])
     spans = spans.select("did", "dh", "hh", "least", F.expr("transform(arrays_zip(s, e), x -> struct(x.s + a as start, x.e + a as end))").alias("spans"))
     return spans.groupBy("did", "dh", "hh").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.min("least").alias("least"))
@@ -341,10 +341,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("url"), pa.array(out, pa.string())], names=["did", "url", "text"])
 
     # only pages that may have spans are dealt for the join
-    with_spans, without = (found.mapInArrow(some(x, found.columns), _PAGE) for x in (True, False))
+    with_spans, without = (found.transform(mapped, some(x, found.columns), _PAGE) for x in (True, False))
     both = with_spans.join(spans, ["did", "dh", "hh"], "left").select(*found.columns, "spans", "least")
     none = without.withColumns({"spans": F.lit(None).cast(spans.schema["spans"].dataType), "least": F.lit(None).cast("int")})
-    out = both.unionByName(none).mapInArrow(texts, "did long, url string, text string")
+    out = both.unionByName(none).transform(mapped, texts, "did long, url string, text string")
     return out.select(F.nullif("did", F.lit(NULL_ID)).alias(id_col), F.col("url").alias(url_col), "text")
 
 

@@ -21,7 +21,7 @@ Sets that are equal are one node throughout, however many documents have them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from weft.llm import kernels as K
 from weft.llm.filters import FILTER_WORDS, may_match
-from weft.llm.frames import NULL_ID, cut, table
+from weft.llm.frames import NULL_ID, cut, mapped, table
 from weft.llm.phrases import by_trigger, keyed
 from weft.operators.components import connected_components
 
@@ -40,6 +40,8 @@ SKETCH_BITS = 2  # least bits of a parity sketch per element; more only sharpen
 MOST_PER_NODE = 16  # pairs a bucket proposes at once; the others wait for later rounds
 MOST_SIFTED = 16 * FILTER_WORDS  # documents for which the filter alone suffices: a quarter of the others pass it at most
 _GROWTH = 1.5  # of the size classes
+_NODES_HELD = 1 << 18  # that a task remembers to have cut into fragments
+MOST_SHARED = 1 << 20  # names that two sets share; about n * n / 2 ** 65 of n sets do
 
 
 def size_classes(num: int, den: int, largest: int = 1 << 34) -> tuple[np.ndarray, np.ndarray]:
@@ -87,6 +89,25 @@ def _totals(sets: list[np.ndarray], salt: int) -> np.ndarray:
     return K.mix(sums[ends] - sums[ends - sizes] + sizes.astype(np.uint64)).view(np.int64)
 
 
+class Namer:
+    """64-bit names of n-gram sets. Where two sets share one, as some do among billions, a second hash tells them apart."""
+
+    def __init__(self, shared: list[int] | None = None, bits: int = 64):
+        self.shared, self.shift = np.array(sorted(shared or []), np.int64), 64 - bits
+
+    def first(self, sets: list[np.ndarray]) -> np.ndarray:
+        return _totals(sets, 1) >> self.shift
+
+    def of(self, sets: list[np.ndarray]) -> np.ndarray:
+        return self.settle(self.first(sets), lambda: _totals(sets, 2))
+
+    def settle(self, names: np.ndarray, check: Callable[[], np.ndarray]) -> np.ndarray:
+        if not len(self.shared) or not len(names):
+            return names
+        at = np.minimum(np.searchsorted(self.shared, names), len(self.shared) - 1)
+        return np.where(self.shared[at] == names, K.mix(names.view(np.uint64) + K.mix(check().view(np.uint64), K._MIX_C)).view(np.int64), names)
+
+
 def parity_sketch(s: np.ndarray) -> bytes:
     """A bit for each of at least SKETCH_BITS |s| classes of elements: whether s holds an odd number of the class."""
     bits = 1 << max(6, int(SKETCH_BITS * len(s) - 1).bit_length())
@@ -126,26 +147,38 @@ def fragment_keys(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarra
         step += 1
 
 
-def _describe(rows: DataFrame, n: int) -> DataFrame:
+def _describe(rows: DataFrame, n: int, namer: Namer) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = _all_sets(batch, n)
             size = np.array([len(s) for s in sets], np.int64)
-            none = pa.array(size == 0)
-            node, check = (pa.array(_totals(sets, salt), mask=size == 0) for salt in (1, 2))
+            node, check = (pa.array(x, mask=size == 0) for x in (namer.first(sets), _totals(sets, 2)))
             sketch = pa.array([parity_sketch(s) if len(s) else None for s in sets], pa.binary())
-            del none
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), node, check, sketch], names=["did", "n", "node", "check", "sketch"])
 
-    return rows.select("did", "text").mapInArrow(run, "did long, n long, node long, check long, sketch binary")
+    return rows.select("did", "text").transform(mapped, run, "did long, n long, node long, check long, sketch binary")
+
+
+def _settled(described: DataFrame, namer: Namer) -> DataFrame:
+    """described with the names that tell all its sets apart."""
+    if not len(namer.shared):
+        return described
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, check = batch.column(2), batch.column(3)
+            names = namer.settle(np.asarray(node.fill_null(0)), lambda c=check: np.asarray(c.fill_null(0)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(names, mask=np.asarray(node.is_null())), *batch.columns[3:]], names=batch.schema.names)
+
+    return described.transform(mapped, run, described.schema)
 
 
-def _fragments(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _fragments(rows: DataFrame, n: int, num: int, den: int, namer: Namer) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a task emits a node once
         for batch in batches:
             sets = _all_sets(batch, n)
-            nodes = _totals(sets, 1)
+            nodes = namer.of(sets)
             new = []
             for i, node in enumerate(nodes.tolist()):
                 if len(sets[i]) and node not in seen:
@@ -155,8 +188,10 @@ def _fragments(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 part = new[k : k + 512]
                 who, key = fragment_keys([sets[i] for i in part], num, den)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(nodes[part][who])], names=["key", "node"])
+            if len(seen) > _NODES_HELD:  # _buckets drops those that come again
+                seen.clear()
 
-    return rows.select("text").mapInArrow(run, "key long, node long")
+    return rows.select("text").transform(mapped, run, "key long, node long")
 
 
 def _buckets(keys: DataFrame) -> DataFrame:
@@ -177,7 +212,7 @@ def _buckets(keys: DataFrame) -> DataFrame:
         return pa.table([np.repeat(total, size)[keep], node[keep]], names=["bucket", "node"])
 
     sorted_keys = keys.repartition("key").sortWithinPartitions("key")
-    return sorted_keys.mapInArrow(lambda it: by_trigger(it, "key", group), "bucket long, node long").distinct()
+    return sorted_keys.transform(mapped, lambda it: by_trigger(it, "key", group), "bucket long, node long").distinct()
 
 
 def _propose(buckets: DataFrame, known: DataFrame, state: DataFrame, num: int, den: int, first: bool) -> DataFrame:
@@ -209,7 +244,7 @@ def _propose(buckets: DataFrame, known: DataFrame, state: DataFrame, num: int, d
 
     rows = buckets.join(state, "node").join(known, "node").select("bucket", "node", "comp", "n", "sketch", "refuted")
     rows = rows.repartition("bucket").sortWithinPartitions("bucket", "n", "node")
-    return rows.mapInArrow(lambda it: by_trigger(it, "bucket", forest), "a long, b long").distinct()
+    return rows.transform(mapped, lambda it: by_trigger(it, "bucket", forest), "a long, b long").distinct()
 
 
 def fold(sketches: list[bytes]) -> np.ndarray:
@@ -267,7 +302,7 @@ def bucket_forest(node, comp, n, bits, refuted, num: int, den: int) -> list[tupl
     return out
 
 
-def _verify(pairs: DataFrame, rows: DataFrame, described: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _verify(pairs: DataFrame, rows: DataFrame, described: DataFrame, n: int, num: int, den: int, namer: Namer) -> DataFrame:
     """(a, b, linked): overlaps counted fragment by fragment and summed per pair."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     holders = cut(described.join(ends, "node").groupBy("node").agg(F.min(F.struct("did", "n")).alias("one")).select("node", "one.did", "one.n"))
@@ -275,7 +310,7 @@ def _verify(pairs: DataFrame, rows: DataFrame, described: DataFrame, n: int, num
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = _all_sets(batch, n)
-            nodes = _totals(sets, 1) if sets else []
+            nodes = namer.of(sets)
             out = []
             for s, node in zip(sets, nodes, strict=True):
                 if len(s):
@@ -287,7 +322,7 @@ def _verify(pairs: DataFrame, rows: DataFrame, described: DataFrame, n: int, num
     texts = may_match(rows.select("did", "text"), wanted, "did")
     if wanted.count() > MOST_SIFTED:  # the filter lets too many pass: texts move once to be joined
         texts = texts.join(wanted, "did", "left_semi")
-    fetched = texts.select("text").mapInArrow(pieces, "node long, f int, grams array<long>")  # the join on node drops what the filter let pass
+    fetched = texts.select("text").transform(mapped, pieces, "node long, f int, grams array<long>")  # the join on node drops what the filter let pass
     fetched = cut(fetched.join(holders.select("node"), "node", "left_semi").dropDuplicates(["node", "f"]))
     left = pairs.join(fetched.withColumnsRenamed({"node": "a", "grams": "x"}), "a")
     both = left.join(fetched.withColumnsRenamed({"node": "b", "grams": "y"}), ["b", "f"])
@@ -297,25 +332,26 @@ def _verify(pairs: DataFrame, rows: DataFrame, described: DataFrame, n: int, num
     return sized.join(shared, ["a", "b"], "left").select("a", "b", (common * den >= (F.col("na") + F.col("nb") - common) * num).alias("linked"))
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", node_bits: int = 64) -> DataFrame:
     """One row per input row: id, n_shingles (size of its n-gram set) and component_id.
 
     Rows link if den * |A & B| >= num * |A | B| for their sets of n-word
     shingles, lower-cased in ASCII; component_id is the smallest id reachable.
     Null or empty texts have no set and link with nothing. Null ids count as the
     smallest; rows that repeat an id are rows of their own. Other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows. node_bits below 64 makes the names of
+    sets collide; they are still told apart.
     """
     rows = keyed(docs, id_col, text_col)
-    described = cut(_describe(rows, n))
-    buckets = cut(_buckets(_fragments(rows, n, num, den)))
+    described = cut(_describe(rows, n, Namer(bits=node_bits)))
+    twice = described.groupBy("node").agg(F.min("check").alias("c0"), F.max("check").alias("c1")).where("c0 <> c1").limit(MOST_SHARED + 1)
+    namer = Namer([r.node for r in twice.select("node").toLocalIterator()], node_bits)
+    if len(namer.shared) > MOST_SHARED:
+        raise ValueError("too many n-gram sets share a name")
+    described = _settled(described, namer)
+    buckets = cut(_buckets(_fragments(rows, n, num, den, namer)))
     members = buckets.select("node").distinct()
-    known = described.join(members, "node", "left_semi").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("check").alias("c0"), F.max("check").alias("c1"))
-    known = cut(known)
-    if not known.where("c0 <> c1").isEmpty():
-        raise ValueError("two n-gram sets share a 64-bit hash; change the salt of the node hash")
-    known = known.select("node", "n", "sketch")
-    links = None
+    known = cut(described.join(members, "node", "left_semi").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch")))
     comps = known.select("node", F.col("node").alias("comp"))
     refuted = known.select("node", F.expr("cast(null as array<long>)").alias("refuted")).limit(0)
     tried = None
@@ -325,7 +361,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
         pairs = proposed.where("a is not null")
         if pairs.isEmpty():
             break
-        result = cut(_verify(pairs, rows, described, n, num, den))
+        result = cut(_verify(pairs, rows, described, n, num, den, namer))
         tried = cut(result) if tried is None else cut(tried.unionByName(result))
         links = tried.where("linked")
         again = proposed.where("a is null").select(F.col("b").alias("bucket"))

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 18
@@ -43,9 +44,10 @@ def mix(x: np.ndarray, by: np.uint64 = _MIX_A) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=U64) * _MIX_C) | U64(1)
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64."""
+_POWERS_KEPT = 1 << 19  # 8 MB; a longer buffer's are made anew
+
+
+def _make_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = U64(pow(int(_BASE), -1, 1 << 64))
     with np.errstate(over="ignore"):
         up = np.cumprod(np.concatenate([[U64(1)], np.full(n - 1, _BASE)]).astype(U64))
@@ -53,9 +55,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
+_kept_powers = functools.cache(lambda: _make_powers(_POWERS_KEPT))
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(20, int(n).bit_length())
-    up, down = _powers(size)
+    """The first n powers of the base and of its inverse modulo 2**64."""
+    if n > _POWERS_KEPT:
+        return _make_powers(n)
+    up, down = _kept_powers()
     return up[:n], down[:n]
 
 
@@ -138,30 +145,71 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, plain: bool = False) -> t
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_BLOCKS = 32  # of eight bytes; longer words are hashed one by one
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return slice_hashes(prefix_sums(_BYTE[data]), starts, ends)
+    """A hash of every word, eight bytes after another through the mixer.
+
+    A polynomial would not do: modulo a power of two, different words of a
+    regular form (Thue and Morse's, say) are equal for every base.
+    """
+    sizes = ends - starts
+    out = mix(sizes.astype(U64), _MIX_C)
+    if not len(starts):
+        return out
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    live = np.flatnonzero(sizes <= 8 * _BLOCKS)
+    for k in range(_BLOCKS):
+        live = live[sizes[live] > 8 * k]
+        if not len(live):
+            break
+        block = eight[starts[live] + 8 * k].view("<u8").ravel() & _TAIL[np.minimum(sizes[live] - 8 * k, 8)]
+        out[live] = mix(out[live] ^ block)
+    for i in np.flatnonzero(sizes > 8 * _BLOCKS).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
 
 
 def byte_values(data: np.ndarray) -> np.ndarray:
+    """A value for each byte alone."""
     return _BYTE[data]
 
 
-def anchored_runs(values: np.ndarray, offsets: np.ndarray, window: int, anchor: int):
+BYTE_REACH = 7  # bytes that a value of byte_grams() looks ahead
+WORD_REACH = 1
+
+
+def byte_grams(data: np.ndarray) -> np.ndarray:
+    """A hash of the eight bytes from each place on, zeros beyond the end: polynomials over these keep no algebra of the bytes."""
+    x = np.concatenate([data, np.zeros(BYTE_REACH, np.uint8)]).astype(U64)
+    for k in (1, 2, 4):
+        x = x[:-k] | x[k:] << U64(8 * k)
+    return mix(x)
+
+
+def word_grams(words: np.ndarray) -> np.ndarray:
+    """A hash of each word and the one after it."""
+    return mix(words + mix(np.append(words[1:], U64(0)), _MIX_C)) if len(words) else words
+
+
+def anchored_runs(values: np.ndarray, offsets: np.ndarray, window: int, anchor: int, reach: int = 0):
     """Cut all windows of a symbol sequence into runs that share the place of their trigger.
 
     A window's trigger is the smallest rolling hash among its sub-slices of
     `anchor` symbols; it depends on the window's content alone, so equal
-    windows have equal triggers wherever they stand. Returns document index,
-    first window, number of windows, trigger hash and content hash of each run,
-    and the window hashes.
+    windows have equal triggers wherever they stand. A value may depend on the
+    `reach` symbols after its own. Returns document index, first window, number
+    of windows, trigger hash and content hash of each run, and the window hashes.
     """
     sums = prefix_sums(values)
-    whole = rolling_hashes(sums, window)
-    n = len(whole)
+    n = len(values) - window + 1
     empty = np.zeros(0, np.int64)
-    if not n:
-        return empty, empty, empty, empty, empty, whole
-    inner = mix(rolling_hashes(sums, anchor), _MIX_C)
+    if n <= 0:
+        return empty, empty, empty, empty, empty, np.zeros(0, U64)
+    whole = rolling_hashes(sums, window - reach)[:n]
+    inner = mix(rolling_hashes(sums, anchor - reach), _MIX_C)
     trigger = sliding_min(inner, window - anchor + 1)[:n]
     lengths = np.diff(offsets)
     owner = np.repeat(np.arange(len(lengths)), lengths)[:n]
@@ -173,7 +221,7 @@ def anchored_runs(values: np.ndarray, offsets: np.ndarray, window: int, anchor:
     first, last = bounds[:-1], bounds[1:] - 1
     keep = valid[first]
     first, last = first[keep], last[keep]
-    content = mix(slice_hashes(sums, first, last + window) + (last - first).astype(U64), _MIX_C)
+    content = mix(slice_hashes(sums, first, last + window - reach) + (last - first).astype(U64), _MIX_C)
     doc = owner[first]
     return doc, first - offsets[doc], last - first + 1, trigger[first].view(np.int64), content.view(np.int64), whole
 
@@ -190,3 +238,35 @@ def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of True."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
     return edge[::2], edge[1::2]
+
+
+def suffix_ranks(text: np.ndarray, window: int) -> np.ndarray:
+    """The rank of the suffix at every place of text, cut at `window` bytes, by prefix doubling; equal ones share a rank.
+
+    The suffix array of the buffer by indexes alone: eight bytes are ranked as a
+    number, then twice as many by pairs of ranks, and so on. Suffixes shorter
+    than the window count as filled up with zeros.
+    """
+    n = len(text)
+    wide = np.concatenate([text, np.zeros(8, np.uint8)])
+    key = np.lib.stride_tricks.sliding_window_view(wide, 8)[:n].copy().view(">u8").ravel().astype(U64)
+    width = min(8, window)
+    if width < 8:
+        key >>= U64(8 * (8 - width))
+    while True:
+        _, rank = np.unique(key, return_inverse=True)
+        if width >= window:
+            return rank
+        step = min(width, window - width)
+        key = rank.astype(U64) + U64(1) << U64(32)
+        key[: n - step] |= rank[step:].astype(U64) + U64(1)
+        width += step
+
+
+def window_ranks(phrases: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix rank of every window of some phrases, one phrase after another, and their numbers of windows."""
+    sizes = np.array([len(p) for p in phrases])
+    n = sizes - window + 1
+    ends = np.cumsum(n)
+    places = np.arange(ends[-1]) + np.repeat(np.cumsum(sizes) - sizes - (ends - n), n)
+    return suffix_ranks(np.frombuffer(b"".join(phrases), np.uint8), window)[places], n

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import kernels as K
-from weft.llm.frames import table
+from weft.llm.frames import mapped, table
 
 TRAIN_ROWS = 20_000
 TABLE_BITS = 16
@@ -147,7 +147,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model |
 
     rows = labelled.select(F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"), F.col(lang).alias("lang")).repartition(_TRAIN_TASKS)
     sums: dict[str, list[np.ndarray]] = {}
-    for r in rows.mapInArrow(count, "lang string, cells binary, scripts binary").collect():
+    for r in rows.transform(mapped, count, "lang string, cells binary, scripts binary").collect():
         total, scripts = sums.setdefault(r.lang, [np.zeros(1 << TABLE_BITS), np.zeros(N_SCRIPTS)])
         total += np.frombuffer(r.cells, np.int32)
         scripts += np.frombuffer(r.scripts, np.int64)
@@ -223,7 +223,7 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = SWITCH_PENAL
                 yield pa.RecordBatch.from_arrays([*own, *out], names=[*columns, *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double, lang_spans array<struct<start:int,end:int,lang:string>>"
-    return rows.select(*columns, "_lower").mapInArrow(run, schema.lstrip(", "))
+    return rows.select(*columns, "_lower").transform(mapped, run, schema.lstrip(", "))
 
 
 def has_letter(text: str = "text") -> Column:

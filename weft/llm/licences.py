@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.llm import kernels as K
-from weft.llm.frames import cut, table
+from weft.llm.frames import cut, mapped, table
 from weft.llm.phrases import keyed, packed, unpack
 
 GRAM = 4
@@ -98,7 +98,7 @@ def scan(docs: DataFrame, gram: int = GRAM, id_col: str = "doc_id", text_col: st
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(own))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), lists], names=["did", "dh", "grams"])
 
-    rolled = rows.mapInArrow(grams, "did long, dh long, grams array<long>").select("did", "dh", F.posexplode("grams").alias("pos", "gram"))
+    rolled = rows.transform(mapped, grams, "did long, dh long, grams array<long>").select("did", "dh", F.posexplode("grams").alias("pos", "gram"))
     hits = rolled.join(F.broadcast(_template_grams(spark, gram)), "gram")  # the templates are a constant
     votes = hits.groupBy("did", "dh", "template", (F.col("pos") - F.col("place")).alias("diagonal")).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     along = Window.partitionBy("did", "dh", "template").orderBy("lo", "diagonal")
@@ -142,7 +142,7 @@ def scan(docs: DataFrame, gram: int = GRAM, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(counts, pa.int64()), pa.array(places, place_type), pa.array(spans, span_type)], names=["did", "n_words", "places", "spans"])
 
     joined = packed(rows).join(per_doc, ["did", "dh"], "left").select("did", "z", "size", "votes")
-    out = joined.mapInArrow(verify, "did long, n_words long, places array<struct<word:int,label:string>>, spans array<struct<start:int,end:int,label:string,share:double>>")
+    out = joined.transform(mapped, verify, "did long, n_words long, places array<struct<word:int,label:string>>, spans array<struct<start:int,end:int,label:string,share:double>>")
     return out.withColumn("did", F.nullif("did", F.lit(-(2**63)))).withColumnRenamed("did", id_col)
 
 

@@ -19,8 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import kernels as K
-from weft.llm.frames import row_id, text_key
+from weft.llm.frames import cut, mapped, row_id, text_key
 
+#: Distinct phrases of a trigger beyond which its windows are dealt one by one.
+HOT_PHRASES = 512
 PARSE_SCHEMA = "did long, dh long, a int, n int, m long, c long"
 
 
@@ -29,16 +31,24 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(row_id(id_col).alias("did"), text_key(text_col).alias("dh"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def symbols(data: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol values and document offsets: the bytes themselves or the hashes of the words."""
+def symbols(data: np.ndarray, offsets: np.ndarray, unit: str, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbol values, which depend on `reach` symbols more, and document offsets: bytes or words."""
     if unit == "byte":
-        return K.byte_values(data), offsets
+        return (K.byte_grams(data) if reach else K.byte_values(data)), offsets
     starts, ends, first = K.word_bounds(data, offsets)
-    return K.word_hashes(data, starts, ends), first
+    words = K.word_hashes(data, starts, ends)
+    return (K.word_grams(words) if reach else words), first
+
+
+def reach_of(unit: str, anchor: int) -> int:
+    """How far the values of symbols look ahead; not at all where anchors are too short for it."""
+    reach = K.BYTE_REACH if unit == "byte" else K.WORD_REACH
+    return reach if anchor > reach else 0
 
 
 def parse(rows: DataFrame, unit: str, window: int, anchor: int) -> DataFrame:
     """The phrases of each row of keyed(): first window, number of windows, trigger and content hash."""
+    reach = reach_of(unit, anchor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,13 +56,13 @@ def parse(rows: DataFrame, unit: str, window: int, anchor: int) -> DataFrame:
             data, offsets = K.text_buffer(batch.column(2))
             out = []
             for i, _, part, offs in K.document_chunks(data, offsets):
-                values, at = symbols(part, offs, unit)
-                doc, a, n, m, c, _ = K.anchored_runs(values, at, window, anchor)
+                values, at = symbols(part, offs, unit, reach)
+                doc, a, n, m, c, _ = K.anchored_runs(values, at, window, anchor, reach)
                 out.append((did[i + doc], dh[i + doc], a.astype(np.int32), n.astype(np.int32), m, c))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["did", "dh", "a", "n", "m", "c"])
 
-    return rows.mapInArrow(run, PARSE_SCHEMA)
+    return mapped(rows, run, PARSE_SCHEMA)
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -68,13 +78,41 @@ def packed(rows: DataFrame) -> DataFrame:
             size = pa.array(np.diff(offsets).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), z, size], names=["did", "dh", "z", "size"])
 
-    return rows.mapInArrow(run, "did long, dh long, z binary, size int")
+    return mapped(rows, run, "did long, dh long, z binary, size int")
 
 
 def unpack(z: pa.Scalar, size: int) -> bytes:
     return pa.decompress(z.as_buffer(), size, "zstd", asbytes=True) if size else b""
 
 
+def split_hot(dictionary: DataFrame, triggers: DataFrame, most: int = HOT_PHRASES) -> tuple[DataFrame, DataFrame | None]:
+    """The dictionary without and of the triggers that have more than `most` phrases (None where there are none); triggers: m once a phrase."""
+    hot = cut(triggers.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("m"))
+    if hot.isEmpty():
+        return dictionary, None
+    dictionary = cut(dictionary)
+    return dictionary.join(hot, "m", "left_anti"), dictionary.join(hot, "m", "left_semi")
+
+
+def window_hashes(dictionary: DataFrame, window: int, columns: list[str]) -> DataFrame:
+    """The given columns and, for every window of the phrase `body`, its place j and hash w."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = K.text_buffer(batch.column(len(columns)))
+            for i, j, part, offs in K.document_chunks(data, offsets):
+                width = window - K.BYTE_REACH if window > K.BYTE_REACH else window
+                rolled = K.rolling_hashes(K.prefix_sums(K.byte_grams(part) if window > K.BYTE_REACH else K.byte_values(part)), width).view(np.int64)
+                n = np.diff(offs) - window + 1
+                ends = np.concatenate([[0], np.cumsum(n)])
+                flat = rolled[np.repeat(offs[:-1] - ends[:-1], n) + np.arange(ends[-1])]
+                w = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-1]), w], names=[*columns, "w"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dictionary.select(*columns).schema)
+    return mapped(dictionary.select(*columns, "body"), run, f"{schema}, w array<long>").select(*columns, F.posexplode("w").alias("j", "w"))
+
+
 def by_trigger(batches: Iterator[pa.RecordBatch], key: str, work: Callable[[pa.Table], pa.Table | None]) -> Iterator[pa.RecordBatch]:
     """Apply work to tables that hold whole groups of `key`, from batches sorted by it."""
     held: list[pa.RecordBatch] = []

@@ -18,17 +18,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import kernels as K
-from weft.llm.frames import cut, table
-from weft.llm.phrases import keyed, packed, parse, symbols, unpack
+from weft.llm.frames import cut, mapped, table
+from weft.llm.phrases import HOT_PHRASES, keyed, packed, parse, reach_of, split_hot, symbols, unpack
 
 
-def repeated_windows(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT_PHRASES) -> DataFrame:
     """(did, dh, spans): word ranges [start, end) whose windows also start in a row of smaller id.
 
     A null id counts as the smallest of all. Ranges may overlap; rows without any are absent.
+    Triggers of more than `hot` distinct phrases are dealt window by window.
     """
     rows = keyed(docs, id_col, text_col)
-    runs = parse(rows, "word", window, max(1, window // 2))
+    anchor = max(1, window // 2)
+    reach = reach_of("word", anchor)
+    runs = parse(rows, "word", window, anchor)
     triggers = runs.groupBy("m").agg(F.min("did").alias("first"), F.max("did").alias("last"), F.min("c").alias("c0"), F.max("c").alias("c1"))
     triggers = cut(triggers.where("first < last").select("m", "first", (F.col("c0") == F.col("c1")).alias("alike")))
     found = cut(runs.join(triggers, "m"))
@@ -43,8 +46,8 @@ def repeated_windows(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
             did, z, sizes, lists = batch.column("did"), batch.column("z"), batch.column("size").to_pylist(), batch.column("phrases")
             for i in range(batch.num_rows):
                 data = np.frombuffer(unpack(z[i], sizes[i]), np.uint8)
-                words, _ = symbols(data, np.array([0, len(data)]), "word")
-                whole = K.rolling_hashes(K.prefix_sums(words), window).view(np.int64)
+                words, _ = symbols(data, np.array([0, len(data)]), "word", reach)
+                whole = K.rolling_hashes(K.prefix_sums(words), window - reach).view(np.int64)
                 items = lists[i].values
                 a, n = (np.asarray(items.field(f)).astype(np.int64) for f in ("a", "n"))
                 at = np.concatenate([[0], np.cumsum(n)])
@@ -52,17 +55,22 @@ def repeated_windows(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
                 w = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([items.field("m"), items.field("c"), pa.repeat(did[i], len(items)), w], names=["m", "c", "did", "w"])
 
-    dictionary = fetched.join(per_doc, ["did", "dh"]).select("did", "z", "size", "phrases").mapInArrow(hashes, "m long, c long, did long, w array<long>")
+    dictionary = fetched.join(per_doc, ["did", "dh"]).select("did", "z", "size", "phrases").transform(mapped, hashes, "m long, c long, did long, w array<long>")
+    dictionary, warm = split_hot(dictionary, wanted.select("phrase.m"), hot)
     windows = dictionary.repartition("m").select("m", "c", "did", F.posexplode("w").alias("j", "w"))
     counted = windows.groupBy("m", "w").agg(F.min("did").alias("first"), F.collect_list(F.struct("c", "j")).alias("places"))
     marks = counted.select("m", "first", F.explode("places").alias("p")).groupBy("m", "p.c").agg(F.collect_list(F.struct("p.j", "first")).alias("windows"))
+    if warm is not None:  # no row gathers the places of a window here
+        warm = warm.select("m", "c", "did", F.posexplode("w").alias("j", "w"))
+        first = warm.groupBy("m", "w").agg(F.min("did").alias("first"))
+        marks = marks.unionByName(warm.select("m", "c", "j", "w").join(first, ["m", "w"]).groupBy("m", "c").agg(F.collect_list(F.struct("j", "first")).alias("windows")))
     spans = found.where("alike and did > first").select("did", "dh", F.array(F.struct(F.col("a").alias("start"), (F.col("a") + F.col("n") + F.lit(window - 1)).alias("end"))).alias("spans"))
     partly = mixed.select("did", "dh", "a", "m", "c").join(marks, ["m", "c"])
     partly = partly.select("did", "dh", F.expr(f"transform(filter(windows, x -> x.first < did), x -> struct(a + x.j as start, a + x.j + {window} as end))").alias("spans"))
     return spans.unionByName(partly.where("size(spans) > 0")).groupBy("did", "dh").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT_PHRASES) -> DataFrame:
     """Remove every word covered by a `window`-word sequence that also starts in a row of smaller id.
 
     Returns one row per input row: the id, n_words, kept (the remaining words
@@ -70,7 +78,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     texts have no words; rows that share an id do not remove each other; other
     columns of docs are ignored; an empty table gives no rows.
     """
-    spans = repeated_windows(docs, window, id_col, text_col)
+    spans = repeated_windows(docs, window, id_col, text_col, hot)
     texts = packed(keyed(docs, id_col, text_col))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +103,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(counts, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, span)], names=["did", "n_words", "kept", "spans"])
 
     joined = texts.join(spans, ["did", "dh"], "left").select("did", "size", "z", "spans")
-    out = joined.mapInArrow(remove, "did long, n_words long, kept string, spans array<struct<start:int,end:int>>")
+    out = joined.transform(mapped, remove, "did long, n_words long, kept string, spans array<struct<start:int,end:int>>")
     return out.select(F.nullif(F.col("did"), F.lit(-(2**63))).alias(id_col), "n_words", "kept", "spans")
 
 

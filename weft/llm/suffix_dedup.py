@@ -12,8 +12,10 @@
 4. Dictionary and parse combine: a suffix class counts the occurrences of all
    phrases that hold it, and the parse carries the marks back to documents.
 
-Nothing larger than one trigger's distinct phrases meets in a task; whole
-texts move twice, as zstd frames.
+A trigger of very many distinct phrases, such as that of a passage which stands
+in ever new surroundings, is dealt window by window instead, by 64 bits of the
+window beside the trigger. So no task gets more than HOT_PHRASES phrases of one
+trigger; whole texts move twice, as zstd frames.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import kernels as K
-from weft.llm.frames import cut, row_id, text_key
-from weft.llm.phrases import by_trigger, keyed, packed, parse, unpack
+from weft.llm.frames import cut, mapped
+from weft.llm.phrases import HOT_PHRASES, by_trigger, keyed, packed, parse, split_hot, unpack, window_hashes
 
 ANCHOR_SHARE = 0.32  # of a window's bytes, for the trigger's slice
 
@@ -35,29 +37,31 @@ ANCHOR_SHARE = 0.32  # of a window's bytes, for the trigger's slice
 def repeated_suffixes(phrases: list[bytes], counts: np.ndarray, window: int) -> list[np.ndarray]:
     """For each distinct phrase, which of its windows stand at two places of the corpus at least.
 
-    Builds the suffix array of the phrases, cut at window bytes; neighbours
-    that agree on all of them form a class, whose size is the sum of the
-    phrases' counts.
+    Suffixes of equal rank in the suffix array of the phrases, cut at window
+    bytes, form a class, whose size is the sum of the phrases' counts.
     """
-    sizes = np.array([len(p) - window + 1 for p in phrases])
-    ends = np.cumsum(sizes)
-    suffixes = [p[j : j + window] for p, n in zip(phrases, sizes, strict=True) for j in range(n)]
-    order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
-    ranked = [suffixes[i] for i in order]
-    first = np.fromiter((True, *(x != y for x, y in zip(ranked[1:], ranked, strict=False))), bool, len(ranked))
-    order = np.array(order)
-    weight = np.repeat(counts, sizes)[order]
-    total = np.add.reduceat(weight, np.flatnonzero(first))
-    mark = np.zeros(len(order), bool)
-    mark[order] = (total >= 2)[np.cumsum(first) - 1]
-    return np.split(mark, ends[:-1])
-
-
-def duplicate_spans(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    rank, n = K.window_ranks(phrases, window)
+    total = np.bincount(rank, np.repeat(counts, n))
+    return np.split(total[rank] >= 2, np.cumsum(n)[:-1])
+
+
+def _pieces(m: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of whole triggers of about K.CHUNK_BYTES of phrases."""
+    bounds = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1], [True]]))
+    at = np.concatenate([[0], np.cumsum(sizes)])[bounds]
+    i = 0
+    while i < len(bounds) - 1:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + K.CHUNK_BYTES, "right")) - 1)
+        yield int(bounds[i]), int(bounds[j])
+        i = j
+
+
+def duplicate_spans(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT_PHRASES) -> DataFrame:
     """(did, dh, starts, ends): byte ranges of each row that lie in a `window`-byte string found at two places.
 
     Null texts count as empty, null ids as one smallest id; rows that repeat an
     id are places of their own. Ranges may overlap; rows without any are absent.
+    Triggers of more than `hot` distinct phrases are dealt window by window.
     """
     rows = keyed(docs, id_col, text_col)
     runs = parse(rows, "byte", window, max(1, int(window * ANCHOR_SHARE)))
@@ -79,19 +83,16 @@ def duplicate_spans(docs: DataFrame, window: int = 200, id_col: str = "doc_id",
                 body = [text[x : x + y + window - 1] for x, y in zip(a.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([items.field("m"), items.field("c"), items.field("seen"), pa.array(body, pa.binary())], names=["m", "c", "seen", "body"])
 
-    dictionary = fetched.join(per_doc, ["did", "dh"]).select("z", "size", "phrases").mapInArrow(fetch, "m long, c long, seen long, body binary")
+    dictionary = fetched.join(per_doc, ["did", "dh"]).select("z", "size", "phrases").transform(mapped, fetch, "m long, c long, seen long, body binary")
+    dictionary, warm = split_hot(dictionary, wanted.select("phrase.m"), hot)
 
     def mark(table: pa.Table) -> pa.Table:
         m, c, seen = (table.column(i).to_numpy() for i in range(3))
         body = table.column(3).to_pylist()
         out_c, out_s, out_e, out_m = [], [], [], []
-        bounds = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1], [True]])).tolist()
-        for i, j in zip(bounds, bounds[1:], strict=False):
-            if (seen[i:j] > 1).all():
-                marks = [(np.array([0]), np.array([len(b) - window + 1])) for b in body[i:j]]
-            else:
-                marks = [K.runs_of(x) for x in repeated_suffixes(body[i:j], seen[i:j], window)]
-            for k, (s, e) in zip(range(i, j), marks, strict=True):
+        for i, j in _pieces(m, [len(x) for x in body]):
+            marks = repeated_suffixes(body[i:j], seen[i:j], window)
+            for k, (s, e) in zip(range(i, j), map(K.runs_of, marks), strict=True):
                 if len(s):
                     out_m.append(m[k])
                     out_c.append(c[k])
@@ -99,13 +100,18 @@ def duplicate_spans(docs: DataFrame, window: int = 200, id_col: str = "doc_id",
                     out_e.append(e.astype(np.int32))
         return pa.table([pa.array(out_m, pa.int64()), pa.array(out_c, pa.int64()), pa.array(out_s, pa.list_(pa.int32())), pa.array(out_e, pa.list_(pa.int32()))], names=["m", "c", "s", "e"])
 
-    marks = dictionary.repartition("m").sortWithinPartitions("m").mapInArrow(lambda it: by_trigger(it, "m", mark), "m long, c long, s array<int>, e array<int>")
+    marks = dictionary.repartition("m").sortWithinPartitions("m").transform(mapped, lambda it: by_trigger(it, "m", mark), "m long, c long, s array<int>, e array<int>")
+    if warm is not None:
+        windows = window_hashes(warm, window, ["m", "c", "seen"])
+        counted = windows.groupBy("m", "w").agg(F.sum("seen").alias("n")).where("n > 1").select("m", "w")
+        hits = windows.select("m", "c", "j", "w").join(counted, ["m", "w"], "left_semi").groupBy("m", "c").agg(F.collect_list("j").alias("s"))
+        marks = marks.unionByName(hits.withColumn("e", F.transform("s", lambda j: j + 1)))
     spans = found.where("alike").select("did", "dh", F.array("a").alias("s"), F.array(F.col("a") + F.col("n") + F.lit(window - 1)).alias("e"))
     spans = spans.unionByName(mixed.join(marks, ["m", "c"]).select("did", "dh", F.expr("transform(s, x -> x + a)").alias("s"), F.expr(f"transform(e, x -> x + a + {window - 1})").alias("e")))
     return spans.groupBy("did", "dh").agg(F.flatten(F.collect_list("s")).alias("starts"), F.flatten(F.collect_list("e")).alias("ends"))
 
 
-def suffix_dedup(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT_PHRASES) -> DataFrame:
     """Remove every byte covered by a `window`-byte string that also starts anywhere else in the corpus.
 
     Returns one row per input row: the id, n_bytes, kept (binary, the remaining
@@ -113,7 +119,7 @@ def suffix_dedup(docs: DataFrame, window: int = 200, id_col: str = "doc_id", tex
     empty texts give no bytes and no spans; an empty table gives no rows; other
     columns of docs are ignored, whatever their names.
     """
-    spans = duplicate_spans(docs, window, id_col, text_col)
+    spans = duplicate_spans(docs, window, id_col, text_col, hot)
     texts = packed(keyed(docs, id_col, text_col))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +141,7 @@ def suffix_dedup(docs: DataFrame, window: int = 200, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("size").cast(pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, span)], names=["did", "n_bytes", "kept", "spans"])
 
     joined = texts.join(spans, ["did", "dh"], "left").select("did", "size", "z", "starts", "ends")
-    out = joined.mapInArrow(remove, "did long, n_bytes long, kept binary, spans array<struct<start:int,end:int>>")
+    out = joined.transform(mapped, remove, "did long, n_bytes long, kept binary, spans array<struct<start:int,end:int>>")
     return out.select(F.nullif(F.col("did"), F.lit(-(2**63))).alias(id_col), "n_bytes", "kept", "spans")
 
 
