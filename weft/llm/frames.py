@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weft.plans.lineage import cut, shared_folder
 
-__all__ = ["NULL_ID", "cut", "mapped", "row_id", "shared_folder", "table", "text_key"]
+__all__ = ["NULL_ID", "cut", "mapped", "release", "row_id", "shared_folder", "table", "text_key"]
 
 #: Stands for a null identifier inside the operators; smaller than any other.
 NULL_ID = -(2**63)
@@ -29,6 +31,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # no glibc
+        return None
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers are reused, and what they hold adds up beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow(work, schema)."""
-    return df.mapInArrow(work, schema)
+    """df.mapInArrow(work, schema); the worker gives its memory back after each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
