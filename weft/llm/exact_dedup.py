@@ -2,14 +2,17 @@
 
 Each task is a store: rows enter a memtable, which is flushed as a run sorted
 by digest, with a Bloom filter, once it is full; runs of a task are compacted
-before they leave it. Shards by digest then merge the runs of all tasks,
-keeping per digest the identifier that stays and the number of rows. Rows whose
+before they leave it, and a store that holds MOST_HELD entries hands over its
+runs and begins anew. Shards by digest then merge the runs of all tasks, sorted
+by Spark's external sort, in one pass that holds a batch at a time, keeping per
+digest the identifier that stays and the number of rows. Rows whose
 digest is hit by another row are verified byte by byte against the row that
 stays, so an equal digest alone never drops a row.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,7 @@ from weft.llm.frames import NULL_ID, cut, mapped, row_id, table
 #: Entries of a memtable and runs of a level; bound a store's unsorted part and its number of runs.
 MEMTABLE_ROWS = 65_536
 LEVEL_RUNS = 4
+MOST_HELD = 1 << 20  # entries of a store's runs together
 _FILTER_BITS = 16  # bits of a run's filter per entry
 
 
@@ -39,9 +43,14 @@ class Run:
         last = np.append(first[1:], len(digests)) - 1
         self.ids = ids[first if smallest else last]
         self.size = 1 << max(6, int(len(self.digests) * _FILTER_BITS).bit_length())
-        self.bits = np.zeros(self.size, bool)
+
+    @functools.cached_property
+    def bits(self) -> np.ndarray:
+        """The filter; a run that is never merged needs none."""
+        out = np.zeros(self.size, bool)
         for place in self._places(self.digests):
-            self.bits[place] = True
+            out[place] = True
+        return out
 
     def _places(self, digests: np.ndarray) -> list[np.ndarray]:
         halves = np.frombuffer(digests.tobytes(), "<u8").reshape(len(digests), -1) if len(digests) else np.zeros((0, 2), np.uint64)
@@ -84,6 +93,10 @@ class Store:
         hit = Run(*(np.concatenate([getattr(r, f)[s] for r, s in zip(runs, shared, strict=True)]) for f in ("digests", "ids", "counts")), self.smallest)
         return Run(*(np.concatenate([getattr(hit, f), *(getattr(r, f)[~s] for r, s in zip(runs, shared, strict=True))]) for f in ("digests", "ids", "counts")), self.smallest)
 
+    @property
+    def held(self) -> int:
+        return self.rows + sum(len(r.digests) for level in self.levels for r in level)
+
     def close(self) -> Run | None:
         self.flush()
         runs = [r for level in self.levels for r in level]
@@ -105,20 +118,41 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id",
     digest = F.rpad(F.substring(sha, 1, min(digest_bytes, 32)), width, F.lit(b"\0"))
     rows = docs.select(row_id(id_col).alias("did"), sha.alias("sha"), digest.alias("digest"), text.alias("text"))
 
+    def entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data, offsets = K.text_buffer(batch.column(0))
+        return np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), f"S{width}"), np.asarray(batch.column(1)), np.asarray(batch.column(2))
+
+    def table_of(digests: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(digests), [None, pa.py_buffer(digests.tobytes())])
+        return pa.RecordBatch.from_arrays([flat.cast(pa.binary()), pa.array(ids), pa.array(counts)], names=["digest", "did", "n"])
+
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Store(smallest)
         for batch in batches:
-            data, offsets = K.text_buffer(batch.column(0))
-            held.put(np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), f"S{width}"), np.asarray(batch.column(1)), np.asarray(batch.column(2)))
+            held.put(*entries(batch))
+            if held.held >= MOST_HELD:
+                run, held = held.close(), Store(smallest)
+                yield table_of(run.digests, run.ids, run.counts)
         run = held.close()
         if run is not None:
-            flat = run.digests.tobytes()
-            out = [flat[i : i + width] for i in range(0, len(flat), width)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(run.ids), pa.array(run.counts)], names=["digest", "did", "n"])
+            yield table_of(run.digests, run.ids, run.counts)
+
+    def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From entries in order of their digests; only the last digest waits for the next batch."""
+        last = None
+        for batch in batches:
+            if batch.num_rows:
+                given = entries(batch)
+                run = Run(*((np.concatenate(x) for x in zip(last, given, strict=True)) if last else given), smallest)
+                yield table_of(run.digests[:-1], run.ids[:-1], run.counts[:-1])
+                last = run.digests[-1:], run.ids[-1:], run.counts[-1:]
+        if last:
+            yield table_of(*last)
 
     schema = "digest binary, did long, n long"
     flushed = rows.select("digest", "did", F.lit(1).cast("long").alias("n")).transform(mapped, store, schema)
-    index = cut(flushed.repartition("digest").transform(mapped, store, schema).withColumnsRenamed({"did": "keep", "n": "size"}))
+    index = flushed.repartition("digest").sortWithinPartitions("digest").transform(mapped, compact, schema)
+    index = cut(index.withColumnsRenamed({"did": "keep", "n": "size"}))
     named = rows.select("did", "sha", "digest").join(index, "digest")
     alike = may_match(rows.select("digest", "sha", "did", "text"), index.where("size > 1").select("digest"), "digest")
     buckets = alike.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high"))
