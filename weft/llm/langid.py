@@ -12,13 +12,14 @@ same number, by a hash of the identifier and the text.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from weft.llm import kernels as K
 from weft.llm.frames import mapped, table
@@ -34,7 +35,7 @@ SCRIPTS = ((0x41, 1), (0x250, 0), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5)
 N_SCRIPTS = 1 + max(s for _, s in SCRIPTS)
 _FROM = np.array([a for a, _ in SCRIPTS])
 _SCRIPT = np.array([0, *(s for _, s in SCRIPTS)])
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _distinct_words(data: np.ndarray, offsets: np.ndarray):
@@ -99,11 +100,12 @@ def viterbi(codes: np.ndarray, first: np.ndarray, scores: np.ndarray, penalty: f
     order = np.argsort(-size, kind="stable")
     start, size = first[:-1][order], size[order]
     n, kinds = len(codes), scores.shape[1]
-    path, back = np.zeros(n, np.int8), np.zeros((n, kinds), np.int8)
+    label = np.min_scalar_type(-kinds)  # signed, wide enough for every label
+    path, back = np.zeros(n, label), np.zeros((n, kinds), label)
     longest = int(size[0]) if len(size) else 0
     active = np.searchsorted(-size, -np.arange(longest), "left")  # documents longer than each position
     value = np.zeros((len(size), kinds), np.float32)
-    own = np.arange(kinds, dtype=np.int8)
+    own = np.arange(kinds, dtype=label)
     for t in range(longest):
         k = active[t]
         at = start[:k] + t
@@ -114,7 +116,7 @@ def viterbi(codes: np.ndarray, first: np.ndarray, scores: np.ndarray, penalty: f
             back[at] = np.where(move, best[:, None], own)
             value[:k] = np.where(move, moved[:, None], value[:k])
         value[:k] += scores[codes[at]]
-    state = value.argmax(1).astype(np.int8)
+    state = value.argmax(1).astype(label)
     for t in range(longest - 1, -1, -1):
         k = active[t]
         at = start[:k] + t
@@ -182,9 +184,9 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = SWITCH_PENAL
     for columns of these names, which are replaced.
     """
     names = ("lang_pred", "score", "lang_spans")
-    kept = docs.drop(*names)
-    rows = kept.withColumn("_lower", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
-    columns = [*kept.columns]
+    columns = [c for c in docs.columns if c not in names]
+    kept = [F.col(f"`{c}`") for c in columns]
+    rows = docs.select(*kept, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_".join(["lower", *columns])))  # a name that no column has
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
 
@@ -222,13 +224,13 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = SWITCH_PENAL
                     out = [pa.array(pred, pa.string()), pa.array(share), spans]
                 yield pa.RecordBatch.from_arrays([*own, *out], names=[*columns, *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double, lang_spans array<struct<start:int,end:int,lang:string>>"
-    return rows.select(*columns, "_lower").transform(mapped, run, schema.lstrip(", "))
+    schema = StructType([*docs.select(*kept).schema, *StructType.fromDDL("lang_pred string, score double, lang_spans array<struct<start:int,end:int,lang:string>>")])
+    return rows.transform(mapped, run, schema)
 
 
 def has_letter(text: str = "text") -> Column:
     """Whether identify() finds a letter in the text."""
-    return F.coalesce(F.col(text).rlike(r"[\p{L}\p{Nl}\p{No}]"), F.lit(False))
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
 
 def held_out(key: str = "doc_id") -> Column:
