@@ -245,8 +245,8 @@ def test_empty_tables(spark):
         assert out.collect() == []
 
 
-def _texts(spark, pages, parts=3):
-    return {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(parts)).collect()}
+def _texts(spark, pages, parts=3, **more):
+    return {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(parts), **more).collect()}
 
 
 def test_html_text_keeps_undecided_blocks_beside_marked_ones(spark):
@@ -256,6 +256,54 @@ def test_html_text_keeps_undecided_blocks_beside_marked_ones(spark):
     assert _texts(spark, pages) == {i: f"T{i} The whole body is about {t}." for i, t in enumerate(body)}
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<div class="main-menu">Home About</div><p>The body is here.</p>', ["The body is here."]),
+        ('<article><p>x</p><article class="comment">no</article><div class="article-comments">no</div><div class=story-ads>no</div><ul class="main-nav"><li>no</ul></article>', ["x"]),
+        ("<main><header>Site</header><p>t</p></main>", ["t"]),
+        ('<article class="post has-sidebar"><header><h1>T</h1></header><div class="article-header">H</div><p>b</p></article>', ["T", "H", "b"]),
+        ('<body class="main-nav"><div class="has-sidebar main">a</div>b <a class=ad>no</a> c', ["a", "b", "c"]),
+        ('<p>a<img alt="x>y">b <q cite=\'>c</q> d', ["ab c d"]),
+        ("<p>a<p>b<br>c&nbsp;&amp;</p></p> d<!-- no", ["a", "b c &", "d"]),
+    ],
+)
+def test_html_blocks(page, want):
+    assert [t for kind, t in html_text.blocks(page) if kind != "boilerplate"] == want
+
+
+def test_html_blocks_take_linear_time():
+    import time
+
+    began = time.time()
+    html_text.blocks("<div>" * 50_000 + "</p>x" * 50_000)
+    html_text.blocks("<a '" * 8_001)
+    assert time.time() - began < 5
+
+
+def test_html_text_repeats_against_brute_force(spark):
+    """Undecided blocks lose the words that windows of REPEAT_BYTES on half of the host's pages cover."""
+    r = random.Random(11)
+    window = html_text.REPEAT_BYTES
+    boxes = _prose(12, *[14] * 6)
+    lines = [[t for t in (*r.sample(boxes, 3), *_prose(100 + i, 25, 18)) if r.random() > 0.1] for i in range(14)]
+    for own in lines:
+        r.shuffle(own)
+    seen = collections.Counter(w for own in lines for w in {x[i : i + window] for x in ["\n".join(own)] for i in range(len(x) - window + 1)})
+    want = {}
+    for i, own in enumerate(lines):
+        text = "\n".join(own)
+        gone = bytearray(len(text))
+        for k in range(len(text) - window + 1):
+            if seen[text[k : k + window]] >= len(lines) / 2:
+                gone[k : k + window] = b"\1" * window
+        kept = [m.group() for m in re.finditer(r"\S+", text) if not all(gone[m.start() : m.end()])]
+        want[i] = " ".join(kept) or " ".join(own)
+    assert any(len(want[i]) < len(" ".join(lines[i])) for i in want)
+    pages = [(i, "https://one.org/p", "".join(f"<div>{t}</div>" for t in own)) for i, own in enumerate(lines)]
+    assert _texts(spark, pages, 4) == _texts(spark, pages, 4, hot=2) == want
+
+
 def _prose(seed, *sizes):
     r = random.Random(seed)
     return [" ".join("".join(r.choices("abcdefghij", k=5)) for _ in range(n)) for n in sizes]

@@ -16,6 +16,7 @@ import hashlib
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from weft.llm import kernels as K
 from weft.llm.frames import NULL_ID, cut, mapped, row_id, table, text_key
-from weft.llm.phrases import by_trigger
+from weft.llm.phrases import HOT_PHRASES, by_trigger, split_hot, window_hashes
 
 #: Bytes of a repeated substring at least, and of its trigger's slice.
 REPEAT_BYTES = 48
@@ -36,7 +37,7 @@ MARKED_PAGES = 3
 _SIEVE_BITS = 26
 _LOW = (1 << 40) - 1  # of a trigger, where triggers are only counted
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>|\Z)|[^>]*+)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role|aria-label|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*.?true", re.I)
 #: Elements without text, of boilerplate, inline, empty, and those that an opening tag of the same kind ends.
@@ -46,25 +47,39 @@ ARTICLE = frozenset("article main".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDED_BY_OWN = frozenset("p li dt dd tr td th option".split())
-_BAD = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adv|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|footer\w*|header|masthead|cookie\w*|consent\w*|gdpr|notice\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|signup|login|search\w*|share\w*|social\w*|related\w*|recommend\w*|comment\w*|disqus\w*|replies|respond|widget\w*|toolbar|pagination|pager|skip\w*|contentinfo|complementary|navigation)(?:$|[\s_-])", re.I)
-_GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|main|entry-content|post-content|post-body|articlebody|story\w*|content-body)(?:$|[\s_-])", re.I)
+#: Parts of class and other names that mark boilerplate, main text, headers of the text itself, and names that only state whether something is there.
+_BAD = re.compile(r"ad|ads|advert\w*|adv|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|footer\w*|header|masthead|cookie\w*|consent\w*|gdpr|notices?|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|signup|login|search\w*|share\w*|sharing|social\w*|related\w*|recommend\w*|comment\w*|disqus\w*|replies|respond|widget\w*|toolbar|pagination|pager|skip\w*|contentinfo|complementary")
+_GOOD = re.compile(r"article\w*|main|story\w*")
+_GOOD_NAMES = frozenset("entry-content post-content post-body content-body".split())
+_OWN_HEADER = frozenset("article entry post story content".split())
+_STATES = frozenset("has with no without is not hide show".split())
 _RAW = frozenset("script style textarea title noscript iframe".split())
+_RAW_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
-    """(kind, text) of a page's blocks in order; kind is text, boilerplate or undecided."""
+    """(kind, text) of a page's blocks in order; kind is text, boilerplate or undecided. Takes time in proportion to the page."""
     out: list[tuple[str, str]] = []
     parts: list[str] = []
     stack: list[tuple[str, str]] = []  # element, kind of what it holds
+    opened: Counter[str] = Counter()  # elements of the stack by name
     kind, at, n = "undecided", 0, len(page)
 
     def close() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text and kind != "none":
-                out.append((kind, text))
+                out.append(("text" if kind == "main" else kind, text))
             parts.clear()
 
+    def leave(name: str) -> str:
+        while stack:
+            e, _ = stack.pop()
+            opened[e] -= 1
+            if e == name:
+                break
+        return stack[-1][1] if stack else "undecided"
+
     while at < n:
         m = _TAG.search(page, at)
         if not m:
@@ -73,60 +88,75 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if m.start() > at:
             parts.append(page[at : m.start()])
         at = m.end()
-        name = m[2]
+        name, attributes = m[2], m[3]
         if not name:
             if page.startswith("<![CDATA[", m.start()):
                 parts.append(html.escape(page[m.start() + 9 : at - 3]))
             continue
         name = name.lower()
-        if name in INLINE and not m[1] and not _NAMES.search(m[3]) and not _HIDDEN.search(m[3]):
+        if name in INLINE and not m[1] and not _NAMES.search(attributes) and not _HIDDEN.search(attributes):
             continue
         if m[1]:
-            if any(e == name for e, _ in stack):
-                if name not in INLINE:
-                    close()
-                while stack:
-                    e, k = stack.pop()
-                    if e == name:
-                        break
-                kind = stack[-1][1] if stack else "undecided"
-            elif name not in INLINE:
+            new = leave(name) if opened[name] else kind
+            if name not in INLINE or new != kind:
                 close()
+            kind = new
             continue
         if name in VOID:
             if name in ("br", "hr"):
                 parts.append(" ")
             continue
-        new = _kind(name, m[3], kind)
+        new = _kind(name, attributes, kind)
         if name not in INLINE or new != kind:
             close()
         if name in ENDED_BY_OWN and stack and stack[-1][0] == name:
-            stack.pop()
-            kind = stack[-1][1] if stack else "undecided"
-            new = _kind(name, m[3], kind)
-        if m[3].rstrip().endswith("/") and name in ("svg", "path"):
+            kind = leave(name)
+            new = _kind(name, attributes, kind)
+        if attributes.rstrip().endswith("/") and name in ("svg", "path"):
             continue
         if name in _RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            end = _RAW_ENDS[name].search(page, at)
             at = end.end() if end else n
             continue
         stack.append((name, new))
+        opened[name] += 1
         kind = new
     close()
     return out
 
 
+def _said(name: str, last: bool = False) -> str | None:
+    """What one class or other name says of an element: bad, good or nothing.
+
+    A name that holds a bad part is bad, whatever its other parts; with last,
+    only one that ends in it.
+    """
+    parts = [x for x in re.split(r"[-_]+", name) if x]
+    if not _STATES.isdisjoint(parts):
+        return None
+    parts = parts[-1:] if last else parts
+    bad = [x for x in parts if _BAD.fullmatch(x)]
+    if bad == ["header"] and not _OWN_HEADER.isdisjoint(parts):
+        return None
+    if bad:
+        return "bad"
+    return "good" if "-".join(parts) in _GOOD_NAMES or any(_GOOD.fullmatch(x) for x in parts) else None
+
+
 def _kind(name: str, attributes: str, outer: str) -> str:
-    if outer == "none" or name in NO_TEXT or _HIDDEN.search(attributes):
+    if outer == "none" or name in NO_TEXT or attributes and _HIDDEN.search(attributes):
         return "none"
     if outer == "boilerplate" or name in BOILERPLATE:
         return "boilerplate"
-    given = " ".join(v.strip("\"'") for v in _NAMES.findall(attributes)) if attributes else ""
-    if name in ARTICLE or given and _GOOD.search(given):
-        return "text"
-    if name == "header" and outer != "text" or given and name not in ("body", "html") and _BAD.search(given):
+    given = " ".join(v.strip("\"'") for v in _NAMES.findall(attributes)).lower().split() if attributes else []
+    said = {_said(x, name in ARTICLE) for x in given}  # an article has many names
+    if "bad" in said and name not in ("body", "html"):
+        return "boilerplate"
+    if name == "header" and outer != "text":
         return "boilerplate"
-    return outer
+    if name == "article" or "good" in said and name not in ("body", "html"):
+        return "text"
+    return "main" if name == "main" and outer == "undecided" else outer
 
 
 _KINDS = ("boilerplate", "undecided", "text")
@@ -245,7 +275,7 @@ def _passes(sieve: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (sieve[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def repeated_on_host(pages: DataFrame, window: int = REPEAT_BYTES) -> DataFrame:
+def repeated_on_host(pages: DataFrame, window: int = REPEAT_BYTES, hot_phrases: int = HOT_PHRASES) -> DataFrame:
     """(did, dh, hh, spans, least) of the strings of `window` bytes or more that stand on `least` pages of the host.
 
     Copies, that is pages of a host whose blocks but boilerplate are all the same, count as one page.
@@ -277,6 +307,7 @@ def repeated_on_host(pages: DataFrame, window: int = REPEAT_BYTES) -> DataFrame:
     runs = pages.transform(mapped, parse, "did long, dh long, hh long, mh long, a int, m long, low long, c long, seen binary, body binary").join(hot, ["hh", "low"])
     runs = cut(runs.join(copies.where("copies > 1"), ["hh", "mh"], "left").withColumn("pages", 1 / F.coalesce("copies", F.lit(1))).drop("mh", "low", "copies"))
     phrases = runs.groupBy("m", "c", "seen").agg(F.sum("pages").alias("pages"), F.min("least").alias("least"), F.min("body").alias("body"))
+    phrases, warm = split_hot(phrases, runs.select("m", "c", "seen").distinct().select("m"), hot_phrases)
 
     def mark(t: pa.Table) -> pa.Table:
         m, c, pages, least = (t.column(x).to_numpy() for x in ("m", "c", "pages", "least"))
@@ -293,7 +324,14 @@ def repeated_on_host(pages: DataFrame, window: int = REPEAT_BYTES) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
         return pa.table([pa.array([x[f] for x in rows], kind) for f, kind in enumerate(kinds)], names=["m", "c", "s", "e"])
 
-    marks = cut(phrases.repartition("m").sortWithinPartitions("m").transform(mapped, lambda it: by_trigger(it, "m", mark), "m long, c long, s array<int>, e array<int>"))
+    marks = phrases.repartition("m").sortWithinPartitions("m").transform(mapped, lambda it: by_trigger(it, "m", mark), "m long, c long, s array<int>, e array<int>")
+    if warm is not None:  # a host's template in ever new surroundings: windows are counted one by one
+        windows = window_hashes(warm, window, ["m", "c", "seen", "pages", "least"])
+        once = F.expr("CASE WHEN seen IS NULL OR substring(seen, j + 1, 1) = X'01' THEN pages ELSE 0 END")
+        counted = windows.groupBy("m", "w").agg(F.sum(once).alias("n"), F.min("least").alias("least")).where("n > least - 0.5").select("m", "w")
+        hits = windows.select("m", "c", "j", "w").join(counted, ["m", "w"], "left_semi").groupBy("m", "c").agg(F.collect_set("j").alias("s"))
+        marks = marks.unionByName(hits.withColumn("e", F.transform("s", lambda j: j + window)))
+    marks = cut(marks)
     spans = runs.select("did", "dh", "hh", "least", "a", "m", "c").join(marks, ["m", "c"])
     spans = spans.select("did", "dh", "hh", "least", F.expr("transform(arrays_zip(s, e), x -> struct(x.s + a as start, x.e + a as end))").alias("spans"))
     return spans.groupBy("did", "dh", "hh").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.min("least").alias("least"))
@@ -301,29 +339,23 @@ def repeated_on_host(pages: DataFrame, window: int = REPEAT_BYTES) -> DataFrame:
 
 def suffixes_on_pages(phrases: list[bytes], weights: list[np.ndarray], least: int, window: int) -> list[np.ndarray]:
     """Suffix array of a trigger's phrases, cut at window bytes: which suffixes stand on `least` pages; weights are pages by suffix."""
-    sizes = np.array([len(p) - window + 1 for p in phrases])
-    suffixes = [p[j : j + window] for p, n in zip(phrases, sizes, strict=True) for j in range(n)]
-    order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
-    ranked = [suffixes[i] for i in order]
-    first = np.fromiter((True, *(x != y for x, y in zip(ranked[1:], ranked, strict=False))), bool, len(ranked))
-    order = np.array(order)
-    shared = np.add.reduceat(np.concatenate(weights)[order], np.flatnonzero(first)) > least - 0.5
-    mark = np.zeros(len(order), bool)
-    mark[order] = shared[np.cumsum(first) - 1]
-    return np.split(mark, np.cumsum(sizes)[:-1])
-
-
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = REPEAT_BYTES) -> DataFrame:
+    rank, n = K.window_ranks(phrases, window)
+    shared = np.bincount(rank, np.concatenate(weights)) > least - 0.5
+    return np.split(shared[rank], np.cumsum(n)[:-1])
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = REPEAT_BYTES, hot: int = HOT_PHRASES) -> DataFrame:
     """One row per input row: id, url and text, the main text (empty if none).
 
     Null or empty html gives empty text; null urls form one host; rows that
     repeat an id are pages of their own unless their html is the same, too.
-    Other columns are ignored; an empty table gives no rows.
+    Other columns are ignored; an empty table gives no rows. Triggers of more
+    than `hot` distinct phrases are dealt window by window.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[^/]*//([^/?#]*)", 1))
     rows = pages.select(row_id(id_col).alias("did"), text_key(html_col).alias("dh"), F.col(url_col).alias("url"), F.xxhash64(host).alias("hh"), F.col(html_col).alias("html"))
     found = cut(_blocks(rows))
-    spans = cut(repeated_on_host(found, window))
+    spans = cut(repeated_on_host(found, window, hot))
 
     shared = pages.sparkSession.sparkContext.broadcast(_sieve(spans.select("dh")))
 
