@@ -210,14 +210,59 @@ def test_fingerprint(spark, docs, rows):
         form = re.sub(r"\s+", " ", unicodedata.normalize("NFC", t or "").upper().lower()).strip(" ")
         want[d, xxhash.xxh64_intdigest(form.encode(), 42) - (1 << 64 if xxhash.xxh64_intdigest(form.encode(), 42) >> 63 else 0)] += 1
     assert collections.Counter((r.doc_id, r.fp.high) for r in out) == want
-    ids = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("dh"))
-    order = sorted((r.did, r.dh) for r in ids.collect())
-    old, fingerprint.RANGE_ROWS = fingerprint.RANGE_ROWS, 20
-    try:
-        found = sorted((r.did, r.dh, r.next_did) for r in fingerprint.with_next(ids, ["did"]).collect())
-    finally:
-        fingerprint.RANGE_ROWS = old
-    assert found == sorted((a, h, order[(i + 1) % len(order)][0]) for i, (a, h) in enumerate(order))
+
+
+def _canonical(text):
+    return re.sub(r"[\s\x1c-\x1f\x85]+", " ", unicodedata.normalize("NFC", text).replace("ß", "ss").upper().lower()).strip(" ")
+
+
+def _likeness(a, b):
+    """From fingerprints as text: equal digests, else equal lanes at the block length that both have."""
+    (da, pa_, la), (db, pb, lb) = (x.split(".") for x in (a, b))
+    if da == db:
+        return 1.0
+    if pa_ != pb:
+        return None
+    la, lb = ([x[i : i + 16] for i in range(0, len(x), 16)] for x in (la, lb))
+    return sum(x == y for x, y in zip(la, lb, strict=False)) / max(len(la), len(lb), 1)
+
+
+@pytest.mark.parametrize("bits", [3, 128])
+def test_fingerprint_edits(spark, docs, rows, bits):
+    import xxhash
+
+    extra = [unicodedata.normalize(f, x) for x in ("tiếng Việt", "ǭ", "한국어", "각", "q\u0307\u0323", "क़ \u212b") for f in ("NFC", "NFD")]
+    more = spark.createDataFrame([(2000 + i, t) for i, t in enumerate(extra)], "doc_id long, text string")
+    given = docs.select("doc_id", "text").unionByName(more)
+    hashes = {r.t: r.dh for r in given.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("dh")).collect()}
+    order = sorted([(-1 if d is None else d, hashes[t or ""], t or "") for d, t, *_ in rows] + [(2000 + i, hashes[t], t) for i, t in enumerate(extra)])
+    groups = collections.defaultdict(list)
+    for d, _, t in order:
+        groups[_canonical(t)].append(d)
+    want = []
+    for i, (d, _, t) in enumerate(order):
+        after = order[(i + 1) % len(order)][2]
+        k = len(t) // 4
+        edited = t[: len(t) - k] + after[:k]
+        own = groups[_canonical(t)]
+        want.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), min(own), len(own), t, edited, after))
+    out = fingerprint.fingerprint_edits(given, bits).collect()
+    got = [(-1 if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256, -1 if r.class_id is None else r.class_id, r.class_size) for r in out]
+    assert sorted(got) == sorted(w[:5] for w in want)
+    if bits == 128:
+        digest = lambda t: f"{xxhash.xxh64_intdigest(_canonical(t).encode(), 42):016x}"
+        named = collections.defaultdict(list)
+        for w in want:
+            named[w[0], w[2]].append(w)
+        for r in out:
+            w = named[-1 if r.doc_id is None else r.doc_id, r.edited_sha256][0]
+            assert r.fingerprint[:16] == digest(w[5]) and r.edited_fingerprint[:16] == digest(w[6])
+            if (near := _likeness(r.fingerprint, r.edited_fingerprint)) is not None:
+                assert r.near_edited == near
+            assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and (r.near_next == 1) >= (_canonical(w[5]) == _canonical(w[7]))
+        for i in range(0, len(extra), 2):
+            a, b = (next(r for r in out if r.doc_id == 2000 + i + k) for k in (0, 1))
+            assert a.fingerprint == b.fingerprint and a.class_id == b.class_id == 2000 + i
 
 
 def test_html_text(spark):

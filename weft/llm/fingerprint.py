@@ -1,4 +1,4 @@
-"""Canonical exact digests of documents (DataFrame functions only).
+"""Canonical exact digests of documents (DataFrame and SQL functions only).
 
 A text's canonical form is NFC-composed, case-folded and has its white space
 folded. Its fingerprint is a 128-bit xxhash of the canonical form, followed by
@@ -16,70 +16,57 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.frames import NULL_ID, cut, row_id, table
+from weft.llm.frames import NULL_ID, cut, row_id, table, text_key
 
 #: Unicode white space; blocks of a fingerprint at most; least block length as a power of two.
 SPACE = r"[\s\x1C-\x1F\x85\p{Z}]+"
 MOST_BLOCKS = 16
 LEAST_POWER = 3
-RANGE_ROWS = 1_000  # documents of a range of neighbours, about
-MOST_RANGES = 1_024
 
 
 @functools.cache
-def _compositions() -> tuple[str, str, str, dict[str, str]]:
-    """From Unicode's rules: singletons, what they become, a character class that holds them, and the clusters of a base and one mark with a composed form."""
-    single, to, pairs = [], [], {}
-    for code in range(0x00C0, 0x30000):
-        c = chr(code)
-        whole = unicodedata.decomposition(c)
-        if not whole or whole[0] == "<":
-            continue
-        nfc = unicodedata.normalize("NFC", c)
-        if nfc != c and len(nfc) == 1:
-            single.append(c)
-            to.append(nfc)
-        elif nfc == c and len(parts := unicodedata.normalize("NFD", c)) == 2:
-            pairs[parts] = c
+def _not_composed() -> str:
+    """A character class of all that may differ in NFC: marks, vowels and finals of Hangul, characters with a canonical decomposition that NFC keeps."""
     spans: list[list[int]] = []
-    for code in map(ord, single):
-        if spans and code - spans[-1][1] < 64:
-            spans[-1][1] = code
-        else:
-            spans.append([code, code])
-    near = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) + "]"
-    return "".join(single), "".join(to), near, pairs
+    for code in range(0x80, 0x30000):
+        if not 0xD800 <= code < 0xE000 and unicodedata.normalize("NFC", chr(code)) != chr(code):
+            if spans and code == spans[-1][1] + 1:
+                spans[-1][1] = code
+            else:
+                spans.append([code, code])
+    return r"[\p{M}\x{1161}-\x{1175}\x{11A8}-\x{11C2}" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) + "]"
 
 
 def normalised(text: Column) -> Column:
-    """NFC for singletons and for a base with one combining mark; other text is returned as it is.
-
-    Texts without combining marks, nearly all, pass unchanged after two regular expressions.
-    """
-    single, to, near, pairs = _compositions()
-    known = F.create_map(*(F.lit(x) for p in sorted(pairs.items()) for x in p))
-    clusters = F.regexp_extract_all(text, F.lit(r"(?s)\P{M}\p{M}|."), F.lit(0))
-    composed = F.array_join(F.transform(clusters, lambda c: F.when(F.length(c) > 1, F.coalesce(F.element_at(known, c), c)).otherwise(c)), "")
-    text = F.when(text.rlike(r"\P{M}\p{M}"), composed).otherwise(text)
-    return F.when(text.rlike(near), F.translate(text, single, to)).otherwise(text)
+    """NFC. Texts in which nothing can change, nearly all, pass after one regular expression; the others go through the JVM's Unicode library, which Spark has for its collations."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.when(text.rlike(_not_composed()), composed).otherwise(text)
 
 
-def canonical(text: Column) -> Column:
-    """Normalised, case-folded, white space folded to one blank and trimmed; null counts as empty."""
-    folded = F.lower(F.upper(F.replace(normalised(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss"))))  # upper() leaves ß alone
-    return F.trim(F.regexp_replace(folded, SPACE, " "))
+def canonical(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """Adds column `name`: text normalised, case-folded, white space folded to one blank and trimmed; null counts as empty."""
+    df = df.withColumn(name, normalised(F.coalesce(text, F.lit(""))))  # a projection of its own: the others stay compiled
+    folded = F.lower(F.upper(F.replace(F.col(name), F.lit("ß"), F.lit("ss"))))  # upper() leaves ß alone
+    return df.withColumn(name, F.trim(F.regexp_replace(folded, SPACE, " ")))
 
 
 def _lanes(form: str, power: str) -> str:
     return f"CASE WHEN length({form}) = 0 THEN cast(array() as array<bigint>) ELSE transform(sequence(0L, (length({form}) - 1) div shiftleft(1L, {power})), i -> xxhash64(substring({form}, cast(i * shiftleft(1L, {power}) as int) + 1, cast(shiftleft(1L, {power}) as int)))) END"
 
 
-def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
+def digest(form: str, bits: int = 128) -> tuple[Column, Column]:
+    """High and low half of a form's digest; with fewer than 64 bits, for tests, digests collide."""
+    high, low = F.xxhash64(form), F.xxhash64(F.lit("weft"), F.col(form))
+    return (high, low) if bits >= 64 else (F.pmod(high, F.lit(1 << bits)), F.lit(0).cast("long"))
+
+
+def with_fingerprint(df: DataFrame, text: Column, name: str, bits: int = 128) -> DataFrame:
     """Adds struct column `name`: high and low half of the digest, power of the block length, lanes and coarse lanes."""
     form, power = f"{name}_form", f"{name}_power"
-    df = df.withColumn(form, canonical(text))
+    df = canonical(df, text, form)
     df = df.withColumn(power, F.greatest(F.lit(LEAST_POWER), F.ceil(F.log2(F.greatest(F.length(form), F.lit(1)) / MOST_BLOCKS))).cast("int"))
-    made = F.struct(F.xxhash64(form).alias("high"), F.xxhash64(F.lit("weft"), F.col(form)).alias("low"), F.col(power).alias("power"), F.expr(_lanes(form, power)).alias("lanes"), F.expr(_lanes(form, f"({power} + 1)")).alias("coarse"))
+    high, low = digest(form, bits)
+    made = F.struct(high.alias("high"), low.alias("low"), F.col(power).alias("power"), F.expr(_lanes(form, power)).alias("lanes"), F.expr(_lanes(form, f"({power} + 1)")).alias("coarse"))
     return df.withColumn(name, made).drop(form, power)
 
 
@@ -98,73 +85,102 @@ def likeness(a: str, b: str) -> Column:
     )
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, dh (hash of the raw text) and fp (with_fingerprint's struct)."""
-    rows = docs.select(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("dh"), F.col(text_col).alias("raw"))
-    return with_fingerprint(rows, F.col("raw"), "fp").drop("raw")
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(did, dh, text): the key of a row, and its text; null ids are one smallest id, null texts empty."""
+    return docs.select(row_id(id_col).alias("did"), text_key(text_col).alias("dh"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(high, low, class_id, class_size, verified) of the digests that several rows share.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, dh (hash of the raw text) and fp (with_fingerprint's struct).
 
-    verified: the canonical forms of these rows are equal byte by byte; rows of a
-    digest that is not verified are no class.
+    Null and empty texts have the digest of the empty form and no lanes; repeated
+    rows and null ids are rows of their own; other columns are ignored; texts are
+    read whole, however long; an empty table gives no rows.
     """
-    form = canonical(F.col(text_col))
-    rows = docs.select(row_id(id_col).alias("did"), form.alias("form")).select("did", "form", F.xxhash64("form").alias("high"), F.xxhash64(F.lit("weft"), F.col("form")).alias("low"))
-    hits = cut(rows.groupBy("high", "low").agg(F.count(F.lit(1)).alias("class_size"), F.min("did").alias("class_id")).where("class_size > 1"))
-    compared = rows.join(hits.select("high", "low"), ["high", "low"]).groupBy("high", "low").agg(F.min("form").alias("least"), F.max("form").alias("most"))
-    return hits.join(compared.select("high", "low", (F.col("least") == F.col("most")).alias("verified")), ["high", "low"])
-
+    rows = docs.select(F.col(id_col), text_key(text_col).alias("dh"), F.coalesce(F.col(text_col), F.lit("")).alias("raw"))
+    return with_fingerprint(rows, F.col("raw"), "fp").drop("raw")
 
-def _range_key(ids: Column, bounds: list[int]) -> Column:
-    """Number of bounds that are not above ids, by a balanced tree of comparisons."""
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(ids < bounds[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
+def links(rows: DataFrame) -> DataFrame:
+    """(did, dh, copies, prev): each distinct key of keyed() rows, how many rows have it, and the key before it in order, as (did, dh, chars).
 
-    return tree(0, len(bounds))
+    Before the first comes the last. Keys, without texts, are sorted by ranges;
+    what meets in one task is one row a range. Ties between rows of one id are
+    broken by dh, so that no id, null or not, makes a range of its own.
+    """
+    chars = F.length("text") if "text" in rows.columns else F.lit(0)
+    per = rows.groupBy("did", "dh").agg(F.count(F.lit(1)).alias("copies"), F.max(chars).cast("long").alias("chars"))
+    placed = cut(per.repartitionByRange("did", "dh").withColumn("part", F.spark_partition_id()))
+    own = F.struct("did", "dh", "chars")
+    last = placed.groupBy("part").agg(F.max(own).alias("last"))
+    before = last.select("part", F.coalesce(F.lag("last").over(Window.orderBy("part")), F.max("last").over(Window.partitionBy(F.lit(1)))).alias("before"))
+    within = Window.partitionBy("part").orderBy("did", "dh")
+    return placed.join(before, "part").select("did", "dh", "copies", F.coalesce(F.lag(own).over(within), F.col("before")).alias("prev"))
 
 
 def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
-    """Adds next_<c> for each carried column: its value in the next row by (did, dh); after the last comes the first.
+    """Adds to keyed() rows head, the first chars / 4 characters of the next row's text, and next_<c> for each carried column.
 
-    Rows are dealt by ranges of ids of about RANGE_ROWS rows, of which the
-    bounds are found beforehand; the first row of each range also goes, as a
-    ghost, to the end of the range before it.
+    The next row is that of the next key; of rows that repeat a key, each is
+    followed by the next of them. Whole texts move once, to their key; from there
+    only heads and carried columns go to the key before.
+    """
+    copy = F.row_number().over(Window.partitionBy("did", "dh").orderBy("did"))
+    at_home = rows.join(links(rows), ["did", "dh"]).withColumn("copy", copy)
+    head = lambda chars: F.substring("text", F.lit(1), F.floor(chars / 4).cast("int"))
+    sent = at_home.where("copy = 1").select(F.col("prev.did").alias("did"), F.col("prev.dh").alias("dh"), head(F.col("prev.chars")).alias("sent_head"), F.struct(*carried).alias("sent"))
+    both = at_home.join(sent, ["did", "dh"])
+    own = F.col("copy") < F.col("copies")
+    given = {"head": F.when(own, head(F.length("text"))).otherwise(F.col("sent_head"))} | {f"next_{c}": F.when(own, F.col(c)).otherwise(F.col(f"sent.{c}")) for c in carried}
+    return both.select(*rows.columns, *(c.alias(name) for name, c in given.items()))
+
+
+def classes(docs: DataFrame, found: DataFrame, bits: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """found, which has did, dh, high and low of all rows of docs, with class_id and class_size of the rows with equal canonical texts.
+
+    Rows of a digest are grouped by their canonical text, byte by byte; where a
+    digest has several, each is a class. class_id is the smallest did. Only texts
+    whose digest several rows share are brought to their canonical form again.
+    """
+    hits = cut(found.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("high", "low"))
+    raw = found.select("dh", "high", "low").join(hits, ["high", "low"], "left_semi").select("dh").distinct()
+    again = canonical(keyed(docs, id_col, text_col).join(raw, "dh", "left_semi"), F.col("text"), "form").drop("text")
+    high, low = digest("form", bits)
+    forms = again.select("did", "dh", "form", high.alias("high"), low.alias("low")).groupBy("high", "low", "form").agg(F.min("did").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    forms = cut(forms.select("high", "low", "class_id", "class_size", F.sha2("form", 256).alias("form_sha")))
+    several = forms.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("high", "low")
+    one = forms.join(several, ["high", "low"], "left_anti").drop("form_sha")
+    out = found.join(one, ["high", "low"], "left")
+    if not several.isEmpty():
+        named = again.select("did", "dh", high.alias("high"), low.alias("low"), F.sha2("form", 256).alias("form_sha")).distinct()
+        named = named.join(forms.join(several, ["high", "low"], "left_semi"), ["high", "low", "form_sha"]).select("did", "dh", F.col("class_id").alias("own_id"), F.col("class_size").alias("own_size"))
+        out = out.join(named, ["did", "dh"], "left").withColumns({"class_id": F.coalesce("own_id", "class_id"), "class_size": F.coalesce("own_size", "class_size")}).drop("own_id", "own_size")
+    return out.withColumns({"class_id": F.coalesce("class_id", "did"), "class_size": F.coalesce("class_size", F.lit(1).cast("long"))})
+
+
+def fingerprint_edits(docs: DataFrame, bits: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: its fingerprint, that of its edited text, their likeness and that to the next row, and its class.
+
+    The edited text has its last quarter, rounded down, replaced by the start of
+    the next row's text in order of id, or by all of it where that is shorter;
+    after the last row comes the first. Null texts are empty; null ids are the
+    smallest; rows that share an id are in order of a hash of their texts; other
+    columns are ignored; an empty table gives no rows.
     """
-    ids = rows.select("did", "dh")
-    total = ids.count()
-    parts = max(1, min(MOST_RANGES, total // RANGE_ROWS))
-    if not total:
-        return rows.select("*", *(F.col(c).alias(f"next_{c}") for c in carried))
-    bounds = sorted(set(ids.agg(F.percentile_approx("did", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0])) if parts > 1 else []
-    key = _range_key(F.col("did"), bounds)
-    firsts = sorted((r.key, r.first.did, r.first.dh) for r in ids.groupBy(key.alias("key")).agg(F.min(F.struct("did", "dh")).alias("first")).collect())
-    before = {(did, dh): firsts[i - 1][0] for i, (_, did, dh) in enumerate(firsts)}
-    at = F.create_map(*(x for (did, dh), k in before.items() for x in (F.lit(f"{did}/{dh}"), F.lit(k))))
-    ghosts = rows.where(F.col("did").isin([d for d, _ in before])).withColumn("key", F.element_at(at, F.concat_ws("/", "did", "dh"))).where("key is not null")
-    dealt = rows.withColumns({"key": key, "ghost": F.lit(0)}).unionByName(ghosts.withColumn("ghost", F.lit(1)))
-    order = Window.partitionBy("key").orderBy("ghost", "did", "dh")
-    return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried}).where("ghost = 0").drop("key", "ghost")
+    rows = with_next(with_fingerprint(keyed(docs, id_col, text_col), F.col("text"), "fp", bits), ["fp"])
+    rows = rows.withColumn("n_chars", F.length("text").cast("long"))
+    kept = F.col("n_chars") - F.floor(F.col("n_chars") / 4)
+    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), kept.cast("int")), F.col("head")))
+    rows = with_fingerprint(rows, F.col("edited"), "efp", bits)
+    rows = cut(rows.select(
+        "did", "dh", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp.high", "fp.low", as_text("fp").alias("fingerprint"), as_text("efp").alias("edited_fingerprint"),
+        likeness("fp", "efp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"),
+    ))
+    null = F.lit(NULL_ID)
+    names = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return classes(docs, rows, bits, id_col, text_col).select(F.nullif("did", null).alias(id_col), *names, F.nullif("class_id", null).alias("class_id"), "class_size")
 
 
 def op10_fingerprint(spark, sf_dir: str) -> DataFrame:
     """op10: fingerprints of documents and of their edited texts, with the class of equal canonical texts."""
-    docs = table(spark, sf_dir, "documents")
-    rows = docs.select(row_id("doc_id").alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("dh"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(rows, ["text"])
-    rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    cut_off = F.floor(F.col("n_chars") / 4).cast("int")
-    edited = F.concat(F.col("text").substr(F.lit(1), F.col("n_chars").cast("int") - cut_off), F.col("next_text").substr(F.lit(1), cut_off))
-    rows = rows.withColumn("edited", edited)
-    for name, text in (("fp", "text"), ("efp", "edited"), ("nfp", "next_text")):
-        rows = with_fingerprint(rows, F.col(text), name)
-    rows = rows.select("did", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", as_text("fp").alias("fingerprint"), as_text("efp").alias("edited_fingerprint"), likeness("fp", "efp").alias("near_edited"), likeness("fp", "nfp").alias("near_next"))
-    found = classes(docs).where("verified").select(F.col("high").alias("h"), F.col("low").alias("l"), "class_id")
-    rows = rows.join(found, (F.col("fp.high") == F.col("h")) & (F.col("fp.low") == F.col("l")), "left")
-    null = F.lit(NULL_ID)
-    return rows.select(F.nullif("did", null).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.nullif(F.coalesce("class_id", "did"), null).alias("class_id"))
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
