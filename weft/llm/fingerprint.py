@@ -26,15 +26,18 @@ LEAST_POWER = 3
 
 @functools.cache
 def _not_composed() -> str:
-    """A character class of all that may differ in NFC: marks, vowels and finals of Hangul, characters with a canonical decomposition that NFC keeps."""
+    """A pattern of all characters that may differ in NFC: marks, vowels and finals of Hangul, characters with a canonical decomposition that NFC keeps.
+
+    All are U+0300 or above, which is asked first: the class itself is slow.
+    """
     spans: list[list[int]] = []
-    for code in range(0x80, 0x30000):
+    for code in range(0x300, 0x30000):
         if not 0xD800 <= code < 0xE000 and unicodedata.normalize("NFC", chr(code)) != chr(code):
             if spans and code == spans[-1][1] + 1:
                 spans[-1][1] = code
             else:
                 spans.append([code, code])
-    return r"[\p{M}\x{1161}-\x{1175}\x{11A8}-\x{11C2}" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) + "]"
+    return r"(?=[^\x{0}-\x{2FF}])[\p{M}\x{1161}-\x{1175}\x{11A8}-\x{11C2}" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) + "]"
 
 
 def normalised(text: Column) -> Column:
