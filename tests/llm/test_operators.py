@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html
+import itertools
 import random
 import re
 import unicodedata
@@ -181,6 +182,41 @@ def test_licences(spark):
     assert [s.label for s in out[5].spans] == ["mit"] and out[5].spans[0].share == 1.0
 
 
+def _license_spans(text):
+    """Brute force: every place of a document at which a template's words may begin, by the longest common subsequence."""
+    words_ = [w.decode() for w in licences._words(text.encode())[0]]
+    labels = set()
+    best = {}
+    for label, template in licences.TEMPLATES:
+        t = [w.decode() for w in licences._words(template.encode())[0]]
+        for at in range(max(1, len(words_) - len(t) + 1)):
+            agreed = licences.common_words(words_[at : at + len(t)], t)
+            best[label] = max(best.get(label, 0), agreed / len(t))
+        if best[label] == 1:
+            labels.add(label)
+    return labels
+
+
+def test_licences_whole_texts(spark):
+    r = random.Random(2)
+    filler = lambda n: " ".join("".join(r.choices("abcde", k=4)) for _ in range(n))
+    names = [label for label, _ in licences.WHOLE]
+    texts = [f"{filler(30)}\n{text}\n{filler(50)}" for _, text in licences.WHOLE]
+    texts += [f"{filler(5)} {text} {filler(9)}" for _, text in licences.NOTICES]
+    changed = licences.WHOLE[3][1].replace("sublicense", "sub license").replace("the rights to use", "all the rights to use")
+    texts += [filler(40) + changed, " ".join([*(f"{t} {filler(400)}" for _, t in licences.WHOLE), filler(20_000), licences.WHOLE[3][1]])]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, words int")
+    out = {x.doc_id: x for x in licences.scan(docs).collect()}
+    for i, name in enumerate(names):
+        sure = [s for s in out[i].spans if s.share >= licences.LEAST_SHARE]
+        assert {s.label for s in sure} == {name} and max(s.share for s in sure) == 1.0 and name in _license_spans(texts[i])
+    for i, (label, _) in enumerate(licences.NOTICES, len(names)):
+        sure = {s.label for s in out[i].spans if s.share >= licences.LEAST_SHARE}
+        assert label in sure and sure <= _license_spans(texts[i])
+    assert {s.label for s in out[len(texts) - 2].spans if s.share >= 0.9} == {"mit"}
+    assert set(names) <= {s.label for s in out[len(texts) - 1].spans} and sum(s.label == "mit" and s.share == 1 for s in out[len(texts) - 1].spans) >= 2
+
+
 def test_mixing(docs, rows):
     out = mixing.mix(docs).collect()
     assert len(out) == len(rows)
@@ -393,6 +429,107 @@ def test_pipeline_keeps_mixed_and_unlabelled_documents(spark):
     assert {x.doc_id for x in corpus_pipeline.language_id(spark, docs.withColumn("lang", F.lit(None).cast("string")), "").collect()} == want
 
 
+@pytest.mark.parametrize("kinds", [3, 200])
+def test_viterbi_against_brute_force(kinds):
+    import numpy as np
+
+    r = np.random.default_rng(kinds)
+    lengths = [0, 1, 5, 2, 7, 0, 6]
+    codes = r.integers(0, 9, sum(lengths))
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    scores = r.normal(0, 4, (9, kinds)).astype(np.float32)
+    path = langid.viterbi(codes, first, scores, 3.0)
+    total = lambda doc, labels: sum(scores[c, k] for c, k in zip(doc, labels, strict=True)) - 3.0 * sum(a != b for a, b in zip(labels, labels[1:], strict=False))
+    for a, b in zip(first, first[1:], strict=False):
+        doc, got = codes[a:b], path[a:b].tolist()
+        assert all(0 <= k < kinds for k in got)
+        if kinds == 3:
+            best = max((total(doc, p) for p in itertools.product(range(kinds), repeat=len(doc))), default=0)
+        else:  # dynamic programming word by word
+            value = [0.0] * kinds
+            for i, c in enumerate(doc):
+                top = max(value)
+                value = [(max(v, top - 3.0) if i else 0.0) + scores[c, k] for k, v in enumerate(value)]
+            best = max(value) if len(doc) else 0
+        assert abs(total(doc, got) - best) < 1e-3
+
+
+def test_langid_letters_and_clashing_columns(spark):
+    r = random.Random(1)
+    labelled = [(i, _stems(r, lang, 30), lang) for i, lang in enumerate(["aa", "bb"] * 20)]
+    model = langid.fit(spark.createDataFrame(labelled, "doc_id long, text string, lang string"))
+    texts = ["² ½ Ⅷ 12", "th on ²", "sch ei " * 40_000, None, ""]
+    docs = spark.createDataFrame([(i, t, "x", 7, True) for i, t in enumerate(texts)], "doc_id long, text string, _lower string, lower int, lang_spans boolean")
+    out = {x.doc_id: x for x in langid.identify(docs, model).collect()}
+    assert [out[i].lang_pred for i in range(5)] == ["und", "aa", "bb", "und", "und"]
+    assert all(x["_lower"] == "x" and x["lower"] == 7 for x in out.values())
+    assert {x.doc_id for x in docs.where(langid.has_letter()).collect()} == {1, 2}
+
+
+def _near_components(given, n, num, den):
+    sets = [(d, frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if (w := words(t.translate(LOWER))) else frozenset()) for d, t in given]
+    label = {d: d for d, _ in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a, x in sets:
+            for b, y in sets:
+                if x and y and label[a] < label[b] and den * len(x & y) >= num * len(x | y):
+                    label[b], changed = label[a], True
+    return label
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    r = random.Random(9)
+    rows = [(i, _stems(r, lang, r.randint(20, 60)), lang, f"s{i % 4}" if i % 5 else None) for i, lang in enumerate(["aa", "bb", "cc"] * 15)]
+    rows += [(100 + i, rows[i][1], None, "s0") for i in range(12)]  # exact copies
+    rows += [(200 + i, rows[20 + i][1] + " th", None, "s1") for i in range(8)]  # near copies
+    rows += [(300, None, None, "s2"), (301, "", None, None), (302, "12 34", None, "s2"), (303, "²", "aa", "s2"), (304, rows[3][1], "aa", "s3"), (None, "on the er ing", None, "s1")]
+    docs = spark.createDataFrame([(*x, len(x[1] or ""), "e", 1) for x in rows], "doc_id long, text string, lang string, source string, n_chars int, score string, did int")
+    docs.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    at, given = {}, spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        at[name] = given = corpus_pipeline.cut(stage(spark, given, str(tmp_path)))
+        if name != "bpe":
+            assert given.schema.names == docs.schema.names
+            assert all(x.score == "e" and x.did == 1 for x in given.collect())
+    left = {d: t for d, t, *_ in rows if t and re.search(r"[^\W\d_]", t) and t != "²"}
+    assert {x.doc_id for x in at["language_id"].collect()} == set(left)
+    first = {}
+    for d, t in sorted(left.items(), key=lambda x: -1 if x[0] is None else x[0]):
+        first.setdefault(t, d)
+    exact = {d: t for t, d in first.items()}
+    assert {x.doc_id for x in at["exact_dedup"].collect()} == set(exact)
+    label = _near_components([(-1 if d is None else d, t) for d, t in exact.items()], 5, 4, 5)
+    near = {d: t for d, t in exact.items() if label[-1 if d is None else d] == (-1 if d is None else d)}
+    assert {x.doc_id for x in at["jaccard_join"].collect()} == set(near)
+    times = collections.Counter(x.doc_id for x in at["mixing"].collect())
+    plan = {x.doc_id: x for x in mixing.mix(at["jaccard_join"]).collect()}
+    assert set(plan) == set(near) and times == collections.Counter({d: x.copies for d, x in plan.items() if x.copies})
+    known = Tokenizer.from_file(bpe.default_tokenizer())
+    got = collections.Counter((x.doc_id, tuple(x.ids), x.text) for x in at["bpe"].collect())
+    assert got == collections.Counter({(d, tuple(known.encode(near[d], add_special_tokens=False).ids), near[d]): k for d, k in times.items()})
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == sum(times.values())
+
+
+def test_pipeline_stages_on_empty_tables(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, "").collect() == []
+
+
+def test_encode_settles_input_that_comes_from_a_shuffle(spark, docs):
+    assert bpe._settled(docs.select("doc_id")).inputFiles() and bpe._settled(docs.repartition(3).select("doc_id")).inputFiles()
+    plain = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    assert bpe._settled(plain) is plain
+
+
 def test_langid_sample_keeps_rare_languages(spark):
     rows = [(i, f"t{i}", "aa") for i in range(3000)] + [(None, f"n{i}", "bb") for i in range(1000)] + [(i, f"t{i}", "cc") for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

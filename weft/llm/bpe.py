@@ -8,9 +8,11 @@ words of all blocks are dealt into buckets by their hash, each bucket encodes a
 word the first time it meets it, and the ids go back to the block and the place
 that they came from, where they are joined by position. Texts are cut into blocks
 twice, for the words and for their places, which moves less than to store them;
-a block's key covers its words, so that input that differs between the two reads
-ends in an error and not in other ids. Decoding looks every id
-up in the id-to-piece table and concatenates the bytes.
+input that comes from a shuffle, whose rows a lost executor may bring in another
+order, is written as a table first. A block's key covers its words, so that input
+that still differs between the two reads ends in an error and not in other ids.
+Decoding joins every id with the id-to-piece table, which is as small as the
+vocabulary and at every worker, by position, and concatenates the pieces.
 
 No row holds more than a block, and no bucket more words at once than
 _WORDS_HELD, whatever words are frequent: a word comes once a block.
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.frames import mapped, table
+from weft.llm.frames import cut, mapped, table
 
 #: Before ASCII white space that follows a character which no definition counts as white space.
 BOUNDARY = r"(?<=[^\s\x1C-\x1F\x85\p{Z}\p{Cf}])(?=[\x20\x09-\x0D])"
@@ -38,6 +40,7 @@ _WORDS_AT_ONCE = 1 << 20
 _WORDS_PLACED = 1 << 17  # put into documents, or decoded, at once
 _WORDS_ENCODED = 1 << 12  # at once: an encoding takes far more room than its ids
 _WORDS_HELD = 1 << 20  # a bucket of more distinct words forgets and encodes again
+_BUCKET_BYTES = 32 << 20  # of text, for one bucket of words
 
 
 @functools.lru_cache(maxsize=2)
@@ -201,15 +204,23 @@ def _assembled(row: dict, tables: list[dict]) -> Iterator[pa.RecordBatch]:
         i = j
 
 
+def _settled(docs: DataFrame) -> DataFrame:
+    """docs, as a table if they come out of a shuffle or a cache and may come in another order when read again."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    return cut(docs) if "Exchange" in plan or "InMemory" in plan else docs
+
+
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_tokens and ids (array), as the whole text's encoding without added special tokens.
 
     Null and empty texts have no ids; repeated rows and null ids are kept as
     they are; other columns of docs are ignored; an empty table gives no rows.
     """
-    words = F.split(F.coalesce(F.col(text_col), F.lit("")), BOUNDARY, -1)
-    rows = docs.select(F.col(id_col).cast("long").alias("did"), words.alias("words"), F.monotonically_increasing_id().alias("row"))
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = _settled(docs.select(F.col(id_col).cast("long").alias("did"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    words = F.split("text", BOUNDARY, -1)
+    rows = docs.select("did", words.alias("words"), F.monotonically_increasing_id().alias("row"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // _BUCKET_BYTES)
     coded = _coded(_dealt(rows, buckets), buckets, tokenizer_path).withColumns({"kind": F.lit(0), "dids": F.lit(None).cast("array<long>"), "counts": F.lit(None).cast("array<int>")})
     placed = _placed(rows).withColumns({"kind": F.lit(1), "sizes": F.lit(None).cast("binary"), "data": F.lit(None).cast("binary")})
 
@@ -224,7 +235,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                     yield from _assembled(row, tables)
                     pa.default_memory_pool().release_unused()
 
-    both = coded.unionByName(placed).repartition("block").sortWithinPartitions("block", "kind")
+    both = coded.unionByName(placed).repartition(buckets, "block").sortWithinPartitions("block", "kind")
     return both.transform(mapped, run, "did long, n_tokens long, ids array<int>").withColumnRenamed("did", id_col)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from weft.llm import kernels as K
 from weft.llm.frames import cut, mapped, table
+from weft.llm.licence_texts import NOTICES, WHOLE
 from weft.llm.phrases import keyed, packed, unpack
 
 GRAM = 4
@@ -27,22 +28,7 @@ LEAST_SHARE = 0.6  # of a template's words, to label a document
 #: Phrases whose places count as such, with their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Wording of common license notices, label and text.
-TEMPLATES = (
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "Released under the MIT License"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-)
+TEMPLATES = NOTICES + WHOLE
 
 
 def _words(text: bytes) -> tuple[list[bytes], np.ndarray]:
@@ -61,9 +47,24 @@ def _template_grams(spark: SparkSession, gram: int) -> DataFrame:
     return spark.createDataFrame(rows, "gram long, template int, place int")
 
 
-def _beats(other: dict, span: dict) -> bool:
-    """Whether another template explains more of the same place."""
-    return other["share"] > span["share"] and other["start"] < span["end"] and span["start"] < other["end"]
+def _weight(span: dict) -> tuple[bool, int, float]:
+    return span["share"] >= LEAST_SHARE, span["words"], span["share"]
+
+
+def unbeaten(spans: list[dict]) -> list[dict]:
+    """The spans, in order, that no overlapping one explains better: by enough of its template, then by more words."""
+    spans = sorted(spans, key=lambda s: (s["start"], s["end"]))
+    beaten = [False] * len(spans)
+    open_: list[int] = []  # spans that have begun and not ended; at most as many as templates and votes at one place
+    for i, s in enumerate(spans):
+        open_ = [j for j in open_ if spans[j]["end"] > s["start"]]
+        for j in open_:
+            if _weight(spans[j]) > _weight(s):
+                beaten[i] = True
+            elif _weight(spans[j]) < _weight(s):
+                beaten[j] = True
+        open_.append(i)
+    return [s for s, gone in zip(spans, beaten, strict=True) if not gone]
 
 
 def common_words(a: list[bytes], b: list[bytes]) -> int:
@@ -80,7 +81,9 @@ def scan(docs: DataFrame, gram: int = GRAM, id_col: str = "doc_id", text_col: st
     """One row per input row: id, n_words, places (of the base phrases: word, label) and spans (start, end, label, share).
 
     Null and empty texts have no words, places or spans. Repeated rows and null
-    ids are rows of their own; other columns are ignored.
+    ids are rows of their own; other columns are ignored; an empty table gives no
+    rows. Texts are read whole; in a long one, each vote is verified on the words
+    around it alone, and spans are compared with those that they overlap.
     """
     rows = keyed(docs, id_col, text_col)
     spark = docs.sparkSession
@@ -134,11 +137,11 @@ def scan(docs: DataFrame, gram: int = GRAM, id_col: str = "doc_id", text_col: st
                         template = known[v["template"]]
                         lo = max(0, min(v["lo"], v["from"] - NEAR_DIAGONALS))
                         hi = min(len(words), max(v["hi"] + gram, v["to"] + len(template) + NEAR_DIAGONALS))
-                        share = common_words(words[lo:hi], template) / len(template)
-                        found.append({"start": max(0, min(v["lo"], v["from"])), "end": min(len(words), max(v["hi"] + gram, v["to"] + len(template))), "label": labels[v["template"]], "share": share})
+                        agreed = common_words(words[lo:hi], template)
+                        found.append({"words": agreed, "start": max(0, min(v["lo"], v["from"])), "end": min(len(words), max(v["hi"] + gram, v["to"] + len(template))), "label": labels[v["template"]], "share": agreed / len(template)})
                 counts.append(len(starts))
                 places.append(own)
-                spans.append([s for s in found if not any(_beats(o, s) for o in found)])
+                spans.append([{k: x for k, x in s.items() if k != "words"} for s in unbeaten(found)])
             yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(counts, pa.int64()), pa.array(places, place_type), pa.array(spans, span_type)], names=["did", "n_words", "places", "spans"])
 
     joined = packed(rows).join(per_doc, ["did", "dh"], "left").select("did", "z", "size", "votes")

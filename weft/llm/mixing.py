@@ -7,12 +7,14 @@ again and again where the target asks for repeats, and the inverse of the
 demand at a document's place in the queue is its training position. Documents
 are range-sorted by position.
 
-Places in a queue are prefix sums in two levels, over the sums of ORDER_BUCKETS
-buckets of a source and inside a bucket, so that no source meets in one task.
+Places in a queue are prefix sums in two levels, over the sums of a source's
+order buckets and inside a bucket, so that no source meets in one task.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SLOPES = (0.5, 0.0, -0.5)
 MOST_REPEATS = 3
-_BUCKET_HEX = 3  # 4,096 order buckets of each source
+_BUCKET_ROWS = 1 << 16  # documents of an order bucket, about
 
 
 def _dealt(values: tuple, rank: Column) -> Column:
@@ -59,15 +61,16 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = MOST_REPEATS,
     A copy is taken if its middle word falls within its source's target, so a
     source's sum is off by half a document at most. Documents are whole: taken is
     copies * size. Null texts have size 0, null sources form the last source, a
-    null id is an id like any other; empty documents are never taken. Rows come
+    null id takes its turn by its text; empty documents are never taken. Rows come
     sorted by first position, those not taken last. Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1")).alias("skey"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("turn"), F.xxhash64(text).alias("tie"),
+        F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), text))).alias("turn"), F.xxhash64(text).alias("tie"),
     )
-    rows = rows.withColumn("bucket", F.substring("turn", 1, _BUCKET_HEX))
+    digits = max(3, math.ceil(math.log(max(1, docs.count() / _BUCKET_ROWS), 16)))  # 4,096 order buckets of each source at least
+    rows = rows.withColumn("bucket", F.substring("turn", 1, digits))
     buckets = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("before", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0).cast("long")))
@@ -92,7 +95,7 @@ def op9_mixing(spark, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, 'null ' || coalesce(text, ''))) AS turn, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), ranked AS (
@@ -110,9 +113,9 @@ WITH sized AS (
          / (all_weight - sum(CASE WHEN capped THEN weight ELSE 0 END) OVER ())::DOUBLE END AS target
   FROM marked
 ), placed AS (
-  SELECT doc_id, source, size, (sum(size) OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR) ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS place FROM sized
+  SELECT doc_id, source, size, (sum(size) OVER (PARTITION BY source ORDER BY turn ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS place FROM sized
 )
 SELECT doc_id, size, source_size, target,
        CASE WHEN size > 0 THEN greatest(0, least(3, ceil((target - (place + size / 2.0)) / source_size)))::BIGINT * size ELSE 0 END AS taken
-FROM placed JOIN targets USING (source)
+FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source
 """
