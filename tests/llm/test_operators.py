@@ -526,8 +526,8 @@ def test_pipeline_stages_on_empty_tables(spark):
 
 def test_encode_settles_input_that_comes_from_a_shuffle(spark, docs):
     assert bpe._settled(docs.select("doc_id")).inputFiles() and bpe._settled(docs.repartition(3).select("doc_id")).inputFiles()
-    plain = spark.createDataFrame([(1, "a")], "doc_id long, text string")
-    assert bpe._settled(plain) is plain
+    for plain in (spark.createDataFrame([(1, "a")], "doc_id long, text string"), bpe.cut(docs.select("doc_id", "text"))):
+        assert bpe._settled(plain) is plain
 
 
 def test_langid_sample_keeps_rare_languages(spark):

@@ -21,6 +21,7 @@ _WORDS_HELD, whatever words are frequent: a word comes once a block.
 from __future__ import annotations
 
 import functools
+import json
 import os
 from array import array
 from collections.abc import Iterator
@@ -39,7 +40,7 @@ BOUNDARY = r"(?<=[^\s\x1C-\x1F\x85\p{Z}\p{Cf}])(?=[\x20\x09-\x0D])"
 _WORDS_AT_ONCE = 1 << 20
 _WORDS_PLACED = 1 << 17  # put into documents, or decoded, at once
 _WORDS_ENCODED = 1 << 12  # at once: an encoding takes far more room than its ids
-_WORDS_HELD = 1 << 20  # a bucket of more distinct words forgets and encodes again
+_WORDS_HELD = 1 << 18  # a bucket of more distinct words forgets and encodes again
 _BUCKET_BYTES = 32 << 20  # of text, for one bucket of words
 
 
@@ -59,7 +60,9 @@ def pieces(path: str) -> pa.Array:
     """Bytes of each id: the characters of byte-level vocabularies stand for bytes in a fixed order."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte_of = {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-    vocabulary = _tokenizer(path).get_vocab(with_added_tokens=True)
+    with open(path, encoding="utf-8") as file:  # the vocabulary alone: a tokenizer keeps far more
+        given = json.load(file)
+    vocabulary = given["model"]["vocab"] | {t["content"]: t["id"] for t in given["added_tokens"]}
     out = [b""] * (max(vocabulary.values()) + 1)
     for token, i in vocabulary.items():
         out[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
@@ -96,9 +99,22 @@ def _words(sizes: bytes, data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], limit: int = _WORDS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Batches together until they hold limit words."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch.column(1).flatten())
+        if n >= limit:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per block: its documents, the code of every word in order, and its distinct words by code."""
-    for batch in batches:
+    for batch in _gathered(batches):
         at = 0
         for lists in _word_lists(batch.column(1)):
             offsets = np.asarray(lists.offsets).astype(np.int64)
@@ -207,7 +223,7 @@ def _assembled(row: dict, tables: list[dict]) -> Iterator[pa.RecordBatch]:
 def _settled(docs: DataFrame) -> DataFrame:
     """docs, as a table if they come out of a shuffle or a cache and may come in another order when read again."""
     plan = docs._jdf.queryExecution().executedPlan().toString()
-    return cut(docs) if "Exchange" in plan or "InMemory" in plan else docs
+    return cut(docs) if "Exchange" in plan or "InMemoryTableScan" in plan else docs
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

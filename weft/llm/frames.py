@@ -16,6 +16,8 @@ __all__ = ["NULL_ID", "cut", "mapped", "release", "row_id", "shared_folder", "ta
 
 #: Stands for a null identifier inside the operators; smaller than any other.
 NULL_ID = -(2**63)
+#: Bytes of the batches that workers get, about; a longer row stands alone. Spark's own bound lets batches of whole texts add up in JVM and workers.
+BATCH_BYTES = 8 << 20
 
 
 def row_id(name: str) -> Column:
@@ -47,7 +49,8 @@ def release() -> None:
 
 
 def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow(work, schema); the worker gives its memory back after each task."""
+    """df.mapInArrow(work, schema) in batches of BATCH_BYTES; the worker gives its memory back after each task."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
