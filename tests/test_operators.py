@@ -128,8 +128,12 @@ def test_ingest(spark, tmp_path):
     assert sorted(r.member for r in ingest.catalogue(spark.createDataFrame([("C1:  A B C",)], "value string")).collect()) == ["A", "B", "C"]
     (tmp_path / "net.tsv").write_text("i1\ti2\tA\tB\t9606\t900\ni1\ti2\tshort\ni2\ti3\tB\tC\t9606\t0.5\n")
     assert {(r.src, r.dst): r.weight for r in ingest.read_network_tsv(spark, f"file://{tmp_path}/net.tsv").collect()} == {("A", "B"): 0.9, ("B", "C"): 0.5}
-    terms = spark.createDataFrame([("cell cycle (GO:0007049)",), ("Pathways 05200",)], "term string")
-    assert [(r.term_id, r.term_name) for r in ingest.parse_terms(terms).orderBy("term_id").collect()] == [("GO:0007049", "cell cycle"), ("hsa05200", "Pathways 05200")]
+    terms = spark.createDataFrame([("GO", "cell cycle (GO:0007049)"), (ingest.PATHWAYS, "Pathways in cancer Homo sapiens hsa05200"), (ingest.PATHWAYS, "Cancer 05200"), ("GO", "Cancer 05200"), (ingest.PATHWAYS, None)], "library string, term string")
+    got = {(r.library, r.term): (r.term_id, r.term_name, r.url.rpartition("/")[2]) for r in ingest.parse_terms(terms).collect()}
+    assert got["GO", "cell cycle (GO:0007049)"] == ("GO:0007049", "cell cycle", "GO:0007049")
+    assert got[ingest.PATHWAYS, "Pathways in cancer Homo sapiens hsa05200"] == ("hsa05200", "Pathways in cancer", "pathway+hsa05200")
+    assert got[ingest.PATHWAYS, "Cancer 05200"] == ("hsa05200", "Cancer", "pathway+hsa05200") and got["GO", "Cancer 05200"] == ("", "Cancer 05200", "")
+    assert got[ingest.PATHWAYS, None] == ("", "", "")
 
 
 def test_edges_are_canonical(spark):
@@ -158,5 +162,115 @@ def test_all_distances(spark, monkeypatch):
     assert max(d for *_, d in want) > 4 and max(near) > 40
     g = graph(spark, sorted(edges))
     monkeypatch.setattr(catalog, "part_graph", lambda *_: g)
-    got = [(x.source, x.node, x.d) for x in catalog.queries()["bfs_distances_all"](spark, "").collect()]
+    got = [(x.source, x.node, x.d) for x in catalog.queries()["bfs_distances"](spark, "").collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_batches_of_sources_give_the_same_values(spark, t1):
+    for f, name in ((centrality.closeness, "closeness"), (centrality.harmonic, "harmonic"), (centrality.betweenness, "betweenness")):
+        whole, parts = values(f(t1), name), values(f(t1, pairs=8), name)
+        assert len(centrality.batches_of(t1, pairs=8)) == 5 and all(close(whole[v], parts[v]) for v in whole)
+
+
+def test_small_communities_keep_the_outer_part(spark, t1):
+    got = {r.node: r for r in centrality.community_centralities(t1, members(spark, "cd", "a"), 0.2).collect()}
+    assert close(got["c"].ccbc, 6 / 10) and close(got["d"].ccbc, 6 / 10) and close(got["a"].ccbc, 0)  # alpha B / (alpha P)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_greedy_start_against_brute_force(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    edges = [(i, j, r.uniform(0.5, 3)) for i in range(9) for j in range(i) if r.random() < 0.45]
+    g = Graph.from_edges(spark.createDataFrame(edges, "src long, dst long, weight double"))
+    m = sum(w for *_, w in edges)
+    nodes = sorted({v for a, b, _ in edges for v in (a, b)})
+
+    def q(parts):
+        return sum(sum(w for a, b, w in edges if a in p and b in p) / m - (sum(w * ((a in p) + (b in p)) for a, b, w in edges) / (2 * m)) ** 2 for p in parts)
+
+    parts = [frozenset([v]) for v in nodes]
+    while True:
+        merged = [[x for x in parts if x not in (p, s)] + [p | s] for i, p in enumerate(parts) for s in parts[:i] if any((a in p and b in s) or (a in s and b in p) for a, b, _ in edges)]
+        best = max(merged, key=q, default=None)
+        if best is None or q(best) <= q(parts) + 1e-12:
+            break
+        parts = best
+    from weft.plans.detect import greedy
+
+    got = {}
+    for row in greedy(g).collect():
+        got.setdefault(row.cid, set()).add(row.node)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, parts))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "jaccard", "ra"])
+def test_merge_scan_against_brute_force(spark, metric):
+    import math
+    import random
+
+    r = random.Random(5)
+    edges = {(i, j) for i in range(30) for j in range(i) if r.random() < 0.15}
+    g = Graph.from_edges(spark.createDataFrame([(a, b, 1.0) for a, b in edges], "src long, dst long, weight double"))
+    degree = {v: sum(v in e for e in edges) for v in range(30)}
+    groups = [set(r.sample(range(30), r.randint(2, 12))) for _ in range(14)]
+    groups = [{v for v in x if degree[v]} for x in groups]
+    sim = {
+        "cosine": lambda a, b: len(a & b) / math.sqrt(len(a) * len(b)), "jaccard": lambda a, b: len(a & b) / len(a | b),
+        "ra": lambda a, b: sum(degree[v] ** -2 for v in a & b) / math.sqrt(sum(degree[v] ** -2 for v in a) * sum(degree[v] ** -2 for v in b)),
+    }[metric]
+    order = sorted(range(len(groups)), key=lambda i: (-len(groups[i]), i))
+    want, left = {i: set(groups[i]) for i in order}, []
+    for i in order:
+        into = next((j for j in left if want[i] & want[j] and len(want[i] & want[j]) / len(want[i]) >= 0.4 and sim(want[i], want[j]) >= 0.3), None)
+        if into is None:
+            left.append(i)
+        else:
+            want[into] |= want[i]
+    m = spark.createDataFrame([(i, v) for i, x in enumerate(groups) for v in x], "cid int, node long")
+    got = {}
+    for row in boundary.merge(g, m, metric, 0.3, 0.4).collect():
+        got.setdefault(row.cid, set()).add(row.node)
+    assert got == {i: want[i] for i in left}
+    assert len(left) < len(groups)
+
+
+def test_pages_and_thinned_histories(spark):
+    m = spark.createDataFrame([(c, f"{c}-{i}") for c in range(7) for i in range(7 - c)], "cid int, node string")
+    assert [(r.community_id, r["size"]) for r in cover.page(m, 2, 3).orderBy("community_id").collect()] == [(4, 4), (5, 3), (6, 2)]
+    assert [r.community_id for r in cover.page(m, 9, 3).collect()] == [7]
+    curve = spark.createDataFrame([("m", k, k) for k in range(1, 101)], "method string, k int, hits int")
+    assert sorted(r.k for r in rank.thinned(curve, "k", 30).collect()) == list(range(1, 101, 3))
+
+
+def test_exports(spark, t1, tmp_path):
+    from weft.plans import runner
+
+    runs, found = runner.run_all(t1, include=("EGONET",), seconds=100)
+    for _ in range(2):
+        runner.export(t1, runs, found, str(tmp_path), "a b")
+    assert spark.read.csv(f"{tmp_path}/a_b/summary", header=True).count() == 2  # grows
+    assert spark.read.csv(f"{tmp_path}/a_b/nodes", header=True).count() == 6
+    assert set(spark.read.csv(f"{tmp_path}/a_b/communities_long", header=True).columns) >= {"run_id", "community_id", "node"}
+    scores = centrality.degree_centrality(t1)
+    ranking = rank.to_ranking(scores, "degree")
+    curve = rank.recovery_curve(ranking, t1.nodes.where("node < 'c'"))
+    runner.export_evaluation(f"{tmp_path}/e", scores, ranking, curve, rank.curve_summary(curve))
+    assert spark.read.csv(f"{tmp_path}/e/curves", header=True).count() == 6
+
+
+def test_failed_metric_leaves_the_others(spark, t1, monkeypatch):
+    monkeypatch.setattr(metrics, "shen_modularity", lambda *a: 1 / 0)
+    row, failed = metrics.safe_panel(t1, members(spark, "abc", "def"))
+    assert list(failed) == ["shen_modularity"] and row["shen_modularity"] is None and close(row["modularity"], 0.357143) and row["n_communities"] == 2
+
+
+def test_cut_tables_can_be_cleared(spark):
+    import os
+
+    from weft.plans import lineage
+
+    df = lineage.cut(spark.range(3).toDF("x"))
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and lineage.shared_folder(spark).endswith(spark.sparkContext.applicationId)

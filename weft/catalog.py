@@ -54,9 +54,9 @@ THETAS = {"cosine": 0.05, "jaccard": 0.01, "dice": 0.02, "overlap": 0.4, "aa": 0
 
 _BASE = """
 op AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
-edges AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*)::DOUBLE AS weight FROM op a JOIN op b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(*) >= 2),
-adj AS (SELECT src AS node, dst AS nbr, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges),
-deg AS (SELECT node, count(*) AS degree, sum(weight) AS strength FROM adj GROUP BY node),
+edges AS MATERIALIZED (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*)::DOUBLE AS weight FROM op a JOIN op b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(*) >= 2),
+adj AS MATERIALIZED (SELECT src AS node, dst AS nbr, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges),
+deg AS MATERIALIZED (SELECT node, count(*) AS degree, sum(weight) AS strength FROM adj GROUP BY node),
 brand AS (SELECT p_brand AS cid, p_partkey AS node FROM part WHERE p_partkey IN (SELECT node FROM deg)),
 both_ AS (SELECT * FROM brand UNION ALL SELECT p_type, p_partkey FROM part WHERE p_partkey IN (SELECT node FROM deg)),
 cand AS (SELECT DISTINCT a.node, q.cid AS cand FROM adj a JOIN brand p ON a.node = p.node JOIN brand q ON a.nbr = q.node WHERE p.cid <> q.cid),
@@ -184,13 +184,16 @@ def _modularity(g, spark, d):
 
 @_on_graph(
     "community_metrics",
-    """SELECT cid, size, inner_n::BIGINT AS inner, cut::BIGINT AS cut, round(coalesce(2.0 * inner_n / nullif(size * (size - 1), 0), 0), 9) AS internal_edge_density,
+    """, o AS (SELECT node, count(*) AS t FROM both_ GROUP BY node), ins AS (SELECT m.cid, m.node, count(x.node) AS inside, count(*) AS degree FROM both_ m JOIN adj a ON a.node = m.node LEFT JOIN both_ x ON x.cid = m.cid AND x.node = a.nbr GROUP BY 1, 2),
+ bal AS (SELECT cid, sum((2 * inside - degree)::DOUBLE / (degree * t)) AS balance FROM ins JOIN o USING (node) GROUP BY 1)
+ SELECT cid, size, inner_n::BIGINT AS inner, cut::BIGINT AS cut, round(coalesce(2.0 * inner_n / nullif(size * (size - 1), 0), 0), 9) AS internal_edge_density,
  round(CASE WHEN size = 1 THEN 1 ELSE coalesce(cut::DOUBLE / nullif(2 * inner_n + cut, 0), 0) END, 9) AS conductance,
- round(CASE WHEN size = 1 THEN 1 ELSE coalesce(cut::DOUBLE / nullif(2 * inner_n + cut, 0), 0) END + coalesce(cut::DOUBLE / nullif(2 * (m - inner_n) + cut, 0), 0), 9) AS normalized_cut
- FROM cuts, (SELECT count(*) AS m FROM edges)""",
+ round(CASE WHEN size = 1 THEN 1 ELSE coalesce(cut::DOUBLE / nullif(2 * inner_n + cut, 0), 0) END + coalesce(cut::DOUBLE / nullif(2 * (m - inner_n) + cut, 0), 0), 9) AS normalized_cut,
+ round(balance / size * coalesce(2.0::DOUBLE * inner_n / nullif(size * (size - 1), 0), 0), 9) AS modularity_overlap
+ FROM cuts JOIN bal USING (cid), (SELECT count(*) AS m FROM edges)""",
 )
 def _community(g, spark, d):
-    return _rounded(metrics.community_metrics(g, brands_and_types(spark, d, g)).drop("modularity_overlap"), "internal_edge_density", "conductance", "normalized_cut")
+    return _rounded(metrics.community_metrics(g, brands_and_types(spark, d, g)), "internal_edge_density", "conductance", "normalized_cut", "modularity_overlap")
 
 
 @_on_graph(
@@ -253,9 +256,20 @@ def _triangles(g, spark, d):
     return two.join(e.select(F.col("src").alias("a"), F.col("dst").alias("c")), ["a", "c"], "left_semi").select("a", "b", "c")
 
 
-@_on_graph("kclique_communities")
+_TRI = "tri AS MATERIALIZED (SELECT a.src AS a, a.dst AS b, b.dst AS c FROM edges a JOIN edges b ON a.dst = b.src JOIN edges c ON c.src = a.src AND c.dst = b.dst)"
+_NUMBERED = ", per AS (SELECT k, count(*) AS size, min(node) AS least FROM found GROUP BY k), ord AS (SELECT k, (row_number() OVER (ORDER BY size DESC, least, k) - 1)::INT AS cid FROM per) SELECT cid, node FROM found JOIN ord USING (k)"
+
+
+@_on_graph(
+    "kclique_communities",
+    f""", found AS (SELECT DISTINCT k, unnest([a, b, c]) AS node FROM (SELECT a, b, c, min(k) AS k FROM lab JOIN id USING (t) GROUP BY ALL)) SELECT count(*) AS size, string_agg(node, ',' ORDER BY node) AS nodes FROM found GROUP BY k""",
+    f""", {_TRI}, id AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY a, b, c) AS t FROM tri),
+ side AS MATERIALIZED (SELECT t, a AS x, b AS y FROM id UNION ALL SELECT t, a, c FROM id UNION ALL SELECT t, b, c FROM id), link AS MATERIALIZED (SELECT DISTINCT p.t AS t, q.t AS u FROM side p JOIN side q USING (x, y)),
+ lab AS (SELECT t, t AS k FROM id UNION SELECT l.u, p.k FROM lab p JOIN link l ON l.t = p.t WHERE p.k < l.u)""",
+)
 def _kclique(g, spark, d):
-    return cover.relabel(detect.kclique(g, 3))
+    per = detect.kclique(g, 3).distinct().groupBy("cid").agg(F.count(F.lit(1)).alias("size"), F.sort_array(F.collect_list("node")).cast("array<string>").alias("nodes"))
+    return per.select("size", F.concat_ws(",", "nodes").alias("nodes"))
 
 
 @_on_graph("degree_centrality", "SELECT node, round(degree::DOUBLE / (SELECT count(*) - 1 FROM deg), 9) AS degree FROM deg")
@@ -263,20 +277,15 @@ def _degree(g, spark, d):
     return _rounded(centrality.degree_centrality(g), "degree")
 
 
-_BFS = ", dist AS (SELECT node AS source, node, 0 AS d FROM deg WHERE node <= 40 UNION SELECT x.source, a.nbr, x.d + 1 FROM dist x JOIN adj a ON a.node = x.node WHERE x.d < 4), near AS (SELECT source, node, min(d) AS d FROM dist GROUP BY 1, 2)"
+_BFS = """, dist(source, node, d) USING KEY (source, node) AS (
+  SELECT node, node, 0 FROM deg UNION
+  SELECT x.source, a.nbr, (min(x.d) + 1)::INT FROM dist x JOIN adj a ON a.node = x.node LEFT JOIN recurring.dist r ON r.source = x.source AND r.node = a.nbr WHERE r.node IS NULL GROUP BY 1, 2)"""
 
 
-@_on_graph("bfs_distances", " SELECT source, node, d FROM near", _BFS)
+@_on_graph("bfs_distances", " SELECT source, node, d FROM dist", _BFS)
 def _bfs(g, spark, d):
     from weft.operators.paths import distances
 
-    return distances(g, g.nodes.where("node <= 40")).where("d <= 4")
-
-
-@_on_graph("bfs_distances_all")
-def _bfs_all(g, spark, d):
-    from weft.operators.paths import distances
-
     return distances(g)
 
 
@@ -290,14 +299,14 @@ def _giant(g, spark, d):
     return g.giant().edges
 
 
-@_on_graph("closeness")
+@_on_graph("closeness", ", per AS (SELECT source AS node, count(*) - 1 AS r, sum(d) AS total FROM dist GROUP BY 1) SELECT node, round(r::DOUBLE / (SELECT count(*) - 1 FROM deg) * r / total, 9) AS closeness FROM per", _BFS)
 def _closeness(g, spark, d):
     return _rounded(centrality.closeness(g), "closeness")
 
 
-@_on_graph("harmonic")
+@_on_graph("harmonic", " SELECT source AS node, round(sum(1.0::DOUBLE / d), 6) AS harmonic FROM dist WHERE d > 0 GROUP BY 1", _BFS)
 def _harmonic(g, spark, d):
-    return _rounded(centrality.harmonic(g), "harmonic")
+    return _rounded(centrality.harmonic(g), "harmonic", digits=6)
 
 
 @_on_graph("subgraph_small_parts", "SELECT src, dst, weight FROM edges WHERE src IN (SELECT p_partkey FROM part WHERE p_size <= 25) AND dst IN (SELECT p_partkey FROM part WHERE p_size <= 25)")
@@ -305,9 +314,10 @@ def _subgraph(g, spark, d):
     return g.subgraph(table(spark, d, "part").where("p_size <= 25").select(F.col("p_partkey").alias("node"))).edges
 
 
-@_on_graph("ego_subgraph", "SELECT src, dst, weight FROM edges WHERE src IN (SELECT node FROM adj WHERE nbr <= 5 UNION SELECT node FROM deg WHERE node <= 5) AND dst IN (SELECT node FROM adj WHERE nbr <= 5 UNION SELECT node FROM deg WHERE node <= 5)")
+@_on_graph("ego_subgraph", ", hub AS (SELECT node FROM deg WHERE degree = (SELECT max(degree) FROM deg)), ego AS (SELECT node FROM hub UNION SELECT nbr FROM adj JOIN hub USING (node)) SELECT src, dst, weight FROM edges WHERE src IN (SELECT node FROM ego) AND dst IN (SELECT node FROM ego)")
 def _ego_subgraph(g, spark, d):
-    return g.ego(g.nodes.where("node <= 5")).edges
+    hubs = g.degrees.join(g.degrees.agg(F.max("degree").alias("degree")), "degree", "left_semi")
+    return g.ego(hubs.select("node")).edges
 
 
 _RANK = ", r AS (SELECT node, row_number() OVER (ORDER BY degree DESC, node) AS k FROM deg), j AS (SELECT k, sum((p_size <= 10)::INT) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)::BIGINT AS hits FROM r JOIN part ON p_partkey = node)"
@@ -330,25 +340,30 @@ def _auc(g, spark, d):
 
 @_on_graph("topk_rank_view", ", r AS (SELECT node, degree, strength, rank() OVER (ORDER BY degree DESC)::INT AS degree_rank, rank() OVER (ORDER BY strength DESC)::INT AS strength_rank FROM deg) SELECT * FROM r ORDER BY degree DESC, node LIMIT 25")
 def _topk(g, spark, d):
+    return rank.top_k(g.degrees, "degree", 25, "global")
+
+
+@_on_graph("topk_rank_in_view", ", r AS (SELECT node, degree, strength FROM deg ORDER BY degree DESC, node LIMIT 25) SELECT *, rank() OVER (ORDER BY degree DESC)::INT AS degree_rank, rank() OVER (ORDER BY strength DESC)::INT AS strength_rank FROM r")
+def _topk_view(g, spark, d):
     return rank.top_k(g.degrees, "degree", 25)
 
 
-@_on_graph("top_partner_selection", "SELECT CASE WHEN src <= 50 THEN dst ELSE src END AS node, max(weight) AS score FROM edges WHERE (src <= 50) <> (dst <= 50) GROUP BY 1 ORDER BY score DESC, node LIMIT 20")
+@_on_graph("top_partner_selection", ", s AS (SELECT node FROM brand WHERE cid < 'Brand#3') SELECT CASE WHEN src IN (SELECT node FROM s) THEN dst ELSE src END AS node, max(weight) AS score FROM edges WHERE (src IN (SELECT node FROM s)) <> (dst IN (SELECT node FROM s)) GROUP BY 1 ORDER BY score DESC, node LIMIT 20")
 def _partners(g, spark, d):
-    return ingest.top_partners(g.edges, g.nodes.where("node <= 50"), 20)
+    return ingest.top_partners(g.edges, brands(spark, d, g).where("cid < 'Brand#3'"), 20)
 
 
 @_add("mapping_audit")
 def _audit(spark, d):
     c = table(spark, d, "customer")
-    direct = c.where("c_custkey % 2 = 0").select(F.col("c_name").alias("query"), F.col("c_nationkey").cast("string").alias("stringId"), F.col("c_mktsegment").alias("preferredName"), F.lit(1).alias("priority"))
+    direct = c.where("c_acctbal > 0").select(F.col("c_name").alias("query"), F.col("c_nationkey").cast("string").alias("stringId"), F.col("c_mktsegment").alias("preferredName"), F.lit(1).alias("priority"))
     fallback = c.select(F.col("c_name").alias("query"), F.col("c_custkey").cast("string").alias("stringId"), F.col("c_mktsegment").alias("preferredName"), F.lit(2).alias("priority"))
     return ingest.mapping_audit(direct, fallback)
 
 
 _SQL["mapping_audit"] = """
 SELECT query, "stringId", "preferredName", priority FROM (
-  SELECT c_name AS query, c_nationkey::VARCHAR AS "stringId", c_mktsegment AS "preferredName", 1 AS priority FROM customer WHERE c_custkey % 2 = 0
+  SELECT c_name AS query, c_nationkey::VARCHAR AS "stringId", c_mktsegment AS "preferredName", 1 AS priority FROM customer WHERE c_acctbal > 0
   UNION ALL SELECT c_name, c_custkey::VARCHAR, c_mktsegment, 2 FROM customer)
 QUALIFY row_number() OVER (PARTITION BY query ORDER BY priority, "preferredName", "stringId") = 1
 """
@@ -389,19 +404,46 @@ def _uncovered(g, spark, d):
     return cover.uncovered(g, brands(spark, d, g).where("cid < 'Brand#3'"))
 
 
-@_on_graph("cn_ocd_components")
+_STRONG = _SALTON + """, sal AS MATERIALIZED (SELECT src, dst, weight, "both" / sqrt(u.degree::DOUBLE * v.degree) AS salton FROM cn JOIN edges USING (src, dst) JOIN deg u ON u.node = src JOIN deg v ON v.node = dst)"""
+_LINKS = """, both_ways AS MATERIALIZED (SELECT src AS node, dst AS nbr FROM kept UNION ALL SELECT dst, src FROM kept),
+ lab AS (SELECT node, node AS k FROM deg UNION SELECT l.nbr, p.k FROM lab p JOIN both_ways l ON l.node = p.node WHERE p.k < l.nbr), part_ AS MATERIALIZED (SELECT node, min(k) AS component FROM lab GROUP BY node)"""
+_CN = _STRONG + ", kept AS MATERIALIZED (SELECT src, dst FROM sal WHERE salton >= 0.4)" + _LINKS
+
+
+@_on_graph(
+    "cn_ocd_cover",
+    """, per AS (SELECT component, count(*) AS n, min(node) AS a, max(node) AS b FROM part_ GROUP BY 1),
+ grp AS MATERIALIZED (SELECT component AS cid, node FROM part_ JOIN per USING (component) WHERE n > 1 UNION SELECT component, p.nbr FROM per JOIN adj p ON p.node = a JOIN adj q ON q.node = b AND q.nbr = p.nbr WHERE n = 2),
+ free AS (SELECT node FROM part_ JOIN per USING (component) WHERE n = 1), hits AS (SELECT f.node, g.cid, count(*) AS h FROM free f JOIN adj a ON a.node = f.node JOIN grp g ON g.node = a.nbr GROUP BY 1, 2),
+ best AS (SELECT cid, node FROM hits QUALIFY rank() OVER (PARTITION BY node ORDER BY h DESC) = 1)
+ SELECT cid, node FROM grp UNION SELECT cid, node FROM best UNION SELECT node, node FROM free WHERE node NOT IN (SELECT node FROM best)""",
+    _CN,
+)
+def _cn_cover(g, spark, d):
+    return detect.common_neighbour_cover(g, 0.4)
+
+
+@_on_graph("cn_ocd_components", " SELECT node, component FROM part_", _CN)
 def _cn_components(g, spark, d):
     return detect.salton_components(g, 0.4)
 
 
-@_on_graph("umstmo")
+@_on_graph(
+    "umstmo",
+    ", found AS (SELECT component AS k, node FROM part_)" + _NUMBERED,
+    _STRONG + """, ends_ AS (SELECT src AS node, * FROM sal UNION ALL SELECT dst, * FROM sal),
+ kept AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT * FROM ends_ QUALIFY row_number() OVER (PARTITION BY node ORDER BY weight DESC, salton DESC, src DESC, dst DESC) = 1))""" + _LINKS,
+)
 def _umstmo(g, spark, d):
     return cover.relabel(detect.umstmo(g))
 
 
 def queries() -> dict[str, Query]:
+    from weft import catalog_ingest, catalog_suppliers  # noqa: F401  they add theirs
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Other names of the similarities.
 ALIASES = {
-    "salton": "cosine", "ochiai": "cosine", "cos": "cosine", "cosine": "cosine", "tanimoto": "jaccard", "jaccard": "jaccard", "sorensen": "dice", "dice": "dice",
-    "simpson": "overlap", "szymkiewicz_simpson": "overlap", "overlap": "overlap", "overlap_coefficient": "overlap", "adamic_adar": "aa", "adamic-adar": "aa", "aa": "aa", "resource_allocation": "ra", "resource-allocation": "ra", "ra": "ra",
+    "salton": "cosine", "cos": "cosine", "cosine": "cosine", "ochiai": "cosine", "jaccard": "jaccard", "tanimoto": "jaccard", "dice": "dice", "sorensen": "dice", "sorensen_dice": "dice",
+    "overlap": "overlap", "simpson": "overlap", "szymkiewicz_simpson": "overlap", "overlap_coefficient": "overlap", "aa": "aa", "adamic_adar": "aa", "ra": "ra", "resource_allocation": "ra",
 }
 METRICS = ("cosine", "jaccard", "dice", "overlap", "aa", "ra")
 
 
 def metric_name(name: str) -> str:
-    """The canonical name; an unknown one raises."""
-    key = name.strip().lower().replace(" ", "_")
+    """The canonical name, whatever its accents and whether blanks, hyphens or dashes join its words; none is cosine, an unknown one raises."""
+    plain = unicodedata.normalize("NFD", (name or "cosine").strip().lower().replace("ø", "o"))
+    key = re.sub(r"[\s\u2010-\u2015-]+", "_", "".join(c for c in plain if not unicodedata.combining(c)))
     if key not in ALIASES:
         raise ValueError(f"unknown similarity {name!r}; known: {', '.join(METRICS)}")
     return ALIASES[key]

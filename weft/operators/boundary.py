@@ -55,8 +55,8 @@ def community_pairs(membership: DataFrame) -> DataFrame:
     return a.join(b, "node").where("cid1 < cid2").groupBy("cid1", "cid2").agg(F.count(F.lit(1)).alias("shared"))
 
 
-def merge_needed(graph: Graph, membership: DataFrame, metric: str, theta_sim: float, theta_overlap: float) -> bool:
-    """Whether any first pair passes both tests of merging; if none does, the scan changes nothing."""
+def merge_pairs(graph: Graph, membership: DataFrame, metric: str, theta_sim: float, theta_overlap: float) -> DataFrame:
+    """(cid1, cid2): pairs that pass both tests of merging; if there are none, the scan changes nothing."""
     metric = metric_name(metric)
     w = node_weight(F.col("degree"), metric)
     sized = membership.join(graph.degrees, "node").groupBy("cid").agg(F.count(F.lit(1)).alias("size"), F.sum(w * w).alias("norm"))
@@ -65,7 +65,7 @@ def merge_needed(graph: Graph, membership: DataFrame, metric: str, theta_sim: fl
     one, two = (sized.select(F.col("cid").alias(f"cid{i}"), F.col("size").alias(f"s{i}"), F.col("norm").alias(f"n{i}")) for i in (1, 2))
     rows = shared.join(one, "cid1").join(two, "cid2")
     sim = similarity(metric, F.col("s1"), F.col("s2"), F.col("both"), F.col("dot"), F.col("n1"), F.col("n2"))
-    return not rows.where((F.col("both") / F.least("s1", "s2") >= theta_overlap) & (sim >= theta_sim)).isEmpty()
+    return rows.where((F.col("both") / F.least("s1", "s2") >= theta_overlap) & (sim >= theta_sim)).select("cid1", "cid2")
 
 
 def merge(graph: Graph, membership: DataFrame, metric: str = "cosine", theta_sim: float = 0.4, theta_overlap: float = 0.3) -> DataFrame:
@@ -76,7 +76,7 @@ def merge(graph: Graph, membership: DataFrame, metric: str = "cosine", theta_sim
     if a first pair passes.
     """
     metric = metric_name(metric)
-    if not merge_needed(graph, membership, metric, theta_sim, theta_overlap):
+    if merge_pairs(graph, membership, metric, theta_sim, theta_overlap).isEmpty():
         return membership
     w = node_weight(F.col("degree"), metric)
     weighted = membership.join(graph.degrees, "node").select("cid", "node", (w * w).alias("w"))

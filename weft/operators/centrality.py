@@ -24,33 +24,59 @@ def degree_centrality(graph: Graph) -> DataFrame:
     return graph.degrees.crossJoin(_single(graph)).select("node", F.coalesce(F.try_divide("degree", F.col("n") - 1), F.lit(0.0)).alias("degree"))
 
 
-def closeness(graph: Graph, dist: DataFrame | None = None) -> DataFrame:
+#: Pairs of nodes that a batch of sources may reach; bounds the state of all-pairs runs.
+BATCH_PAIRS = 100_000_000
+
+
+def batches_of(graph: Graph, sources: DataFrame | None = None, pairs: int | None = None) -> list[DataFrame]:
+    """The sources(node), all nodes if None, dealt by hash into batches of about pairs / nodes each."""
+    nodes = cut(graph.nodes.select("node") if sources is None else sources.select("node"))
+    n, k = graph.nodes.count(), nodes.count()
+    parts = max(1, -(-n * k // (pairs or BATCH_PAIRS)))
+    return [nodes.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == i) for i in range(parts)] if parts > 1 else [nodes]
+
+
+def _per_source(graph: Graph, dist: DataFrame | None, pairs: int | None, *aggregates) -> DataFrame:
+    """Aggregates of the distances from each node, of one batch of sources after another; only they are kept."""
+    if dist is not None:
+        return dist.groupBy(F.col("source").alias("node")).agg(*aggregates)
+    out = None
+    for some in batches_of(graph, pairs=pairs):
+        one = cut(distances(graph, some).groupBy(F.col("source").alias("node")).agg(*aggregates))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def closeness(graph: Graph, dist: DataFrame | None = None, pairs: int | None = None) -> DataFrame:
     """(r - 1) / sum of distances, times (r - 1) / (n - 1) where only r nodes are reachable; isolated nodes have 0."""
-    per = (distances(graph) if dist is None else dist).groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("r"), F.sum("d").alias("total"))
+    per = _per_source(graph, dist, pairs, F.count(F.lit(1)).alias("r"), F.sum("d").alias("total"))
     rows = graph.nodes.select("node").join(per, "node", "left").crossJoin(_single(graph))
     r = F.col("r") - 1
     return rows.select("node", F.coalesce(F.try_divide(r, F.col("n") - 1) * F.try_divide(r, F.col("total")), F.lit(0.0)).alias("closeness"))
 
 
-def harmonic(graph: Graph, dist: DataFrame | None = None) -> DataFrame:
+def harmonic(graph: Graph, dist: DataFrame | None = None, pairs: int | None = None) -> DataFrame:
     """Sum of 1 / distance."""
-    per = (distances(graph) if dist is None else dist).where("d > 0").groupBy(F.col("source").alias("node")).agg(F.sum(1 / F.col("d")).alias("harmonic"))
+    per = _per_source(graph, dist, pairs, F.sum(F.when(F.col("d") > 0, 1 / F.col("d"))).alias("harmonic"))
     return graph.nodes.select("node").join(per, "node", "left").na.fill(0.0, ["harmonic"])
 
 
-def betweenness(graph: Graph, normalised: bool = True, load: bool = False, sources: DataFrame | None = None) -> DataFrame:
+def betweenness(graph: Graph, normalised: bool = True, load: bool = False, sources: DataFrame | None = None, pairs: int | None = None) -> DataFrame:
     """Share of shortest paths through a node (load: of equally split flow); sources(node) samples and rescales."""
     name = "load" if load else "betweenness"
-    adj = scoped(graph)
-    start = (graph.nodes if sources is None else sources).select(F.lit(0).alias("scope"), F.col("node").alias("source"))
-    delta = dependencies(adj, shortest_paths(adj, start), load=load).groupBy("node").agg(F.sum("delta").alias(name))
+    adj, delta = cut(scoped(graph)), None
+    for some in batches_of(graph, sources, pairs):
+        start = some.select(F.lit(0).alias("scope"), F.col("node").alias("source"))
+        one = cut(dependencies(adj, shortest_paths(adj, start), load=load).groupBy("node").agg(F.sum("delta").alias(name)))
+        delta = one if delta is None else delta.unionByName(one)
+    delta = delta.groupBy("node").agg(F.sum(name).alias(name))
     rows = graph.nodes.select("node").join(delta, "node", "left").crossJoin(_single(graph))
     value = F.coalesce(F.col(name), F.lit(0.0))
     if sources is not None:
         rows = rows.crossJoin(sources.agg(F.count(F.lit(1)).alias("k")))
         value = value * F.col("n") / F.col("k")
-    pairs = (F.col("n") - 1) * (F.col("n") - 2)
-    scaled = F.when(pairs > 0, value / pairs).otherwise(0.0) if normalised else value / 2
+    ends = (F.col("n") - 1) * (F.col("n") - 2)
+    scaled = F.when(ends > 0, value / ends).otherwise(0.0) if normalised else value / 2
     return rows.select("node", scaled.alias(name))
 
 
@@ -216,8 +242,7 @@ def community_centralities(graph: Graph, membership: DataFrame, alpha: float = 0
         members = m.select(F.col("cid").alias("scope"), "node")
         # each community's members as sources, whole-graph paths, ends within the community
         in_scope = whole.drop("scope").join(m.select(F.col("cid").alias("scope"), F.col("node").alias("source")), "source")
-        all_adj = m.select(F.col("cid").alias("scope")).distinct().join(graph.adj.select("node", "nbr"))
-        part = dependencies(all_adj, in_scope.select("scope", "source", "node", "d", "sigma"), members)
+        part = dependencies(graph.adj.select("node", "nbr"), in_scope.select("scope", "source", "node", "d", "sigma"), members)
     else:
         part = dependencies(own, induced)
     within_b = part.groupBy(F.col("scope").alias("cid"), "node").agg((F.sum("delta") / 2).alias("bi"))
@@ -227,10 +252,7 @@ def community_centralities(graph: Graph, membership: DataFrame, alpha: float = 0
     bi = F.when(nk < 3, 0.0).otherwise(F.least(F.col("bi"), F.col("bg")))
     pk = F.when(nk < 3, 0.0).otherwise(pk) if domain == "graph" else pk
     room = pk + alpha * (pg - pk)
-    value = F.when(room > 0, (bi + alpha * (F.col("bg") - bi)) / room)
-    if domain == "graph":
-        value = F.when(nk < 3, 0.0).otherwise(value)
-    rows = rows.withColumn("ccbc", value)
+    rows = rows.withColumn("ccbc", F.when(room > 0, (bi + alpha * (F.col("bg") - bi)) / room))
     names = ("ccdc", "cccc", "ccbc")
     if aggregate == "max":
         scores = rows.groupBy("node").agg(*(F.max(c).alias(c) for c in names))

@@ -33,6 +33,14 @@ def postprocess(membership: DataFrame, min_size: int = 1) -> DataFrame:
     return relabel(m.join(sizes(m).where(F.col("size") >= min_size).select("cid"), "cid", "left_semi"))
 
 
+def page(membership: DataFrame, number: int, size: int = 25) -> DataFrame:
+    """(community_id, size, nodes): the communities of one page, 1-based both, of a relabelled cover; a number beyond the last page is that page."""
+    pages = (membership.agg(F.max("cid")).first()[0] or 0) // size + 1
+    first = (min(max(1, number), pages) - 1) * size
+    rows = membership.where((F.col("cid") >= first) & (F.col("cid") < first + size))
+    return rows.groupBy((F.col("cid") + 1).alias("community_id")).agg(F.count(F.lit(1)).alias("size"), F.sort_array(F.collect_list("node")).alias("nodes"))
+
+
 def uncovered(graph: Graph, membership: DataFrame) -> DataFrame:
     """(node) in no community; before any filter by size."""
     return graph.nodes.select("node").join(membership.select("node"), "node", "left_anti")

@@ -60,8 +60,10 @@ def dependencies(adj: DataFrame, paths: DataFrame, targets: DataFrame | None = N
     """(scope, source, node, delta): Brandes dependencies of the sources on the nodes, sources left out.
 
     targets(scope, node) restricts the ends that count. load shares a node's
-    flow equally among its predecessors instead of by their path counts.
+    flow equally among its predecessors instead of by their path counts. adj
+    (scope, node, nbr), or (node, nbr) where all scopes have the same paths.
     """
+    meet = [c for c in ("scope", "node") if c in adj.columns]
     paths = cut(paths)
     adj = cut(adj)
     ends = paths.withColumn("end", F.lit(1.0))
@@ -80,7 +82,7 @@ def dependencies(adj: DataFrame, paths: DataFrame, targets: DataFrame | None = N
             parts.append(here.select(*KEYS, "delta"))
         else:
             parts.append(here.select(*KEYS, F.lit(0.0).alias("delta")))
-        up = here.join(adj, ["scope", "node"]).select("scope", "source", F.col("nbr").alias("above"), "node", "sigma", "end", "delta")
+        up = here.join(adj, meet).select("scope", "source", F.col("nbr").alias("above"), "node", "sigma", "end", "delta")
         above = ends.where(F.col("d") == d - 1).select("scope", "source", F.col("node").alias("above"), F.col("sigma").alias("sigma_above"))
         up = up.join(above, ["scope", "source", "above"])
         if load:

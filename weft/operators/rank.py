@@ -15,8 +15,8 @@ def to_ranking(scores: DataFrame, method: str, column: str | None = None) -> Dat
     return scores.select(F.lit(method).alias("method"), F.row_number().over(order).alias("rank"), "node")
 
 
-def top_k(scores: DataFrame, column: str, k: int, rank_scope: str = "global") -> DataFrame:
-    """The k best nodes by column, with min-ranks <c>_rank of every score, in the view or among all nodes."""
+def top_k(scores: DataFrame, column: str, k: int, rank_scope: str = "view") -> DataFrame:
+    """The k best nodes by column, with min-ranks <c>_rank of every score, in the view or, with rank_scope global, among all nodes."""
     names = [c for c in scores.columns if c != "node"]
     ranked = lambda df: df.withColumns({f"{c}_rank": F.rank().over(Window.orderBy(F.desc(c))) for c in names})
     rows = ranked(scores) if rank_scope == "global" else scores
@@ -24,6 +24,17 @@ def top_k(scores: DataFrame, column: str, k: int, rank_scope: str = "global") ->
     return rows if rank_scope == "global" else ranked(rows)
 
 
+def as_texts(scores: DataFrame, digits: int = 6) -> DataFrame:
+    """Scores as texts of so many decimals; missing ones are empty."""
+    return scores.select("node", *(F.coalesce(F.format_string(f"%.{digits}f", F.col(c)), F.lit("")).alias(c) for c in scores.columns if c != "node"))
+
+
+def thinned(rows: DataFrame, order: str, most: int = 5_000) -> DataFrame:
+    """Every s-th row in order, from the first, s being the whole part of their number over most: for drawing long histories. order counts 1, 2, ..."""
+    step = max(1, rows.count() // most)
+    return rows.where((F.col(order) - 1) % step == 0)
+
+
 def recovery_curve(rankings: DataFrame, positives: DataFrame, k: int | None = None) -> DataFrame:
     """(method, k, hits): positives(node) among the first k of each ranking."""
     hit = positives.select("node").distinct().withColumn("hit", F.lit(1))

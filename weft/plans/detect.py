@@ -49,7 +49,40 @@ def boundary_overlap(graph: Graph, sim_metric: str = "cosine", theta_sim: float
 
 @register("CN_OCD", "Common neighbours", Param("theta_overlap", "float", 0.3, 0, 1, help="has no effect"), Param("theta_sim", "float", 0.4, 0, 1))
 def common_neighbours(graph: Graph, theta_overlap: float = 0.3, theta_sim: float = 0.4) -> DataFrame:
-    return kernel_cover(graph, lambda adj: local.common_neighbour(adj, theta_overlap, theta_sim))
+    """common_neighbour_cover, whose near-equal communities merge, smaller ones into the first larger one that is alike.
+
+    The merging is sequential; it runs in one group, and only if a first pair is alike.
+    """
+    found = cut(common_neighbour_cover(graph, theta_sim))
+    size = found.groupBy("cid").agg(F.count(F.lit(1)).alias("n"))
+    one, two = (size.select(F.col("cid").alias(f"cid{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
+    alike = boundary.community_pairs(found).join(one, "cid1").join(two, "cid2").where(F.col("shared") / F.sqrt(F.col("n1").cast("double") * F.col("n2")) >= theta_sim)
+    if alike.isEmpty():
+        return found
+    kind = graph.nodes.schema["node"].dataType.simpleString()
+
+    def merge(pdf):
+        import pandas as pd
+
+        groups = local.merge_similar([set(g.node) for _, g in pdf.groupby("cid")], lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5 >= theta_sim)
+        return pd.DataFrame([(i, v) for i, g in enumerate(groups) for v in g], columns=["cid", "node"])
+
+    return one_group(found, merge, f"cid long, node {kind}")
+
+
+def common_neighbour_cover(graph: Graph, theta_sim: float = 0.4) -> DataFrame:
+    """(cid, node): components of the edges of Salton similarity theta_sim; those of two nodes grow by their common neighbours;
+    nodes alone join all communities with most of their neighbours, as these are then, or stay alone."""
+    parts = cut(salton_components(graph, theta_sim))
+    size = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b"))
+    named = parts.join(size, "component")
+    near = graph.adj.select("node", "nbr")
+    grown = size.where("n = 2").join(near.withColumnsRenamed({"node": "a", "nbr": "x"}), "a").join(near.withColumnsRenamed({"node": "b", "nbr": "x"}), ["b", "x"])
+    grouped = cut(named.where("n > 1").select(F.col("component").alias("cid"), "node").unionByName(grown.select(F.col("component").alias("cid"), F.col("x").alias("node"))).distinct())
+    free = named.where("n = 1").select("node")
+    joined = cut(best_communities(graph, free, grouped))
+    alone = free.join(joined, "node", "left_anti").select(F.col("node").alias("cid"), "node")
+    return grouped.unionByName(joined).unionByName(alone).distinct()
 
 
 def salton_edges(graph: Graph) -> DataFrame:
@@ -81,7 +114,7 @@ def greedy(graph: Graph, resolution: float = 1.0) -> DataFrame:
 
 @register("DGM_CRISP", "Dismantling greedy modularity", Param("p", "float", 5.0, 0.1, 30), Param("exploration_prob", "float", 0.3, 0, 1), Param("seed", "int", 13579), Param("resolution", "float", 1.0, 0.1, 5), overlapping=False)
 def dismantling(graph: Graph, p: float = 5.0, exploration_prob: float = 0.3, seed: int = 13579, resolution: float = 1.0) -> DataFrame:
-    return kernel_cover(graph, lambda adj: local.dismantle_greedy(adj, p, exploration_prob, seed, resolution)[0])
+    return kernel_cover(graph, lambda adj: local.dismantle_greedy(adj, p, exploration_prob, seed, resolution, True)[0])
 
 
 def dismantling_history(graph: Graph, p: float = 5.0, exploration_prob: float = 0.3, seed: int = 13579, resolution: float = 1.0) -> DataFrame:
@@ -94,7 +127,7 @@ def dismantling_history(graph: Graph, p: float = 5.0, exploration_prob: float =
         adj: dict = {v: {} for v in sorted(set(pdf.src) | set(pdf.dst))}
         for a, b, w in zip(pdf.src, pdf.dst, pdf.weight, strict=True):
             adj[a][b] = adj[b][a] = w
-        return pd.DataFrame(local.dismantle_greedy(adj, p, exploration_prob, seed, resolution)[1], columns=["iter", "modularity", "maximum_modularity"])
+        return pd.DataFrame(local.dismantle_greedy(adj, p, exploration_prob, seed, resolution, True)[1], columns=["iter", "modularity", "maximum_modularity"])
 
     return one_group(rows, run, "iter int, modularity double, maximum_modularity double")
 

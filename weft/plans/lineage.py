@@ -9,17 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode alone one of our own will do where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="weft-checkpoints-"))
         base = spark.sparkContext.getCheckpointDir()
-    return base.rstrip("/")
+    return f"{base.rstrip('/')}/weft/{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: survives lost executors, ends the lineage."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/weft/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application has cut; results that read them must have been written by then."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

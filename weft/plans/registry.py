@@ -102,3 +102,15 @@ def detect(graph: Graph, key: str, **params) -> Clustering:
     d = detector(key)
     bound = d.bind(params)
     return Clustering(relabel(d.run(graph, bound).distinct()), graph, d.name, bound, d.overlapping)
+
+
+def with_stats(found: Clustering, part: DataFrame | None = None) -> Clustering:
+    """found with stats: communities, overlapping nodes, nodes by number of communities, and of the partition that it came from, if given, its communities, modularity and boundary nodes."""
+    from weft.operators import boundary, cover, metrics
+
+    per = {r.memberships: r.nodes for r in cover.count_histogram(found.graph, found.membership).collect() if r.memberships}
+    stats = {"final_k": found.membership.select("cid").distinct().count(), "overlap_nodes": sum(n for k, n in per.items() if k > 1), "membership_count_dist": dict(sorted(per.items()))}
+    if part is not None:
+        stats |= {"crisp_k": part.select("cid").distinct().count(), "crisp_modularity": metrics.modularity(found.graph, part).first()[0], "boundary_nodes": boundary.boundary_candidates(found.graph, part).select("node").distinct().count()}
+    found.stats = stats
+    return found

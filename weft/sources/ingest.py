@@ -49,13 +49,14 @@ def normalise_score(c: Column) -> Column:
     return F.when(x > 1, x / 1000).otherwise(x)
 
 
-def read_network_tsv(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
-    """(src, dst, weight) of a network table: positional with six fields at least, or by column name."""
-    if not header:
-        f = F.split("value", "\t")
-        rows = spark.read.text(path).where(F.size(f) >= 6)
-        return rows.select(f[2].alias("src"), f[3].alias("dst"), normalise_score(f[5]).alias("weight"), f[0].alias("src_id"), f[1].alias("dst_id"))
-    rows = spark.read.csv(path, sep="\t", header=True)
+def network_rows(lines: DataFrame, value: str = "value") -> DataFrame:
+    """(src, dst, weight, src_id, dst_id) of positional lines of six tab-separated fields at least; others are skipped."""
+    f = F.split(value, "\t")
+    return lines.where(F.size(f) >= 6).select(f[2].alias("src"), f[3].alias("dst"), normalise_score(f[5]).alias("weight"), f[0].alias("src_id"), f[1].alias("dst_id"))
+
+
+def named_network(rows: DataFrame) -> DataFrame:
+    """(src, dst, weight) of a table with named columns: preferred names before ids; without a score every edge weighs 1."""
     for a, b in (("preferredName_A", "preferredName_B"), ("stringId_A", "stringId_B")):
         if a in rows.columns and b in rows.columns:
             w = normalise_score(F.col("score")) if "score" in rows.columns else F.lit(1.0)
@@ -63,11 +64,20 @@ def read_network_tsv(spark: SparkSession, path: str, header: bool = False) -> Da
     raise ValueError("no columns of edge ends")
 
 
-def read_mapping_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """Positional mapping rows of six fields at least, with source direct and priority 1."""
-    f = F.split("value", "\t")
+def read_network_tsv(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
+    """(src, dst, weight) of a network table: positional, or by column name."""
+    return named_network(spark.read.csv(path, sep="\t", header=True)) if header else network_rows(spark.read.text(path))
+
+
+def mapping_rows(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Positional mapping rows of six tab-separated fields at least, with source direct and priority 1; others are skipped."""
+    f = F.split(value, "\t")
     names = ("queryItem", "queryIndex", "stringId", "ncbiTaxonId", "taxonName", "preferredName")
-    return spark.read.text(path).where(F.size(f) >= 6).select(*(f[i].alias(c) for i, c in enumerate(names)), F.lit("direct").alias("mapping_source"), F.lit(1).alias("priority"))
+    return lines.where(F.size(f) >= 6).select(*(f[i].alias(c) for i, c in enumerate(names)), F.lit("direct").alias("mapping_source"), F.lit(1).alias("priority"))
+
+
+def read_mapping_tsv(spark: SparkSession, path: str) -> DataFrame:
+    return mapping_rows(spark.read.text(path))
 
 
 def catalogue(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -81,15 +91,21 @@ def gene_sets(lines: DataFrame, value: str = "value") -> DataFrame:
     tabs = F.split(F.trim(value), "\t")
     f = F.when(F.size(tabs) < 2, F.split(F.trim(value), r"\s+")).otherwise(tabs)
     rows = lines.where(~F.ltrim(value).startswith("#")).select(f.alias("f")).where(F.size("f") >= 2)
-    rows = rows.select(F.trim(F.col("f")[0]).alias("hallmark"), F.explode(F.slice("f", 2, 1_000_000)).alias("gene"))
+    rows = rows.select(F.trim(F.col("f")[0]).alias("hallmark"), F.explode(F.slice("f", F.lit(2), F.size("f"))).alias("gene"))
     return rows.select("hallmark", F.upper(F.trim("gene")).alias("gene")).where("gene <> ''").distinct()
 
 
+def union_of_sets(sets: DataFrame) -> DataFrame:
+    """(gene, hallmarks): every gene of any set once, with the sets that hold it, in order."""
+    return sets.groupBy("gene").agg(F.sort_array(F.collect_set("hallmark")).alias("hallmarks"))
+
+
 def search_results(docs: DataFrame, results: str = "results") -> DataFrame:
-    """(accession, gene, protein): first row per accession of nested protein search results."""
-    r = docs.select(F.explode(results).alias("r"))
-    rows = r.select(F.col("r.primaryAccession").alias("accession"), F.col("r.genes")[0]["geneName"]["value"].alias("gene"), F.col("r.proteinDescription.recommendedName.fullName.value").alias("protein"))
-    return rows.where("accession is not null").dropDuplicates(["accession"])
+    """(accession, gene, protein): of nested protein search results the first per accession, by place in its document; null accessions are left out."""
+    r = docs.select(F.posexplode(results).alias("pos", "r"))
+    rows = r.select("pos", F.col("r.primaryAccession").alias("accession"), F.get(F.col("r.genes"), F.lit(0))["geneName"]["value"].alias("gene"), F.col("r.proteinDescription.recommendedName.fullName.value").alias("protein"))
+    first = F.min(F.struct("pos", "gene", "protein")).alias("first")
+    return rows.where("accession is not null").groupBy("accession").agg(first).select("accession", "first.gene", "first.protein")
 
 
 #: The three shapes of protein accessions.
@@ -174,21 +190,39 @@ def enrichment_rows(results: DataFrame, library: str = "library", rows: str = "r
     return r.select(F.col(library).alias("library"), c(0).try_cast("int").alias("rank"), c(1).alias("term"), c(2).try_cast("double").alias("p"), c(3).try_cast("double").alias("z"), c(4).try_cast("double").alias("combined"), F.coalesce(genes, c(5)).alias("genes"), c(6).try_cast("double").alias("adj_p"))
 
 
-def parse_terms(rows: DataFrame, term: str = "term") -> DataFrame:
-    """Adds term_id (GO:, hsa, map, or a bare five-digit number as hsa), term_name and url."""
-    t = F.col(term)
-    bare = F.regexp_extract(t, r"(?:^|\D)(\d{5})(?:\D|$)", 1)
-    found = F.regexp_extract(t, r"(GO:\d{7}|hsa\d{5}|map\d{5})", 1)
-    ident = F.when(found != "", found).when(bare != "", F.concat(F.lit("hsa"), bare))
-    name = F.trim(F.regexp_replace(F.regexp_replace(t, r"\(?(?:GO:\d{7}|hsa\d{5}|map\d{5})\)?", ""), r"\s+", " "))
-    url = F.when(F.col("term_id").startswith("GO:"), F.concat(F.lit("https://amigo.geneontology.org/amigo/term/"), F.col("term_id"))).when(F.col("term_id").isNotNull(), F.concat(F.lit("https://www.kegg.jp/entry/"), F.col("term_id")))
-    return rows.withColumn("term_id", ident).withColumn("term_name", name).withColumn("url", url)
+#: The library whose terms are pathways, and where terms are described.
+PATHWAYS = "KEGG Pathway"
+PATHWAY_URL = "https://www.genome.jp/entry/pathway+"
+TERM_URL = "https://amigo.geneontology.org/amigo/term/"
+
+
+def parse_terms(rows: DataFrame, term: str = "term", library: str = "library") -> DataFrame:
+    """Adds term_id, term_name and url, empty where there is none.
+
+    Pathways are named by hsa or map and five digits, or by five digits alone,
+    which are hsa's; their names lose the species. Other libraries have GO
+    identifiers. What marks the identifier leaves the name.
+    """
+    t = F.trim(F.coalesce(F.col(term), F.lit("")))
+    pathway = F.coalesce(F.col(library) == PATHWAYS, F.lit(False))
+    first = lambda *patterns: F.coalesce(*(F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in patterns))
+    marked = {"hsa": r"(?i)(hsa\d{5})", "map": r"(?i)(map\d{5})", "bare": r"(?i)(?:KEGG:)?(\d{5})"}
+    hsa, mapped, bare, go = (first(p) for p in (*marked.values(), r"(GO:\d{7})"))
+    ident = F.when(pathway, F.lower(F.coalesce(hsa, mapped, F.concat(F.lit("hsa"), bare)))).otherwise(go)
+    left = F.when(hsa.isNotNull(), F.regexp_replace(t, marked["hsa"], "")).when(mapped.isNotNull(), F.regexp_replace(t, marked["map"], "")).otherwise(F.regexp_replace(t, marked["bare"], ""))
+    left = F.regexp_replace(left, "[Hh]omo sapiens", "")
+    name = F.when(pathway, left).otherwise(F.regexp_replace(t, r"\s*\(?GO:\d{7}\)?\s*", " "))
+    name = F.trim(F.regexp_replace(F.btrim(F.trim(name), F.lit(" -()[]")), r"\s{2,}", " "))
+    found = F.coalesce(ident, F.lit(""))
+    out = rows.withColumns({"term_id": found, "term_name": F.when(found == "", t).otherwise(name)})
+    url = F.when(F.col("term_id") == "", "").otherwise(F.concat(F.when(pathway, PATHWAY_URL).otherwise(TERM_URL), F.col("term_id")))
+    return out.withColumn("url", url)
 
 
 def gene_list(c: Column) -> Column:
-    """Distinct genes in order: split at semicolons, else commas, else blanks."""
-    parts = F.when(c.contains(";"), F.split(c, ";")).when(c.contains(","), F.split(c, ",")).otherwise(F.split(c, " "))
-    return F.array_distinct(F.filter(F.transform(parts, F.trim), lambda x: x != ""))
+    """Distinct genes in order: split at semicolons, else commas, else white space."""
+    parts = F.when(c.contains(";"), F.split(c, ";")).when(c.contains(","), F.split(c, ",")).otherwise(F.split(c, r"\s+"))
+    return F.array_distinct(F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != ""))
 
 
 def top_terms(rows: DataFrame, keys: tuple[str, ...] = ("cid", "library"), most: float = 0.05, n: int = 10) -> DataFrame:
