@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from weft.llm import kernels as K
 from weft.llm.frames import NULL_ID, cut, mapped, row_id, table, text_key
-from weft.llm.phrases import HOT_PHRASES, by_trigger, split_hot, window_hashes
+from weft.llm.phrases import HOT_PHRASES, by_trigger, hot_marks, split_hot
 
 #: Bytes of a repeated substring at least, and of its trigger's slice.
 REPEAT_BYTES = 48
@@ -326,11 +326,8 @@ def repeated_on_host(pages: DataFrame, window: int = REPEAT_BYTES, hot_phrases:
 
     marks = phrases.repartition("m").sortWithinPartitions("m").transform(mapped, lambda it: by_trigger(it, "m", mark), "m long, c long, s array<int>, e array<int>")
     if warm is not None:  # a host's template in ever new surroundings: windows are counted one by one
-        windows = window_hashes(warm, window, ["m", "c", "seen", "pages", "least"])
-        once = F.expr("CASE WHEN seen IS NULL OR substring(seen, j + 1, 1) = X'01' THEN pages ELSE 0 END")
-        counted = windows.groupBy("m", "w").agg(F.sum(once).alias("n"), F.min("least").alias("least")).where("n > least - 0.5").select("m", "w")
-        hits = windows.select("m", "c", "j", "w").join(counted, ["m", "w"], "left_semi").groupBy("m", "c").agg(F.collect_set("j").alias("s"))
-        marks = marks.unionByName(hits.withColumn("e", F.transform("s", lambda j: j + window)))
+        warm = warm.select("m", "c", F.col("pages").cast("double").alias("weight"), F.col("seen").alias("flags"), (F.col("least") - 0.5).cast("double").alias("least"), "body")
+        marks = marks.unionByName(hot_marks(warm, window).withColumn("e", F.transform("s", lambda j: j + window)))
     marks = cut(marks)
     spans = runs.select("did", "dh", "hh", "least", "a", "m", "c").join(marks, ["m", "c"])
     spans = spans.select("did", "dh", "hh", "least", F.expr("transform(arrays_zip(s, e), x -> struct(x.s + a as start, x.e + a as end))").alias("spans"))

@@ -23,6 +23,7 @@ from weft.llm.frames import cut, mapped, row_id, text_key
 
 #: Distinct phrases of a trigger beyond which its windows are dealt one by one.
 HOT_PHRASES = 512
+SPLIT = 16  # parts of the windows of such a trigger
 PARSE_SCHEMA = "did long, dh long, a int, n int, m long, c long"
 
 
@@ -94,23 +95,57 @@ def split_hot(dictionary: DataFrame, triggers: DataFrame, most: int = HOT_PHRASE
     return dictionary.join(hot, "m", "left_anti"), dictionary.join(hot, "m", "left_semi")
 
 
-def window_hashes(dictionary: DataFrame, window: int, columns: list[str]) -> DataFrame:
-    """The given columns and, for every window of the phrase `body`, its place j and hash w."""
+def hot_marks(dictionary: DataFrame, window: int) -> DataFrame:
+    """(m, c, s): places of windows in a phrase whose weights, summed over the equal windows of the trigger, exceed `least`.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    dictionary: m, c, weight, flags (binary, a byte a window, 0 for one that does
+    not count; null: all count), least, body. A trigger's windows are dealt by
+    bits of their own hashes, packed by phrase, so that its phrases meet in many
+    tasks, each with a part of the windows. A phrase may have several rows.
+    """
+    reach = K.BYTE_REACH if window > K.BYTE_REACH else 0
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = K.text_buffer(batch.column(len(columns)))
+            data, offsets = K.text_buffer(batch.column(5))
             for i, j, part, offs in K.document_chunks(data, offsets):
-                width = window - K.BYTE_REACH if window > K.BYTE_REACH else window
-                rolled = K.rolling_hashes(K.prefix_sums(K.byte_grams(part) if window > K.BYTE_REACH else K.byte_values(part)), width).view(np.int64)
+                rows = batch.slice(i, j - i)
+                m, c, weight, least = (np.asarray(rows.column(x)) for x in ("m", "c", "weight", "least"))
+                rolled = K.rolling_hashes(K.prefix_sums(K.byte_grams(part) if reach else K.byte_values(part)), window - reach)
                 n = np.diff(offs) - window + 1
-                ends = np.concatenate([[0], np.cumsum(n)])
-                flat = rolled[np.repeat(offs[:-1] - ends[:-1], n) + np.arange(ends[-1])]
-                w = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-1]), w], names=[*columns, "w"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dictionary.select(*columns).schema)
-    return mapped(dictionary.select(*columns, "body"), run, f"{schema}, w array<long>").select(*columns, F.posexplode("w").alias("j", "w"))
+                ends = np.cumsum(n)
+                owner, place = np.repeat(np.arange(j - i), n), np.arange(ends[-1]) - np.repeat(ends - n, n)
+                w = rolled[offs[:-1][owner] + place].view(np.int64)
+                x = weight[owner] * np.concatenate([np.frombuffer(f, np.uint8) if f else np.ones(k) for f, k in zip(rows.column("flags").to_pylist(), n.tolist(), strict=True)])
+                bucket = w & (SPLIT - 1)
+                order = np.lexsort((bucket, owner))
+                owner, bucket = owner[order], bucket[order]
+                first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])]))
+                lists = pa.array(np.append(first, len(order)).astype(np.int32))
+                key = K.mix(m[owner[first]].view(np.uint64) + bucket[first].astype(np.uint64), K._MIX_C).view(np.int64)
+                packed_ = (pa.ListArray.from_arrays(lists, pa.array(v)) for v in (place[order].astype(np.int32), w[order], x[order]))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(m[owner[first]]), pa.array(c[owner[first]]), pa.array(least[owner[first]]), *packed_], names=["k", "m", "c", "least", "s", "w", "x"])
+
+    def count(t: pa.Table) -> pa.Table | None:
+        k = t.column("k").to_numpy()
+        w, x = (t.column(f).combine_chunks().flatten().to_numpy() for f in ("w", "x"))
+        s = t.column("s").combine_chunks()
+        size = np.diff(np.asarray(s.offsets))
+        row = np.repeat(np.arange(len(k)), size)
+        group = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))[row]
+        order = np.lexsort((w, group))
+        new = np.concatenate([[True], (w[order][1:] != w[order][:-1]) | (group[order][1:] != group[order][:-1])])
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        hit = np.bincount(of, x)[of] > t.column("least").to_numpy()[row]
+        kept = np.bincount(row[hit], minlength=len(k))
+        some = pa.array(kept > 0)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept[kept > 0])]).astype(np.int32)), pa.array(s.flatten().to_numpy()[hit]))
+        return pa.table([t.column("m").filter(some), t.column("c").filter(some), lists], names=["m", "c", "s"])
+
+    rows = dictionary.select("m", "c", "weight", "flags", "least", "body")
+    dealt = mapped(rows, pack, "k long, m long, c long, least double, s array<int>, w array<long>, x array<double>")
+    return mapped(dealt.repartition("k").sortWithinPartitions("k"), lambda it: by_trigger(it, "k", count), "m long, c long, s array<int>")
 
 
 def by_trigger(batches: Iterator[pa.RecordBatch], key: str, work: Callable[[pa.Table], pa.Table | None]) -> Iterator[pa.RecordBatch]:

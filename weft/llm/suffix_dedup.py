@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from weft.llm import kernels as K
 from weft.llm.frames import cut, mapped
-from weft.llm.phrases import HOT_PHRASES, by_trigger, keyed, packed, parse, split_hot, unpack, window_hashes
+from weft.llm.phrases import HOT_PHRASES, by_trigger, hot_marks, keyed, packed, parse, split_hot, unpack
 
 ANCHOR_SHARE = 0.32  # of a window's bytes, for the trigger's slice
 
@@ -102,10 +102,8 @@ def duplicate_spans(docs: DataFrame, window: int = 200, id_col: str = "doc_id",
 
     marks = dictionary.repartition("m").sortWithinPartitions("m").transform(mapped, lambda it: by_trigger(it, "m", mark), "m long, c long, s array<int>, e array<int>")
     if warm is not None:
-        windows = window_hashes(warm, window, ["m", "c", "seen"])
-        counted = windows.groupBy("m", "w").agg(F.sum("seen").alias("n")).where("n > 1").select("m", "w")
-        hits = windows.select("m", "c", "j", "w").join(counted, ["m", "w"], "left_semi").groupBy("m", "c").agg(F.collect_list("j").alias("s"))
-        marks = marks.unionByName(hits.withColumn("e", F.transform("s", lambda j: j + 1)))
+        warm = warm.select("m", "c", F.col("seen").cast("double").alias("weight"), F.lit(None).cast("binary").alias("flags"), F.lit(1.5).alias("least"), "body")
+        marks = marks.unionByName(hot_marks(warm, window).withColumn("e", F.transform("s", lambda j: j + 1)))
     spans = found.where("alike").select("did", "dh", F.array("a").alias("s"), F.array(F.col("a") + F.col("n") + F.lit(window - 1)).alias("e"))
     spans = spans.unionByName(mixed.join(marks, ["m", "c"]).select("did", "dh", F.expr("transform(s, x -> x + a)").alias("s"), F.expr(f"transform(e, x -> x + a + {window - 1})").alias("e")))
     return spans.groupBy("did", "dh").agg(F.flatten(F.collect_list("s")).alias("starts"), F.flatten(F.collect_list("e")).alias("ends"))
