@@ -108,3 +108,86 @@ def test_kernels_are_whole():
             link(a + j, bounds[-2] + j)
     found = kernels.local_communities(hub, 0)
     assert len(found) > 5 and all(any(u in c for c in found) for u in hub[0])
+
+
+def planted(groups: int, size: int, inside: float, across: float, seed: int):
+    import random
+
+    r, n = random.Random(seed), groups * size
+    adj = {v: {} for v in range(n)}
+    for a in range(n):
+        for b in range(a):
+            if r.random() < (inside if a // size == b // size else across):
+                adj[a][b] = adj[b][a] = 1.0
+    return adj, [set(range(i * size, (i + 1) * size)) for i in range(groups)]
+
+
+def test_greedy_modularity_against_brute_force():
+    import random
+
+    from weft.plans import kernels
+
+    for seed in range(20):
+        r = random.Random(seed)
+        adj = {v: {} for v in range(9)}
+        for a in range(9):
+            for b in range(a):
+                if r.random() < 0.4:
+                    adj[a][b] = adj[b][a] = r.uniform(0.1, 2.0)  # no ties
+        parts = [{v} for v in adj]
+        while len(parts) > 1:  # every pair of linked communities, by modularity itself
+            now = kernels.modularity(adj, parts)
+            linked = [(i, j) for i in range(len(parts)) for j in range(i) if any(u in parts[j] for v in parts[i] for u in adj[v])]
+            tried = {(i, j): kernels.modularity(adj, [s for k, s in enumerate(parts) if k not in (i, j)] + [parts[i] | parts[j]]) for i, j in linked}
+            if not tried or max(tried.values()) < now:
+                break
+            i, j = max(tried, key=tried.get)
+            parts = [s for k, s in enumerate(parts) if k not in (i, j)] + [parts[i] | parts[j]]
+        assert sorted(map(sorted, kernels.greedy_modularity(adj))) == sorted(map(sorted, parts))
+
+
+def test_dismantling():
+    import random
+
+    from weft.plans import kernels
+
+    adj, truth = planted(4, 12, 0.5, 0.05, 3)
+    parts = [*truth[:3], *({v} for v in truth[3])]
+    for seed in range(30):
+        out = kernels.dismantled(adj, parts, random.Random(seed))
+        assert sorted(v for s in out for v in s) == sorted(adj)
+        assert sum(s not in out for s in parts) == 1 and all(s in out for s in parts[3:])  # single nodes are not taken apart
+    alone = [{v} for v in adj]
+    assert kernels.dismantled(adj, alone, random.Random(0)) == alone
+    start = kernels.modularity(adj, kernels.greedy_modularity(adj))
+    best, history = kernels.dismantle_greedy(adj, p=2, exploration=0.5, seed=1, double_cross=True)
+    assert [h[0] for h in history] == list(range(2 * len(adj)))
+    assert all(x[2] <= y[2] for x, y in zip(history, history[1:], strict=False)) and history[-1][2] == kernels.modularity(adj, best) >= start
+    assert kernels.dismantle_greedy(adj, p=2, exploration=0.5, seed=1, double_cross=True)[0] == best
+
+
+@pytest.mark.parametrize("name", ["GREEDY_MODULARITY", "DGM_CRISP", "LOUVAIN"])
+def test_planted_groups_are_found(name):
+    from weft.plans import kernels
+
+    adj, truth = planted(4, 16, 0.6, 0.02, 5)
+    found = {
+        "GREEDY_MODULARITY": lambda: kernels.greedy_modularity(adj), "DGM_CRISP": lambda: kernels.dismantle_greedy(adj, p=1, double_cross=True)[0],
+        "LOUVAIN": lambda: kernels.louvain(adj),
+    }[name]()
+    best = [max(len(t & s) / len(t | s) for s in found) for t in truth]
+    assert min(best) >= 0.9
+
+
+def test_label_propagation_ends_where_every_node_agrees_with_its_neighbours():
+    """It may join planted groups, so what it promises is tested, not the groups."""
+    from weft.plans import kernels
+
+    for seed in range(10):
+        adj, _ = planted(4, 16, 0.6, 0.02, seed)
+        found = kernels.label_propagation(adj, seed)
+        assert sorted(v for s in found for v in s) == sorted(adj)
+        for s in found:
+            for v in s:
+                votes = [sum(adj[v].get(u, 0.0) for u in t) for t in found]
+                assert votes[found.index(s)] == max(votes)
