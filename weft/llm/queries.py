@@ -14,11 +14,12 @@ from weft.llm.jaccard_join import op5_jaccard_join
 from weft.llm.langid import op7_langid
 from weft.llm.licences import op8_licences
 from weft.llm.mixing import OP9_SQL, op9_mixing
+from weft.llm.piece_bpe import op12_piece_bpe
 from weft.llm.substring_dedup import op2_substring_dedup
 from weft.llm.suffix_dedup import op1_suffix_dedup
 from weft.llm.timestamps import OP13_SQL, op13_timestamps
 
-_QUERIES = (op1_suffix_dedup, op2_substring_dedup, op3_exact_dedup, op4_html_text, op5_jaccard_join, op6_bpe, op7_langid, op8_licences, op9_mixing, op10_fingerprint, op13_timestamps)
+_QUERIES = (op1_suffix_dedup, op2_substring_dedup, op3_exact_dedup, op4_html_text, op5_jaccard_join, op6_bpe, op7_langid, op8_licences, op9_mixing, op10_fingerprint, op12_piece_bpe, op13_timestamps)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
