@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm.bpe import op6_bpe
+from weft.llm.collocations import OP11_SQL, op11_collocations
 from weft.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from weft.llm.fingerprint import op10_fingerprint
 from weft.llm.html_text import op4_html_text
@@ -19,7 +20,7 @@ from weft.llm.substring_dedup import op2_substring_dedup
 from weft.llm.suffix_dedup import op1_suffix_dedup
 from weft.llm.timestamps import OP13_SQL, op13_timestamps
 
-_QUERIES = (op1_suffix_dedup, op2_substring_dedup, op3_exact_dedup, op4_html_text, op5_jaccard_join, op6_bpe, op7_langid, op8_licences, op9_mixing, op10_fingerprint, op12_piece_bpe, op13_timestamps)
+_QUERIES = (op1_suffix_dedup, op2_substring_dedup, op3_exact_dedup, op4_html_text, op5_jaccard_join, op6_bpe, op7_langid, op8_licences, op9_mixing, op10_fingerprint, op11_collocations, op12_piece_bpe, op13_timestamps)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -27,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op9_mixing": OP9_SQL, "op13_timestamps": OP13_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op9_mixing": OP9_SQL, "op11_collocations": OP11_SQL, "op13_timestamps": OP13_SQL}
