@@ -337,6 +337,15 @@ def test_html_text_keeps_undecided_blocks_beside_marked_ones(spark):
     assert _texts(spark, pages) == {i: f"T{i} The whole body is about {t}." for i, t in enumerate(body)}
 
 
+WRAPPERS = ("content-sidebar-wrap", "layout-sidebar-right", "header-and-footer-layout", "comments-enabled", "modal-open")
+OWN_PARTS = (
+    '<h2 class="section-header">yes</h2>', '<p class="side-note">yes</p>', '<p class="ad-hoc">yes</p>', '<section class="related-work"><p>yes</p></section>', '<div class="search-algorithms">yes</div>', '<div class="social-science">yes</div>',
+)
+FOREIGN_PARTS = (
+    '<div class="related-posts">no</div>', '<div class="ad-slot-2">no</div>', '<ul class="share-buttons"><li>no</ul>', '<section id="comments"><p>no</section>', '<h3 class="related-title">no</h3>', '<div class="newsletter-signup">no</div>', '<form>no</form>',
+)
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
@@ -347,18 +356,42 @@ def test_html_text_keeps_undecided_blocks_beside_marked_ones(spark):
         ('<body class="main-nav"><div class="has-sidebar main">a</div>b <a class=ad>no</a> c', ["a", "b", "c"]),
         ('<p>a<img alt="x>y">b <q cite=\'>c</q> d', ["ab c d"]),
         ("<p>a<p>b<br>c&nbsp;&amp;</p></p> d<!-- no", ["a", "b c &", "d"]),
+        ('<form id="aspnetForm"><article><p>The body</p></article><form>no</form></form>', ["The body"]),
+        ('<form action=x><header>no</header><div><p>The body</p></div></form>', ["The body"]),
+        ("<p>a</p><form>no <input> no</form>", ["a"]),
+        ('<aside class="x"><article>no</article></aside><p>a</p>', ["a"]),
+        ('<div class="comments"><article class="comment-body">no</article></div>', []),
+        *((f'<div class="{wrapper}"><nav>no</nav><main class="content"><article><p>The body.</main><div class="sidebar">no</div></div>', ["The body."]) for wrapper in WRAPPERS),
+        *((f'<div class="{wrapper}"><article><p>The body.</article><ol class=comments><li><article class="comment-body">no</article></ol></div>', ["The body."]) for wrapper in WRAPPERS),
+        *((f"<article><p>a</p>{part}<p>b</p></article>", ["a", "yes", "b"]) for part in OWN_PARTS),
+        *((f"<article><p>a</p>{part}<p>b</p></article>", ["a", "b"]) for part in FOREIGN_PARTS),
     ],
 )
 def test_html_blocks(page, want):
     assert [t for kind, t in html_text.blocks(page) if kind != "boilerplate"] == want
 
 
+def test_html_hints_go_where_the_host_repeats_them(spark):
+    """A class name with a bad part beside other words leaves a block of the article to the repeats on its host; clashing columns and repeated rows."""
+    hint = '<div class="promo-zone">Read all of our wonderful stories from the harbour every single day</div>'
+    pages = [(i, "http://h.org/x", f"<article><p>The whole body is about {t}.</p>{hint}<p class='side-note'>Noted {t}.</p></article>") for i, t in enumerate(["ships", "hills", "rivers", "seas"])]
+    pages.append((9, "http://other.org/x", pages[0][2]))
+    rows = spark.createDataFrame([(*p, "x", 1, "y") for p in [*pages, pages[0]]], "page_id long, url string, html string, dh string, hh int, kinds string")
+    got = html_text.main_text(rows.repartition(3))
+    assert got.columns == ["page_id", "url", "text"]
+    texts = [(r.page_id, r.text) for r in got.collect()]
+    short = {i: f"The whole body is about {t}. Noted {t}." for i, t in enumerate(["ships", "hills", "rivers", "seas"])}
+    assert sorted(texts) == sorted([*short.items(), (0, short[0]), (9, "The whole body is about ships. Read all of our wonderful stories from the harbour every single day Noted ships.")])
+
+
 def test_html_blocks_take_linear_time():
     import time
 
     began = time.time()
     html_text.blocks("<div>" * 50_000 + "</p>x" * 50_000)
     html_text.blocks("<a '" * 8_001)
+    html_text.blocks("<form><div class='x-sidebar'>" * 20_000 + "<article>x")
+    html_text.blocks("<div class='x-sidebar'>" * 20_000 + "<article>x</article>" * 20_000)
     assert time.time() - began < 5
 
 
@@ -495,7 +528,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         at[name] = given = corpus_pipeline.cut(stage(spark, given, str(tmp_path)))
         if name != "bpe":
-            assert given.schema.names == docs.schema.names
+            assert given.schema.names == docs.schema.names + (["position", "copy"] if name == "mixing" else [])
             assert all(x.score == "e" and x.did == 1 for x in given.collect())
     left = {d: t for d, t, *_ in rows if t and re.search(r"[^\W\d_]", t) and t != "²"}
     assert {x.doc_id for x in at["language_id"].collect()} == set(left)
@@ -511,6 +544,10 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     plan = {x.doc_id: x for x in mixing.mix(at["jaccard_join"]).collect()}
     assert set(plan) == set(near) and times == collections.Counter({d: x.copies for d, x in plan.items() if x.copies})
     known = Tokenizer.from_file(bpe.default_tokenizer())
+    order = lambda rows: [d for _, _, d in sorted(rows, key=lambda x: (*x[:2], str(x[2])))]
+    wanted = order((p, k, d) for d, x in plan.items() for k, p in enumerate(x.positions))
+    for stage in ("mixing", "bpe"):  # the order of the mix reaches the output
+        assert order((x.position, x.copy, x.doc_id) for x in at[stage].collect()) == wanted
     got = collections.Counter((x.doc_id, tuple(x.ids), x.text) for x in at["bpe"].collect())
     assert got == collections.Counter({(d, tuple(known.encode(near[d], add_special_tokens=False).ids), near[d]): k for d, k in times.items()})
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == sum(times.values())
@@ -521,7 +558,8 @@ def test_pipeline_stages_on_empty_tables(spark):
 
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int")
     for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs, "").collect() == []
+        docs = stage(spark, docs, "")
+        assert docs.collect() == []
 
 
 def test_encode_settles_input_that_comes_from_a_shuffle(spark, docs):

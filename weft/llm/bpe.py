@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from weft.llm.frames import cut, mapped, table
 
@@ -157,14 +158,14 @@ def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.transform(mapped, lambda it: _deal(_cut_blocks(it), buckets), "bucket int, block long, codes binary, sizes binary, data binary")
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    """The documents of each block and the places of their words."""
+def _placed(rows: DataFrame, kind: str) -> DataFrame:
+    """The documents of each block, their ids of the given type, and the places of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _cut_blocks(batches):
             yield block.select(["block", "codes", "dids", "counts"])
 
-    return rows.transform(mapped, run, "block long, codes binary, dids array<long>, counts array<int>")
+    return rows.transform(mapped, run, f"block long, codes binary, dids array<{kind}>, counts array<int>")
 
 
 def _coded(dealt: DataFrame, buckets: int, tokenizer_path: str) -> DataFrame:
@@ -192,7 +193,7 @@ def _coded(dealt: DataFrame, buckets: int, tokenizer_path: str) -> DataFrame:
     return dealt.repartition(buckets, "bucket").select("block", "codes", "sizes", "data").transform(mapped, run, "block long, codes binary, sizes binary, data binary")
 
 
-def _assembled(row: dict, tables: list[dict]) -> Iterator[pa.RecordBatch]:
+def _assembled(row: dict, tables: list[dict], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """The documents of a block, with the ids of their words in place, some documents at a time."""
     codes = [np.cumsum(_integers(t["codes"]), dtype=np.int32) for t in tables]  # kept as steps
     sizes = [_integers(t["sizes"]) for t in tables]
@@ -205,7 +206,7 @@ def _assembled(row: dict, tables: list[dict]) -> Iterator[pa.RecordBatch]:
     code = _integers(row["codes"])
     if len(where) != int(code.max(initial=-1)) + 1:
         raise ValueError("the documents differ between two reads; write them as a table first")
-    dids = pa.array(row["dids"], pa.int64())
+    dids = pa.array(row["dids"], kind)
     first = np.concatenate([[0], np.cumsum(row["counts"], dtype=np.int64)])
     i = 0
     while i < len(dids):
@@ -230,15 +231,18 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     """One row per input row: id, n_tokens and ids (array), as the whole text's encoding without added special tokens.
 
     Null and empty texts have no ids; repeated rows and null ids are kept as
-    they are; other columns of docs are ignored; an empty table gives no rows.
+    they are; other columns of docs are ignored; an empty table gives no rows. An
+    id that is a struct keeps its type, so that more of a row can travel with it.
     """
-    docs = _settled(docs.select(F.col(id_col).cast("long").alias("did"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    given = docs.schema[id_col].dataType
+    kind = given.simpleString() if isinstance(given, StructType) else "bigint"
+    docs = _settled(docs.select(F.col(id_col).cast(kind).alias("did"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     words = F.split("text", BOUNDARY, -1)
     rows = docs.select("did", words.alias("words"), F.monotonically_increasing_id().alias("row"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // _BUCKET_BYTES)
-    coded = _coded(_dealt(rows, buckets), buckets, tokenizer_path).withColumns({"kind": F.lit(0), "dids": F.lit(None).cast("array<long>"), "counts": F.lit(None).cast("array<int>")})
-    placed = _placed(rows).withColumns({"kind": F.lit(1), "sizes": F.lit(None).cast("binary"), "data": F.lit(None).cast("binary")})
+    coded = _coded(_dealt(rows, buckets), buckets, tokenizer_path).withColumns({"kind": F.lit(0), "dids": F.lit(None).cast(f"array<{kind}>"), "counts": F.lit(None).cast("array<int>")})
+    placed = _placed(rows, kind).withColumns({"kind": F.lit(1), "sizes": F.lit(None).cast("binary"), "data": F.lit(None).cast("binary")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: list[dict] = []
@@ -248,11 +252,11 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                 if row["kind"] == 0:
                     tables.append(row)
                 else:  # the block's last row
-                    yield from _assembled(row, tables)
+                    yield from _assembled(row, tables, batch.schema.field("dids").type.value_type)
                     pa.default_memory_pool().release_unused()
 
     both = coded.unionByName(placed).repartition(buckets, "block").sortWithinPartitions("block", "kind")
-    return both.transform(mapped, run, "did long, n_tokens long, ids array<int>").withColumnRenamed("did", id_col)
+    return both.transform(mapped, run, f"did {kind}, n_tokens long, ids array<int>").withColumnRenamed("did", id_col)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFrame:

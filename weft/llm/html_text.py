@@ -6,7 +6,8 @@ markup; the rest is undecided. The token streams of all blocks of all pages are
 concatenated per host, and suffix arrays over them, one per trigger of the
 host's prefix-free parse, find the long substrings that half of the host's
 pages repeat. Undecided blocks keep what is not repeated. Blocks that are text
-by markup go only as a whole, and only if the host has five pages or more.
+by markup go only as a whole, and only if the host has five pages or more; those
+of them whose class names hint at boilerplate go as a whole on any host.
 Copies of a page count as one page, and a page of repeats alone keeps its text.
 """
 
@@ -42,7 +43,9 @@ _NAMES = re.compile(r"(?:^|\s)(?:class|id|role|aria-label|itemprop)\s*=\s*(\"[^\
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*.?true", re.I)
 #: Elements without text, of boilerplate, inline, empty, and those that an opening tag of the same kind ends.
 NO_TEXT = frozenset("script style noscript template svg math iframe object canvas textarea select option head title button video audio map datalist".split())
-BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
+BOILERPLATE = frozenset("nav footer aside menu dialog".split())
+SECTIONS = frozenset("nav header footer article main h1".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset("article main".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,29 +55,50 @@ _BAD = re.compile(r"ad|ads|advert\w*|adv|banner|sponsor\w*|promo\w*|nav\w*|menu\
 _GOOD = re.compile(r"article\w*|main|story\w*")
 _GOOD_NAMES = frozenset("entry-content post-content post-body content-body".split())
 _OWN_HEADER = frozenset("article entry post story content".split())
+_STRUCTURE = frozenset(
+    "area article articles aside bar block body bottom box button buttons card center col column container content count dropdown entry feed fixed float form global group heading icon icons inline inner item items label left "
+    "link links list main mini mobile module outer page panel post posts primary region right row secondary section site slot small stories story strip tab text title top unit wrap wrapper".split()
+)
 _STATES = frozenset("has with no without is not hide show".split())
 _RAW = frozenset("script style textarea title noscript iframe".split())
 _RAW_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
-    """(kind, text) of a page's blocks in order; kind is text, boilerplate or undecided. Takes time in proportion to the page."""
+    """(kind, text) of a page's blocks in order; kind is text, boilerplate, undecided or, in marked text under a name that hints at boilerplate, hint. Takes time in proportion to the page.
+
+    Names and forms only suggest boilerplate: where they leave a page without
+    marked text, what stands around its first main element or article is forgiven,
+    and a form that holds sections of the page is never one.
+    """
+    found, around, forms = _walk(page, frozenset())
+    if forms:
+        found, around, _ = _walk(page, forms)
+    if around and all(kind != "text" for kind, _ in found):
+        found, _, _ = _walk(page, forms | around)
+    return [(kind, text) for kind, text in found if kind != "none"]
+
+
+def _walk(page: str, forgiven: frozenset[int]) -> tuple[list[tuple[str, str]], frozenset[int], frozenset[int]]:
+    """Blocks, the suggestions around the first main element or else article that they hide, and forms around sections; elements by their number."""
     out: list[tuple[str, str]] = []
     parts: list[str] = []
-    stack: list[tuple[str, str]] = []  # element, kind of what it holds
+    stack: list[tuple[str, str, str, int]] = []  # element, kind of what it holds, attributes, number
     opened: Counter[str] = Counter()  # elements of the stack by name
-    kind, at, n = "undecided", 0, len(page)
+    hidden: dict[str, frozenset[int]] = {}
+    forms: set[int] = set()
+    kind, at, n, number = "undecided", 0, len(page), 0
 
     def close() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text and kind != "none":
+            if text:
                 out.append(("text" if kind == "main" else kind, text))
             parts.clear()
 
     def leave(name: str) -> str:
         while stack:
-            e, _ = stack.pop()
+            e = stack.pop()[0]
             opened[e] -= 1
             if e == name:
                 break
@@ -106,30 +130,37 @@ def blocks(page: str) -> list[tuple[str, str]]:
             if name in ("br", "hr"):
                 parts.append(" ")
             continue
-        new = _kind(name, attributes, kind)
+        number += 1
+        new = _kind(name, attributes, kind, number in forgiven)
         if name not in INLINE or new != kind:
             close()
         if name in ENDED_BY_OWN and stack and stack[-1][0] == name:
             kind = leave(name)
-            new = _kind(name, attributes, kind)
+            new = _kind(name, attributes, kind, number in forgiven)
         if attributes.rstrip().endswith("/") and name in ("svg", "path"):
             continue
         if name in _RAW:
             end = _RAW_ENDS[name].search(page, at)
             at = end.end() if end else n
             continue
-        stack.append((name, new))
+        if name in SECTIONS:
+            forms |= {i for e, _, _, i in stack if e == "form"} if opened["form"] else set()
+            if name in ARTICLE and kind == "boilerplate" and name not in hidden and _kind("div", attributes, "text") not in ("boilerplate", "none"):
+                judged = [(i, _kind(e, its, "undecided"), _kind(e, its, "undecided", True)) for e, _, its, i in stack]
+                if all(forgiving not in ("boilerplate", "none") for _, _, forgiving in judged):
+                    hidden[name] = frozenset(i for i, k, _ in judged if k == "boilerplate")
+        stack.append((name, new, attributes, number))
         opened[name] += 1
         kind = new
     close()
-    return out
+    return out, hidden.get("main", hidden.get("article", frozenset())), frozenset(forms) - forgiven
 
 
 def _said(name: str, last: bool = False) -> str | None:
-    """What one class or other name says of an element: bad, good or nothing.
+    """What one class or other name says of an element: bad, hint, good or nothing.
 
-    A name that holds a bad part is bad, whatever its other parts; with last,
-    only one that ends in it.
+    A name is bad that has a bad part beside words of structure only; beside
+    other words a bad part is but a hint. With last, only the last part counts.
     """
     parts = [x for x in re.split(r"[-_]+", name) if x]
     if not _STATES.isdisjoint(parts):
@@ -139,27 +170,33 @@ def _said(name: str, last: bool = False) -> str | None:
     if bad == ["header"] and not _OWN_HEADER.isdisjoint(parts):
         return None
     if bad:
-        return "bad"
+        return "bad" if all(x in bad or x in _STRUCTURE or x.isdigit() for x in parts) else "hint"
     return "good" if "-".join(parts) in _GOOD_NAMES or any(_GOOD.fullmatch(x) for x in parts) else None
 
 
-def _kind(name: str, attributes: str, outer: str) -> str:
+def _kind(name: str, attributes: str, outer: str, forgiven: bool = False) -> str:
+    """Kind of what an element holds. In marked text a heading is no header of the page, and what a name hints at is left to the repeats on the host."""
     if outer == "none" or name in NO_TEXT or attributes and _HIDDEN.search(attributes):
         return "none"
-    if outer == "boilerplate" or name in BOILERPLATE:
+    if outer == "boilerplate" or name in BOILERPLATE or name == "form" and not forgiven:
         return "boilerplate"
     given = " ".join(v.strip("\"'") for v in _NAMES.findall(attributes)).lower().split() if attributes else []
     said = {_said(x, name in ARTICLE) for x in given}  # an article has many names
-    if "bad" in said and name not in ("body", "html"):
-        return "boilerplate"
-    if name == "header" and outer != "text":
+    if forgiven or name in ("body", "html"):
+        said = set()
+    marked = outer in ("text", "hint")
+    if name in HEADINGS and marked:
+        said = {_said(x) for x in given if "header" not in re.split("[-_]+", x)}
+    if "bad" in said or "hint" in said and not marked or name == "header" and not marked:
         return "boilerplate"
-    if name == "article" or "good" in said and name not in ("body", "html"):
+    if "hint" in said:
+        return "hint"
+    if name == "article" or "good" in said:
         return "text"
     return "main" if name == "main" and outer == "undecided" else outer
 
 
-_KINDS = ("boilerplate", "undecided", "text")
+_KINDS = ("boilerplate", "undecided", "text", "hint")
 _PAGE = "did long, dh long, url string, hh long, mh long, kinds binary, z binary, size int"
 
 
@@ -193,7 +230,7 @@ def _lines(stream: bytes, kinds: bytes, window: int, own: bytes) -> Iterator[tup
     """(kind, start, line, place in the appendix or -1) of each block; see _laid_out."""
     at, end = 0, len(stream)
     for kind, line in zip(kinds, stream.split(b"\n") if kinds else [], strict=True):
-        short = kind == 1 and len(line) < window
+        short = kind in (1, 3) and len(line) < window
         yield kind, at, line, end + len(own) if short else -1
         at += len(line) + 1
         if short:
@@ -201,7 +238,7 @@ def _lines(stream: bytes, kinds: bytes, window: int, own: bytes) -> Iterator[tup
 
 
 def _laid_out(stream: bytes, kinds: bytes, window: int, own: bytes) -> bytes:
-    """The stream and, as an appendix, its short undecided blocks filled up to a window each, set apart by what no other page has."""
+    """The stream and, as an appendix, its short blocks that are undecided or hints filled up to a window each, set apart by what no other page has."""
     short = [line for _, _, line, place in _lines(stream, kinds, window, own) if place >= 0]
     return b"".join([stream, *(own + b"\0" + line + b"\0" * (window - 1 - len(line)) for line in short)])
 
@@ -392,6 +429,9 @@ def text_of(stream: bytes, kinds: bytes, spans: list[tuple[int, int]], least: in
         if kind == 1:
             if text := "" if place >= 0 and gone[place : place + window].all() else unique_words(line, over):
                 kept.append(text)
+        elif kind == 3:
+            if not (gone[place : place + window] if place >= 0 else over).all():
+                kept.append(line.decode())
         elif least < MARKED_PAGES or len(line) < window or not over.all():
             kept.append(line.decode())
     return " ".join(kept or every)
