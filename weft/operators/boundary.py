@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.similarity import METRICS, metric_name, node_weight, similarity
 from weft.graph import Graph
-from weft.operators.local import one_group
+from weft.plans.lineage import cut
 
 
 def boundary_candidates(graph: Graph, part: DataFrame) -> DataFrame:
@@ -69,41 +69,38 @@ def merge_pairs(graph: Graph, membership: DataFrame, metric: str, theta_sim: flo
 
 
 def merge(graph: Graph, membership: DataFrame, metric: str = "cosine", theta_sim: float = 0.4, theta_overlap: float = 0.3) -> DataFrame:
-    """(cid, node) after the controlled merge scan, communities from large to small.
+    """(cid, node) after the controlled merge scan, communities from large to small, of equal ones the smaller cid first.
 
     A community joins the first larger one that holds theta_overlap of it at
-    similarity theta_sim. The scan is sequential; it runs in one group, and only
-    if a first pair passes.
+    similarity theta_sim, as the larger one is when its turn comes. The scan goes in rounds: a community's turn has come once all
+    larger ones that share nodes with it are settled and, for each of
+    those, no other unsettled one that shares nodes with it comes before. What has not come yet
+    cannot change its choice, so the result is that of one after the other.
     """
     metric = metric_name(metric)
     if merge_pairs(graph, membership, metric, theta_sim, theta_overlap).isEmpty():
-        return membership
+        return membership.select("cid", "node")
     w = node_weight(F.col("degree"), metric)
-    weighted = membership.join(graph.degrees, "node").select("cid", "node", (w * w).alias("w"))
-
-    def scan(pdf):
-        import math
-
-        import pandas as pd
-
-        weight = dict(zip(pdf.node, pdf.w, strict=True))
-        groups = sorted(((cid, set(g.node)) for cid, g in pdf.groupby("cid")), key=lambda x: (-len(x[1]), x[0]))
-        gone: set = set()
-
-        def sim(a: set, b: set) -> float:
-            both = a & b
-            if metric in ("aa", "ra"):
-                norm = math.sqrt(sum(weight[x] for x in a) * sum(weight[x] for x in b))
-                return sum(weight[x] for x in both) / norm if norm else 0.0
-            i, x, y = len(both), len(a), len(b)
-            return {"cosine": i / math.sqrt(x * y), "jaccard": i / (x + y - i), "dice": 2 * i / (x + y), "overlap": i / min(x, y)}[metric]
-
-        for i, (cid, members) in enumerate(groups):
-            for into, larger in groups[:i]:
-                if into not in gone and (both := len(members & larger)) and both / len(members) >= theta_overlap and sim(members, larger) >= theta_sim:
-                    larger |= members
-                    gone.add(cid)
-                    break
-        return pd.DataFrame([(c, n) for c, g in groups if c not in gone for n in g], columns=["cid", "node"])
-
-    return one_group(weighted, scan, membership.select("cid", "node").schema)
+    members = cut(membership.join(graph.degrees, "node").select("cid", "node", (w * w).alias("w")))
+    order = F.struct((-F.count(F.lit(1))).alias("size"), F.col("cid").alias("c"))
+    state = cut(members.groupBy("cid").agg(order.alias("at")).withColumn("open", F.lit(True)))
+    while True:
+        sized = members.groupBy("cid").agg(F.count(F.lit(1)).alias("size"), F.sum("w").alias("norm")).join(state, "cid")
+        one = members.join(state.where("open"), "cid").select(F.col("cid").alias("i"), "node", "w", F.col("at").alias("at_i"))
+        two = members.join(state, "cid").select(F.col("cid").alias("j"), "node", F.col("at").alias("at_j"))
+        pairs = cut(one.join(two, "node").where("at_j < at_i").groupBy("i", "j").agg(F.count(F.lit(1)).alias("both"), F.sum("w").alias("dot"), F.first("at_i").alias("at_i")))
+        hosts = pairs.join(state.select(F.col("cid").alias("j"), F.col("at").alias("at_j"), F.col("open").alias("open_j")), "j")
+        first = hosts.groupBy("j").agg(F.min("at_i").alias("first"))
+        waits = hosts.join(first, "j").where(F.col("open_j") | (F.col("at_i") > F.col("first"))).select(F.col("i").alias("cid")).distinct()
+        ready = cut(state.where("open").join(waits, "cid", "left_anti"))
+        if ready.isEmpty():
+            return members.select("cid", "node")
+        a, b = (sized.select(F.col("cid").alias(x), F.col("size").alias(f"size_{x}"), F.col("norm").alias(f"norm_{x}")) for x in ("i", "j"))
+        rows = hosts.join(ready.select(F.col("cid").alias("i")), "i", "left_semi").join(a, "i").join(b, "j")
+        sim = similarity(metric, F.col("size_i"), F.col("size_j"), F.col("both"), F.col("dot"), F.col("norm_i"), F.col("norm_j"))
+        fits = rows.where((F.col("both") / F.col("size_i") >= theta_overlap) & (sim >= theta_sim))
+        joins = cut(fits.groupBy(F.col("i").alias("cid")).agg(F.min_by("j", "at_j").alias("into")))
+        members = cut(members.join(joins, "cid", "left").select(F.coalesce("into", "cid").alias("cid"), "node", "w").distinct())
+        settled = ready.select("cid", F.lit(True).alias("ready"))
+        state = state.join(joins.select("cid"), "cid", "left_anti").join(settled, "cid", "left")
+        state = cut(state.select("cid", "at", (F.col("open") & F.col("ready").isNull()).alias("open")))

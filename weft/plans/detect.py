@@ -9,29 +9,37 @@ from pyspark.sql import functions as F
 
 from weft.functions.similarity import METRICS
 from weft.graph import Graph
-from weft.operators import boundary
+from weft.operators import boundary, cover, egonets, metrics, moving, pagerank, spanning
 from weft.operators.components import connected_components
 from weft.operators.local import one_group
+from weft.operators.triangles import common_neighbours as common_neighbours_of_edges
+from weft.operators.triangles import oriented
 from weft.plans import kernels as local
 from weft.plans.lineage import cut
 from weft.plans.registry import Param, register
 
 
-def kernel_cover(graph: Graph, kernel: Callable[[dict], list[set]]) -> DataFrame:
-    """membership of a kernel that takes the adjacency dictionary; refuses graphs above the limit of one group."""
+def kernel_cover(graph: Graph, kernel: Callable[..., list[set]], part: DataFrame | None = None) -> DataFrame:
+    """membership of a kernel that takes the adjacency dictionary and, if given, the communities of part; refuses graphs above the limit of one group."""
     kind = graph.nodes.schema["node"].dataType.simpleString()
-    rows = graph.edges.unionByName(graph.nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("weight")))
+    alone = graph.nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("weight"))
+    held = alone.withColumn("cid", F.lit(None).cast("string")) if part is None else alone.join(part.select(F.col("node").alias("src"), F.col("cid").cast("string").alias("cid")), "src", "left").select("src", "dst", "weight", "cid")
+    rows = graph.edges.select("src", "dst", "weight", F.lit(None).cast("string").alias("cid")).unionByName(held)
 
     def run(pdf):
         import pandas as pd
 
         adj: dict = {v: {} for v in sorted(set(pdf.src) | set(pdf.dst))}
-        for a, b, w in zip(pdf.src.tolist(), pdf.dst.tolist(), pdf.weight.tolist(), strict=True):
+        given: dict = {}
+        for a, b, w, c in zip(pdf.src.tolist(), pdf.dst.tolist(), pdf.weight.tolist(), pdf.cid.tolist(), strict=True):
             if a != b:
                 adj[a][b] = adj[b][a] = w
-        found = sorted((s for s in kernel(adj) if s), key=lambda s: (-len(s), min(s)))
+            elif part_given:
+                given.setdefault(c, set()).add(a)
+        found = sorted((s for s in (kernel(adj, list(given.values())) if part_given else kernel(adj)) if s), key=lambda s: (-len(s), min(s)))
         return pd.DataFrame([(i, v) for i, s in enumerate(found) for v in sorted(s)], columns=["cid", "node"])
 
+    part_given = part is not None
     return one_group(rows, run, f"cid int, node {kind}")
 
 
@@ -49,25 +57,11 @@ def boundary_overlap(graph: Graph, sim_metric: str = "cosine", theta_sim: float
 
 @register("CN_OCD", "Common neighbours", Param("theta_overlap", "float", 0.3, 0, 1, help="has no effect"), Param("theta_sim", "float", 0.4, 0, 1))
 def common_neighbours(graph: Graph, theta_overlap: float = 0.3, theta_sim: float = 0.4) -> DataFrame:
-    """common_neighbour_cover, whose near-equal communities merge, smaller ones into the first larger one that is alike.
-
-    The merging is sequential; it runs in one group, and only if a first pair is alike.
-    """
+    """common_neighbour_cover, whose communities merge, smaller ones into the first larger one that is alike, until none is."""
     found = cut(common_neighbour_cover(graph, theta_sim))
-    size = found.groupBy("cid").agg(F.count(F.lit(1)).alias("n"))
-    one, two = (size.select(F.col("cid").alias(f"cid{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
-    alike = boundary.community_pairs(found).join(one, "cid1").join(two, "cid2").where(F.col("shared") / F.sqrt(F.col("n1").cast("double") * F.col("n2")) >= theta_sim)
-    if alike.isEmpty():
-        return found
-    kind = graph.nodes.schema["node"].dataType.simpleString()
-
-    def merge(pdf):
-        import pandas as pd
-
-        groups = local.merge_similar([set(g.node) for _, g in pdf.groupby("cid")], lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5 >= theta_sim)
-        return pd.DataFrame([(i, v) for i, g in enumerate(groups) for v in g], columns=["cid", "node"])
-
-    return one_group(found, merge, f"cid long, node {kind}")
+    while not boundary.merge_pairs(graph, found, "cosine", theta_sim, 0.0).isEmpty():
+        found = boundary.merge(graph, found, "cosine", theta_sim, 0.0)
+    return found
 
 
 def common_neighbour_cover(graph: Graph, theta_sim: float = 0.4) -> DataFrame:
@@ -87,10 +81,8 @@ def common_neighbour_cover(graph: Graph, theta_sim: float = 0.4) -> DataFrame:
 
 def salton_edges(graph: Graph) -> DataFrame:
     """(src, dst, both, salton) per edge, by common neighbours."""
-    near = graph.adj.select("node", "nbr")
-    both = graph.edges.select("src", "dst").join(near.withColumnsRenamed({"node": "src", "nbr": "x"}), "src").join(near.withColumnsRenamed({"node": "dst", "nbr": "x"}), ["dst", "x"]).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("both"))
     one, two = (graph.degrees.select(F.col("node").alias(e), F.col("degree").alias(f"d_{e}")) for e in ("src", "dst"))
-    rows = graph.edges.select("src", "dst").join(both, ["src", "dst"], "left").na.fill(0, ["both"]).join(one, "src").join(two, "dst")
+    rows = graph.edges.select("src", "dst").join(common_neighbours_of_edges(graph), ["src", "dst"], "left").na.fill(0, ["both"]).join(one, "src").join(two, "dst")
     return rows.select("src", "dst", "both", (F.col("both") / F.sqrt(F.col("d_src").cast("double") * F.col("d_dst"))).alias("salton"))
 
 
@@ -132,9 +124,11 @@ def dismantling_history(graph: Graph, p: float = 5.0, exploration_prob: float =
     return one_group(rows, run, "iter int, modularity double, maximum_modularity double")
 
 
-@register("DEMON", "Ego-net label propagation", Param("epsilon", "float", 0.25, 0, 1), Param("min_com_size", "int", 3, 2, 10))
-def demon(graph: Graph, epsilon: float = 0.25, min_com_size: int = 3) -> DataFrame:
-    return kernel_cover(graph, lambda adj: local.ego_label_merge(unweighted(adj), epsilon, min_com_size))
+@register("DEMON", "Ego-net label propagation", Param("epsilon", "float", 0.25, 0, 1), Param("min_com_size", "int", 3, 2, 10), Param("rounds", "int", 20, 1, 100))
+def demon(graph: Graph, epsilon: float = 0.25, min_com_size: int = 3, rounds: int = 20) -> DataFrame:
+    """Labels of all ego networks at once; a community joins the largest that misses epsilon of it at most, round by round."""
+    groups = egonets.propagate(egonets.ego_edges(graph), rounds)
+    return egonets.merge_contained(egonets.ego_communities(graph, groups, min_com_size), 1 - epsilon)
 
 
 @register("LFM", "Local fitness", Param("alpha", "float", 1.0, 0.1, 5))
@@ -145,11 +139,7 @@ def lfm(graph: Graph, alpha: float = 1.0) -> DataFrame:
 @register("KCLIQUE", "Clique percolation", Param("k", "int", 3, 3, 8))
 def kclique(graph: Graph, k: int = 3) -> DataFrame:
     """Ordered self-joins from low to high degree build k-cliques; those that share k - 1 nodes are one community."""
-    d = graph.degrees
-    one, two = (d.select(F.col("node").alias(e), F.struct("degree", F.col("node").alias("n")).alias(f"o_{e}")) for e in ("src", "dst"))
-    ranked = graph.edges.select("src", "dst").join(one, "src").join(two, "dst")
-    up = F.col("o_src") < F.col("o_dst")
-    out = cut(ranked.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b")))
+    out = cut(oriented(graph))
     cliques = out.select(F.array("a", "b").alias("c"))
     for size in range(2, k):
         more = cliques.select("c", F.col("c")[0].alias("a")).join(out.withColumnRenamed("b", "x"), "a").select("c", "x")
@@ -169,6 +159,11 @@ def _extend(more: DataFrame, out: DataFrame, i: int) -> DataFrame:
     return more.withColumn("a", F.col("c")[i]).join(out.withColumnRenamed("b", "x"), ["a", "x"], "left_semi").drop("a")
 
 
+@register("LOUVAIN", "Parallel local moving", Param("seed", "int", 42), Param("resolution", "float", 1.0, 0.1, 5), Param("steps", "int", 100, 1, 10000), overlapping=False)
+def louvain(graph: Graph, seed: int = 42, resolution: float = 1.0, steps: int = 100) -> DataFrame:
+    return moving.louvain(graph, seed, resolution, steps).select("cid", "node")
+
+
 @register("SLPA", "Speaker-listener label propagation", Param("t", "int", 50, 10, 200), Param("r", "float", 0.4, 0.05, 0.9), Param("seed", "int", 0))
 def slpa(graph: Graph, t: int = 50, r: float = 0.4, seed: int = 0, cut_every: int = 5) -> DataFrame:
     """Synchronous: each round all neighbours speak a label drawn from their memory by a hash; listeners keep the most frequent."""
@@ -199,14 +194,22 @@ def ego_networks(graph: Graph, level: int = 1) -> DataFrame:
     return reach
 
 
-@register("NODEP", "Node perception", Param("threshold", "float", 0.25, 0, 1), Param("overlap_threshold", "float", 0.25, 0, 1))
-def node_perception(graph: Graph, threshold: float = 0.25, overlap_threshold: float = 0.25) -> DataFrame:
-    return kernel_cover(graph, lambda adj: local.ego_perception(unweighted(adj), threshold, overlap_threshold))
+@register("NODEP", "Node perception", Param("threshold", "float", 0.25, 0, 1), Param("overlap_threshold", "float", 0.25, 0, 1), Param("rounds", "int", 20, 1, 100))
+def node_perception(graph: Graph, threshold: float = 0.25, overlap_threshold: float = 0.25, rounds: int = 20) -> DataFrame:
+    """Components of ego networks without their centre, with it, are sub-communities; those of Jaccard threshold (and overlap) link, and label propagation over the links joins them."""
+    members = cut(egonets.ego_communities(graph, egonets.ego_components(graph), 2))
+    shared, one, two = F.col("shared"), F.col("size_c"), F.col("size_d")
+    test = (shared / (one + two - shared) >= threshold) & (shared / F.least(one, two) >= overlap_threshold)
+    links = egonets.alike(members, threshold, test).select(F.lit(0).alias("scope"), F.col("c").alias("src"), F.col("d").alias("dst"))
+    labels = egonets.propagate(links, rounds, "scope").select(F.col("node").alias("cid"), "label")
+    return members.join(labels, "cid", "left").select(F.coalesce("label", "cid").alias("cid"), "node").distinct()
 
 
-@register("ANGEL", "Ego-net merging by size", Param("threshold", "float", 0.25, 0, 1), Param("min_community_size", "int", 3, 2, 50))
-def angel(graph: Graph, threshold: float = 0.25, min_community_size: int = 3) -> DataFrame:
-    return kernel_cover(graph, lambda adj: local.ego_label_merge(unweighted(adj), threshold, min_community_size, largest_first=True))
+@register("ANGEL", "Ego-net merging by size", Param("threshold", "float", 0.25, 0, 1), Param("min_community_size", "int", 3, 2, 50), Param("rounds", "int", 20, 1, 100))
+def angel(graph: Graph, threshold: float = 0.25, min_community_size: int = 3, rounds: int = 20) -> DataFrame:
+    """As demon, but a community joins the larger one that shares most with it."""
+    groups = egonets.propagate(egonets.ego_edges(graph), rounds)
+    return egonets.merge_contained(egonets.ego_communities(graph, groups, min_community_size), 1 - threshold, by_overlap=True)
 
 
 @register("CONGA", "Split betweenness", Param("number_communities", "int", 3, 2, 50))
@@ -287,18 +290,49 @@ def graph_entropy(graph: Graph, use_weights: bool = False) -> DataFrame:
 
 @register("COACH", "Core and attachment", Param("density_threshold", "float", 0.7, 0, 1), Param("affinity_threshold", "float", 0.225, 0, 1), Param("closeness_threshold", "float", 0.5, 0, 1))
 def coach(graph: Graph, density_threshold: float = 0.7, affinity_threshold: float = 0.225, closeness_threshold: float = 0.5) -> DataFrame:
-    return kernel_cover(graph, lambda adj: local.core_attachment(adj, density_threshold, affinity_threshold, closeness_threshold))
-
-
-@register("UMSTMO", "Union of maximum spanning trees", overlapping=False)
+    """Dense cores of neighbourhood graphs; of cores alike the first by density times size stays; outside nodes close to most of a core join it."""
+    cores = cut(egonets.dense_cores(graph, density_threshold))
+    members = cut(cover.drop_duplicates(cores.select("cid", "node")))
+    weight = cores.join(members, ["cid", "node"], "left_semi").groupBy("cid").agg((F.first("density") * F.count(F.lit(1))).alias("weight"))
+    affinity = F.col("shared") * F.col("shared") / (F.col("size_c") * F.col("size_d"))
+    pairs = egonets.alike(members, affinity_threshold, affinity >= affinity_threshold - 1e-12)
+    kept = egonets.first_come(weight.select(F.col("cid").alias("id"), F.struct((-F.round("weight", 9)).alias("w"), "cid").alias("order")), pairs, "order")
+    core = cut(members.join(kept.withColumnRenamed("id", "cid"), "cid", "left_semi"))
+    sizes = core.groupBy("cid").agg(F.count(F.lit(1)).alias("size"))
+    near = core.join(graph.adj.select("node", "nbr"), "node").groupBy("cid", F.col("nbr").alias("node")).agg(F.count(F.lit(1)).alias("links"))
+    more = near.join(sizes, "cid").where(F.col("links") / F.col("size") >= closeness_threshold).select("cid", "node")
+    return core.select("cid", "node").unionByName(more).distinct()
+
+
+@register("UMSTMO", "Union of maximum spanning trees")
 def umstmo(graph: Graph) -> DataFrame:
-    """Each node's strongest edge by (weight, similarity); the components are the communities of the first contraction."""
-    sim = salton_edges(graph).join(graph.edges, ["src", "dst"])
-    key = F.struct("weight", "salton", F.col("src"), F.col("dst"))
-    ends = sim.select(F.col("src").alias("node"), key.alias("k")).unionByName(sim.select(F.col("dst").alias("node"), key.alias("k")))
-    tree = ends.groupBy("node").agg(F.max("k").alias("k")).select("k.src", "k.dst").distinct()
-    found = connected_components(tree)
-    return graph.nodes.select("node").join(found, "node", "left").select(F.coalesce("component", "node").alias("cid"), "node")
+    """Of the fragments of each round towards the maximum spanning forest of similarities the cover of highest overlapping modularity.
+
+    Nodes whose strongest edges are tied, all of which lie in the union of all
+    maximum spanning forests, are in the fragments at the other ends as well.
+    """
+    rows = cut(strengths(graph))
+    found, rounds = spanning.boruvka(rows)
+    union = found.where("weight >= low")
+    ends = union.select(F.col("src").alias("node"), F.col("dst").alias("nbr"), "weight").unionByName(union.select(F.col("dst").alias("node"), F.col("src").alias("nbr"), "weight"))
+    ties = cut(ends.join(ends.groupBy("node").agg(F.max("weight").alias("weight")), ["node", "weight"]).select("node", "nbr"))
+    best, value = graph.nodes.select(F.col("node").alias("cid"), "node"), float("-inf")
+    for held in rounds:
+        own = graph.nodes.select("node").join(held, "node", "left").select(F.coalesce("fragment", "node").alias("cid"), "node")
+        more = ties.join(held.select(F.col("node").alias("nbr"), F.col("fragment").alias("cid")), "nbr").select("cid", "node")
+        cover_ = cut(own.unionByName(more).distinct())
+        now = metrics.shen_modularity(graph, cover_).first()[0]
+        if now > value + 1e-12:
+            best, value = cover_, now
+    return best
+
+
+def strengths(graph: Graph) -> DataFrame:
+    """(src, dst, weight): edge weights times the similarity of the closed neighbourhoods of their ends, to nine digits, so that equal ones tie."""
+    one, two = (graph.degrees.select(F.col("node").alias(e), F.col("degree").alias(f"d_{e}")) for e in ("src", "dst"))
+    rows = graph.edges.join(common_neighbours_of_edges(graph), ["src", "dst"], "left").na.fill(0, ["both"]).join(one, "src").join(two, "dst")
+    similar = (F.col("both") + 2) / F.sqrt((F.col("d_src") + 1.0) * (F.col("d_dst") + 1.0))
+    return rows.select("src", "dst", F.round(F.col("weight") * similar, 9).alias("weight"))
 
 
 @register("WALKSCAN", "Walk scores and density clustering", Param("nb_steps", "int", 2, 1, 10), Param("eps", "float", 0.1, 0, 10), Param("min_samples", "int", 3, 1, 50), Param("seed_node", "node", None))
@@ -328,17 +362,54 @@ def wcommunity(graph: Graph, min_bel_degree: float = 0.7, threshold_bel_degree:
     return kernel_cover(graph, lambda adj: local.belonging_expansion(adj, min_bel_degree, threshold_bel_degree))
 
 
-@register("MULTICOM", "Local communities of a seed", Param("seed_node", "node", None))
-def multicom(graph: Graph, seed_node=None) -> DataFrame:
-    return kernel_cover(graph, lambda adj: local.local_communities(unweighted(adj), seed_node))
+@register("MULTICOM", "Local communities of a seed", Param("seed_node", "node", None), Param("alpha", "float", 0.85, 0, 1), Param("epsilon", "float", 1e-4, 1e-9, 1), Param("alike", "float", 0.8, 0, 1))
+def multicom(graph: Graph, seed_node=None, alpha: float = 0.85, epsilon: float = 1e-4, alike: float = 0.8) -> DataFrame:
+    """Communities around one seed: sweeps of the walks from it and from each of its neighbours, all at once; they come in that order, neighbours
+    by node, and a neighbour counts unless it lies in a community before it that counts; of communities alike the first stays."""
+    first = seed_of(graph, seed_node)
+    near = graph.adj.join(first, "node").select(F.col("nbr").alias("node"))
+    seeds = cut(first.withColumn("turn", F.lit(0)).unionByName(near.withColumn("turn", F.lit(1))))
+    scores = pagerank.push(graph, seeds.select(F.col("node").alias("seed"), "node"), alpha, epsilon)
+    degrees = graph.degrees.select("node", "degree")
+    found = pagerank.sweep(graph, scores.join(degrees, "node").where("degree > 0").select("seed", "node", (F.col("p") / F.col("degree")).alias("score")))
+    found = cut(found.select(F.col("seed").alias("cid"), "node"))
+    items = seeds.select(F.col("node").alias("id"), F.struct("turn", "node").alias("order"))
+    inside = found.join(seeds.select("node"), "node", "left_semi").select(F.col("cid").alias("c"), F.col("node").alias("d")).where("c <> d")
+    order = lambda e: items.select(F.col("id").alias(e), F.col("order").alias(f"o_{e}"))
+    blocks = inside.join(order("c"), "c").join(order("d"), "d").where("o_c < o_d").select("c", "d")
+    kept = egonets.first_come(items, blocks, "order")
+    found = cut(found.join(kept.withColumnRenamed("id", "cid"), "cid", "left_semi"))
+    shared, one, two = F.col("shared"), F.col("size_c"), F.col("size_d")
+    same = egonets.alike(found, alike, shared / (one + two - shared) > alike)
+    stay = egonets.first_come(items.join(found.select(F.col("cid").alias("id")).distinct(), "id", "left_semi"), same, "order")
+    return found.join(stay.withColumnRenamed("id", "cid"), "cid", "left_semi")
+
+
+def seed_of(graph: Graph, seed_node) -> DataFrame:
+    """(node): the given node if the graph has it, else its smallest."""
+    given = graph.nodes.where(F.col("node") == F.lit(seed_node)).select("node") if seed_node is not None else None
+    return graph.nodes.agg(F.min("node").alias("node")).where("node is not null") if given is None or given.isEmpty() else given
 
 
 @register(
-    "OSSE", "Overlapping seed set expansion", Param("seed_node", "node", None), Param("ninf", "bool", False), Param("expansion", "enum", "ppr", options=("ppr", "vppr")), Param("stopping", "enum", "cond", options=("cond",)),
-    Param("nworkers", "int", 1, 1, 64), Param("nruns", "int", 13, 1, 1000), Param("alpha", "float", 0.99, 0, 1), Param("delta", "float", 0.2, 0, 1),
+    "OSSE", "Overlapping seed set expansion", Param("seed_node", "node", None), Param("ninf", "bool", False), Param("expansion", "enum", "ppr", options=("ppr", "vppr")), Param("stopping", "enum", "cond", options=("cond",), help="the sweep ends at least conductance, the only rule"),
+    Param("nworkers", "int", 1, 1, 64, help="has no effect: Spark deals the work"), Param("nruns", "int", 13, 1, 1000, help="hundreds of rounds of pushes at most"), Param("alpha", "float", 0.99, 0, 1), Param("delta", "float", 0.2, 0, 1),
+    Param("epsilon", "float", 1e-4, 1e-9, 1),
 )
-def osse(graph: Graph, seed_node=None, ninf=False, expansion="ppr", stopping="cond", nworkers=1, nruns=13, alpha=0.99, delta=0.2) -> DataFrame:
-    return kernel_cover(graph, lambda adj: local.overlap_seed_expansion(unweighted(adj), seed_node, ninf, expansion, alpha, delta))
+def osse(graph: Graph, seed_node=None, ninf=False, expansion="ppr", stopping="cond", nworkers=1, nruns=13, alpha=0.99, delta=0.2, epsilon=1e-4, seeds: DataFrame | None = None) -> DataFrame:
+    """Walks from each seed (with ninf from it and its neighbours), scores by degree (vppr: as they are), conductance sweep; of
+    communities that differ by delta of the smaller one or less the first seed's stays. seeds(node) gives many seeds at once."""
+    starts = cut(seed_of(graph, seed_node) if seeds is None else seeds.select("node").distinct())
+    groups = starts.select(F.col("node").alias("seed"), "node")
+    if ninf:
+        groups = groups.unionByName(starts.join(graph.adj, "node").select(F.col("node").alias("seed"), F.col("nbr").alias("node")))
+    scores = pagerank.push(graph, groups, alpha, epsilon, 100 * nruns)
+    value = F.col("p") / F.col("degree") if expansion == "ppr" else F.col("p")
+    found = pagerank.sweep(graph, scores.join(graph.degrees.select("node", "degree"), "node").where("degree > 0").select("seed", "node", value.alias("score")))
+    found = cut(found.select(F.col("seed").alias("cid"), "node"))
+    same = egonets.contained(found, 1 - delta).select("c", "d")
+    items = found.select(F.col("cid").alias("id")).distinct().withColumn("order", F.col("id"))
+    return found.join(egonets.first_come(items, same, "order").withColumnRenamed("id", "cid"), "cid", "left_semi")
 
 
 @register(
@@ -355,6 +426,7 @@ def nocd(graph: Graph, k=3, features="degree", rand_dim=16, hidden_dim=64, n_lay
     Param("margin", "float", 0.005, 0, 1), Param("lam", "float", 0.01, 0, 1), Param("kmax", "int", 3, 1, 20), Param("neighbours_only", "bool", True), Param("min_links", "int", 1, 0, 100), Param("min_affinity", "float", 0.0, 0, 1),
     Param("calibrate", "bool", False), Param("target", "float", 0.1, 0, 1), Param("tolerance", "float", 0.02, 0, 1), Param("trials", "int", 8, 1, 50), Param("tau_low", "float", -0.05), Param("tau_high", "float", 0.0), Param("trial_iter", "int", 4, 1, 50),
 )
-def cover_refine(graph: Graph, **params) -> DataFrame:
-    return kernel_cover(graph, lambda adj: local.refine_cover(adj, **params))
-
+def cover_refine(graph: Graph, init: str = "louvain", seed: int = 42, **params) -> DataFrame:
+    """Starts from parallel local moving, or greedy modularity."""
+    part = moving.louvain(graph, seed) if init == "louvain" else greedy(graph)
+    return kernel_cover(graph, lambda adj, parts: local.refine_cover(adj, parts, **params), part)
