@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.similarity import METRICS
 from weft.graph import Graph
-from weft.operators import boundary, centrality, cover, metrics, rank
+from weft.operators import boundary, centrality, cover, egonets, metrics, rank, spanning, triangles
 from weft.plans import detect
 from weft.plans.lineage import cut
 from weft.sources import ingest
@@ -249,11 +249,33 @@ def _ego(g, spark, d):
     return detect.ego_networks(g, 1)
 
 
-@_on_graph("triangles", "SELECT a.src AS a, a.dst AS b, b.dst AS c FROM edges a JOIN edges b ON a.dst = b.src JOIN edges c ON c.src = a.src AND c.dst = b.dst")
+_UP = """up AS MATERIALIZED (SELECT CASE WHEN (p.degree, src) < (q.degree, dst) THEN src ELSE dst END AS x, CASE WHEN (p.degree, src) < (q.degree, dst) THEN dst ELSE src END AS y FROM edges JOIN deg p ON p.node = src JOIN deg q ON q.node = dst),
+three AS MATERIALIZED (SELECT list_sort([p.x, p.y, q.y]) AS t FROM up p JOIN up q ON q.x = p.x AND p.y < q.y JOIN edges e ON e.src = p.y AND e.dst = q.y)"""
+
+
+@_on_graph("triangles", f", {_UP} SELECT t[1] AS a, t[2] AS b, t[3] AS c FROM three")
 def _triangles(g, spark, d):
-    e = g.edges.select("src", "dst")
-    two = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(e.select(F.col("src").alias("b"), F.col("dst").alias("c")), "b")
-    return two.join(e.select(F.col("src").alias("a"), F.col("dst").alias("c")), ["a", "c"], "left_semi").select("a", "b", "c")
+    found = triangles.triangles(g).select(F.sort_array(F.array("a", "b", "c")).alias("t"))
+    return found.select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"))
+
+
+_EGO = f""", {_UP}, ego_edges AS (SELECT t[1] AS ego, t[2] AS src, t[3] AS dst FROM three UNION ALL SELECT t[2], t[1], t[3] FROM three UNION ALL SELECT t[3], t[1], t[2] FROM three),
+near AS MATERIALIZED (SELECT ego, src AS node, dst AS nbr FROM ego_edges UNION ALL SELECT ego, dst, src FROM ego_edges),
+one AS MATERIALIZED (SELECT ego, node, least(node, min(nbr)) AS label FROM near GROUP BY 1, 2),
+votes AS (SELECT ego, node, label, count(*) AS n FROM (SELECT ego, node, label FROM one UNION ALL SELECT n.ego, n.node, o.label FROM near n JOIN one o ON o.ego = n.ego AND o.node = n.nbr) GROUP BY 1, 2, 3)"""
+
+
+@_on_graph("ego_label_rounds", _EGO + " SELECT ego, node, label FROM votes QUALIFY row_number() OVER (PARTITION BY ego, node ORDER BY n DESC, label) = 1")
+def _ego_labels(g, spark, d):
+    return egonets.propagate(egonets.ego_edges(g), 2)
+
+
+@_on_graph(
+    "contained_communities",
+    ", cov AS MATERIALIZED (SELECT * FROM brand UNION ALL SELECT p_type, p_partkey FROM part WHERE p_partkey IN (SELECT node FROM deg)), sz AS (SELECT cid, count(*) AS n FROM cov GROUP BY 1), sh AS (SELECT a.cid AS c, b.cid AS d, count(*) AS shared FROM cov a JOIN cov b ON a.node = b.node AND a.cid <> b.cid GROUP BY 1, 2) SELECT c, d, shared, x.n AS size_c, y.n AS size_d FROM sh JOIN sz x ON x.cid = c JOIN sz y ON y.cid = d WHERE (y.n > x.n OR y.n = x.n AND d < c) AND shared >= 0.1 * x.n",
+)
+def _contained(g, spark, d):
+    return egonets.contained(brands_and_types(spark, d, g), 0.1)
 
 
 _TRI = "tri AS MATERIALIZED (SELECT a.src AS a, a.dst AS b, b.dst AS c FROM edges a JOIN edges b ON a.dst = b.src JOIN edges c ON c.src = a.src AND c.dst = b.dst)"
@@ -314,7 +336,7 @@ def _subgraph(g, spark, d):
     return g.subgraph(table(spark, d, "part").where("p_size <= 25").select(F.col("p_partkey").alias("node"))).edges
 
 
-@_on_graph("ego_subgraph", ", hub AS (SELECT node FROM deg WHERE degree = (SELECT max(degree) FROM deg)), ego AS (SELECT node FROM hub UNION SELECT nbr FROM adj JOIN hub USING (node)) SELECT src, dst, weight FROM edges WHERE src IN (SELECT node FROM ego) AND dst IN (SELECT node FROM ego)")
+@_on_graph("ego_subgraph", ", hub AS MATERIALIZED (SELECT node FROM deg WHERE degree = (SELECT max(degree) FROM deg)), ego AS MATERIALIZED (SELECT node FROM hub UNION SELECT nbr FROM adj JOIN hub USING (node)) SELECT e.src, e.dst, e.weight FROM edges e JOIN ego a ON a.node = e.src JOIN ego b ON b.node = e.dst")
 def _ego_subgraph(g, spark, d):
     hubs = g.degrees.join(g.degrees.agg(F.max("degree").alias("degree")), "degree", "left_semi")
     return g.ego(hubs.select("node")).edges
@@ -435,9 +457,24 @@ def _cn_components(g, spark, d):
  kept AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT * FROM ends_ QUALIFY row_number() OVER (PARTITION BY node ORDER BY weight DESC, salton DESC, src DESC, dst DESC) = 1))""" + _LINKS,
 )
 def _umstmo(g, spark, d):
+    return cover.relabel(detect.first_contraction(g))
+
+
+@_on_graph("umstmo_cover")
+def _umstmo_cover(g, spark, d):
     return cover.relabel(detect.umstmo(g))
 
 
+@_on_graph(
+    "spanning_union",
+    " SELECT e.src, e.dst, e.weight FROM edges e JOIN lab p ON p.w = e.weight AND p.node = e.src JOIN lab q ON q.w = e.weight AND q.node = e.dst WHERE p.c <> q.c",
+    """, lab(w, node, c) USING KEY (w, node) AS (SELECT w, node, node FROM (SELECT DISTINCT weight AS w FROM edges), deg UNION
+  SELECT l.w, a.nbr, min(l.c) FROM lab l JOIN adj a ON a.node = l.node AND a.weight > l.w JOIN recurring.lab r ON r.w = l.w AND r.node = a.nbr WHERE l.c < r.c GROUP BY 1, 2)""",
+)
+def _spanning_union(g, spark, d):
+    return spanning.spanning_union(g.edges)
+
+
 def queries() -> dict[str, Query]:
     from weft import catalog_ingest, catalog_suppliers  # noqa: F401  they add theirs
 

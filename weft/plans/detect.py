@@ -327,6 +327,15 @@ def umstmo(graph: Graph) -> DataFrame:
     return best
 
 
+def first_contraction(graph: Graph) -> DataFrame:
+    """(cid, node): components of each node's strongest edge by (weight, similarity, ends)."""
+    sim = salton_edges(graph).join(graph.edges, ["src", "dst"])
+    key = F.struct("weight", "salton", F.col("src"), F.col("dst"))
+    ends = sim.select(F.col("src").alias("node"), key.alias("k")).unionByName(sim.select(F.col("dst").alias("node"), key.alias("k")))
+    found = connected_components(ends.groupBy("node").agg(F.max("k").alias("k")).select("k.src", "k.dst").distinct())
+    return graph.nodes.select("node").join(found, "node", "left").select(F.coalesce("component", "node").alias("cid"), "node")
+
+
 def strengths(graph: Graph) -> DataFrame:
     """(src, dst, weight): edge weights times the similarity of the closed neighbourhoods of their ends, to nine digits, so that equal ones tie."""
     one, two = (graph.degrees.select(F.col("node").alias(e), F.col("degree").alias(f"d_{e}")) for e in ("src", "dst"))
