@@ -3,7 +3,7 @@
 Spark hands each worker batches of whole texts. White space becomes the space
 symbol, and a text is cut before each run of spaces that follows another
 character, and between characters that stand beside each other in no piece: no
-merge crosses such a place. The distinct words of a batch are encoded together:
+merge crosses such a place. The distinct words of some texts are encoded together:
 their characters lie in one flat array of symbols; each round finds the best
 (smallest) rank of a pair within every word, merges that pair at once at its leftmost
 occurrences that do not overlap, and closes the gaps; words without a pair leave
@@ -11,7 +11,7 @@ the arrays, until none remains. Merging an occurrence can make a pair that comes
 before the next occurrence; a word in which that happens merges its first occurrence
 alone in this round, as one merge after the other would.
 
-Nothing is shuffled; a worker holds a batch, a text that is longer than a batch,
+Nothing is shuffled; a worker holds a batch, the words of a megabyte of it or of one longer text,
 and the ids of at most WORDS_HELD words.
 """
 
@@ -27,16 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.frames import mapped, table
+from weft.llm.frames import mapped, release, table
 
 SPACE = "▁"
 #: Words whose ids a worker keeps; beyond it all are forgotten and encoded again.
-WORDS_HELD = 1 << 18
-#: Longer words are encoded anew in each batch, in characters.
+WORDS_HELD = 1 << 17
+#: Longer words are encoded anew each time, in characters.
 LONGEST_HELD = 64
 _NONE = np.int32(2**31 - 1)
 _SPAN = 1 << 21  # symbols are ids, or behind them characters that are no piece
 _DECODED = 1 << 17  # ids at once
+_BYTES_AT_ONCE = 1 << 20  # of texts, cut into words
 _WORD = re.compile(" *[^ ]+| +")
 
 
@@ -123,6 +124,8 @@ def pieces(path: str) -> Pieces:
             decoded[i] = model.trainer_spec.unk_surface.encode()
     begin, end = (next(i for i, p in enumerate(model.pieces) if p.piece == x and p.type == plain.CONTROL) for x in (model.trainer_spec.bos_piece, model.trainer_spec.eos_piece))
     runs, longest = _spaces(ids, scores)
+    del model, pairs
+    release()
     return Pieces(keys, made, ranks, characters, beside, fallback, runs, longest, begin, end, size, pa.array(decoded, pa.large_binary()))
 
 
@@ -246,22 +249,34 @@ def encode_words(model: Pieces, words: list[str]) -> list[bytes]:
     return found
 
 
+def _some(texts: pa.Array) -> Iterator[list[str]]:
+    """Texts of about _BYTES_AT_ONCE bytes together; a longer one stands alone."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + _BYTES_AT_ONCE, "right")) - 1)
+        yield texts.slice(i, j - i).to_pylist()
+        i = j
+
+
 def _texts_to_ids(path: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model = pieces(path)
     first, last = (int(i).to_bytes(4, "little") for i in (model.begin, model.end))
     known: dict[str, bytes] = {}
     for batch in batches:
-        lists = [_WORD.findall(" " + t.replace(SPACE, " ")) if t else [] for t in batch.column(1).to_pylist()]
-        new = {w for words in lists for w in words if w not in known}
-        if len(known) + len(new) > WORDS_HELD:
-            known.clear()
-            new = {w for words in lists for w in words}
-        fresh = list(new)
-        known.update(zip(fresh, encode_words(model, fresh), strict=True))
-        ids = [b"".join([first, *map(known.__getitem__, words), last]) for words in lists]
-        for w in fresh:
-            if len(w) > LONGEST_HELD:
-                del known[w]
+        ids: list[bytes] = []
+        for texts in _some(batch.column(1)):
+            lists = [_WORD.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
+            new = {w for words in lists for w in words if w not in known}
+            if len(known) + len(new) > WORDS_HELD:
+                known.clear()
+                new = {w for words in lists for w in words}
+            fresh = list(new)
+            known.update(zip(fresh, encode_words(model, fresh), strict=True))
+            ids += [b"".join([first, *map(known.__getitem__, words), last]) for words in lists]
+            for w in fresh:
+                if len(w) > LONGEST_HELD:
+                    del known[w]
         sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(ids, pa.binary())], names=["did", "n_tokens", "ids"])
 
