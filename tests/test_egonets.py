@@ -11,7 +11,7 @@ from weft.plans import registry
 from weft.plans.lineage import cut
 
 
-def random_graph(seed, n=40, groups=4, inside=0.6, across=0.03):
+def random_graph(seed, n=28, groups=4, inside=0.7, across=0.04):
     r = random.Random(seed)
     adj = {v: set() for v in range(n)}
     for a in range(n):
@@ -134,8 +134,7 @@ def test_propagation_in_all_egos(made, rounds):
     assert got == want
 
 
-@pytest.mark.parametrize(("key", "by_overlap"), [("DEMON", False), ("ANGEL", True)])
-@pytest.mark.parametrize("least", [2, 3])
+@pytest.mark.parametrize(("key", "by_overlap", "least"), [("DEMON", False, 3), ("ANGEL", True, 2)])
 def test_demon_and_angel(made, key, by_overlap, least):
     adj, g = made
     params = {"epsilon": 0.3, "min_com_size": least} if key == "DEMON" else {"threshold": 0.3, "min_community_size": least}
@@ -146,7 +145,7 @@ def test_demon_and_angel(made, key, by_overlap, least):
 def test_contained_and_alike_find_all_pairs(spark, made):
     adj, _ = made
     r = random.Random(3)
-    coms = {i: frozenset(r.sample(sorted(adj[r.choice(range(40))] | {0}), k=1)) | frozenset(r.sample(range(30), r.randint(1, 12))) for i in range(50)}
+    coms = {i: frozenset(r.sample(sorted(adj[r.choice(range(28))] | {0}), k=1)) | frozenset(r.sample(range(24), r.randint(1, 12))) for i in range(50)}
     rows = spark.createDataFrame([(c, v) for c, s in coms.items() for v in s], "cid long, node long")
     for share in (0.3, 0.75):
         got = {(x.c, x.d, x.shared) for x in egonets.contained(rows, share).collect()}
@@ -225,9 +224,9 @@ def test_coach(made):
     assert groups_of(registry.detect(g, "COACH").membership) == sorted(map(sorted, want))
 
 
-@pytest.mark.parametrize("key", ["DEMON", "ANGEL", "NODEP", "COACH"])
+@pytest.mark.parametrize("key", ["DEMON", "COACH"])
 def test_planted_groups_are_found_and_nothing_is_no_error(spark, key):
-    adj = random_graph(9, 48, 3, 0.8, 0.0)
+    adj = random_graph(9, 24, 3, 0.9, 0.0)
     found = groups_of(registry.detect(graph_of(spark, adj), key).membership)
     truth = [{v for v in adj if v % 3 == k} for k in range(3)]
     assert all(max(len(t & set(s)) / len(t | set(s)) for s in found) >= 0.8 for t in truth)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.graph import Graph
+from weft.operators.order import numbered
 
 
 def sizes(membership: DataFrame) -> DataFrame:
@@ -23,8 +24,8 @@ def drop_duplicates(membership: DataFrame) -> DataFrame:
 def relabel(membership: DataFrame) -> DataFrame:
     """cid becomes 0, 1, ... by size from large to small, then by the smallest node."""
     per = membership.groupBy("cid").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"))
-    order = per.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "least", "cid")) - 1)
-    return membership.join(order.select("cid", "rank"), "cid").select(F.col("rank").cast("int").alias("cid"), "node")
+    order = numbered(per, "rank", F.desc("size"), F.col("least"), F.col("cid"))
+    return membership.join(order.select("cid", "rank"), "cid").select((F.col("rank") - 1).cast("int").alias("cid"), "node")
 
 
 def postprocess(membership: DataFrame, min_size: int = 1) -> DataFrame:

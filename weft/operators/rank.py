@@ -7,21 +7,25 @@ from pyspark.sql import functions as F
 
 from weft.graph import Graph
 from weft.operators import centrality
+from weft.operators.order import min_ranks, numbered
 
 
 def to_ranking(scores: DataFrame, method: str, column: str | None = None) -> DataFrame:
     """(method, rank, node): best first, missing scores last, ties by node."""
-    order = Window.orderBy(F.col(column or method).desc_nulls_last(), "node")
-    return scores.select(F.lit(method).alias("method"), F.row_number().over(order).alias("rank"), "node")
+    rows = numbered(scores.select("node", F.col(column or method).alias("score")), "rank", F.col("score").desc_nulls_last(), F.col("node"))
+    return rows.select(F.lit(method).alias("method"), "rank", "node")
 
 
 def top_k(scores: DataFrame, column: str, k: int, rank_scope: str = "view") -> DataFrame:
     """The k best nodes by column, with min-ranks <c>_rank of every score, in the view or, with rank_scope global, among all nodes."""
     names = [c for c in scores.columns if c != "node"]
-    ranked = lambda df: df.withColumns({f"{c}_rank": F.rank().over(Window.orderBy(F.desc(c))) for c in names})
-    rows = ranked(scores) if rank_scope == "global" else scores
+    rows = scores
+    if rank_scope == "global":
+        for c in names:
+            rows = min_ranks(rows, c, f"{c}_rank")
+        rows = rows.select("node", *names, *(f"{c}_rank" for c in names))
     rows = rows.orderBy(F.desc(column), "node").limit(k)
-    return rows if rank_scope == "global" else ranked(rows)
+    return rows if rank_scope == "global" else rows.withColumns({f"{c}_rank": F.rank().over(Window.orderBy(F.desc(c))) for c in names})  # k rows
 
 
 def as_texts(scores: DataFrame, digits: int = 6) -> DataFrame:
