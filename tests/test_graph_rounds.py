@@ -179,3 +179,48 @@ def test_common_neighbour_merge_against_the_scan(spark):
         got = boundary.merge(g, got, "cosine", 0.4, 0.0)
     assert groups_of(got) == sorted(map(sorted, want.values()))
     assert got.where(F.col("cid").isNull()).isEmpty()
+
+
+def staying(adj, grown, order):
+    """Seeds in order, without those in a community before them."""
+    out, covered = {}, set()
+    for seed in sorted(adj, key=order):
+        if seed not in covered:
+            out[seed] = grown[seed]
+            covered |= grown[seed]
+    return out
+
+
+def test_local_fitness(made):
+    adj, g = made
+
+    def fitness(s):
+        every = sum(len(adj[v]) for v in s)
+        return round(sum(u in s for v in s for u in adj[v]) / float(every) ** 0.9, 12) if every else 0.0
+
+    grown = {}
+    for seed in adj:
+        s = {seed}
+        while True:
+            able = [(v not in s, -fitness(s ^ {v}), v) for v in s | {u for v in s for u in adj[v]} if v != seed and fitness(s ^ {v}) > fitness(s) + 1e-11]
+            if not able:
+                break
+            s = s ^ {min(able)[2]}
+        grown[seed] = s
+    want = staying(adj, grown, lambda v: v)
+    assert groups_of(registry.detect(g, "LFM", alpha=0.9).membership) == sorted(map(sorted, want.values()))
+
+
+def test_belonging_degrees(made):
+    adj, g = made
+    belong = lambda v, s: round(len(adj[v] & s) / len(adj[v]), 12) if adj[v] else 0.0
+    grown = {}
+    for seed in adj:
+        s = {seed}
+        while near := [v for u in s for v in adj[u] - s if belong(v, s) >= 0.2]:
+            s.add(min(near, key=lambda v: (-belong(v, s), v)))
+        grown[seed] = s
+    want = staying(adj, grown, lambda v: (-len(adj[v]), v))
+    want = [s | {v for v in adj if adj[v] & s and len(adj[v] & s) / len(adj[v]) >= 0.6} for s in want.values()]
+    found = registry.detect(g, "WCOMMUNITY", min_bel_degree=0.2, threshold_bel_degree=0.6).membership
+    assert groups_of(found) == sorted(map(sorted, want))

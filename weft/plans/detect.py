@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.similarity import METRICS
 from weft.graph import Graph
-from weft.operators import boundary, cover, egonets, metrics, moving, pagerank, spanning
+from weft.operators import boundary, cover, egonets, growth, metrics, moving, pagerank, spanning
 from weft.operators.components import connected_components
 from weft.operators.local import one_group
 from weft.operators.triangles import common_neighbours as common_neighbours_of_edges
@@ -131,9 +131,11 @@ def demon(graph: Graph, epsilon: float = 0.25, min_com_size: int = 3, rounds: in
     return egonets.merge_contained(egonets.ego_communities(graph, groups, min_com_size), 1 - epsilon)
 
 
-@register("LFM", "Local fitness", Param("alpha", "float", 1.0, 0.1, 5))
-def lfm(graph: Graph, alpha: float = 1.0) -> DataFrame:
-    return kernel_cover(graph, lambda adj: local.local_fitness(adj, alpha))
+@register("LFM", "Local fitness", Param("alpha", "float", 1.0, 0.1, 5), Param("rounds", "int", 1000, 1, 1000000))
+def lfm(graph: Graph, alpha: float = 1.0, rounds: int = 1000) -> DataFrame:
+    """Every node grows a community by inner / every ** alpha, a change a round; by node, those whose seed lies in one before them go."""
+    grown = cut(growth.grow(graph, graph.nodes, growth.by_fitness(alpha), rounds))
+    return growth.uncovered_first(grown, graph.nodes.select("node", F.col("node").alias("at"))).select(F.col("seed").alias("cid"), "node")
 
 
 @register("KCLIQUE", "Clique percolation", Param("k", "int", 3, 3, 8))
@@ -366,9 +368,14 @@ def walkscan(graph: Graph, nb_steps: int = 2, eps: float = 0.1, min_samples: int
     return comps.select("cid", "node").unionByName(border.select("cid", "node"))
 
 
-@register("WCOMMUNITY", "Belonging degree", Param("min_bel_degree", "float", 0.7, 0, 1), Param("threshold_bel_degree", "float", 0.7, 0, 1), Param("weightName", "enum", "weight", options=("weight",)))
-def wcommunity(graph: Graph, min_bel_degree: float = 0.7, threshold_bel_degree: float = 0.7, weightName: str = "weight") -> DataFrame:  # noqa: N803
-    return kernel_cover(graph, lambda adj: local.belonging_expansion(adj, min_bel_degree, threshold_bel_degree))
+@register("WCOMMUNITY", "Belonging degree", Param("min_bel_degree", "float", 0.7, 0, 1), Param("threshold_bel_degree", "float", 0.7, 0, 1), Param("weightName", "enum", "weight", options=("weight",)), Param("rounds", "int", 1000, 1, 1000000))
+def wcommunity(graph: Graph, min_bel_degree: float = 0.7, threshold_bel_degree: float = 0.7, weightName: str = "weight", rounds: int = 1000) -> DataFrame:  # noqa: N803
+    """Every node grows by the neighbour that belongs most to its community; by strength, those whose seed lies in one before them go; then all nodes join that belong enough."""
+    grown = cut(growth.grow(graph, graph.nodes, growth.by_belonging(min_bel_degree), rounds))
+    kept = cut(growth.uncovered_first(grown, graph.degrees.select("node", F.struct((-F.col("strength")).alias("s"), "node").alias("at"))))
+    around, _ = growth.surroundings(graph, kept)
+    more = around.where((F.col("strength") > 0) & (F.col("weight") / F.col("strength") >= threshold_bel_degree)).select("seed", "node")
+    return kept.unionByName(more).distinct().select(F.col("seed").alias("cid"), "node")
 
 
 @register("MULTICOM", "Local communities of a seed", Param("seed_node", "node", None), Param("alpha", "float", 0.85, 0, 1), Param("epsilon", "float", 1e-4, 1e-9, 1), Param("alike", "float", 0.8, 0, 1))
