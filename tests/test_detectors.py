@@ -26,7 +26,7 @@ def groups(membership):
 
 
 def test_registry():
-    assert len(KEYS) == 29
+    assert len(KEYS) == 30
     with pytest.raises(KeyError):
         registry.detector("NONE")
     with pytest.raises(ValueError, match="no parameter"):
@@ -92,22 +92,34 @@ def test_kernels_are_whole():
     present = {(a, b) for a in range(30) for b in range(30) if (a + b) % 8}
     a, b = kernels.non_edges(30, present, 200, np.random.default_rng(1))
     assert len(a) == 200 and all(x != y and (x, y) not in present for x, y in zip(a.tolist(), b.tolist(), strict=True))
-    hub = {}
+
+
+def test_multicom_starts_from_every_neighbour_that_no_community_holds(spark):
+    from tests.test_egonets import graph_of
+
+    hub: dict = {}
 
     def link(x, y):
-        hub.setdefault(x, {})[y] = hub.setdefault(y, {})[x] = 1.0
+        hub.setdefault(x, set()).add(y)
+        hub.setdefault(y, set()).add(x)
 
-    bounds = [0, 20, *range(32, 105, 12), 164]  # the seed's clique, seven beside it, and one that holds those
+    bounds = [0, 12, *range(20, 53, 8), 92]  # the seed's clique, some beside it, and one that holds those
     for a, b in zip(bounds, bounds[1:], strict=False):
         for x in range(a, b):
             for y in range(a, x):
                 link(x, y)
     for a in bounds[1:-2]:
         link(0, a)
-        for j in range(1, 11):
+        for j in range(1, 7):
             link(a + j, bounds[-2] + j)
-    found = kernels.local_communities(hub, 0)
-    assert len(found) > 5 and all(any(u in c for c in found) for u in hub[0])
+    found = groups(registry.detect(graph_of(spark, hub), "MULTICOM", seed_node=0).membership)
+    assert len(found) >= 4 and all(any(u in c for c in found) for u in hub[0])
+
+
+def test_stats_of_the_flagship(toy):
+    found = registry.detect(toy, "COBS", stats=True, theta_sim=0.25, theta_overlap=0.6)
+    assert found.stats == {"final_k": 2, "overlap_nodes": 2, "membership_count_dist": {1: 4, 2: 2}, "crisp_k": 2, "crisp_modularity": pytest.approx(0.357143, abs=1e-6), "boundary_nodes": 2}
+    assert registry.detect(toy, "EGONET", stats=True).stats["final_k"] == 6
 
 
 def planted(groups: int, size: int, inside: float, across: float, seed: int):
@@ -166,14 +178,13 @@ def test_dismantling():
     assert kernels.dismantle_greedy(adj, p=2, exploration=0.5, seed=1, double_cross=True)[0] == best
 
 
-@pytest.mark.parametrize("name", ["GREEDY_MODULARITY", "DGM_CRISP", "LOUVAIN"])
+@pytest.mark.parametrize("name", ["GREEDY_MODULARITY", "DGM_CRISP"])
 def test_planted_groups_are_found(name):
     from weft.plans import kernels
 
     adj, truth = planted(4, 16, 0.6, 0.02, 5)
     found = {
         "GREEDY_MODULARITY": lambda: kernels.greedy_modularity(adj), "DGM_CRISP": lambda: kernels.dismantle_greedy(adj, p=1, double_cross=True)[0],
-        "LOUVAIN": lambda: kernels.louvain(adj),
     }[name]()
     best = [max(len(t & s) / len(t | s) for s in found) for t in truth]
     assert min(best) >= 0.9

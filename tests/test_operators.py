@@ -70,6 +70,14 @@ def test_community_centralities(spark, t1):
     assert close(got["c"].ccdc, 0.6) and close(got["c"].cccc, 0.714286) and close(got["c"].ccbc, 0.6)
 
 
+@pytest.mark.parametrize("domain", ["graph", "induced"])
+def test_community_centralities_in_batches(spark, t1, domain):
+    """Sums over batches of a few sources are those over all at once."""
+    overlapping = members(spark, "abcd", "cdef")
+    one, many = ({r.node: tuple(r)[1:] for r in centrality.community_centralities(t1, overlapping, 0.3, domain, pairs=p).collect()} for p in (None, 12))
+    assert one.keys() == many.keys() and all(close(one[v][i], many[v][i]) for v in one for i in range(3))
+
+
 def test_domains(spark):
     g = graph(spark, [(1, 2), (2, 3), (3, 4), (1, 4)])
     m = members(spark, [1, 3], kind="long")
@@ -77,6 +85,27 @@ def test_domains(spark):
     assert close(values(centrality.community_centralities(g, m, 0.2, "induced"), "cccc")[1], 1.75)
 
 
+def test_places_and_ranks_by_ranges(spark):
+    """Numbers over all rows as one window would give them, with ties, nulls and no rows."""
+    import random
+
+    from weft.operators import rank
+    from weft.operators.order import min_ranks, numbered
+
+    r = random.Random(1)
+    rows = [(i, r.choice([None, 1.0, 2.5, 2.5, float(r.randint(0, 9))])) for i in range(300)]
+    scores = spark.createDataFrame(rows, "node long, x double").repartition(5)
+    best = sorted(rows, key=lambda t: (t[1] is None, -(t[1] or 0), t[0]))
+    assert {(x.rank, x.node) for x in rank.to_ranking(scores, "m", "x").collect()} == {(i + 1, v) for i, (v, _) in enumerate(best)}
+    want = {v: 1 + sum(y is not None and (x is None or y > x) for _, y in rows) for v, x in rows}
+    assert {x.node: x.x_rank for x in min_ranks(scores, "x", "x_rank").collect()} == want
+    top = rank.top_k(scores, "x", 7, "global").collect()
+    assert [t.node for t in top] == [v for v, _ in best[:7]] and all(t.x_rank == want[t.node] for t in top)
+    from pyspark.sql import functions as F
+
+    assert numbered(scores.limit(0), "n", F.col("node")).collect() == []
+
+
 def test_boundary(spark, t1):
     part = members(spark, "abc", "def")
     assert {(r.node, r.cand) for r in boundary.boundary_candidates(t1, part).collect()} == {("c", 1), ("d", 0)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +51,11 @@ def _per_source(graph: Graph, dist: DataFrame | None, pairs: int | None, *aggreg
 
 def closeness(graph: Graph, dist: DataFrame | None = None, pairs: int | None = None) -> DataFrame:
     """(r - 1) / sum of distances, times (r - 1) / (n - 1) where only r nodes are reachable; isolated nodes have 0."""
-    per = _per_source(graph, dist, pairs, F.count(F.lit(1)).alias("r"), F.sum("d").alias("total"))
+    return _closeness(graph, _per_source(graph, dist, pairs, F.count(F.lit(1)).alias("r"), F.sum("d").alias("total")))
+
+
+def _closeness(graph: Graph, per: DataFrame) -> DataFrame:
+    """closeness from per(node, r, total): reachable nodes, itself included, and the sum of their distances."""
     rows = graph.nodes.select("node").join(per, "node", "left").crossJoin(_single(graph))
     r = F.col("r") - 1
     return rows.select("node", F.coalesce(F.try_divide(r, F.col("n") - 1) * F.try_divide(r, F.col("total")), F.lit(0.0)).alias("closeness"))
@@ -206,14 +212,42 @@ def community_degree(graph: Graph, membership: DataFrame, alpha: float = 0.2) ->
     return rows.groupBy("node").agg(F.avg(F.when(span > 0, (F.col("din") + alpha * (F.col("degree") - F.col("din"))) / span)).alias("ccdc"))
 
 
-def community_centralities(graph: Graph, membership: DataFrame, alpha: float = 0.2, domain: str = "graph", aggregate: str = "mean") -> DataFrame:
+def _path_sums(graph: Graph, m: DataFrame, domain: str, pairs: int | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sums over all sources, one batch after another: total(node, st, r) of distances, within(cid, node, si) of those to
+    members of the same community, everywhere(node, bg) and within_b(cid, node, bi) of dependencies, of all ends and of the community's own."""
+    adj, own = cut(scoped(graph)), cut(scoped(graph, m)) if domain == "induced" else None
+    parts: list[list[DataFrame]] = [[], [], [], []]
+    for some in batches_of(graph, pairs=pairs):
+        source = some.select(F.col("node").alias("source"))
+        mine = m.join(some.select("node"), "node", "left_semi").select(F.col("cid").alias("scope"), F.col("node").alias("source"))
+        whole = cut(shortest_paths(adj, source.select(F.lit(0).alias("scope"), "source")))
+        if domain == "graph":  # each community's members as sources, whole-graph paths, ends within the community
+            ends = m.select(F.col("cid").alias("scope"), "node")
+            in_scope = cut(whole.drop("scope").join(mine, "source").select("scope", "source", "node", "d", "sigma"))
+            inner = in_scope.join(ends, ["scope", "node"], "left_semi")
+            flow = dependencies(graph.adj.select("node", "nbr"), in_scope, ends)
+        else:
+            inner = cut(shortest_paths(own, mine))
+            flow = dependencies(own, inner)
+        sums = (
+            whole.groupBy(F.col("source").alias("node")).agg(F.sum("d").alias("st"), F.count(F.lit(1)).alias("r")), inner.groupBy(F.col("scope").alias("cid"), F.col("source").alias("node")).agg(F.sum("d").alias("si")),
+            dependencies(adj, whole).groupBy("node").agg(F.sum("delta").alias("bg")), flow.groupBy(F.col("scope").alias("cid"), "node").agg(F.sum("delta").alias("bi")),
+        )
+        for part, one in zip(parts, sums, strict=True):
+            part.append(cut(one))
+    total, within, everywhere, within_b = (functools.reduce(DataFrame.unionByName, p) for p in parts)  # a source has its distances in one batch
+    return total, within, everywhere.groupBy("node").agg((F.sum("bg") / 2).alias("bg")), within_b.groupBy("cid", "node").agg((F.sum("bi") / 2).alias("bi"))
+
+
+def community_centralities(graph: Graph, membership: DataFrame, alpha: float = 0.2, domain: str = "graph", aggregate: str = "mean", pairs: int | None = None) -> DataFrame:
     """scores(node, ccdc, cccc, ccbc): centralities that weigh what lies outside a node's communities by alpha.
 
     domain graph takes distances and paths in the whole graph, and nodes of no
     community get the global centrality; domain induced takes them in the
     induced subgraph, drops undefined terms and gives such nodes 0. A node's
     score is the mean (or max) over its communities; with domain graph an
-    undefined closeness term makes the node's closeness null.
+    undefined closeness term makes the node's closeness null. Paths go in batches of
+    sources, of `pairs` pairs of nodes each, of which only sums are kept.
     """
     alpha = min(max(alpha, 0.0), 1.0)
     m = cut(membership.select("cid", "node").distinct().join(graph.nodes.select("node"), "node", "left_semi"))
@@ -224,28 +258,10 @@ def community_centralities(graph: Graph, membership: DataFrame, alpha: float = 0
     inside = m.join(graph.adj, "node").join(m.withColumnRenamed("node", "nbr"), ["cid", "nbr"]).groupBy("cid", "node").agg(F.count(F.lit(1)).alias("din"))
     rows = base.join(graph.degrees.select("node", "degree"), "node").join(inside, ["cid", "node"], "left").na.fill(0, ["din"])
     rows = rows.withColumn("ccdc", F.when(span > 0, (F.col("din") + alpha * (F.col("degree") - F.col("din"))) / span))
-    adj = scoped(graph)
-    whole = cut(shortest_paths(adj, graph.nodes.select(F.lit(0).alias("scope"), F.col("node").alias("source"))))
-    total = whole.groupBy(F.col("source").alias("node")).agg(F.sum("d").alias("st"))
-    if domain == "graph":
-        within = whole.select(F.col("source").alias("node"), F.col("node").alias("other"), "d").join(m.withColumnRenamed("node", "other"), "other").join(m, ["cid", "node"]).groupBy("cid", "node").agg(F.sum("d").alias("si"))
-    else:
-        own = scoped(graph, m)
-        starts = m.select(F.col("cid").alias("scope"), F.col("node").alias("source"))
-        induced = cut(shortest_paths(own, starts))
-        within = induced.groupBy(F.col("scope").alias("cid"), F.col("source").alias("node")).agg(F.sum("d").alias("si"))
+    total, within, everywhere, within_b = _path_sums(graph, m, domain, pairs)
     rows = rows.join(total, "node", "left").join(within, ["cid", "node"], "left").na.fill(0, ["st", "si"])
     far = F.col("si") + alpha * (F.col("st") - F.col("si"))
     rows = rows.withColumn("cccc", F.when(far > 0, span / far))
-    everywhere = dependencies(adj, whole).groupBy("node").agg((F.sum("delta") / 2).alias("bg"))
-    if domain == "graph":
-        members = m.select(F.col("cid").alias("scope"), "node")
-        # each community's members as sources, whole-graph paths, ends within the community
-        in_scope = whole.drop("scope").join(m.select(F.col("cid").alias("scope"), F.col("node").alias("source")), "source")
-        part = dependencies(graph.adj.select("node", "nbr"), in_scope.select("scope", "source", "node", "d", "sigma"), members)
-    else:
-        part = dependencies(own, induced)
-    within_b = part.groupBy(F.col("scope").alias("cid"), "node").agg((F.sum("delta") / 2).alias("bi"))
     rows = rows.join(everywhere, "node", "left").join(within_b, ["cid", "node"], "left").na.fill(0.0, ["bg", "bi"])
     n, nk = F.col("n"), F.col("nk")
     pg, pk = (n - 1) * (n - 2) / 2, (nk - 1) * (nk - 2) / 2
@@ -264,7 +280,7 @@ def community_centralities(graph: Graph, membership: DataFrame, alpha: float = 0
     out = graph.nodes.select("node").join(scores.withColumn("member", F.lit(True)), "node", "left")
     if domain == "induced":
         return out.select("node", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in names))
-    plain = closeness(graph, whole.select("source", "node", "d")).join(degree_centrality(graph), "node").join(everywhere, "node", "left").crossJoin(one)
+    plain = _closeness(graph, total.select("node", "r", F.col("st").alias("total"))).join(degree_centrality(graph), "node").join(everywhere, "node", "left").crossJoin(one)
     out = out.join(plain, "node")
     fall = {"ccdc": F.col("degree"), "cccc": F.col("closeness"), "ccbc": F.when(pg > 0, F.coalesce("bg", F.lit(0.0)) / pg).otherwise(0.0)}
     return out.select("node", *(F.when(F.col("member"), F.coalesce(F.col(c), fall[c]) if c != "cccc" else F.col(c)).otherwise(fall[c]).alias(c) for c in names))

@@ -96,12 +96,18 @@ def detector(key: str) -> Detector:
     return found[key]
 
 
-def detect(graph: Graph, key: str, **params) -> Clustering:
+def detect(graph: Graph, key: str, stats: bool = False, **params) -> Clustering:
+    """Runs a detector; with stats the result has those of with_stats, for COBS with its crisp start."""
     from weft.operators.cover import relabel
+    from weft.plans.detect import boundary_overlap, greedy
+    from weft.plans.lineage import cut
 
     d = detector(key)
     bound = d.bind(params)
-    return Clustering(relabel(d.run(graph, bound).distinct()), graph, d.name, bound, d.overlapping)
+    part = cut(greedy(graph)) if stats and d.key == "COBS" else None
+    found = d.run(graph, bound) if part is None else boundary_overlap(graph, **bound, part=part)
+    made = Clustering(relabel(found.distinct()), graph, d.name, bound, d.overlapping)
+    return with_stats(made, part) if stats else made
 
 
 def with_stats(found: Clustering, part: DataFrame | None = None) -> Clustering:
