@@ -31,7 +31,7 @@ from weft.llm.frames import mapped, release, table
 
 SPACE = "▁"
 #: Words whose ids a worker keeps; beyond it all are forgotten and encoded again.
-WORDS_HELD = 1 << 17
+WORDS_HELD = 1 << 18
 #: Longer words are encoded anew each time, in characters.
 LONGEST_HELD = 64
 _NONE = np.int32(2**31 - 1)
@@ -198,7 +198,10 @@ def _merged(model: Pieces, symbols, word, place, rank, made, best, owner, chosen
     at = np.cumsum(kept) - 1
     symbols, word, place, rank, made = (x[kept] for x in (symbols, word, place, rank, made))
     here = at[chosen]
-    stale = np.unique(np.concatenate([here, here[here > 0] - 1]))
+    touched = np.zeros(len(symbols), bool)
+    touched[here] = True
+    touched[here[here > 0] - 1] = True
+    stale = np.flatnonzero(touched)
     last = stale >= len(symbols) - 1
     inner = stale[~last]
     rank[stale[last]] = _NONE
@@ -249,6 +252,15 @@ def encode_words(model: Pieces, words: list[str]) -> list[bytes]:
     return found
 
 
+def _words(text: str) -> list[str]:
+    """A text cut before each run of spaces, with the space that is put in front of all; a word with one space stands without it where all are such."""
+    if SPACE in text:
+        text = text.replace(SPACE, " ")
+    if not text or text[0] != " " and text[-1] != " " and "  " not in text:
+        return text.split(" ") if text else []
+    return _WORD.findall(" " + text)
+
+
 def _some(texts: pa.Array) -> Iterator[list[str]]:
     """Texts of about _BYTES_AT_ONCE bytes together; a longer one stands alone."""
     ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)
@@ -259,20 +271,27 @@ def _some(texts: pa.Array) -> Iterator[list[str]]:
         i = j
 
 
+@functools.lru_cache(maxsize=1)
+def _known(path: str) -> dict[str, bytes]:
+    """The ids of words that this worker has encoded, in whatever task."""
+    return {}
+
+
 def _texts_to_ids(path: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model = pieces(path)
     first, last = (int(i).to_bytes(4, "little") for i in (model.begin, model.end))
-    known: dict[str, bytes] = {}
+    known = _known(path)
     for batch in batches:
         ids: list[bytes] = []
         for texts in _some(batch.column(1)):
-            lists = [_WORD.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
-            new = {w for words in lists for w in words if w not in known}
+            lists = [_words(t) for t in texts]
+            every = set().union(*lists)
+            new = every.difference(known)
             if len(known) + len(new) > WORDS_HELD:
                 known.clear()
-                new = {w for words in lists for w in words}
+                new = every
             fresh = list(new)
-            known.update(zip(fresh, encode_words(model, fresh), strict=True))
+            known.update(zip(fresh, encode_words(model, [w if w[:1] == " " else " " + w for w in fresh]), strict=True))
             ids += [b"".join([first, *map(known.__getitem__, words), last]) for words in lists]
             for w in fresh:
                 if len(w) > LONGEST_HELD:
