@@ -10,6 +10,8 @@ from weft.plans.lineage import cut
 
 #: Ranges that a sweep's order is cut into; prefix sums go over their totals first.
 RANGES = 64
+#: Rounds of pushes between two tables: the plan of a round reads the one before twice.
+TOGETHER = 3
 
 
 def push(graph: Graph, seeds: DataFrame, alpha: float = 0.85, epsilon: float = 1e-4, rounds: int = 1000) -> DataFrame:
@@ -24,16 +26,18 @@ def push(graph: Graph, seeds: DataFrame, alpha: float = 0.85, epsilon: float = 1
     degrees = cut(graph.degrees.select("node", "degree"))
     sizes = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
     start = seeds.distinct().join(degrees, "node").join(sizes, "seed")
-    state = cut(start.select("seed", "node", "degree", F.when(F.col("degree") == 0, 1 / F.col("n")).otherwise(0.0).alias("p"), F.when(F.col("degree") == 0, 0.0).otherwise(1 / F.col("n")).alias("r")))
-    for _ in range(rounds):
-        busy = state.where(F.col("r") >= epsilon * F.col("degree")).where("degree > 0")
-        if busy.isEmpty():
-            break
-        sent = busy.join(spread, "node").groupBy("seed", F.col("nbr").alias("node")).agg(F.sum(alpha * F.col("r") * F.col("share")).alias("got"))
-        big = (F.col("r") >= epsilon * F.col("degree")) & (F.col("degree") > 0)
+    state = start.select("seed", "node", "degree", F.when(F.col("degree") == 0, 1 / F.col("n")).otherwise(0.0).alias("p"), F.when(F.col("degree") == 0, 0.0).otherwise(1 / F.col("n")).alias("r"))
+    big = (F.col("r") >= epsilon * F.col("degree")) & (F.col("degree") > 0)
+    for number in range(rounds):
+        if number % TOGETHER == 0:
+            state = cut(state)
+            if state.where(big).isEmpty():
+                break
+        sent = state.where(big).join(spread, "node").groupBy("seed", F.col("nbr").alias("node")).agg(F.sum(alpha * F.col("r") * F.col("share")).alias("got"))
         kept = state.select("seed", "node", (F.col("p") + F.when(big, (1 - alpha) * F.col("r")).otherwise(0.0)).alias("p"), F.when(big, 0.0).otherwise(F.col("r")).alias("r"))
         both = kept.unionByName(sent.select("seed", "node", F.lit(0.0).alias("p"), F.col("got").alias("r")))
-        state = cut(both.groupBy("seed", "node").agg(F.sum("p").alias("p"), F.sum("r").alias("r")).join(degrees, "node").select("seed", "node", "degree", "p", "r"))
+        state = both.groupBy("seed", "node").agg(F.sum("p").alias("p"), F.sum("r").alias("r")).join(degrees, "node").select("seed", "node", "degree", "p", "r")
+    state = cut(state)
     return state.select("seed", "node", "p", "r")
 
 

@@ -409,7 +409,7 @@ def seed_of(graph: Graph, seed_node) -> DataFrame:
 
 @register(
     "OSSE", "Overlapping seed set expansion", Param("seed_node", "node", None), Param("ninf", "bool", False), Param("expansion", "enum", "ppr", options=("ppr", "vppr")), Param("stopping", "enum", "cond", options=("cond",), help="the sweep ends at least conductance, the only rule"),
-    Param("nworkers", "int", 1, 1, 64, help="has no effect: Spark deals the work"), Param("nruns", "int", 13, 1, 1000, help="hundreds of rounds of pushes at most"), Param("alpha", "float", 0.99, 0, 1), Param("delta", "float", 0.2, 0, 1),
+    Param("nworkers", "int", 1, 1, 64, help="has no effect: Spark deals the work"), Param("nruns", "int", 13, 1, 1000, help="rounds of pushes at most, in fives"), Param("alpha", "float", 0.99, 0, 1), Param("delta", "float", 0.2, 0, 1),
     Param("epsilon", "float", 1e-4, 1e-9, 1),
 )
 def osse(graph: Graph, seed_node=None, ninf=False, expansion="ppr", stopping="cond", nworkers=1, nruns=13, alpha=0.99, delta=0.2, epsilon=1e-4, seeds: DataFrame | None = None) -> DataFrame:
@@ -419,7 +419,7 @@ def osse(graph: Graph, seed_node=None, ninf=False, expansion="ppr", stopping="co
     groups = starts.select(F.col("node").alias("seed"), "node")
     if ninf:
         groups = groups.unionByName(starts.join(graph.adj, "node").select(F.col("node").alias("seed"), F.col("nbr").alias("node")))
-    scores = pagerank.push(graph, groups, alpha, epsilon, 100 * nruns)
+    scores = pagerank.push(graph, groups, alpha, epsilon, 5 * nruns)
     value = F.col("p") / F.col("degree") if expansion == "ppr" else F.col("p")
     found = pagerank.sweep(graph, scores.join(graph.degrees.select("node", "degree"), "node").where("degree > 0").select("seed", "node", value.alias("score")))
     found = cut(found.select(F.col("seed").alias("cid"), "node"))
