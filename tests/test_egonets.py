@@ -134,7 +134,7 @@ def test_propagation_in_all_egos(made, rounds):
     assert got == want
 
 
-@pytest.mark.parametrize(("key", "by_overlap", "least"), [("DEMON", False, 3), ("ANGEL", True, 2)])
+@pytest.mark.parametrize(("key", "by_overlap", "least"), [("DEMON", False, 3), ("ANGEL", True, 3)])
 def test_demon_and_angel(made, key, by_overlap, least):
     adj, g = made
     params = {"epsilon": 0.3, "min_com_size": least} if key == "DEMON" else {"threshold": 0.3, "min_community_size": least}
