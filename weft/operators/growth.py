@@ -31,12 +31,17 @@ def surroundings(graph: Graph, members: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def grow(graph: Graph, seeds: DataFrame, change: Callable[[DataFrame], DataFrame], rounds: int) -> DataFrame:
-    """(seed, node): communities from seeds(node), each by itself at first.
+    """(seed, node): communities from seeds(node), each by itself at first; as grow_from."""
+    return grow_from(graph, seeds.select(F.col("node").alias("seed"), "node"), change, rounds)
+
+
+def grow_from(graph: Graph, members: DataFrame, change: Callable[[DataFrame], DataFrame], rounds: int) -> DataFrame:
+    """(seed, node): communities that start as members(seed, node).
 
     change gets the rows of surroundings with size, inner and every of their community and returns (seed, node) of the one
     node a community that enters it, or leaves it if it is inside; communities without such a row are done.
     """
-    members, done = cut(seeds.select(F.col("node").alias("seed"), "node")), None
+    members, done = cut(members.select("seed", "node")), None
     for _ in range(rounds):
         rows, own = surroundings(graph, members)
         turned = cut(change(rows.join(own, "seed")).select("seed", "node"))
@@ -59,6 +64,22 @@ def uncovered_first(grown: DataFrame, order: DataFrame) -> DataFrame:
     return grown.join(first_come(items, blocks, "at").withColumnRenamed("id", "seed"), "seed", "left_semi")
 
 
+def disjoint_first(grown: DataFrame, order: DataFrame) -> DataFrame:
+    """grown without the communities that share a node with one that stays and comes before: order has (node, at), at distinct.
+
+    In a round all those stay that come first at each of their nodes, and whatever shares a node with them goes; no pairs are made.
+    """
+    left, stay = cut(grown.select("seed", "node").join(order.select(F.col("node").alias("seed"), "at"), "seed")), None
+    while not left.isEmpty():
+        first = left.groupBy("node").agg(F.min("at").alias("first"))
+        ready = left.join(first, "node").groupBy("seed").agg(F.min(F.col("at") == F.col("first")).alias("all_first")).where("all_first").select("seed")
+        taken = cut(left.join(ready, "seed", "left_semi").select("seed", "node"))
+        stay = taken if stay is None else stay.unionByName(taken)
+        settled = left.join(taken.select("node"), "node", "left_semi").select("seed").distinct()
+        left = cut(left.join(settled, "seed", "left_anti"))
+    return grown.limit(0) if stay is None else stay
+
+
 def _fitness(inner: Column, every: Column, alpha: float) -> Column:
     return F.when(every > 0, F.round(inner / F.pow(every.cast("double"), F.lit(float(alpha))), 12)).otherwise(0.0)
 
@@ -85,3 +106,65 @@ def by_belonging(least: float) -> Callable[[DataFrame], DataFrame]:
         return able.groupBy("seed").agg(F.min_by("node", F.struct((-share).alias("a"), F.col("node").alias("b"))).alias("node"))
 
     return change
+
+
+def by_density(least: float, share: float) -> Callable[[DataFrame], DataFrame]:
+    """The neighbour with most edges into the community enters, if the community stays `least` dense with it and it has `share` of a member's mean number of edges; ties by node."""
+
+    def change(rows: DataFrame) -> DataFrame:
+        size, inner, links = (F.col(c) for c in ("size", "inner", "links"))
+        dense = (inner + 2 * links) / (size * (size + 1)) >= least
+        able = rows.where(~F.col("inside") & dense & ((inner == 0) | (links * (size - 1) >= share * inner)))
+        return able.groupBy("seed").agg(F.min_by("node", F.struct((-links).alias("a"), F.col("node").alias("b"))).alias("node"))
+
+    return change
+
+
+def by_interaction(graph: Graph, weights: DataFrame, least: float) -> Callable[[DataFrame], DataFrame]:
+    """The neighbour with most edges into the community enters, of equal ones that of larger weights(node, w), then by node,
+    if it has an edge to `least` of the members and each of them is two steps away at most inside the community."""
+
+    def change(rows: DataFrame) -> DataFrame:
+        able = rows.where(~F.col("inside") & (F.col("links") / F.col("size") >= least)).select("seed", "node", "links", "size")
+        members = rows.where("inside").select("seed", F.col("node").alias("member"))
+        step = graph.adj.select("node", F.col("nbr").alias("member"))
+        one = able.where("links < size").select("seed", "node").join(step, "node").join(members, ["seed", "member"])
+        two = one.select("seed", "node", F.col("member").alias("via")).join(step.withColumnRenamed("node", "via"), "via").join(members, ["seed", "member"])
+        reached = one.select("seed", "node", "member").unionByName(two.select("seed", "node", "member")).distinct().groupBy("seed", "node").agg(F.count(F.lit(1)).alias("reached"))
+        near = able.join(reached, ["seed", "node"], "left").where((F.col("links") == F.col("size")) | (F.col("reached") == F.col("size"))).join(weights, "node")
+        order = F.struct((-F.col("links")).alias("a"), (-F.col("w")).alias("b"), F.col("node").alias("c"))
+        return near.groupBy("seed").agg(F.min_by("node", order).alias("node"))
+
+    return change
+
+
+def _entropy(part: Column, whole: Column) -> Column:
+    """Entropy of the share part / whole of a node's edges in whole billionths of a bit, so that sums do not depend on their order."""
+    p = part / whole
+    bits = -p * F.log2(p) - (1 - p) * F.log2(1 - p)
+    return F.when((p <= 0) | (p >= 1), 0).otherwise(F.round(bits * 1e9)).cast("long")
+
+
+def entropy_changes(graph: Graph, rows: DataFrame, weighted: bool = False) -> DataFrame:
+    """rows of surroundings with `change`: of the sum over all nodes of the entropy of their edges' shares in the community,
+    in billionths of a bit, if the node enters, or leaves if it is inside. Only its neighbours' shares change."""
+    part, whole, w = (F.col("weight"), F.col("strength"), F.col("w")) if weighted else (F.col("links"), F.col("degree"), F.lit(1))
+    step = graph.adj.select("node", F.col("nbr").alias("to"), F.col("weight").alias("w"))
+    now, alone = _entropy(part, whole), _entropy(w, whole)
+    near = rows.where("links > 0").select("seed", "node", "degree", "strength", "links", "weight").join(step, "node")
+    sums = near.groupBy("seed", F.col("to").alias("node")).agg(F.sum(_entropy(part + w, whole) - now - alone).alias("enters"), F.sum(_entropy(part - w, whole) - now).alias("leaves"))
+    first = step.join(graph.degrees, "node").groupBy(F.col("to").alias("node")).agg(F.sum(alone).alias("first"))  # what a node adds where none of its neighbours has an edge inside
+    found = rows.join(first, "node", "left").join(sums, ["seed", "node"], "left").na.fill(0, ["first", "enters", "leaves"])
+    return found.withColumn("change", F.when(F.col("inside"), F.col("leaves")).otherwise(F.col("first") + F.col("enters"))).drop("first", "enters", "leaves")
+
+
+def by_entropy(graph: Graph, weighted: bool = False, leaving: bool = False, steepest: bool = True) -> Callable[[DataFrame], DataFrame]:
+    """A neighbour that lowers the entropy enters, or, leaving, a member but the seed that lowers it leaves: the one that lowers it most,
+    or, not steepest, the one with the largest share of its edges inside; ties by node."""
+
+    def change(rows: DataFrame) -> DataFrame:
+        able = entropy_changes(graph, rows, weighted).where((F.col("inside") == F.lit(leaving)) & (F.col("node") != F.col("seed")) & (F.col("change") < 0))
+        key = F.col("change").cast("double") if steepest else -(F.col("links") / F.col("degree"))
+        return able.groupBy("seed").agg(F.min_by("node", F.struct(key.alias("a"), F.col("node").alias("b"))).alias("node"))
+
+    return change

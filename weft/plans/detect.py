@@ -14,6 +14,7 @@ from weft.operators.components import connected_components
 from weft.operators.local import one_group
 from weft.operators.triangles import common_neighbours as common_neighbours_of_edges
 from weft.operators.triangles import oriented
+from weft.operators.triangles import triangles as corners_of
 from weft.plans import kernels as local
 from weft.plans.lineage import cut
 from weft.plans.registry import Param, register
@@ -43,10 +44,6 @@ def kernel_cover(graph: Graph, kernel: Callable[..., list[set]], part: DataFrame
     return one_group(rows, run, f"cid int, node {kind}")
 
 
-def unweighted(adj: dict) -> dict:
-    return {v: dict.fromkeys(n, 1.0) for v, n in adj.items()}
-
-
 @register(
     "COBS", "Crisp to overlapping by boundary similarity", Param("sim_metric", "enum", "cosine", options=METRICS), Param("theta_sim", "float", 0.4, 0, 1), Param("theta_overlap", "float", 0.3, 0, 1), help="flagship"
 )
@@ -265,29 +262,89 @@ def core_expansion(graph: Graph, tolerance: float = 0.5) -> DataFrame:
     return members.unionByName(free.select(F.col("node").alias("cid"), "node"))
 
 
-@register("DCS", "Divide and conquer")
-def dcs(graph: Graph) -> DataFrame:
-    return kernel_cover(graph, lambda adj: local.divide_and_conquer(unweighted(adj)))
-
-
-@register("DPCLUS", "Density and periphery", Param("use_weights", "bool", False), Param("d_threshold", "float", 0.9, 0, 1), Param("cp_threshold", "float", 0.5, 0, 1))
-def dpclus(graph: Graph, use_weights: bool = False, d_threshold: float = 0.9, cp_threshold: float = 0.5) -> DataFrame:
-    return kernel_cover(graph, lambda adj: local.dense_growth(adj if use_weights else unweighted(adj), d_threshold, cp_threshold))
-
-
-@register("IPCA", "Interaction probability", Param("use_weights", "bool", False), Param("t_in", "float", 0.5, 0, 1))
-def ipca(graph: Graph, use_weights: bool = False, t_in: float = 0.5) -> DataFrame:
-    return kernel_cover(graph, lambda adj: local.interaction_growth(adj if use_weights else unweighted(adj), t_in))
-
-
-@register("EBGC", "Entropy growth")
-def ebgc(graph: Graph) -> DataFrame:
-    return kernel_cover(graph, local.entropy_growth)
-
-
-@register("GRAPH_ENT", "Graph entropy", Param("use_weights", "bool", False))
-def graph_entropy(graph: Graph, use_weights: bool = False) -> DataFrame:
-    return kernel_cover(graph, lambda adj: local.entropy_clusters(adj if use_weights else unweighted(adj)))
+@register("DCS", "Divide and conquer", Param("most", "int", 50, 2, 1000000), Param("rounds", "int", 50, 1, 1000))
+def dcs(graph: Graph, most: int = 50, rounds: int = 50) -> DataFrame:
+    """Synchronous label propagation divides the graph, and again every part of more than `most` nodes by the edges inside it, all parts at
+    once, until none divides; then nodes join every other part that has half of their neighbours."""
+    parts, done = cut(graph.components().select(F.col("component").alias("scope"), "node")), None
+    while not parts.isEmpty():
+        one, two = (parts.select(F.col("node").alias(e), F.col("scope").alias(f"s_{e}")) for e in ("src", "dst"))
+        inside = graph.edges.join(one, "src").join(two, "dst").where("s_src = s_dst").select(F.col("s_src").alias("scope"), "src", "dst")
+        labels = egonets.propagate(inside, rounds, "scope")
+        found = cut(parts.join(labels.select("scope", "node", "label"), ["scope", "node"], "left").select("scope", "node", F.coalesce("label", "node").alias("label")))
+        sized = found.groupBy("scope").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+        whole = sized.where((F.col("size") <= most) | (F.col("low") == F.col("high"))).select("scope")
+        settled = found.join(whole, "scope", "left_semi").select(F.col("scope").alias("cid"), "node")
+        done = settled if done is None else done.unionByName(settled)
+        parts = cut(found.join(whole, "scope", "left_anti").select(F.col("label").alias("scope"), "node"))
+    done = cut(graph.nodes.select(F.col("node").alias("cid"), "node").limit(0) if done is None else done)
+    more = graph.adj.join(done.withColumnRenamed("node", "nbr"), "nbr").groupBy("cid", "node").agg(F.count(F.lit(1)).alias("links")).join(graph.degrees, "node")
+    return done.unionByName(more.where("2 * links >= degree").select("cid", "node")).distinct()
+
+
+def closeness_of_ends(graph: Graph, use_weights: bool) -> DataFrame:
+    """(node, w): the sum over a node's edges of their weights, or of the common neighbours of their ends."""
+    if use_weights:
+        return graph.degrees.select("node", F.round("strength", 9).alias("w"))
+    corners = corners_of(graph).select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg((2 * F.count(F.lit(1))).alias("w"))
+    return graph.nodes.select("node").join(corners, "node", "left").na.fill(0, ["w"])
+
+
+@register("DPCLUS", "Density and periphery", Param("use_weights", "bool", False), Param("d_threshold", "float", 0.9, 0, 1), Param("cp_threshold", "float", 0.5, 0, 1), Param("rounds", "int", 1000, 1, 1000000))
+def dpclus(graph: Graph, use_weights: bool = False, d_threshold: float = 0.9, cp_threshold: float = 0.5, rounds: int = 1000) -> DataFrame:
+    """Clusters that leave the graph, pass by pass: every node grows one in what is left, by closeness_of_ends there those stay that share no
+    node with one before them. A cluster grows as if those before it had left, so a pass is one after the other by the weights as it began. At the end nodes next to d_threshold of a core of three or more join it."""
+    left, kept = graph, None
+    while not left.edges.isEmpty():
+        able = cut(closeness_of_ends(left, use_weights).join(left.degrees.where("degree > 0"), "node"))
+        grown = cut(growth.grow(left, able, growth.by_density(d_threshold, cp_threshold), rounds))
+        order = able.select("node", F.struct((-F.col("w")).alias("w"), (-F.col("degree")).alias("d"), "node").alias("at"))
+        stay = cut(growth.disjoint_first(grown, order))
+        kept = stay if kept is None else kept.unionByName(stay)
+        rest = left.subgraph(left.nodes.select("node").join(stay, "node", "left_anti"))
+        left = Graph(cut(rest.nodes), cut(rest.edges))
+    if kept is None:
+        return graph.nodes.select(F.col("node").alias("cid"), "node").limit(0)
+    around, own = growth.surroundings(graph, kept)
+    more = around.where("not inside").join(own, "seed").where((F.col("size") > 2) & (F.col("links") >= d_threshold * F.col("size")))
+    return kept.unionByName(more.select("seed", "node")).select(F.col("seed").alias("cid"), "node")
+
+
+@register("IPCA", "Interaction probability", Param("use_weights", "bool", False), Param("t_in", "float", 0.5, 0, 1), Param("rounds", "int", 1000, 1, 1000000))
+def ipca(graph: Graph, use_weights: bool = False, t_in: float = 0.5, rounds: int = 1000) -> DataFrame:
+    """Every node grows by the neighbour with most edges into its cluster, t_in of its members at least, of diameter two; by closeness_of_ends, those whose seed lies in one before them go."""
+    weights = cut(closeness_of_ends(graph, use_weights))
+    grown = cut(growth.grow(graph, graph.nodes, growth.by_interaction(graph, weights, t_in), rounds))
+    return covers_of_two(growth.uncovered_first(grown, weights.select("node", F.struct((-F.col("w")).alias("w"), "node").alias("at"))))
+
+
+def covers_of_two(grown: DataFrame) -> DataFrame:
+    """(cid, node) of the communities of two nodes or more of (seed, node)."""
+    return grown.join(grown.where("seed <> node").select("seed").distinct(), "seed", "left_semi").select(F.col("seed").alias("cid"), "node")
+
+
+@register("EBGC", "Entropy growth", Param("rounds", "int", 1000, 1, 1000000))
+def ebgc(graph: Graph, rounds: int = 1000) -> DataFrame:
+    """Every node with the neighbour that shares most neighbours with it grows by the node with the largest share of its edges inside that lowers the entropy;
+    by the number of triangles, then degree, those whose seed lies in one before them go."""
+    both = common_neighbours_of_edges(graph)
+    both = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "both")).toDF("node", "nbr", "both")
+    pairs = graph.adj.join(both, ["node", "nbr"], "left").na.fill(0, ["both"])
+    start = cut(pairs.groupBy("node").agg(F.min_by("nbr", F.struct((-F.col("both")).alias("b"), "nbr")).alias("nbr")))
+    members = start.select(F.col("node").alias("seed"), "node").unionByName(start.select(F.col("node").alias("seed"), F.col("nbr").alias("node")))
+    grown = cut(growth.grow_from(graph, members, growth.by_entropy(graph, steepest=False), rounds))
+    order = closeness_of_ends(graph, False).join(graph.degrees.where("degree > 0"), "node").select("node", F.struct((-F.col("w")).alias("w"), (-F.col("degree")).alias("d"), "node").alias("at"))
+    return growth.uncovered_first(grown, order).select(F.col("seed").alias("cid"), "node")
+
+
+@register("GRAPH_ENT", "Graph entropy", Param("use_weights", "bool", False), Param("rounds", "int", 1000, 1, 1000000))
+def graph_entropy(graph: Graph, use_weights: bool = False, rounds: int = 1000) -> DataFrame:
+    """Every node with its neighbours: while the graph entropy falls, the member that lowers it most leaves, then, when none does, the outer node that
+    lowers it most enters; by degree, those whose seed lies in one before them go."""
+    around = graph.nodes.select(F.col("node").alias("seed"), "node").unionByName(graph.adj.select(F.col("node").alias("seed"), F.col("nbr").alias("node")))
+    fewer = growth.grow_from(graph, around, growth.by_entropy(graph, use_weights, leaving=True), rounds)
+    grown = cut(growth.grow_from(graph, fewer, growth.by_entropy(graph, use_weights), rounds))
+    return covers_of_two(growth.uncovered_first(grown, graph.degrees.select("node", F.struct((-F.col("degree")).alias("d"), "node").alias("at"))))
 
 
 @register("COACH", "Core and attachment", Param("density_threshold", "float", 0.7, 0, 1), Param("affinity_threshold", "float", 0.225, 0, 1), Param("closeness_threshold", "float", 0.5, 0, 1))
