@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weft.catalog import _QUERIES, _SQL, _rounded, table
 from weft.graph import Graph
-from weft.operators import boundary, centrality, cover, metrics, rank
+from weft.operators import boundary, centrality, cover, growth, metrics, rank
 from weft.plans import detect
 from weft.plans.lineage import cut
 
@@ -310,3 +310,59 @@ def _runs(g, spark, d):
 @_add("cobs_communities")
 def _cobs(g, spark, d):
     return cover.relabel(detect.boundary_overlap(g, theta_sim=0.3))
+
+
+@_add("builtin_rankings", f""", {_CLOSE}, b AS (SELECT node, sum(amount) AS b FROM flow WHERE hop > 0 GROUP BY 1),
+ val AS (SELECT 'degree' AS method, node, round(degree / (n - 1), 12) AS x FROM deg, nn UNION ALL SELECT 'closeness', node, round(r / (n - 1) * r / st, 12) FROM deg JOIN close USING (node), nn
+  UNION ALL SELECT 'betweenness', node, round(coalesce(b, 0) / ((n - 1) * (n - 2)), 12) FROM deg LEFT JOIN b USING (node), nn)
+ SELECT method, row_number() OVER (PARTITION BY method ORDER BY x DESC, node)::INT AS rank, node FROM val""", _PATHS + _START + _flow("flow", "all_ends"))
+def _builtin(g, spark, d):
+    return rank.builtin_rankings(g)[0]
+
+
+@_add(
+    "community_rankings",
+    _INDUCED + f""", agg AS (SELECT node, {', '.join(f'avg({c}) AS {c}' for c in _NAMES)} FROM vals GROUP BY 1),
+ val AS ({' UNION ALL '.join(f"SELECT '{c}_alpha={ALPHA:g}' AS method, node, round(coalesce({c}, 0), 12) AS x FROM deg LEFT JOIN agg USING (node)" for c in _NAMES)})
+ SELECT method, row_number() OVER (PARTITION BY method ORDER BY x DESC, node)::INT AS rank, node FROM val""",
+    _PATHS + _START + _flow("flow", "all_ends") + _INDUCED_PATHS,
+)
+def _community_rankings(g, spark, d):
+    return rank.community_rankings(g, bands(spark, d, g), (ALPHA,))
+
+
+def _bits(part: str, whole: str = "u.degree") -> str:
+    """Entropy of a share in billionths of a bit."""
+    p = f"(({part}) / {whole})"
+    return f"CASE WHEN {part} <= 0 OR {part} >= {whole} THEN 0 ELSE round((-{p} * log2({p}) - (1 - {p}) * log2(1 - {p})) * 1e9)::BIGINT END"
+
+
+# Ego networks as communities: what a step of growth from them does.
+_SURROUNDINGS = """, ego AS MATERIALIZED (SELECT node AS cid, node FROM deg UNION ALL SELECT node, nbr FROM adj), lnk AS MATERIALIZED (SELECT c.cid, a.nbr AS node, count(*) AS links FROM ego c JOIN adj a ON a.node = c.node GROUP BY 1, 2),
+ near AS MATERIALIZED (SELECT l.cid, l.node, links, c.node IS NOT NULL AS inside FROM lnk l LEFT JOIN ego c ON c.cid = l.cid AND c.node = l.node), own AS (SELECT cid, count(*) AS size, sum(links)::BIGINT AS inner_ FROM near WHERE inside GROUP BY 1)"""
+
+
+def ego_surroundings(g: Graph) -> DataFrame:
+    members = g.nodes.select(F.col("node").alias("seed"), "node").unionByName(g.adj.select(F.col("node").alias("seed"), F.col("nbr").alias("node")))
+    rows, own = growth.surroundings(g, members)
+    return rows.join(own, "seed")
+
+
+@_add("entropy_changes", f"""{_SURROUNDINGS}, was AS (SELECT r.cid, r.node, r.inside, a.nbr, coalesce(l.links, 0) AS k FROM near r JOIN adj a ON a.node = r.node LEFT JOIN lnk l ON l.cid = r.cid AND l.node = a.nbr)
+ SELECT cid, w.node, inside, sum({_bits("(k + CASE WHEN inside THEN -1 ELSE 1 END)")} - {_bits("k")})::BIGINT AS change FROM was w JOIN deg u ON u.node = w.nbr GROUP BY 1, 2, 3""")
+def _entropy_changes(g, spark, d):
+    return growth.entropy_changes(g, ego_surroundings(g)).select(F.col("seed").alias("cid"), "node", "inside", "change")
+
+
+@_add("density_steps", f"""{_SURROUNDINGS} SELECT cid, node FROM near JOIN own USING (cid) WHERE NOT inside AND (inner_ + 2 * links) / (size * (size + 1)) >= 0.2::DOUBLE AND links * (size - 1) >= 0.6::DOUBLE * inner_
+ QUALIFY row_number() OVER (PARTITION BY cid ORDER BY links DESC, node) = 1""")
+def _density_steps(g, spark, d):
+    return growth.by_density(0.2, 0.6)(ego_surroundings(g)).select(F.col("seed").alias("cid"), "node")
+
+
+@_add("interaction_steps", f"""{_SURROUNDINGS}, w AS (SELECT a.node, count(*) AS w FROM adj a JOIN adj b ON b.node = a.nbr JOIN adj c ON c.node = b.nbr AND c.nbr = a.node GROUP BY 1),
+ able AS (SELECT cid, node, links, size FROM near JOIN own USING (cid) WHERE NOT inside AND links / size >= 0.2::DOUBLE), one AS (SELECT b.cid, b.node, a.nbr AS m FROM able b JOIN adj a ON a.node = b.node JOIN ego e ON e.cid = b.cid AND e.node = a.nbr),
+ two AS (SELECT o.cid, o.node, a.nbr AS m FROM one o JOIN adj a ON a.node = o.m JOIN ego e ON e.cid = o.cid AND e.node = a.nbr), reach AS (SELECT cid, node, count(*) AS reached FROM (SELECT * FROM one UNION SELECT * FROM two) GROUP BY 1, 2)
+ SELECT cid, node FROM able JOIN reach USING (cid, node) LEFT JOIN w USING (node) WHERE reached = size QUALIFY row_number() OVER (PARTITION BY cid ORDER BY links DESC, coalesce(w, 0) DESC, node) = 1""")
+def _interaction_steps(g, spark, d):
+    return growth.by_interaction(g, cut(detect.closeness_of_ends(g, False)), 0.2)(ego_surroundings(g)).select(F.col("seed").alias("cid"), "node")

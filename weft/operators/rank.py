@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weft.graph import Graph
 from weft.operators import centrality
 from weft.operators.order import min_ranks, numbered
+from weft.plans.lineage import cut
 
 
 def to_ranking(scores: DataFrame, method: str, column: str | None = None) -> DataFrame:
@@ -71,11 +72,11 @@ METHODS = {
 
 
 def builtin_rankings(graph: Graph, methods: tuple[str, ...] = ("degree", "closeness", "betweenness")) -> tuple[DataFrame | None, dict[str, str]]:
-    """Rankings of the methods, and the reason for each that failed and was left out."""
+    """Rankings of the methods by scores of twelve digits, so that ties do not hang on the order of sums, and the reason for each that failed and was left out."""
     out, failed = None, {}
     for m in methods:
         try:
-            one = to_ranking(METHODS[m](graph), m)
+            one = to_ranking(METHODS[m](graph).select("node", F.round(m, 12).alias(m)), m)
         except ValueError as e:
             failed[m] = str(e)
             continue
@@ -84,11 +85,11 @@ def builtin_rankings(graph: Graph, methods: tuple[str, ...] = ("degree", "closen
 
 
 def community_rankings(graph: Graph, membership: DataFrame, alphas: tuple[float, ...] = (0.1, 0.2), aggregate: str = "mean", domain: str = "induced") -> DataFrame:
-    """Rankings by the community-aware centralities, methods named <metric>_alpha=<alpha>."""
+    """Rankings by the community-aware centralities of twelve digits, methods named <metric>_alpha=<alpha>."""
     out = None
     for alpha in alphas:
-        scores = centrality.community_centralities(graph, membership, alpha, domain, aggregate)
+        scores = cut(centrality.community_centralities(graph, membership, alpha, domain, aggregate))
         for c in ("ccdc", "cccc", "ccbc"):
-            one = to_ranking(scores, f"{c}_alpha={alpha:g}", c)
+            one = to_ranking(scores.select("node", F.round(c, 12).alias(c)), f"{c}_alpha={alpha:g}", c)
             out = one if out is None else out.unionByName(one)
     return out
