@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.graph import Graph
+from weft.operators.blocks import distance_sums, flows
 from weft.operators.local import one_group
-from weft.operators.paths import dependencies, distances, scoped, shortest_paths
+from weft.operators.paths import dependencies, scoped, shortest_paths
 from weft.plans.lineage import cut
 
 
@@ -38,20 +39,25 @@ def batches_of(graph: Graph, sources: DataFrame | None = None, pairs: int | None
     return [nodes.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == i) for i in range(parts)] if parts > 1 else [nodes]
 
 
-def _per_source(graph: Graph, dist: DataFrame | None, pairs: int | None, *aggregates) -> DataFrame:
-    """Aggregates of the distances from each node, of one batch of sources after another; only they are kept."""
+def _per_source(graph: Graph, dist: DataFrame | None, pairs: int | None) -> DataFrame:
+    """(node, r, total, inverse): nodes reachable from each node, itself included, sum of their distances and of 1 / distance.
+
+    Distances are the same both ways, so a batch of sources adds to every node.
+    """
+    sums = (F.sum("r").alias("r"), F.sum("total").alias("total"), F.sum("inverse").alias("inverse"))
     if dist is not None:
-        return dist.groupBy(F.col("source").alias("node")).agg(*aggregates)
-    out = None
+        rows = dist.select(F.col("source").alias("node"), F.lit(1).alias("r"), F.col("d").alias("total"), F.when(F.col("d") > 0, 1 / F.col("d")).otherwise(0.0).alias("inverse"))
+        return rows.groupBy("node").agg(*sums)
+    adj, out = cut(graph.adj.select("node", "nbr")), None
     for some in batches_of(graph, pairs=pairs):
-        one = cut(distances(graph, some).groupBy(F.col("source").alias("node")).agg(*aggregates))
+        one = cut(distance_sums(adj, some))
         out = one if out is None else out.unionByName(one)
-    return out
+    return out.groupBy("node").agg(*sums)
 
 
 def closeness(graph: Graph, dist: DataFrame | None = None, pairs: int | None = None) -> DataFrame:
     """(r - 1) / sum of distances, times (r - 1) / (n - 1) where only r nodes are reachable; isolated nodes have 0."""
-    return _closeness(graph, _per_source(graph, dist, pairs, F.count(F.lit(1)).alias("r"), F.sum("d").alias("total")))
+    return _closeness(graph, _per_source(graph, dist, pairs))
 
 
 def _closeness(graph: Graph, per: DataFrame) -> DataFrame:
@@ -63,17 +69,16 @@ def _closeness(graph: Graph, per: DataFrame) -> DataFrame:
 
 def harmonic(graph: Graph, dist: DataFrame | None = None, pairs: int | None = None) -> DataFrame:
     """Sum of 1 / distance."""
-    per = _per_source(graph, dist, pairs, F.sum(F.when(F.col("d") > 0, 1 / F.col("d"))).alias("harmonic"))
+    per = _per_source(graph, dist, pairs).select("node", F.col("inverse").alias("harmonic"))
     return graph.nodes.select("node").join(per, "node", "left").na.fill(0.0, ["harmonic"])
 
 
 def betweenness(graph: Graph, normalised: bool = True, load: bool = False, sources: DataFrame | None = None, pairs: int | None = None) -> DataFrame:
     """Share of shortest paths through a node (load: of equally split flow); sources(node) samples and rescales."""
     name = "load" if load else "betweenness"
-    adj, delta = cut(scoped(graph)), None
+    adj, delta = cut(graph.adj.select("node", "nbr")), None
     for some in batches_of(graph, sources, pairs):
-        start = some.select(F.lit(0).alias("scope"), F.col("node").alias("source"))
-        one = cut(dependencies(adj, shortest_paths(adj, start), load=load).groupBy("node").agg(F.sum("delta").alias(name)))
+        one = cut(flows(adj, some, load).withColumnRenamed("delta", name))
         delta = one if delta is None else delta.unionByName(one)
     delta = delta.groupBy("node").agg(F.sum(name).alias(name))
     rows = graph.nodes.select("node").join(delta, "node", "left").crossJoin(_single(graph))
