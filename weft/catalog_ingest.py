@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.catalog import _QUERIES, _SQL, table
-from weft.graph import Graph
+from weft.graph import Graph, shared_pairs
+from weft.plans.lineage import cut
 from weft.sources import ingest
 
 
@@ -204,9 +205,9 @@ def _built(spark: SparkSession, d: str) -> Graph:
     s, sid = table(spark, d, "supplier"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))
     identifiers = s.where("s_acctbal > 0").select(F.col("s_name").alias("identifier"))
     mapping = s.select(F.col("s_name").alias("query"), sid.alias("stringId"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("preferredName"), F.lit("direct").alias("mapping_source"), F.lit(1).alias("priority"))
-    served = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    a, b = (served.select("l_partkey", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias(e)) for e in ("src", "dst"))
-    network = a.join(b, "l_partkey").where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    pairs = cut(shared_pairs(table(spark, d, "lineitem"), "l_partkey", "l_suppkey"))  # each pair once and by number; the builder reads the network several times
+    one, two = (F.concat(F.lit("S"), F.col(e).cast("string")) for e in ("src", "dst"))
+    network = pairs.select(one.alias("src"), two.alias("dst"), "weight").unionByName(pairs.select(two.alias("src"), one.alias("dst"), "weight"))
     return ingest.build_graph(identifiers, mapping, network, partners=network, add_nodes=10, threshold=2.0)
 
 
