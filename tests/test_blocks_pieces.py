@@ -1,12 +1,15 @@
 """Blocks of sources over several chunks and components, restricted ends, walks, and pairs of shared keys, on small cases."""
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_egonets import graph_of, random_graph
 from weft import graph as graphs
-from weft.operators import blocks
+from weft.operators import blocks, centrality
 from weft.operators.paths import dependencies, scoped, shortest_paths
 from weft.plans import detect, kernels
 
@@ -48,6 +51,34 @@ def test_closed_walks(spark):
     assert got == pytest.approx({v: want[i] for v, i in at.items() if v in got}) and len(got) == g.nodes.count()
 
 
+def test_subgraph_centrality_by_components(spark, monkeypatch):
+    adj = apart(2)
+    g = graph_of(spark, adj)
+    n = g.nodes.count()
+    sizes = sorted((r["size"] for r in g.component_sizes().collect()), reverse=True)
+    walked, walks = [], blocks.closed_walks
+    monkeypatch.setattr(blocks, "closed_walks", lambda laid, nodes: walked.append(nodes.count()) or walks(laid, nodes))
+    want = {r.node: r.subgraph for r in centrality.spectral(g, "subgraph", n).collect()}
+    for most in (sizes[0], sizes[0] - 1):
+        assert {r.node: r.subgraph for r in centrality.spectral(g, "subgraph", most).collect()} == pytest.approx(want)
+    assert walked == [sum(s for s in sizes if s == sizes[0])]  # of a graph above the limit only components above it
+
+
+def test_closed_walks_of_a_tail():
+    n = 40  # a dense core with a tail, whose end has few closed walks
+    a = np.zeros((n, n))
+    a[:30, :30] = 1 - np.eye(30)
+    for i in range(29, n - 1):
+        a[i, i + 1] = a[i + 1, i] = 1
+    term, want = [[int(i == j) for j in range(n)] for i in range(n)], [Fraction(0)] * n
+    near = [[j for j in range(n) if a[i, j]] for i in range(n)]
+    for k in range(160):
+        want = [w + Fraction(term[i][i], math.factorial(k)) for i, w in enumerate(want)]
+        term = [[sum(row[j] for j in near[i]) for i in range(n)] for row in term]
+    assert centrality._closed_walks(a) == pytest.approx([float(w) for w in want], rel=1e-9)
+    assert centrality._closed_walks(np.zeros((1, 1))).tolist() == [1.0]
+
+
 def test_greedy_by_components(spark):
     adj = apart(3)
     g = graph_of(spark, adj)
