@@ -12,6 +12,7 @@ from weft import graph as graphs
 from weft.operators import blocks, centrality
 from weft.operators.paths import dependencies, scoped, shortest_paths
 from weft.plans import detect, kernels
+from weft.plans.lineage import cut
 
 
 def apart(copies):
@@ -79,6 +80,17 @@ def test_closed_walks_of_a_tail():
     assert centrality._closed_walks(np.zeros((1, 1))).tolist() == [1.0]
 
 
+def test_neighbour_sums(spark):
+    adj = apart(2)
+    g = graph_of(spark, adj)
+    of = {(c, v): (v * 7919 + c * 31) % 1_000_000_007 - 500_000_000 for c in range(300) for v in adj if (v + c) % 3}
+    rows = cut(spark.createDataFrame([(c, v, x, x % 5, f"{c} {v}") for (c, v), x in of.items()], "seed long, node long, a long, b long, name string"))
+    got = blocks.neighbour_sums(blocks.layout(g.adj.select("node", "nbr"), g.nodes), rows, {"x": "a", "y": "b", "z": "a"}).collect()
+    sums = {(c, v): sum(of.get((c, u), 0) for u in adj[v]) for c, v in of}
+    assert {(r.seed, r.node): (r.x, r.z, r.name) for r in got} == {(c, v): (x, x, f"{c} {v}") for (c, v), x in sums.items()} and len(got) == len(of)
+    assert {(r.seed, r.node): r.y for r in got} == {(c, v): sum(of.get((c, u), 0) % 5 for u in adj[v]) for c, v in of}
+
+
 def test_greedy_by_components(spark):
     adj = apart(3)
     g = graph_of(spark, adj)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.graph import Graph
+from weft.operators import blocks
 from weft.operators.egonets import first_come
 from weft.plans.lineage import cut
 
@@ -145,25 +146,40 @@ def _entropy(part: Column, whole: Column) -> Column:
     return F.when((p <= 0) | (p >= 1), 0).otherwise(F.round(bits * 1e9)).cast("long")
 
 
-def entropy_changes(graph: Graph, rows: DataFrame, weighted: bool = False) -> DataFrame:
+def entropy_changes(graph: Graph, rows: DataFrame, weighted: bool = False, laid: blocks.Layout | None = None) -> DataFrame:
     """rows of surroundings with `change`: of the sum over all nodes of the entropy of their edges' shares in the community,
-    in billionths of a bit, if the node enters, or leaves if it is inside. Only its neighbours' shares change."""
+    in billionths of a bit, if the node enters, or leaves if it is inside. Only its neighbours' shares change.
+
+    Without weights a neighbour's part does not depend on the edge, so the sums go by blocks of communities, on laid if it is given, and no edge of a row becomes a row.
+    """
     part, whole, w = (F.col("weight"), F.col("strength"), F.col("w")) if weighted else (F.col("links"), F.col("degree"), F.lit(1))
     step = graph.adj.select("node", F.col("nbr").alias("to"), F.col("weight").alias("w"))
     now, alone = _entropy(part, whole), _entropy(w, whole)
-    near = rows.where("links > 0").select("seed", "node", "degree", "strength", "links", "weight").join(step, "node")
-    sums = near.groupBy("seed", F.col("to").alias("node")).agg(F.sum(_entropy(part + w, whole) - now - alone).alias("enters"), F.sum(_entropy(part - w, whole) - now).alias("leaves"))
+    enters, leaves = _entropy(part + w, whole) - now - alone, _entropy(part - w, whole) - now
     first = step.join(graph.degrees, "node").groupBy(F.col("to").alias("node")).agg(F.sum(alone).alias("first"))  # what a node adds where none of its neighbours has an edge inside
-    found = rows.join(first, "node", "left").join(sums, ["seed", "node"], "left").na.fill(0, ["first", "enters", "leaves"])
-    return found.withColumn("change", F.when(F.col("inside"), F.col("leaves")).otherwise(F.col("first") + F.col("enters"))).drop("first", "enters", "leaves")
+    if weighted:
+        near = rows.where("links > 0").select("seed", "node", "degree", "strength", "links", "weight").join(step, "node")
+        sums = near.groupBy("seed", F.col("to").alias("node")).agg(F.sum(enters).alias("enters"), F.sum(leaves).alias("leaves"))
+        found = rows.join(sums, ["seed", "node"], "left")
+    else:
+        parts = {name: F.when(F.col("links") > 0, of).otherwise(F.lit(0)).cast("long") for name, of in (("of_enters", enters), ("of_leaves", leaves))}
+        found = blocks.neighbour_sums(laid or laid_out(graph), rows.withColumns(parts), {"enters": "of_enters", "leaves": "of_leaves"}).drop(*parts)
+    found = found.join(first, "node", "left").na.fill(0, ["first", "enters", "leaves"])
+    return found.withColumn("change", F.when(F.col("inside"), F.col("leaves")).otherwise(F.col("first") + F.col("enters"))).select(*rows.columns, "change")
+
+
+def laid_out(graph: Graph) -> blocks.Layout:
+    return blocks.layout(graph.adj.select("node", "nbr"), graph.nodes)
 
 
 def by_entropy(graph: Graph, weighted: bool = False, leaving: bool = False, steepest: bool = True) -> Callable[[DataFrame], DataFrame]:
     """A neighbour that lowers the entropy enters, or, leaving, a member but the seed that lowers it leaves: the one that lowers it most,
     or, not steepest, the one with the largest share of its edges inside; ties by node."""
 
+    laid = None if weighted else laid_out(graph)
+
     def change(rows: DataFrame) -> DataFrame:
-        able = entropy_changes(graph, rows, weighted).where((F.col("inside") == F.lit(leaving)) & (F.col("node") != F.col("seed")) & (F.col("change") < 0))
+        able = entropy_changes(graph, rows, weighted, laid).where((F.col("inside") == F.lit(leaving)) & (F.col("node") != F.col("seed")) & (F.col("change") < 0))
         key = F.col("change").cast("double") if steepest else -(F.col("links") / F.col("degree"))
         return able.groupBy("seed").agg(F.min_by("node", F.struct(key.alias("a"), F.col("node").alias("b"))).alias("node"))
 
