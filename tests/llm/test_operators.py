@@ -574,3 +574,10 @@ def test_langid_sample_keeps_rare_languages(spark):
     got = collections.Counter(x.lang for x in langid.bounded(docs, F.col("doc_id"), 403).collect())
     assert got["cc"] == 3 and 150 < got["aa"] < 250 and 150 < got["bb"] < 250
     assert langid.bounded(docs, F.col("doc_id"), 4003).count() == 4003
+
+
+def test_twins_of_a_digest(spark):
+    docs = spark.createDataFrame([(1, "Same text"), (2, "same  TEXT "), (3, "other"), (4, "alone"), (4, "alone"), (5, None), (6, "")], "doc_id long, text string")
+    rows = fingerprint.with_fingerprint(fingerprint.keyed(docs), F.col("text"), "fp")
+    assert sorted((r.did, r.twin) for r in fingerprint.links(rows).collect()) == [(1, True), (2, True), (3, False), (4, True), (5, True), (6, True)]
+    assert {(r.doc_id, r.class_id, r.class_size) for r in fingerprint.fingerprint_edits(docs).collect()} == {(1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 4, 2), (5, 5, 2), (6, 5, 2)}

@@ -105,24 +105,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def links(rows: DataFrame) -> DataFrame:
-    """(did, dh, copies, prev): each distinct key of keyed() rows, how many rows have it, and the key before it in order, as (did, dh, chars).
+    """(did, dh, copies, twin, prev): each distinct key of keyed() rows with fp, how many rows have it, whether another row has its digest, and the key before it in order, as (did, dh, chars).
 
     Before the first comes the last. Keys, without texts, are sorted by ranges;
     what meets in one task is one row a range. Ties between rows of one id are
     broken by dh, so that no id, null or not, makes a range of its own.
     """
-    chars = F.length("text") if "text" in rows.columns else F.lit(0)
-    per = rows.groupBy("did", "dh").agg(F.count(F.lit(1)).alias("copies"), F.max(chars).cast("long").alias("chars"))
+    per = rows.groupBy("did", "dh").agg(F.count(F.lit(1)).alias("copies"), F.max(F.length("text")).cast("long").alias("chars"), F.max("fp.high").alias("high"), F.max("fp.low").alias("low"))
     placed = cut(per.repartitionByRange("did", "dh").withColumn("part", F.spark_partition_id()))
+    shared = placed.groupBy("high", "low").agg(F.sum("copies").alias("n")).where("n > 1")
+    twins = cut(placed.join(shared, ["high", "low"], "left_semi").select("did", "dh", F.lit(True).alias("twin")))
     own = F.struct("did", "dh", "chars")
     last = placed.groupBy("part").agg(F.max(own).alias("last"))
     before = last.select("part", F.coalesce(F.lag("last").over(Window.orderBy("part")), F.max("last").over(Window.partitionBy(F.lit(1)))).alias("before"))
     within = Window.partitionBy("part").orderBy("did", "dh")
-    return placed.join(before, "part").select("did", "dh", "copies", F.coalesce(F.lag(own).over(within), F.col("before")).alias("prev"))
+    linked = placed.join(before, "part").select("did", "dh", "copies", F.coalesce(F.lag(own).over(within), F.col("before")).alias("prev"))
+    return linked.join(twins, ["did", "dh"], "left").select("did", "dh", "copies", F.coalesce("twin", F.lit(False)).alias("twin"), "prev")
 
 
 def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
-    """Adds to keyed() rows head, the first chars / 4 characters of the next row's text, and next_<c> for each carried column.
+    """Adds to keyed() rows with fp head, the first chars / 4 characters of the next row's text, next_<c> for each carried column, and twin, whether another row has the digest.
 
     The next row is that of the next key; of rows that repeat a key, each is
     followed by the next of them. Whole texts move once, to their key; from there
@@ -135,27 +137,23 @@ def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
     both = at_home.join(sent, ["did", "dh"])
     own = F.col("copy") < F.col("copies")
     given = {"head": F.when(own, head(F.length("text"))).otherwise(F.col("sent_head"))} | {f"next_{c}": F.when(own, F.col(c)).otherwise(F.col(f"sent.{c}")) for c in carried}
-    return both.select(*rows.columns, *(c.alias(name) for name, c in given.items()))
+    return both.select(*rows.columns, "twin", *(c.alias(name) for name, c in given.items()))
 
 
-def classes(docs: DataFrame, found: DataFrame, bits: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """found, which has did, dh, high and low of all rows of docs, with class_id and class_size of the rows with equal canonical texts.
+def classes(found: DataFrame) -> DataFrame:
+    """found, which has did, dh, high, low and form of all rows, the canonical text where several rows share a digest and else null, with class_id and class_size of the rows with equal canonical texts.
 
     Rows of a digest are grouped by their canonical text, byte by byte; where a
-    digest has several, each is a class. class_id is the smallest did. Only texts
-    whose digest several rows share are brought to their canonical form again.
+    digest has several, each is a class. class_id is the smallest did. No other text moves.
     """
-    hits = cut(found.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("high", "low"))
-    raw = found.select("dh", "high", "low").join(hits, ["high", "low"], "left_semi").select("dh").distinct()
-    again = canonical(keyed(docs, id_col, text_col).join(raw, "dh", "left_semi"), F.col("text"), "form").drop("text")
-    high, low = digest("form", bits)
-    forms = again.select("did", "dh", "form", high.alias("high"), low.alias("low")).groupBy("high", "low", "form").agg(F.min("did").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    again = found.where("form IS NOT NULL").select("did", "dh", "form", "high", "low")
+    forms = again.groupBy("high", "low", "form").agg(F.min("did").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     forms = cut(forms.select("high", "low", "class_id", "class_size", F.sha2("form", 256).alias("form_sha")))
     several = forms.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("high", "low")
     one = forms.join(several, ["high", "low"], "left_anti").drop("form_sha")
-    out = found.join(one, ["high", "low"], "left")
+    out = found.drop("form").join(one, ["high", "low"], "left")
     if not several.isEmpty():
-        named = again.select("did", "dh", high.alias("high"), low.alias("low"), F.sha2("form", 256).alias("form_sha")).distinct()
+        named = again.select("did", "dh", "high", "low", F.sha2("form", 256).alias("form_sha")).distinct()
         named = named.join(forms.join(several, ["high", "low"], "left_semi"), ["high", "low", "form_sha"]).select("did", "dh", F.col("class_id").alias("own_id"), F.col("class_size").alias("own_size"))
         out = out.join(named, ["did", "dh"], "left").withColumns({"class_id": F.coalesce("own_id", "class_id"), "class_size": F.coalesce("own_size", "class_size")}).drop("own_id", "own_size")
     return out.withColumns({"class_id": F.coalesce("class_id", "did"), "class_size": F.coalesce("class_size", F.lit(1).cast("long"))})
@@ -175,13 +173,14 @@ def fingerprint_edits(docs: DataFrame, bits: int = 128, id_col: str = "doc_id",
     kept = F.col("n_chars") - F.floor(F.col("n_chars") / 4)
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), kept.cast("int")), F.col("head")))
     rows = with_fingerprint(rows, F.col("edited"), "efp", bits)
+    rows = canonical(rows, F.when(F.col("twin"), F.col("text")), "form")
     rows = cut(rows.select(
-        "did", "dh", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp.high", "fp.low", as_text("fp").alias("fingerprint"), as_text("efp").alias("edited_fingerprint"),
+        F.when(F.col("twin"), F.col("form")).alias("form"), "did", "dh", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp.high", "fp.low", as_text("fp").alias("fingerprint"), as_text("efp").alias("edited_fingerprint"),
         likeness("fp", "efp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"),
     ))
     null = F.lit(NULL_ID)
     names = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-    return classes(docs, rows, bits, id_col, text_col).select(F.nullif("did", null).alias(id_col), *names, F.nullif("class_id", null).alias("class_id"), "class_size")
+    return classes(rows).select(F.nullif("did", null).alias(id_col), *names, F.nullif("class_id", null).alias("class_id"), "class_size")
 
 
 def op10_fingerprint(spark, sf_dir: str) -> DataFrame:
