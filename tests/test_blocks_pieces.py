@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_egonets import graph_of, random_graph
+from weft import catalog
 from weft import graph as graphs
 from weft.operators import blocks, centrality
 from weft.operators.paths import dependencies, scoped, shortest_paths
@@ -110,3 +111,20 @@ def test_shared_pairs_in_more_partitions(spark, monkeypatch):
     keys = {n: {r.k for r in rows.collect() if r.n == n} for n in range(12)}
     want = {(a, b): float(len(keys[a] & keys[b])) for a in keys for b in keys if a < b and keys[a] & keys[b]}
     assert {(r.src, r.dst): r.weight for r in made.collect()} == want and made.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_communities_of_parts_in_more_partitions(spark, monkeypatch, tmp_path, broadcast):
+    rows = [(p, f"brand {p % 3}", None if p == 4 else f"type {p % 5}") for p in range(60)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    g = graph_of(spark, {v: {v ^ 2} for v in range(0, 64) if v % 2 == 0})  # 60 and 62 are no parts
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(graphs, "TASK_ROWS", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        crisp, both = (f(spark, str(tmp_path), g) for f in (catalog.brands, catalog.brands_and_types))
+        assert sorted((r.cid, r.node) for r in crisp.collect()) == sorted((b, p) for p, b, _ in rows if p % 2 == 0)
+        assert sorted((r.cid or "", r.node) for r in both.collect()) == sorted((c or "", p) for p, *of in rows for c in of if p % 2 == 0)
+        assert crisp.rdd.getNumPartitions() == both.rdd.getNumPartitions() == 6
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
