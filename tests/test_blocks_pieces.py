@@ -128,3 +128,18 @@ def test_communities_of_parts_in_more_partitions(spark, monkeypatch, tmp_path, b
         assert crisp.rdd.getNumPartitions() == both.rdd.getNumPartitions() == 6
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_only_nodes_of_the_graph_meet_the_edges(spark):
+    g = graph_of(spark, {v: {v + 1} for v in range(20)})
+    g = graphs.Graph(cut(g.nodes), cut(g.edges))
+    keep = spark.range(10, 5000).selectExpr("if(id = 4999, null, id) AS node")
+    sub = g.subgraph(keep.unionByName(keep))
+    assert sorted((r.src, r.dst) for r in sub.edges.collect()) == [(v, v + 1) for v in range(10, 20)] and sorted(r.node for r in sub.nodes.collect()) == list(range(10, 21))
+    plan = sub.edges._jdf.queryExecution().executedPlan()
+    while "Join" not in plan.nodeName():
+        plan = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan.plan() if "QueryStage" in plan.nodeName() else plan.children().apply(0)
+    plan = plan.right()
+    while "BroadcastExchange" not in plan.nodeName():
+        plan = plan.plan() if "QueryStage" in plan.nodeName() else plan.child()
+    assert plan.metrics().get("numOutputRows").get().value() == 11
