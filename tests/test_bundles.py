@@ -91,3 +91,10 @@ def test_lists_and_single_values_give_the_same_sums():
     x[:] = 0
     x[3, 2], x[7, 4] = 2, 3
     assert np.allclose(adj.spread(x[few], few, to), (near @ x)[to]) and adj.spread(rng.random((60, 9)), np.arange(60), to) is None
+
+
+def test_sources_of_walks_and_of_cheap_paths_are_shared_out(both):
+    g, laid = both
+    rows = blocks.whole(g.nodes).join(laid[0].held.drop("place"), "node").drop("node")
+    for cost in (None, bundles.COST // bundles.STEPS):
+        assert bundles.dealt(rows, cost).groupBy(*bundles.KEYS).count().agg(F.max("count")).first()[0] == bundles.WIDEST
